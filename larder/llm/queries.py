@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import media_ts, resharding, secret_ledger
+from larder.llm import decontamination, html_text, media_ts, resharding, secret_ledger, token_counts
 from larder.llm.common import table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 def op4_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.sharded(table(spark, sf_dir, "documents"))
 
@@ -22,5 +30,9 @@ def op7_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ts.media_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_resharding, op5_secret_ledger, op7_media_ts)}
-SQL: dict[str, str] = {}
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op3_decontamination, op4_resharding, op5_secret_ledger, op7_media_ts, op8_token_counts)}
+SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL}
