@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import decontamination, html_text, media_ts, resharding, secret_ledger, token_counts
+from larder.llm import decontamination, html_text, media_ts, mixing, resharding, secret_ledger, token_counts
 from larder.llm.common import table
 
 
@@ -34,5 +34,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op3_decontamination, op4_resharding, op5_secret_ledger, op7_media_ts, op8_token_counts)}
-SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.selectExpr("doc_id", "coalesce(source, '') AS source", "coalesce(lang, '') AS lang", "topic", "n_tokens", "probability", "sampled")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op3_decontamination, op4_resharding, op5_secret_ledger, op7_media_ts, op8_token_counts, op9_mixing)}
+SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL, "op9_mixing": mixing.SQL}
