@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import decontamination, html_text, media_ts, mixing, resharding, secret_ledger, token_counts
+from larder.llm import decontamination, html_text, media_ts, mixing, resharding, secret_ledger, token_counts, toxicity
 from larder.llm.common import table
 
 
@@ -26,6 +26,11 @@ def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ts.media_digests(table(spark, sf_dir, "documents"))
 
@@ -39,5 +44,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.selectExpr("doc_id", "coalesce(source, '') AS source", "coalesce(lang, '') AS lang", "topic", "n_tokens", "probability", "sampled")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op3_decontamination, op4_resharding, op5_secret_ledger, op7_media_ts, op8_token_counts, op9_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op3_decontamination, op4_resharding, op5_secret_ledger, op6_toxicity, op7_media_ts, op8_token_counts, op9_mixing)}
 SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL, "op9_mixing": mixing.SQL}
