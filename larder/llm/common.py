@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Work on at most about so many text bytes at once inside a task; a longer text is taken alone.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +37,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def text_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of an Arrow string column holding about SLICE_BYTES each."""
-    sizes = np.asarray(texts.cast(pa.large_string()).fill_null("").cast(pa.large_binary()).buffers()[1] and _lengths(texts))
+    sizes = pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > SLICE_BYTES:
@@ -47,12 +48,6 @@ def text_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def _lengths(texts: pa.Array) -> np.ndarray:
-    import pyarrow.compute as pc
-
-    return pc.binary_length(texts.cast(pa.large_string()).fill_null("")).to_numpy(zero_copy_only=False)
-
-
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column (null: empty) as one array, and the row offsets into it."""
     col = texts.cast(pa.large_string()).fill_null("")
