@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import decontamination, html_text, jaccard_join, media_ts, mixing, resharding, secret_ledger, token_counts, toxicity
+from larder.llm import decontamination, html_text, jaccard_join, media_ts, mixing, quality_lm, resharding, secret_ledger, token_counts, toxicity
 from larder.llm.common import table
 
 
@@ -48,5 +48,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.selectExpr("doc_id", "coalesce(source, '') AS source", "coalesce(lang, '') AS lang", "topic", "n_tokens", "probability", "sampled")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_jaccard_join, op3_decontamination, op4_resharding, op5_secret_ledger, op6_toxicity, op7_media_ts, op8_token_counts, op9_mixing)}
+def op10_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_lm.judged(docs, quality_lm.trusted_ids(table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_jaccard_join, op3_decontamination, op4_resharding, op5_secret_ledger, op6_toxicity, op7_media_ts, op8_token_counts, op9_mixing, op10_quality_lm)}
 SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL, "op9_mixing": mixing.SQL}
