@@ -1,10 +1,10 @@
 """Benchmark decontamination with DataFrame functions alone.
 
 Benchmark items are normalised to words and cut into windows of WINDOW consecutive words (a shorter item is one
-window). The hash set of windows is broadcast to the scan, once its size is known to be under BROADCAST_WINDOWS;
-a larger set is joined by shuffling the hashes. Each document's window hashes are made in one pass over its
-words and probed where they are made; only a row whose hash hits compares the words themselves, so a hash
-collision is no hit. Then documents are dropped, or the hit words are cut out of their text.
+window). The hash set of windows, keyed by the hash of a window's first KEY_WORDS words, is broadcast to the scan
+once its size is known to be under BROADCAST_WINDOWS; a larger set is joined by shuffling the keys. A document's
+keys are made in one pass over its words and probed where they are made; only a position whose key hits compares
+its whole window with the item's words, so a hash collision is no hit. Then documents are dropped, or the hit words are cut out of their text.
 
 Words: A-Z lower-cased, then runs of code points outside ASCII except 0-9 and a-z. Defined cases: a null or
 empty text has no words and no hits; an empty benchmark hits nothing; rows that share a doc_id count as one
@@ -19,7 +19,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 10
+#: Words of a window, and of its start that serve as its hash key.
+WINDOW, KEY_WORDS = 10, 3
 #: A window takes about 200 bytes in the broadcast set.
 BROADCAST_WINDOWS = 500_000
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -31,39 +32,36 @@ def words_of(text: str) -> Column:
     return F.array_remove(F.split(lower, SEPARATOR), "")
 
 
-def _with_windows(rows: DataFrame, length: int) -> DataFrame:
-    """rows (.., words) with the hashes of all windows of so many words."""
+def _keyed(rows: DataFrame, length: int) -> DataFrame:
+    """rows (.., words) with the hashes of all runs of so many words."""
     count = F.greatest(F.size("words") - (length - 1), F.lit(0))
-    if length == WINDOW:  # from the hashes of word pairs
-        rows = rows.withColumn("pairs", F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1))))
-        whole = F.transform(F.slice("pairs", F.lit(1), count), lambda p, i: F.xxhash64(p, *(F.get("pairs", i + k) for k in range(2, WINDOW, 2))))
-        return rows.withColumn("hashes", whole).drop("pairs")
-    return rows.withColumn("hashes", F.transform(F.slice("words", F.lit(1), count), lambda _, i: F.xxhash64(F.slice("words", i + 1, length))))
+    return rows.withColumn("keys", F.transform(F.slice("words", F.lit(1), count), lambda w, i: F.xxhash64(w, *(F.get("words", i + k) for k in range(1, length)))))
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, len, hash and the words of every window of every item."""
+    """item_id, len, key_len and the words of every window of every item."""
     items = benchmark.select(F.col(id_col).alias("item_id"), words_of(text_col).alias("words")).filter(F.size("words") > 0)
-    long = _with_windows(items.filter(F.size("words") >= WINDOW), WINDOW).select("item_id", "words", F.posexplode("hashes").alias("at", "hash"))
-    long = long.select("item_id", F.lit(WINDOW).alias("len"), "hash", F.slice("words", F.col("at") + 1, WINDOW).alias("window"))
-    short = items.filter(F.size("words") < WINDOW).select("item_id", F.size("words").alias("len"), F.xxhash64("words").alias("hash"), F.col("words").alias("window"))
-    return long.unionByName(short).distinct()
+    starts = F.explode(F.sequence(F.lit(1), F.greatest(F.size("words") - (WINDOW - 1), F.lit(1))))
+    rows = items.select("item_id", "words", starts.alias("start"))
+    window = F.slice("words", F.col("start"), F.lit(WINDOW))
+    out = rows.select("item_id", F.least(F.size("words"), F.lit(WINDOW)).alias("len"), window.alias("window")).distinct()
+    return out.withColumn("key_len", F.least(F.col("len"), F.lit(KEY_WORDS)))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every document a row with at = -1 and n_words, and a row (at, len, item_id) for each verified hit."""
     windows = item_windows(benchmark)
-    sizes = {r["len"]: r["count"] for r in windows.groupBy("len").count().collect()}  # at most WINDOW rows
+    sizes = {r["key_len"]: r["count"] for r in windows.groupBy("key_len").count().collect()}  # at most KEY_WORDS rows
     near = sum(sizes.values()) <= BROADCAST_WINDOWS
     rows = docs.select(F.col(id_col).alias("doc_id"), words_of(text_col).alias("words"))
     parts = []
-    for length in sorted({WINDOW, *sizes}, reverse=True):
-        scan = _with_windows(rows, length).select("doc_id", "words", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), "hashes") if length == WINDOW else F.col("hashes")).alias("at", "hash"))
-        if length == WINDOW:  # the first entry stands for the document itself
-            scan = scan.withColumn("at", F.col("at") - 1)
-        set_ = windows.filter(F.col("len") == length).select("item_id", "len", F.col("hash").alias("item_hash"), "window")
-        same = (F.col("hash") == F.col("item_hash")) & (F.col("at") >= 0) & (F.slice("words", F.greatest(F.col("at"), F.lit(0)) + 1, length) == F.col("window"))
-        joined = scan.join(F.broadcast(set_) if near else set_, same, "left" if length == WINDOW else "inner")
+    for length in sorted({KEY_WORDS, *sizes}, reverse=True):
+        main = length == KEY_WORDS  # there the first entry stands for the document itself
+        keys = F.concat(F.array(F.lit(0).cast("long")), "keys") if main else F.col("keys")
+        scan = _keyed(rows, length).select("doc_id", "words", F.posexplode(keys).alias("at", "key")).withColumn("at", F.col("at") - int(main))
+        set_ = windows.filter(F.col("key_len") == length).select("item_id", "len", F.xxhash64(*(F.get("window", F.lit(k)) for k in range(length))).alias("item_key"), "window")
+        same = (F.col("key") == F.col("item_key")) & (F.col("at") >= 0) & (F.slice("words", F.greatest(F.col("at"), F.lit(0)) + 1, F.col("len")) == F.col("window"))
+        joined = scan.join(F.broadcast(set_) if near else set_, same, "left" if main else "inner")
         parts.append(joined.filter((F.col("at") < 0) | F.col("item_id").isNotNull()).select("doc_id", "at", "len", "item_id", F.when(F.col("at") < 0, F.size("words")).cast("long").alias("n_words")))
     out = parts[0]
     for p in parts[1:]:

@@ -283,6 +283,6 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one whose doc_id names it; all its columns."""
-    keep = link_components(docs).filter("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    """docs without those of which another document of their component has a smaller doc_id; a null doc_id stays."""
+    gone = link_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
