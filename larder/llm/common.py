@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Work on at most about so many text bytes at once inside a task; a longer text is taken alone.
 SLICE_BYTES = 2_000_000
@@ -35,6 +36,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of ids up to which a side is broadcast (about 50 MB); more are joined by shuffling.
+NEAR_IDS = 2_000_000
+
+
+def near(ids: DataFrame) -> DataFrame:
+    """A table of ids (cut from its lineage, so that counting is cheap) with a broadcast hint if it is known to be small."""
+    ids = cut_lineage(ids)
+    return F.broadcast(ids) if ids.count() <= NEAR_IDS else ids
+
+
 def text_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of an Arrow string column holding about SLICE_BYTES each."""
     sizes = pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False)

@@ -19,6 +19,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.common import cut_lineage, near
+
 #: Words of a window, and of its start that serve as its hash key.
 WINDOW, KEY_WORDS = 10, 3
 #: A window takes about 200 bytes in the broadcast set.
@@ -52,7 +54,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """For every document a row with at = -1 and n_words, and a row (at, len, item_id) for each verified hit."""
     windows = item_windows(benchmark)
     sizes = {r["key_len"]: r["count"] for r in windows.groupBy("key_len").count().collect()}  # at most KEY_WORDS rows
-    near = sum(sizes.values()) <= BROADCAST_WINDOWS
+    small = sum(sizes.values()) <= BROADCAST_WINDOWS
     rows = docs.select(F.col(id_col).alias("doc_id"), words_of(text_col).alias("words"))
     parts = []
     for length in sorted({KEY_WORDS, *sizes}, reverse=True):
@@ -61,7 +63,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         scan = _keyed(rows, length).select("doc_id", "words", F.posexplode(keys).alias("at", "key")).withColumn("at", F.col("at") - int(main))
         set_ = windows.filter(F.col("key_len") == length).select("item_id", "len", F.xxhash64(*(F.get("window", F.lit(k)) for k in range(length))).alias("item_key"), "window")
         same = (F.col("key") == F.col("item_key")) & (F.col("at") >= 0) & (F.slice("words", F.greatest(F.col("at"), F.lit(0)) + 1, F.col("len")) == F.col("window"))
-        joined = scan.join(F.broadcast(set_) if near else set_, same, "left" if main else "inner")
+        joined = scan.join(F.broadcast(set_) if small else set_, same, "left" if main else "inner")
         parts.append(joined.filter((F.col("at") < 0) | F.col("item_id").isNotNull()).select("doc_id", "at", "len", "item_id", F.when(F.col("at") < 0, F.size("words")).cast("long").alias("n_words")))
     out = parts[0]
     for p in parts[1:]:
@@ -88,6 +90,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without contaminated documents, or (remove = "spans") with the hit words and what follows them up to the next word cut out."""
     bad = scan(docs, benchmark, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("spans").alias("_spans"))
+    bad = cut_lineage(bad) if remove == "spans" else near(bad.select("_bad_id"))
     same = F.col(id_col).eqNullSafe(F.col("_bad_id"))
     if remove == "documents":
         return docs.join(bad, same, "left_anti")

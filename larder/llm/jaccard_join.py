@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut_lineage
+from larder.llm.common import cut_lineage, near
 from larder.llm.shingles import shingle_sets
 
 #: The sketch: 2 ** SKETCH_BITS counters in 2 ** BLOCK_BITS blocks, 32 MB in all whatever the corpus; blocks of so many tasks are merged at once.
@@ -243,18 +243,19 @@ def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (least doc_id with an equal set) of every document."""
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = cut_lineage(set_table(lean))
-    nodes = table.filter("node = doc_id AND n > 0").select("node", "sig_a", "sig_b").distinct()
-    classes = nodes.groupBy("sig_a", "sig_b").agg(F.min("node").alias("cls"))
+    nodes = table.filter("n > 0 AND node IS NOT NULL").groupBy("node", "sig_a", "sig_b").agg(F.min("doc_id").alias("least"))
+    classes = cut_lineage(nodes.groupBy("sig_a", "sig_b").agg(F.min("least").alias("cls")))
     node_class = cut_lineage(nodes.join(classes, ["sig_a", "sig_b"]).select("node", "cls"))
+    doc_class = cut_lineage(table.select("doc_id", "n", "node").join(node_class, "node", "left").select("doc_id", "n", F.coalesce("cls", "doc_id").alias("cls")))
 
     entries = cut_lineage(shared_postings(postings(lean, count_sketch(lean))))
-    index = entries.join(node_class.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("cls", F.coalesce("cls", "doc_id"))
+    index = entries.join(doc_class.select("doc_id", "cls"), "doc_id")
     index = index.groupBy("token", "cls").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
     several = index.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1").select("token")
     index = cut_lineage(index.join(several, "token", "left_semi").withColumn("comp", F.col("cls")))
 
-    wanted = index.select(F.col("cls").alias("doc_id")).distinct()
-    sets = cut_lineage(_sets(lean.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
+    wanted = near(index.select(F.col("cls").alias("doc_id")).distinct())
+    sets = cut_lineage(_sets(lean.join(wanted, "doc_id", "left_semi")))
 
     def links(rows: DataFrame) -> DataFrame:
         return rows.filter(needed(F.col("nx"), F.col("ny"), F.col("o"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -269,9 +270,8 @@ def link_components(docs: DataFrame) -> DataFrame:
         edges = cut_lineage(edges.unionByName(links(new)).unionByName(pairs.filter("known").select(F.col("x").alias("a"), F.col("y").alias("b"))))
         labels = cut_lineage(components(edges))
 
-    grouped = _relabel(node_class.withColumn("comp", F.col("cls")), labels)
-    out = table.join(grouped, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"), F.coalesce("cls", "doc_id").alias("class_id"))
+    labels = labels.select(F.col("id").alias("cls"), "comp")
+    return doc_class.join(labels, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "cls").alias("component_id"), F.col("cls").alias("class_id"))
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -284,5 +284,5 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without those of which another document of their component has a smaller doc_id; a null doc_id stays."""
-    gone = link_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    gone = near(link_components(docs).filter("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
