@@ -7,7 +7,7 @@ are learned from labels: stems and words (letter prefixes, or whole words) whose
 significantly high, weighted by their smoothed log odds. Threats, targets, negations and reporting verbs are lists.
 
 Learning uses at most FIT_ROWS labelled documents of each class, taken by a hash of their id, and of those with
-crc32(doc_id) mod 4 = 2 none; documents that share their least word hash (copies, near copies) count once. Counting
+crc32(doc_id) mod 4 = 2 none; documents that share SKETCHES least word hashes (copies, near copies) count once. Counting
 runs in Spark and combines before the shuffle; the driver gets at most MAX_ARCS rows. Scoring reads every whole
 text once (an Aho-Corasick automaton over the arcs; only clauses with an arc are looked at further): no shuffle.
 
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIT_ROWS, MAX_ARCS = 16_000, 20_000
-MIN_LLR, MIN_PRECISION, STEM, LONGEST = 14.0, 0.9, 3, 10
+MIN_LLR, MIN_PRECISION, STEM, LONGEST, SKETCHES = 14.0, 0.9, 3, 10, 3
 THRESHOLD = 0.3
 PRIOR = 0.1
 #: A document's weight is bounded to this, either way.
@@ -119,7 +119,8 @@ def fit_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
         own = use.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         picked = own if picked is None else picked.unionByName(own)
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * rows small rows
-    sketch = F.array_min(F.transform(F.split("text", r"\s+"), lambda w: F.xxhash64(w)))
+    own = F.split(F.coalesce("text", F.lit("")), r"\s+")
+    sketch = F.struct(*[F.array_min(F.transform(own, lambda w, k=k: F.xxhash64(w, F.lit(k)))).alias(f"least{k}") for k in range(SKETCHES)])
     return texts.withColumn("sketch", sketch).dropDuplicates(["toxic", "sketch"]).select("text", "toxic")
 
 
