@@ -57,7 +57,7 @@ def split_outside_brackets(c: Column, separator: str) -> Column:
 
 def split_list(c: Column, separator: str = r"\|") -> Column:
     """Trimmed, non-empty parts."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), separator), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def is_cell(c: Column) -> Column:
