@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,15 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         where = tempfile.mkdtemp(prefix="larder-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", where)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
     return where
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df as a table written once to the shared folder; unlike a checkpoint it is compressed and computed once. Delete ``larder-tables`` there after a job."""
+    path = f"{shared_dir(df.sparkSession)}/larder-tables/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Rows of ids up to which a side is broadcast (about 50 MB); more are joined by shuffling.

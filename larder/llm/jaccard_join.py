@@ -58,17 +58,32 @@ def _distinct_sets(b: pa.RecordBatch, seen: dict[bytes, int]) -> Iterator[tuple[
         yield doc_id, s, sig, node
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A bit for each hash bucket: whether the set has an odd number of shingles in it; as many buckets as shingles, a power of 2."""
+    bits = 1 << max(6, int(len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def parity_distance(p: bytes, q: bytes) -> int:
+    """Buckets in which two sets differ in parity: never more than the shingles in which they differ."""
+    a, b = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
+    n = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(x.reshape(-1, n), axis=0) for x in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), sig_a and sig_b (0 and 0: empty) and node: the first doc_id with that set in the task."""
+    """doc_id, n (set size), sig_a and sig_b (0 and 0: empty), node (the first doc_id with that set in the task) and the node's parity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         for b in batches:
-            rows = list(_distinct_sets(b, seen))
-            sigs = np.frombuffer(b"".join(sig or bytes(16) for _, _, sig, _ in rows), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for _, s, _, _ in rows], pa.int64()), pa.array(sigs[:, 0]), pa.array(sigs[:, 1]), pa.array([node for *_, node in rows], pa.int64())], ["doc_id", "n", "sig_a", "sig_b", "node"])
+            rows = [(len(s), sig, node, parity(s) if node == doc_id and len(s) else None) for doc_id, s, sig, node in _distinct_sets(b, seen)]
+            sigs = np.frombuffer(b"".join(r[1] or bytes(16) for r in rows), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array(sigs[:, 0]), pa.array(sigs[:, 1]), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], ["doc_id", "n", "sig_a", "sig_b", "node", "parity"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, sig_a bigint, sig_b bigint, node bigint")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, sig_a bigint, sig_b bigint, node bigint, parity binary")
 
 
 def _bucket(tokens: np.ndarray) -> np.ndarray:
@@ -179,17 +194,35 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "id")
 
 
-def _relabel(rows: DataFrame, labels: DataFrame, col: str = "cls") -> DataFrame:
-    return rows.drop("comp").join(labels.select(F.col("id").alias(col), "comp"), col, "left").withColumn("comp", F.coalesce("comp", col))
+def _relabel(index: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of lists that still show sets of different components; a list of two sets has been answered by its hub."""
+    rows = index.drop("comp").join(near(labels.select(F.col("id").alias("cls"), "comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    open_ = rows.groupBy("token").agg(F.count("*").alias("sets"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("sets > 2 AND lo <> hi").select("token")
+    return rows.join(open_, "token", "left_semi")
 
 
 def hub_pairs(index: DataFrame, hub: Column) -> DataFrame:
-    """(x, y, nx, ny): sets with their list's hub, where sizes allow a link and they are in different components."""
-    hubs = index.groupBy("token").agg(F.min_by(F.struct("cls", "n", "comp"), hub).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    rows = index.join(hubs, "token").filter((F.col("comp") != F.col("hub.comp")) & (4 * F.least("n", "hub.n") >= 3 * F.greatest("n", "hub.n")))
+    """(x, y, nx, ny): sets with their list's hub, where sizes and positions allow a link and they are in different components."""
+    hubs = index.groupBy("token").agg(F.min(F.struct(hub.alias("rank"), "cls", "n", "pos", "comp")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token", "hub")
+    left = F.least(F.col("n") - F.col("pos"), F.col("hub.n") - F.col("hub.pos"))
+    fits = (F.col("comp") != F.col("hub.comp")) & (4 * F.least("n", "hub.n") >= 3 * F.greatest("n", "hub.n")) & (7 * left >= 3 * (F.col("n") + F.col("hub.n")))
+    rows = index.join(hubs, "token").filter(fits)
     return _ordered(rows.select(F.col("cls").alias("x"), F.col("hub.cls").alias("y"), F.col("n").alias("nx"), F.col("hub.n").alias("ny")))
 
 
+def plausible(pairs: DataFrame, parities: DataFrame) -> DataFrame:
+    """Pairs that their parities (doc_id, parity) don't rule out: linked sets differ in a seventh of both sizes at most."""
+    rows = pairs.join(parities.select(F.col("doc_id").alias("x"), F.col("parity").alias("px")), "x").join(parities.select(F.col("doc_id").alias("y"), F.col("parity").alias("py")), "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = b.column(2).to_numpy() + b.column(3).to_numpy()
+            apart = np.array([parity_distance(p, q) for p, q in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], np.int64)
+            yield b.select([0, 1, 2, 3]).filter(pa.array(7 * apart <= sizes))
+
+    return rows.select("x", "y", "nx", "ny", "px", "py").mapInArrow(run, "x bigint, y bigint, nx int, ny int")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     up = F.col("x") < F.col("y")
     pick = lambda a, b: F.when(up, F.col(a)).otherwise(F.col(b))
@@ -203,8 +236,7 @@ def _size_block(n: Column) -> Column:
 
 def block_pairs(index: DataFrame) -> DataFrame:
     """All pairs of sets in different components that a list shows to be possible; reads only blocks that positions allow."""
-    mixed = index.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    rows = index.join(mixed, "token", "left_semi")
+    rows = index
     left = F.col("n") - F.col("pos")
     smaller = rows.filter(7 * left >= 6 * F.col("n")).select("token", _size_block(F.col("n")).alias("block"), F.col("cls").alias("y"), F.col("n").alias("ny"), left.alias("left_y"), F.col("comp").alias("comp_y"))
     least, most = F.ceil(0.75 * F.col("n")), F.least(F.col("n").cast("long"), F.floor((7 * left - 3 * F.col("n")) / 3))
@@ -243,30 +275,34 @@ def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (least doc_id with an equal set) of every document."""
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = cut_lineage(set_table(lean))
-    nodes = table.filter("n > 0 AND node IS NOT NULL").groupBy("node", "sig_a", "sig_b").agg(F.min("doc_id").alias("least"))
-    classes = cut_lineage(nodes.groupBy("sig_a", "sig_b").agg(F.min("least").alias("cls")))
-    node_class = cut_lineage(nodes.join(classes, ["sig_a", "sig_b"]).select("node", "cls"))
+    nodes = table.filter("n > 0 AND node IS NOT NULL").groupBy("node", "sig_a", "sig_b").agg(F.min("doc_id").alias("least"), F.max("parity").alias("parity"))
+    classes = cut_lineage(nodes.groupBy("sig_a", "sig_b").agg(F.min("least").alias("cls"), F.max("parity").alias("parity")))
+    parities = classes.select(F.col("cls").alias("doc_id"), "parity")
+    node_class = cut_lineage(nodes.join(classes.drop("parity"), ["sig_a", "sig_b"]).select("node", "cls"))
     doc_class = cut_lineage(table.select("doc_id", "n", "node").join(node_class, "node", "left").select("doc_id", "n", F.coalesce("cls", "doc_id").alias("cls")))
 
     entries = cut_lineage(shared_postings(postings(lean, count_sketch(lean))))
-    index = entries.join(doc_class.select("doc_id", "cls"), "doc_id")
-    index = index.groupBy("token", "cls").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-    several = index.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1").select("token")
-    index = cut_lineage(index.join(several, "token", "left_semi").withColumn("comp", F.col("cls")))
+    index = entries.join(doc_class.select("doc_id", "cls"), "doc_id").groupBy("token", "cls").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+    index = cut_lineage(index.withColumn("comp", F.col("cls")))
 
-    wanted = near(index.select(F.col("cls").alias("doc_id")).distinct())
-    sets = cut_lineage(_sets(lean.join(wanted, "doc_id", "left_semi")))
+    def answered(pairs: DataFrame) -> DataFrame:
+        """Overlaps of the plausible pairs; only their sets are made."""
+        pairs = cut_lineage(plausible(pairs, parities))
+        wanted = near(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
+        return cut_lineage(overlaps(pairs, cut_lineage(_sets(lean.join(wanted, "doc_id", "left_semi")))))
 
     def links(rows: DataFrame) -> DataFrame:
         return rows.filter(needed(F.col("nx"), F.col("ny"), F.col("o"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
-    answers = cut_lineage(overlaps(hub_pairs(index, F.col("cls")), sets))
-    edges = links(answers)
+    answers = answered(hub_pairs(index, F.lit(0)))
+    edges = cut_lineage(links(answers))
     labels = cut_lineage(components(edges))
     for pairs_of in (lambda i: hub_pairs(i, F.xxhash64("token", "cls")), block_pairs):
         index = cut_lineage(_relabel(index, labels))
-        pairs = cut_lineage(derived(pairs_of(index).join(answers, ["x", "y"], "left_anti"), answers))
-        new = overlaps(pairs.filter("known IS NULL").drop("known"), sets)
+        pairs = cut_lineage(derived(pairs_of(index).join(answers.select("x", "y"), ["x", "y"], "left_anti"), answers))
+        if pairs.isEmpty():
+            continue
+        new = answered(pairs.filter("known IS NULL").drop("known"))
         edges = cut_lineage(edges.unionByName(links(new)).unionByName(pairs.filter("known").select(F.col("x").alias("a"), F.col("y").alias("b"))))
         labels = cut_lineage(components(edges))
 

@@ -15,9 +15,10 @@ from pyspark.sql.types import ArrayType, StringType
 
 from larder.functions.distance import osa
 from larder.functions.numbers import number_text
-from larder.functions.text import absence_target, find_all, has_phrase, made_with_target, normalize, split_outside_brackets, words
+from larder.functions.text import absence_target, ao_key, find_all, has_phrase, made_with_target, normalize, split_outside_brackets, words
 from larder.operators.checks import ocr_post_pass
-from larder.operators.labels import block_under, context, heading_at, nutrition_cells
+from larder.operators.labels import block_under, context, heading_at, nutrient_names, nutrition_cells, table_edge
+from larder.operators.matching import best_suggestion
 from larder.sources.schema import NUTRIENTS
 
 # Aliases of absent ingredients, allergen groups, words that may stand in capitals, tolerances.
@@ -109,11 +110,15 @@ def _contradicted(target: Column) -> Column:
     return F.when(value.isNotNull(), value > 0).otherwise(_list_has(F.col("_list"), target) | F.coalesce(*aliases, F.lit(False)))
 
 
+def _core(claim: Column) -> Column:
+    """A claim without its brackets and final dots."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(claim, r"[(\[][^)\]]*[)\]]", " "), r"\s+", " "), r"[\s.]+$", ""))
+
+
 def claims_step(rows: DataFrame) -> DataFrame:
     """Claims of the sheet: printed, contradicted, unsupported or not printed; claims whose panel is absent become one skip."""
     parts = F.flatten(F.transform("usps", lambda u: split_outside_brackets(F.regexp_replace(u, r"^\s*\d+[).]\s*", ""), "/")))
-    core = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[(\[][^)\]]*[)\]]", " "), r"\s+", " "), r"[\s.]+$", ""))
-    rows = rows.withColumn("_claims", F.filter(F.transform(parts, core), lambda c: F.length(c) > 1)).withColumn("_list", normalize(F.col("ingredients")))
+    rows = rows.withColumn("_claims", F.filter(F.transform(parts, lambda c: _core(c)), lambda c: F.length(c) > 1)).withColumn("_list", normalize(F.col("ingredients")))
     rows = rows.withColumn("_label_list", normalize(F.coalesce("label_list", F.lit(""))))
 
     def of(claim: Column) -> Column:
@@ -152,6 +157,36 @@ def claims_step(rows: DataFrame) -> DataFrame:
     return rows.withColumn("step3", F.concat(none, kept, F.array(fried))).drop("_claims", "_list", "_label_list", "_checks", "_panel")
 
 
+def figure_checks(reference: DataFrame) -> DataFrame:
+    """(label_id, seq, c): amounts in a claim's brackets ("3.85g/70g") against the sheet's block of that size."""
+    names = F.broadcast(nutrient_names(reference.sparkSession))
+    parts = reference.select("label_id", "nutrition", F.posexplode(F.flatten(F.transform("usps", lambda u: split_outside_brackets(F.regexp_replace(u, r"^\s*\d+[).]\s*", ""), "/")))).alias("seq", "part"))
+    detail = F.array_join(F.regexp_extract_all("part", F.lit(r"[(\[]([^)\]]*)[)\]]"), 1), " ")
+    rows = parts.select("label_id", "nutrition", "seq", _core(F.col("part")).alias("core"), detail.alias("detail")).filter("detail <> ''")
+    named = rows.join(names, has_phrase(normalize(F.col("core")), F.col("name"))).groupBy("label_id", "seq", "core", "detail").agg(F.min(F.struct("ord", "key")).alias("n"), F.first("nutrition").alias("nutrition"))
+    figure = r"(?i)(\d+(?:\.\d+)?)\s*(?:g|mg)\s*/\s*(\d+(?:\.\d+)?)\s*g"
+    each = named.select("*", F.explode(F.arrays_zip(find_all(F.col("detail"), figure, 1).alias("amount"), find_all(F.col("detail"), figure, 2).alias("per"))).alias("f"))
+    block = F.get(F.filter("nutrition", lambda b: F.abs(b["grammage"] - F.col("f.per").cast("double")) < 0.5), 0)
+    value = F.coalesce(*[F.when(F.col("n.key") == k, block[k]) for k, *_ in NUTRIENTS])
+    floor = F.coalesce(*[F.when(F.col("n.key") == k, F.lit(f)) for k, _, _, _, f in NUTRIENTS])
+    off = F.abs(value - F.col("f.amount").cast("double")) > F.greatest(floor, F.abs(value) * 0.02)
+    shown = F.concat("f.amount", F.lit("/"), "f.per", F.lit("g (sheet nutrition: "), number_text(value), F.lit(")"))
+    done = each.withColumn("off", off).withColumn("shown", shown).filter("off IS NOT NULL").groupBy("label_id", "seq", "core", "detail").agg(F.bool_or("off").alias("bad"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("off"), F.col("shown")))), "; ").alias("found"))
+    return done.select("label_id", (F.col("seq") + 1000).alias("seq"), check(F.concat(F.lit("Claim figures: "), "core"), F.when(F.col("bad"), "warn").otherwise("pass"), F.trim("detail"), F.when(F.col("bad"), F.concat(F.lit("Different from the sheet's nutrition: "), F.col("found")))).alias("c"))
+
+
+def spelling_checks(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(label_id, seq, c): words of a label's ingredient list that the vocabulary (term, ord) lacks but nearly has; with OCR words that differ only in o and a are the same."""
+    listed = rows.filter("label_list IS NOT NULL")
+    each = listed.select("label_id", "ocr", F.explode(F.array_distinct(words(F.col("label_list")))).alias("word"))
+    typos = each.join(best_suggestion(each.select("word").distinct(), vocabulary), "word").filter(~F.col("ocr") | (ao_key(F.col("word")) != ao_key(F.col("suggestion"))))
+    per = typos.groupBy("label_id").agg(F.array_sort(F.collect_list(F.struct("word", "suggestion"))).alias("t"))
+    text = lambda f: F.array_join(F.transform("t", lambda x: x[f]), ", ")
+    status = F.when(F.col("t").isNull(), "pass").when(F.col("ocr"), "warn").otherwise("fail")
+    out = listed.select("label_id", "ocr").join(per, "label_id", "left")
+    return out.select("label_id", F.lit(1000).alias("seq"), check("Ingredient spelling", status, F.when(F.col("t").isNotNull(), text("suggestion")), F.when(F.col("t").isNotNull(), text("word"))).alias("c"))
+
+
 def _grams(c: Column) -> Column:
     return F.concat(number_text(c), F.lit("g"))
 
@@ -351,10 +386,8 @@ def likely_misread(got: Column, expected: Column) -> Column:
     return F.when(F.length(a) == F.length(b), differs == 1).otherwise((F.length(short) >= 2) & F.contains(long, short))
 
 
-def nutrition_checks(rows: DataFrame, ctx: DataFrame) -> DataFrame:
+def nutrition_checks(rows: DataFrame, cells: DataFrame) -> DataFrame:
     """(label_id, seq, check) of step 7: the label's cells against the product block that most nutrients agree with."""
-    spark = rows.sparkSession
-    cells = nutrition_cells(ctx)
     found = cells.groupBy("label_id", "key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "values"))), lambda x: x["values"])).alias("values"))
     kinds = cells.groupBy("label_id").agg(F.count_distinct("key").alias("kinds"), F.array_sort(F.collect_list(F.when(F.col("typo"), F.struct("row_no", F.trim(F.regexp_replace("row_label", r"\s*\([^)]*\)\s*", "")).alias("found"), "title")))).alias("typos"))
     base = rows.select("label_id", "ocr", "nutrition", "pack_size_g").join(kinds, "label_id", "left").withColumn("kinds", F.coalesce("kinds", F.lit(0)))
@@ -383,19 +416,26 @@ def nutrition_checks(rows: DataFrame, ctx: DataFrame) -> DataFrame:
     return each.unionByName(names).unionByName(no_table)
 
 
-def audit(items: DataFrame, labels: DataFrame, reference: DataFrame) -> DataFrame:
-    """All checks of all labels in long form; ``reference`` has the REFERENCE columns, one row a label."""
-    ctx = context(items, labels)
+def audit(items: DataFrame, labels: DataFrame, reference: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """All checks of all labels in long form; ``reference`` has the REFERENCE columns, one row a label; without a vocabulary spelling isn't checked."""
+    ctx = context(items, labels).persist()  # read by several steps
     empty = F.array().cast("array<struct<row_no:int,page:int,y:double,items:array<struct<x:double,ord:bigint,s:string,y:double,w:double,h:double>>,text:string>>")
     ctx = ctx.withColumn("rows", F.coalesce("rows", empty)).withColumn("_ing", heading_at(F.col("rows"), "^ingredients?(?![a-z0-9])")).withColumn("_all", heading_at(F.col("rows"), "^allergen"))
+    cells = nutrition_cells(ctx).persist()
+    beside = cells.groupBy("label_id").agg(F.collect_list(F.struct("x", "y")).alias("_cells"))
+    ctx = ctx.join(beside, "label_id", "left").withColumn("_cells", F.coalesce("_cells", F.array().cast("array<struct<x:double,y:double>>")))
     gap, align = F.when(F.col("ocr"), 60.0).otherwise(20.0), F.when(F.col("ocr"), 7.0).otherwise(4.0)
-    ctx = ctx.withColumn("label_list", block_under(F.col("rows"), F.col("_ing"), gap, align)).withColumn("label_allergens", block_under(F.col("rows"), F.col("_all"), gap, align)).drop("_ing", "_all")
+    ctx = ctx.withColumn("label_list", block_under(F.col("rows"), F.col("_ing"), gap, align, table_edge(F.col("_ing"), F.col("rows"), F.col("_cells")))).withColumn("label_allergens", block_under(F.col("rows"), F.col("_all"), gap, align, table_edge(F.col("_all"), F.col("rows"), F.col("_cells")))).drop("_ing", "_all", "_cells").persist()
     rows = reference.select(*REFERENCE.split(", ")).join(ctx, "label_id")
     for step in (name_step, claims_step, weight_step, ingredients_step, serving_step, price_step, address_step):
-        rows = step(rows)
+        rows = step(rows).persist()
     rows = rows.withColumn("step5", F.array(check("Description vs USPs", "skip")))
     numbers = (2, 3, 4, 5, 6, 8, 9, 10)
     text = rows.select("label_id", "ocr", F.explode(F.array(*[F.struct(F.lit(n).alias("step"), F.col(f"step{n}").alias("checks")) for n in numbers])).alias("s")).select("label_id", "ocr", "s.step", F.posexplode("s.checks").alias("seq", "c"))
-    table = nutrition_checks(rows, ctx).join(rows.select("label_id", "ocr"), "label_id").select("label_id", "ocr", F.lit(7).alias("step"), "seq", "c")
+    table = nutrition_checks(rows, cells).join(rows.select("label_id", "ocr"), "label_id").select("label_id", "ocr", F.lit(7).alias("step"), "seq", "c")
+    more = figure_checks(rows).withColumn("step", F.lit(3))
+    if vocabulary is not None:
+        more = more.unionByName(spelling_checks(rows, vocabulary).withColumn("step", F.lit(6)))
+    table = table.unionByName(more.join(rows.select("label_id", "ocr"), "label_id").select("label_id", "ocr", "step", "seq", "c"))
     checks = text.unionByName(table).select("label_id", "ocr", "step", "seq", "c.*")
     return ocr_post_pass(checks, F.col("ocr")).drop("ocr")

@@ -74,11 +74,20 @@ def heading_at(lines: Column, pattern: str) -> Column:
     return F.get(hits, 0)
 
 
-def block_under(lines: Column, at: Column, column_gap: float, align: float, most_rows: int = 30) -> Column:
+def table_edge(at: Column, lines: Column, cells: Column) -> Column:
+    """The x where a nutrition table beside a heading starts (cells: array of (x, y) of its row labels), less 2; null if there is none."""
+    head = F.get(F.get(lines, at["row"])["items"], at["item"])
+    y = F.get(lines, at["row"])["y"]
+    beside = F.filter(cells, lambda c: (c["x"] > head["x"] + 30) & (c["y"] <= y + 3) & (c["y"] >= y - 130))
+    return F.array_min(F.transform(beside, lambda c: c["x"])) - 2
+
+
+def block_under(lines: Column, at: Column, column_gap: Column | float, align: Column | float, edge_x: Column | None = None, most_rows: int = 30) -> Column:
     """The paragraph that starts at a heading: what follows a colon, the rest of its line up to a gap, and the aligned lines below.
 
     A fold over the lines below with the paragraph's drifting left edge, its last line, and whether it has ended.
     """
+    x_max = F.lit(float("inf")) if edge_x is None else F.coalesce(edge_x, F.lit(float("inf")))
     row0 = F.get(lines, at["row"])
     head = F.get(row0["items"], at["item"])
     lead = F.when(F.contains(head["s"], F.lit(":")), F.trim(F.regexp_extract(head["s"], r"(?s)^[^:]*:(.*)$", 1))).otherwise("")
@@ -88,7 +97,7 @@ def block_under(lines: Column, at: Column, column_gap: float, align: float, most
         start = F.struct(F.array().cast("array<struct<x:double,ord:bigint,s:string,y:double,w:double,h:double>>").alias("kept"), edge.alias("edge"), F.lit(True).alias("open"))
 
         def step(acc: Column, it: Column) -> Column:
-            ok = acc["open"] & (it["x"] >= left) & (it["x"] - acc["edge"] <= column_gap)
+            ok = acc["open"] & (it["x"] >= left) & (it["x"] < x_max) & (it["x"] - acc["edge"] <= column_gap)
             return F.struct(F.when(ok, F.concat(acc["kept"], F.array(it))).otherwise(acc["kept"]).alias("kept"), F.when(ok, it["x"] + it["w"]).otherwise(acc["edge"]).alias("edge"), ok.alias("open"))
 
         return F.aggregate(items, start, step, lambda acc: acc["kept"])
@@ -100,7 +109,7 @@ def block_under(lines: Column, at: Column, column_gap: float, align: float, most
 
     def below(acc: Column, line: Column) -> Column:
         far = (line["page"] != row0["page"]) | (acc["y"] - line["y"] > gap)
-        cand = F.filter(line["items"], lambda i: i["x"] >= acc["x"] - align - 1)
+        cand = F.filter(line["items"], lambda i: (i["x"] >= acc["x"] - align - 1) & (i["x"] < x_max))
         first = F.get(cand, 0)
         beside = first.isNull() | (F.abs(first["x"] - acc["x"]) > align)
         text = join_items(run(cand, first["x"], first["x"]))
@@ -133,7 +142,7 @@ def resolve_names(found: DataFrame) -> DataFrame:
 
 def nutrition_cells(ctx: DataFrame) -> DataFrame:
     """(label_id, row_no, key, title, typo, row_label, values): for each line the first number whose label names a nutrient, and the line's cells from there."""
-    lines = ctx.select("label_id", "ocr", F.explode("rows").alias("r")).select("label_id", "ocr", F.col("r.row_no").alias("row_no"), F.col("r.items").alias("items")).filter(F.size("items") > 1)
+    lines = ctx.select("label_id", "ocr", F.explode("rows").alias("r")).select("label_id", "ocr", F.col("r.row_no").alias("row_no"), F.col("r.y").alias("y"), F.col("r.items").alias("items")).filter(F.size("items") > 1)
     at = lines.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("items") - 1)))
     fixed = lambda t: F.when(F.col("ocr"), ocr_fix(t)).otherwise(t)
     tokens = lambda s: F.split(s, r"\s+")
@@ -152,5 +161,5 @@ def nutrition_cells(ctx: DataFrame) -> DataFrame:
         return F.when(F.col("ocr"), F.concat(own, other)).otherwise(own)
 
     values = F.flatten(F.transform(all_tokens, readings))
-    first = F.min_by(F.struct("key", "title", "typo", "row_label", values.alias("values"), F.get("items", F.col("start"))["x"].alias("x")), "i").alias("f")
+    first = F.min_by(F.struct("key", "title", "typo", "row_label", values.alias("values"), F.get("items", F.col("start"))["x"].alias("x"), "y"), "i").alias("f")
     return known.groupBy("label_id", "row_no").agg(first).select("label_id", "row_no", "f.*")

@@ -89,6 +89,19 @@ def test_empty_label(spark):
     assert status[2, "Product name"] == "fail" and status[6, "Ingredients list"] == "warn" and status[9, "MRP value"] == "warn"
 
 
+def test_figures_spelling_and_table_beside(spark):
+    block = {**dict.fromkeys(NUTRIENT_COLUMNS), "grammage": 100.0, "protein_g": 5.5}
+    ref = reference(spark, usps=["1. Source of protein (5.50g/100g)/Vegan", "High protein (9g/100g)"], nutrition=[block])
+    rows = items_of(["Ingredients: Ragi flour, sunflwer oil,", "salt."]) + [("L1", 90 + k, t, x, 700.0 - 30 * i, 60.0, 8.0, 1, False) for i in range(3) for k, (t, x) in enumerate([(["Energy", "Protein", "Sodium"][i], 300.0), ("5", 365.0)])]
+    items = spark.createDataFrame(rows, "label_id string, ord long, s string, x double, y double, w double, h double, page int, rotated boolean")
+    heads = spark.createDataFrame([("L1", "pdf")], "label_id string, source string")
+    vocabulary = spark.createDataFrame([("sunflower", 0), ("flour", 1)], "term string, ord int")
+    got = {(r["step"], r["label"]): r for r in audit.audit(items, heads, ref, vocabulary).collect()}
+    assert got[3, "Claim figures: Source of protein"]["status"] == "pass" and got[3, "Claim figures: High protein"]["status"] == "warn"
+    assert (got[6, "Ingredient spelling"]["status"], got[6, "Ingredient spelling"]["found"]) == ("fail", "sunflwer")
+    assert "energy" not in (got[6, "No extra ingredients on the label"]["found"] if (6, "No extra ingredients on the label") in got else "")
+
+
 def test_status_lattice(spark):
     rows = spark.createDataFrame([("a", 2, "skip"), ("a", 2, "pass"), ("a", 3, "warn"), ("b", 2, "warn"), ("b", 2, "fail")], "label_id string, step int, status string")
     assert {tuple(r) for r in checks.roll_up(rows, "label_id", "step").collect()} == {("a", 2, "pass"), ("a", 3, "warn"), ("b", 2, "fail")}
