@@ -6,6 +6,7 @@ the nutrition step joins the parsed cells with the product's blocks. Many labels
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -20,6 +21,7 @@ from larder.operators.checks import ocr_post_pass
 from larder.operators.labels import block_under, context, heading_at, nutrient_names, nutrition_cells, table_edge
 from larder.operators.matching import best_suggestion
 from larder.sources.schema import NUTRIENTS
+from larder.sources.tables import cut_lineage
 
 # Aliases of absent ingredients, allergen groups, words that may stand in capitals, tolerances.
 ABSENCE_ALIASES = {"maida": ("maida", "refined wheat flour", "refined flour", "all purpose flour"), "refined sugar": ("refined sugar", "white sugar", "sugar syrup", "invert sugar")}
@@ -416,22 +418,33 @@ def nutrition_checks(rows: DataFrame, cells: DataFrame) -> DataFrame:
     return each.unionByName(names).unionByName(no_table)
 
 
+def description_step(rows: DataFrame) -> DataFrame:
+    """A description is compared by people."""
+    return rows.withColumn("step5", F.array(check("Description vs USPs", "skip")))
+
+
+#: Steps that read a label's row alone; step 7 reads the nutrition cells.
+STEPS = ((2, name_step), (3, claims_step), (4, weight_step), (5, description_step), (6, ingredients_step), (8, serving_step), (9, price_step), (10, address_step))
+
+
 def audit(items: DataFrame, labels: DataFrame, reference: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """All checks of all labels in long form; ``reference`` has the REFERENCE columns, one row a label; without a vocabulary spelling isn't checked."""
-    ctx = context(items, labels).persist()  # read by several steps
+    ctx = cut_lineage(context(items, labels))  # read by several steps
     empty = F.array().cast("array<struct<row_no:int,page:int,y:double,items:array<struct<x:double,ord:bigint,s:string,y:double,w:double,h:double>>,text:string>>")
     ctx = ctx.withColumn("rows", F.coalesce("rows", empty)).withColumn("_ing", heading_at(F.col("rows"), "^ingredients?(?![a-z0-9])")).withColumn("_all", heading_at(F.col("rows"), "^allergen"))
-    cells = nutrition_cells(ctx).persist()
+    cells = cut_lineage(nutrition_cells(ctx))
     beside = cells.groupBy("label_id").agg(F.collect_list(F.struct("x", "y")).alias("_cells"))
     ctx = ctx.join(beside, "label_id", "left").withColumn("_cells", F.coalesce("_cells", F.array().cast("array<struct<x:double,y:double>>")))
+    ctx = ctx.withColumns({f"{at}_edge": table_edge(F.col(at), F.col("rows"), F.col("_cells")) for at in ("_ing", "_all")})
     gap, align = F.when(F.col("ocr"), 60.0).otherwise(20.0), F.when(F.col("ocr"), 7.0).otherwise(4.0)
-    ctx = ctx.withColumn("label_list", block_under(F.col("rows"), F.col("_ing"), gap, align, table_edge(F.col("_ing"), F.col("rows"), F.col("_cells")))).withColumn("label_allergens", block_under(F.col("rows"), F.col("_all"), gap, align, table_edge(F.col("_all"), F.col("rows"), F.col("_cells")))).drop("_ing", "_all", "_cells").persist()
-    rows = reference.select(*REFERENCE.split(", ")).join(ctx, "label_id")
-    for step in (name_step, claims_step, weight_step, ingredients_step, serving_step, price_step, address_step):
-        rows = step(rows).persist()
-    rows = rows.withColumn("step5", F.array(check("Description vs USPs", "skip")))
-    numbers = (2, 3, 4, 5, 6, 8, 9, 10)
-    text = rows.select("label_id", "ocr", F.explode(F.array(*[F.struct(F.lit(n).alias("step"), F.col(f"step{n}").alias("checks")) for n in numbers])).alias("s")).select("label_id", "ocr", "s.step", F.posexplode("s.checks").alias("seq", "c"))
+    ctx = ctx.withColumns({name: block_under(F.col("rows"), F.col(at), gap, align, F.col(f"{at}_edge")) for name, at in (("label_list", "_ing"), ("label_allergens", "_all"))})
+    ctx = ctx.drop("rows", "_ing", "_all", "_cells", "_ing_edge", "_all_edge")
+    rows = cut_lineage(reference.select(*REFERENCE.split(", ")).join(ctx, "label_id"))
+
+    def of(number: int, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        return step(rows).select("label_id", "ocr", F.lit(number).alias("step"), F.posexplode(f"step{number}").alias("seq", "c"))
+
+    text = reduce(DataFrame.unionByName, (of(n, step) for n, step in STEPS))
     table = nutrition_checks(rows, cells).join(rows.select("label_id", "ocr"), "label_id").select("label_id", "ocr", F.lit(7).alias("step"), "seq", "c")
     more = figure_checks(rows).withColumn("step", F.lit(3))
     if vocabulary is not None:
