@@ -1,15 +1,20 @@
-"""Quality by an interpolated modified Kneser-Ney n-gram model trained on trusted text.
+"""Quality by an interpolated modified Kneser-Ney model over words, trained on trusted text.
 
-Texts are symbol sequences: the UTF-8 bytes of the text folded to SYMBOLS classes (letters, capitals, digits, kinds
-of space and punctuation, bytes beyond ASCII), so that the ORDER-gram space is bounded. Counts of all trusted
-text are made in tasks and summed by n-gram code; continuation counts, context totals, discounts and interpolated
-probabilities are grouped and joined by n-gram and context code, sharded over the cluster. The finished table
-(SYMBOLS ** ORDER numbers at most, 21 MB) goes to the scoring tasks, which read each whole text once. A document
-is kept when its perplexity lies between two quantiles of its language's trusted documents.
+Words are what stands between spaces, whole and unfolded, told apart by 64-bit hashes. Counts of all trusted
+word trigrams, continuation counts, context totals and discounts are tables in Spark that grow with the corpus;
+none goes to the driver. The distinct trigrams of every document are joined to them by n-gram and context, sharded
+over the cluster, and the logarithms are summed by document. Below the unigrams, a word unknown to the counts has
+the probability of its spelling: an interpolated modified Kneser-Ney model of byte classes (SYMBOLS ** ORDER
+numbers at most, 21 MB), which is the base of the word model, as word counts have none for new words.
+
+No text is scored by counts of its own: trusted texts fall into two folds by a hash of the text, and each text is
+scored by the word counts of the other fold. Perplexity is by byte. A document is kept when its perplexity lies
+between two quantiles of its language's trusted documents.
 
 Defined cases: null and empty texts have no perplexity and aren't kept; a null language is the empty string; a
 language with fewer than MIN_TRUSTED trusted documents takes the quantiles of all; without trusted text the
-model is uniform and all texts are kept; repeated rows are scored alike; extra columns are ignored.
+model is uniform and all texts are kept; repeated rows are scored alike; extra columns are ignored. Results are
+exact up to collisions of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -19,12 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.common import cut_lineage, text_slices, utf8
 
 ORDER, SYMBOLS = 4, 48
+#: Words in the n-grams that are counted and joined.
+WORD_ORDER = 3
 LOW, HIGH = 0.001, 0.995
 #: A document is only rejected beyond the quantiles by this factor; texts of few symbols vary more.
 SLACK = 1.02
@@ -118,7 +126,7 @@ def levels(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
 
 
 def train(trusted: DataFrame) -> np.ndarray:
-    """Log probabilities of all SYMBOLS ** ORDER n-grams, of a size that doesn't depend on the corpus."""
+    """The spelling model: log probabilities of all SYMBOLS ** ORDER n-grams, of a size that doesn't depend on the corpus."""
     table = np.full(1, 1.0 / SYMBOLS)
     for order, (grams, contexts) in enumerate(levels(cut_lineage(gram_counts(trusted))), 1):
         gamma = np.ones(SYMBOLS ** (order - 1))
@@ -132,24 +140,174 @@ def train(trusted: DataFrame) -> np.ndarray:
     return np.log(table).astype(np.float32)
 
 
-def perplexities(docs: DataFrame, log_p: np.ndarray) -> DataFrame:
-    """doc_id, lang, n_symbols and perplexity of every document."""
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: A random number for each byte, and the base of the words' hashes with its inverse modulo 2 ** 64.
+_BYTES = np.random.default_rng(10).integers(0, 1 << 64, 256, np.uint64)
+_BASE = 0xD6E8FEB86659FD93
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, kept for the next slice."""
+    if not _POWERS or len(_POWERS[-1][0]) < n:
+        both = []
+        for x in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(n, x, np.uint64)
+            steps[0] = 1
+            both.append(np.cumprod(steps, dtype=np.uint64))
+        _POWERS[:] = [(both[0], both[1])]
+    return _POWERS[-1]
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _ODD
+    return h ^ (h >> np.uint64(29))
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, start and hash of each word of texts that lie end to end."""
+    n = len(data)
+    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    before = np.concatenate(([False], inside[:-1])) & ~edge[:n]
+    starts = np.flatnonzero(inside & ~before)
+    after = np.concatenate((inside[1:], [False])) & ~edge[1:]
+    ends = np.flatnonzero(inside & ~after) + 1
+    up, down = _powers(n + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * up[:n], dtype=np.uint64)))
+    hashes = _mix((sums[ends] - sums[starts]) * down[starts])
+    return np.searchsorted(offsets, starts, side="right") - 1, starts, hashes
+
+
+def word_grams(data: np.ndarray, offsets: np.ndarray, folds: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Text number, start and the last WORD_ORDER words at each word; a hash's lowest bit is the fold, 0 and 1 stand before a text."""
+    doc, starts, w = words_of(data, offsets)
+    fold = folds[doc].astype(np.uint64)
+    w = (w & ~np.uint64(1)) | fold
+    out = [w]
+    for k in range(1, WORD_ORDER):
+        back = np.concatenate((np.zeros(min(k, len(w)), np.uint64), w[:-k]))
+        same = np.concatenate((np.full(min(k, len(w)), -1), doc[:-k])) == doc
+        out.insert(0, np.where(same, back, fold))
+    return doc, starts, out
+
+
+def _text_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    whole = data.tobytes()
+    return np.array([xxhash.xxh64_intdigest(whole[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.uint64)
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(w1, w2, w3, c): how often each trigram of words occurs in the texts, by fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j in text_slices(b.column(0)):
+                data, offsets = utf8(b.column(0).slice(i, j - i))
+                if not len(data):
+                    continue
+                _, _, grams = word_grams(data, offsets, _text_keys(data, offsets) >> np.uint64(63))
+                _, first, counts = np.unique(_mix(_mix(_mix(grams[0]) + grams[1]) + grams[2]), return_index=True, return_counts=True)
+                yield from _in_parts([*(g[first].view(np.int64) for g in grams), counts], ["w1", "w2", "w3", "c"])
+
+    return texts.select("text").mapInArrow(run, "w1 bigint, w2 bigint, w3 bigint, c bigint").groupBy("w1", "w2", "w3").agg(F.sum("c").alias("c"))
+
+
+def _in_parts(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    rows = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+    for at in range(0, len(rows), 50_000):
+        yield rows.slice(at, 50_000)
+
+
+def document_sums(docs: DataFrame, log_p: np.ndarray) -> DataFrame:
+    """doc_id, lang, n_symbols, key (of the text) and loose, the log probability of the spaces before its first word."""
     shared = docs.sparkSession.sparkContext.broadcast(log_p)  # SYMBOLS ** ORDER numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for b in batches:
-            sums, sizes = [], []
+            sizes, keys, loose = [], [], []
             for i, j in text_slices(b.column(2)):
                 data, offsets = utf8(b.column(2).slice(i, j - i))
-                total = np.concatenate(([0.0], np.cumsum(table[symbol_codes(data, offsets)], dtype=np.float64)))
-                sums.append(total[offsets[1:]] - total[offsets[:-1]])
+                doc, starts, _ = words_of(data, offsets)
+                first = offsets[1:].copy()
+                np.minimum.at(first, doc, starts)
+                led = np.repeat(np.arange(len(first)), first - offsets[:-1])
+                at = np.arange(len(led)) - np.repeat(np.cumsum(first - offsets[:-1]) - (first - offsets[:-1]), first - offsets[:-1]) + offsets[led] if len(led) else led
+                own = np.zeros(len(first))
+                if len(led):
+                    np.add.at(own, led, shared.value[symbol_codes(data, offsets)[at]])
                 sizes.append(np.diff(offsets))
-            n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-            mean = np.concatenate(sums) / np.maximum(n, 1) if sizes else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(np.round(np.exp(-mean), 6), mask=n == 0)], ["doc_id", "lang", "n_symbols", "perplexity"])
+                keys.append(_text_keys(data, offsets))
+                loose.append(own)
+            if sizes:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(loose))], ["doc_id", "lang", "n_symbols", "key", "loose"])
 
-    return docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, n_symbols bigint, perplexity double")
+    lean = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
+    return lean.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, n_symbols bigint, key bigint, loose double")
+
+
+def document_grams(docs: DataFrame, log_p: np.ndarray) -> DataFrame:
+    """(key, w1, w2, w3, n, spelt): the distinct trigrams of each text, as the other fold has them, with the log probability of the last word's spelling and the spaces behind it."""
+    shared = docs.sparkSession.sparkContext.broadcast(log_p)  # SYMBOLS ** ORDER numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j in text_slices(b.column(0)):
+                data, offsets = utf8(b.column(0).slice(i, j - i))
+                if not len(data):
+                    continue
+                keys = _text_keys(data, offsets)
+                doc, starts, grams = word_grams(data, offsets, np.uint64(1) - (keys >> np.uint64(63)))
+                if not len(doc):
+                    continue
+                total = np.concatenate(([0.0], np.cumsum(shared.value[symbol_codes(data, offsets)], dtype=np.float64)))
+                until = np.minimum(np.append(starts[1:], len(data)), offsets[doc + 1])
+                spelt = (total[until] - total[starts]).astype(np.float32)
+                same = _mix(_mix(_mix(_mix(grams[0]) + grams[1]) + grams[2]) + _mix(keys[doc]) + spelt.view(np.uint32))
+                _, first, counts = np.unique(same, return_index=True, return_counts=True)
+                yield from _in_parts([keys[doc[first]].view(np.int64), *(g[first].view(np.int64) for g in grams), counts.astype(np.int32), spelt[first]], ["key", "w1", "w2", "w3", "n", "spelt"])
+
+    return docs.select("text").mapInArrow(run, "key bigint, w1 bigint, w2 bigint, w3 bigint, n int, spelt float")
+
+
+def shares(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """(w1, w2, w3, own, base): a trigram's probability is own + base * the probability of its last word's spelling."""
+    levels_ = {WORD_ORDER: counts}
+    levels_[2] = cut_lineage(counts.groupBy("w2", "w3").agg(F.count("*").alias("c")))
+    levels_[1] = cut_lineage(levels_[2].groupBy("w3").agg(F.count("*").alias("c")))
+    d = {n: discounts(levels_[n]) for n in levels_}
+
+    def contexts(n: int, *keys: Column | str) -> DataFrame:
+        return levels_[n].groupBy(*keys).agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"), d[n])).alias("held"))
+
+    def met(n: int) -> Column:
+        return F.when(F.col("c") > 0, (F.col("c") - _discount(F.col("c"), d[n])) / F.col("total")).otherwise(0.0)
+
+    gamma = F.coalesce(F.col("held") / F.col("total"), F.lit(1.0))
+    folds = contexts(1, F.col("w3").bitwiseAND(F.lit(1)).alias("fold"))  # two rows
+    wanted = grams.select("w1", "w2", "w3").distinct()
+    pairs = wanted.select("w2", "w3").distinct()
+    words = pairs.select("w3").distinct().join(levels_[1].hint("merge"), "w3", "left").withColumn("fold", F.col("w3").bitwiseAND(F.lit(1))).join(F.broadcast(folds), "fold", "left")
+    words = words.select("w3", met(1).alias("own1"), gamma.alias("base1"))
+    pairs = pairs.join(levels_[2].hint("merge"), ["w2", "w3"], "left").join(contexts(2, "w2").hint("merge"), "w2", "left")
+    pairs = pairs.select("w2", "w3", met(2).alias("met2"), gamma.alias("gamma2")).join(words.hint("merge"), "w3")
+    pairs = pairs.select("w2", "w3", (F.col("met2") + F.col("gamma2") * F.col("own1")).alias("own2"), (F.col("gamma2") * F.col("base1")).alias("base2"))
+    out = wanted.join(counts.hint("merge"), ["w1", "w2", "w3"], "left").join(contexts(3, "w1", "w2").hint("merge"), ["w1", "w2"], "left")
+    out = out.select("w1", "w2", "w3", met(3).alias("met3"), gamma.alias("gamma3")).join(pairs.hint("merge"), ["w2", "w3"])
+    return out.select("w1", "w2", "w3", (F.col("met3") + F.col("gamma3") * F.col("own2")).alias("own"), (F.col("gamma3") * F.col("base2")).alias("base"))
+
+
+def perplexities(docs: DataFrame, log_p: np.ndarray, counts: DataFrame) -> DataFrame:
+    """doc_id, lang, n_symbols and perplexity by byte of every document."""
+    grams = document_grams(docs, log_p)
+    log_own = F.when(F.col("own") > 0, F.log(F.col("own") + F.col("base") * F.exp(F.col("spelt").cast("double")))).otherwise(F.log("base") + F.col("spelt"))
+    priced = grams.join(shares(grams, counts).hint("merge"), ["w1", "w2", "w3"]).groupBy("key").agg(F.sum(F.col("n") * log_own).alias("logs"))
+    rows = cut_lineage(document_sums(docs, log_p))
+    copies = rows.groupBy("key").agg(F.sum("n_symbols").alias("bytes"), F.sum("loose").alias("loose"))  # equal texts are scored together
+    mean = (F.coalesce("logs", F.lit(0.0)) + F.col("loose")) / F.col("bytes")
+    by_text = copies.filter("bytes > 0").join(priced.hint("merge"), "key", "left").select("key", F.round(F.exp(-mean), 6).alias("perplexity"))
+    return rows.join(by_text.hint("merge"), "key", "left").select("doc_id", "lang", "n_symbols", "perplexity")
 
 
 def _quantiles() -> tuple[Column, Column]:
@@ -159,7 +317,8 @@ def _quantiles() -> tuple[Column, Column]:
 def judged(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """Every document with its perplexity, its language's quantiles, and whether it is kept."""
     ids = trusted_ids.select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    scored = cut_lineage(perplexities(docs, train(docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi"))))
+    trusted = cut_lineage(docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi").select("text"))
+    scored = cut_lineage(perplexities(docs, train(trusted), cut_lineage(word_counts(trusted))))
     model = scored.join(ids, "doc_id", "left_semi").filter("perplexity IS NOT NULL")
     by_lang = cut_lineage(model.groupBy("lang").agg(*_quantiles(), F.count("*").alias("n")).filter(F.col("n") >= MIN_TRUSTED).drop("n"))
     overall = model.agg(*_quantiles()).first()

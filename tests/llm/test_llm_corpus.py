@@ -265,6 +265,74 @@ def test_junk_is_rejected_and_clean_text_kept(spark):
     assert [r["doc_id"] for r in quality_lm.trusted_ids(labels).collect()] == [2]
 
 
+def plain_word_perplexities(texts, trusted, log_p):
+    """By the book over whole words: each text by the counts of the trusted texts of the other fold."""
+    fold = lambda t: quality_lm.xxhash.xxh64_intdigest(t.encode()) >> 63
+
+    def grams(t, f):
+        w = [("<", f), ("<", f), *((x, f) for x in re.findall(r"[^ \t-\r]+", t))]
+        return [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+
+    levels = {3: Counter(g for t in trusted for g in grams(t, fold(t)))}
+    for n in (2, 1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+
+    def discount(n):
+        cc = Counter(levels[n].values())
+        if not (cc[1] and cc[2] and cc[3]):
+            return 0.5, 0.75, 1.0
+        y = cc[1] / (cc[1] + 2 * cc[2])
+        raw = (1 - 2 * y * cc[2] / cc[1], 2 - 3 * y * cc[3] / cc[2], 3 - 4 * y * cc[4] / cc[3])
+        return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1))
+
+    ds = {n: discount(n) for n in levels}
+
+    def p(g, base):
+        if not g:
+            return base
+        n, lower = len(g), p(g[1:], base)
+        own = [c for h, c in levels[n].items() if h[:-1] == g[:-1] and h[-1][1] == g[-1][1]]
+        d = lambda c: ds[n][min(c, 3) - 1]
+        c = levels[n].get(g, 0)
+        return ((c - d(c) if c else 0) + sum(map(d, own)) * lower) / sum(own) if own else lower
+
+    out = []
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        logs = log_p[quality_lm.symbol_codes(data, np.array([0, len(data)]))].astype(float)
+        at = [len(t[: m.start()].encode()) for m in re.finditer(r"[^ \t-\r]+", t)]
+        ends = [*at[1:], len(data)][: len(at)]
+        total = logs[: at[0] if at else len(data)].sum()
+        total += sum(np.log(p(g, np.exp(logs[a:b].sum()))) for g, a, b in zip(grams(t, 1 - fold(t)), at, ends, strict=True))
+        out.append(np.exp(-total / len(data)))
+    return out
+
+
+def test_word_model_against_plain_version(spark):
+    rng = random.Random(12)
+    say_few = lambda k: " ".join(rng.choice(["eins", "zwei", "Über", "слово", "ни", "ab"]) for _ in range(k))
+    trusted = [say_few(rng.randint(1, 12)) for _ in range(20)]
+    texts = [*trusted, trusted[0], "  lead ab", "слово  ни\n", " ", "ab", "x" * 60, "x" * 9000]
+    frame = spark.createDataFrame([(t,) for t in trusted], "text string")
+    log_p = quality_lm.train(frame)
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"]: r["perplexity"] for r in quality_lm.perplexities(docs, log_p, quality_lm.word_counts(frame)).collect()}
+    assert np.allclose([got[i] for i in range(len(texts) - 1)], plain_word_perplexities(texts[:-1], trusted, log_p), rtol=1e-4)
+    assert 1 < got[len(texts) - 1] < 1000  # the probability itself is too small for a float
+
+
+def test_word_order_counts(spark):
+    """The same letters and words in another order are less likely; words of one byte class aren't all one."""
+    rng = random.Random(13)
+    names = ["мир", "дом", "кот", "лес", "сад", "сон"]  # letters that fold to few classes
+    text = lambda: " ".join(names[(k + s) % 6] for s in [rng.randrange(6)] for k in range(30)) + f" {rng.random()}"
+    rows = [(i, text(), "ru") for i in range(60)]
+    rows.append((100, " ".join(names[(-k) % 6] for k in range(30)) + " 0.5", "ru"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["perplexity"] for r in quality_lm.judged(docs, spark.range(50).withColumnRenamed("id", "doc_id")).collect()}
+    assert got[100] > 1.3 * max(got[i] for i in range(60))
+
+
 # pipeline
 
 
