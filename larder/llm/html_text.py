@@ -1,13 +1,15 @@
 """Main text of web pages, with site templates removed.
 
-Every page is parsed once for its elements. A subtree outside the article (tag, class, id, text and children)
-gets a hash; Spark counts on how many pages of a host each hash occurs, and a subtree that recurs on many
-pages of its host is a site template and is deleted from them. What is no article by its markup (navigation, site
+A subtree (tag, class, id, text and children) gets a hash; Spark counts on how many pages of a host each hash
+occurs, and a subtree that recurs on many pages of its host is a site template and is deleted from them, on pages
+with an article (or main) element as on those without. What is no article by its markup (navigation, site
 header, footer, sidebar, notice, advert, form, script, style, reader comments) is never text. Inside the article
-element only markup decides: a paragraph that many pages share stays.
+the article's own prose is guarded: only containers (BOXES) are counted, so a paragraph that many pages share stays;
+a container with more than half of the article's text stays; and so does all of an article that would lose more
+than half of its text. Pages with equal articles count once, so a copied page is no template of its copies.
 
 Counting combines before the shuffle, so a host with a third of all pages is no hot key; the join back carries
-page ids and hashes, and text only for pages that have no article of their own.
+page ids and hashes, and the pages' text blocks.
 
 Defined cases: null or empty html and pages without text give ''; unclosed and misnested tags are repaired as
 browsers do; repeated pages each get their row; an empty table gives an empty result; extra columns are ignored.
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 
 #: A subtree is a template if it is on at least MIN_PAGES pages and on MIN_SHARE of its host's pages.
 MIN_PAGES, MIN_SHARE = 4, 0.05
+#: Pages that are enough on a host of any size.
+MANY_PAGES = 100
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|\Z)""", re.I)
@@ -41,6 +45,7 @@ CLOSES = {
     "li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)),
 }
 ENDS_P = BLOCK - frozenset("body html td th tr tbody thead tfoot li dd dt summary legend figcaption".split())
+BOXES = frozenset("center details dir div dl fieldset figure ol section table ul".split())
 NOT_TEXT = frozenset("nav footer aside form button select menu head dialog object svg canvas audio video map search".split())
 NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 NOT_TEXT_WORDS = frozenset(
@@ -131,6 +136,12 @@ class _Page:
         self.settled = main is not None
         self.hashes: dict[int, int] = {}
         self._hash(root, main)
+        outer, self.hashes = self.hashes, {}
+        if main:
+            self._boxes(main)
+        self.inner, self.hashes = self.hashes, outer
+        self.size = self._length(main) if self.inner else 0
+        self.counted = set(outer.values())
         self._walk(main or root, self.settled, [])
         self._flush([])
 
@@ -164,6 +175,15 @@ class _Page:
             self.hashes[id(e)] = d - (1 << 63)
         return d
 
+    def _boxes(self, e: Element) -> None:
+        """Hashes of the containers inside the main element."""
+        for c in e.children:
+            if isinstance(c, Element) and c.tag not in RAW:
+                if c.tag in BOXES:
+                    self._hash(c, None)
+                else:
+                    self._boxes(c)
+
     def _flush(self, within: list[int]) -> None:
         text = _SPACE.sub(" ", entities.unescape("".join(self.parts))).strip()
         self.parts = []
@@ -181,7 +201,12 @@ class _Page:
                     self._flush(within)
             elif c.tag in BLOCK:
                 self._flush(within)
-                own = within if in_article else [*within, self.hashes.get(id(c), 0)]
+                own = within
+                if not in_article:
+                    own = [*within, self.hashes.get(id(c), 0)]
+                elif c.tag in BOXES and id(c) in self.inner and 2 * self._length(c) <= self.size:
+                    own = [*within, self.inner[id(c)]]
+                    self.counted.add(own[-1])
                 self._walk(c, in_article, own)
                 self._flush(own)
             else:
@@ -192,21 +217,19 @@ def host_of(url: str | None) -> str:
     return re.sub(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/@]*@)?", "", (url or "").lower()).partition("/")[0].partition("?")[0].partition("#")[0].partition(":")[0]
 
 
-PARSED = "page_id {id}, url string, host string, settled boolean, text string, blocks array<string>, within array<array<bigint>>, outside array<bigint>"
+PARSED = "page_id {id}, url string, host string, settled boolean, article bigint, blocks array<string>, within array<array<bigint>>, counted array<bigint>"
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    """One row a page: its text if its markup settles it, else its blocks and their subtrees; hashes of all outer subtrees."""
+    """One row a page: its text blocks and the counted subtrees that hold them; hashes of all counted subtrees."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for page_id, url, html in zip(b["page_id"], b["url"], b["html"], strict=True):
                 p = _Page(html or "")
-                text = "\n".join(t for t, _ in p.blocks) if p.settled else None
-                blocks, within = ([], []) if p.settled else ([t for t, _ in p.blocks], [w for _, w in p.blocks])
-                rows.append((page_id, url, host_of(url), p.settled, text, blocks, within, sorted(set(p.hashes.values()))))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "host", "settled", "text", "blocks", "within", "outside"])
+                rows.append((page_id, url, host_of(url), p.settled, xxhash.xxh64_intdigest("\n".join(t for t, _ in p.blocks).encode("utf-8", "surrogatepass")) - (1 << 63) if p.settled else None, [t for t, _ in p.blocks], [w for _, w in p.blocks], sorted(p.counted)))
+            yield pd.DataFrame(rows, columns=["page_id", "url", "host", "settled", "article", "blocks", "within", "counted"])
 
     lean = pages.select("page_id", "url", "html")
     return lean.mapInPandas(run, PARSED.format(id=dict(lean.dtypes)["page_id"]))
@@ -214,19 +237,21 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
 
 def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, hash) of the subtrees that recur across many pages of their host."""
-    counts = parsed.select("host", F.explode("outside").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
+    counts = parsed.select("host", "article", F.explode("counted").alias("hash")).groupBy("host", "hash", "article").agg(F.when(F.col("article").isNull(), F.count("*")).otherwise(1).alias("n")).groupBy("host", "hash").agg(F.sum("n").alias("n"))
     hosts = parsed.groupBy("host").agg(F.count("*").alias("pages"))
-    return counts.filter(F.col("n") >= min_pages).join(hosts, "host").filter(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
+    return counts.filter(F.col("n") >= min_pages).join(hosts, "host").filter((F.col("n") >= MANY_PAGES) | (F.col("n") >= F.col("pages") * min_share)).select("host", "hash")
 
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, url, text, n_chars and the number of deleted template blocks for every page."""
     parsed = parsed_pages(pages)
-    held = parsed.filter(~F.col("settled")).select("page_id", "host", F.explode("outside").alias("hash"))
+    held = parsed.select("page_id", "host", F.explode("counted").alias("hash"))
     drop = held.join(templates(parsed, min_pages, min_share), ["host", "hash"], "left_semi").groupBy("page_id").agg(F.collect_set("hash").alias("drop"))
-    rows = parsed.drop("host", "outside").join(drop, "page_id", "left")
+    rows = parsed.drop("host", "counted").join(drop, "page_id", "left")
     gone = F.coalesce("drop", F.array().cast("array<bigint>"))
     kept = F.filter("blocks", lambda x, i: ~F.arrays_overlap(F.get("within", i), gone))
-    text = F.when(F.col("settled"), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = rows.select("page_id", "url", text.alias("text"), F.when(F.col("settled"), 0).otherwise(F.size("blocks") - F.size(kept)).cast("long").alias("n_template_blocks"))
+    size = lambda c: F.length(F.array_join(c, ""))
+    rows = rows.select("page_id", "url", "settled", "blocks", kept.alias("kept"))
+    kept = F.when(F.col("settled") & (2 * size("kept") < size("blocks")), F.col("blocks")).otherwise(F.col("kept"))
+    out = rows.select("page_id", "url", F.array_join(kept, "\n").alias("text"), (F.size("blocks") - F.size(kept)).cast("long").alias("n_template_blocks"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template_blocks")

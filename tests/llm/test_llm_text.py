@@ -49,6 +49,21 @@ def test_templates_go_by_host(spark):
     assert got[203] == "Shared line\nOwn 3"  # in an article nothing that recurs is dropped
 
 
+def test_templates_inside_articles_go(spark):
+    box = "<div class='x7'><p>Read our other stories</p></div>"
+    page = lambda i: f"<article><h1>Title {i}</h1><p>Shared line</p>{box}<p>Own text of story number {i}</p></article>"
+    rows = [(i, "https://one.example/", page(i)) for i in range(6)]
+    rows += [(50, "https://one.example/", page(50).replace("article", "main"))]
+    rows += [(100 + i, "https://copies.example/", f"<article><div><p>{'First part. ' * 9}</p></div><div><p>{'Second part. ' * 9}</p></div></article>") for i in range(6)]
+    rows += [(200, "https://two.example/", page(200))]
+    rows += [(1000 + i, "https://large.example/", page(i) if i < 120 else f"<article><p>Story {i}</p></article>") for i in range(3000)]
+    got = {r["page_id"]: (r["text"], r["n_template_blocks"]) for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == ("Title 3\nShared line\nOwn text of story number 3", 1) and got[50] == ("Title 50\nShared line\nOwn text of story number 50", 1)
+    assert "First part." in got[103][0] and "Second part." in got[103][0]  # copied pages keep their text
+    assert "other stories" in got[200][0]
+    assert got[1003] == got[3]  # 120 of 3,000 pages are less than MIN_SHARE
+
+
 @pytest.mark.parametrize("page", ["<", "<p", "<p class='x", "a<b>c</i>d", "<script>x", "<!-- x", "&amp", "<p></p></p>", "<li>a<li>b", "</div></p>x", "<a b=\"c>d", "<![CDATA[x]]>y"])
 def test_broken_pages_do_not_crash(page):
     html_text._Page(page)
