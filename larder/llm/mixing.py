@@ -6,6 +6,10 @@ scaled so that the expected tokens are ``budget`` of all, with probabilities ove
 anew. A document is sampled when a uniform number made from its id lies below its probability, so a rerun and
 a lost executor give the same sample.
 
+That budget is met before the targets: cells that would pass 1 are cut off, and the marginals then miss them.
+With ``budget=None`` the rate is the largest at which no cell is cut, and the marginals are the raked ones
+(``achieved`` returns both).
+
 Targets: shares by dimension (value -> share) or, by default, tempered shares: share ** TEMPER, normalised. The
 cell table is made by one aggregation that combines before the shuffle. Up to ONE_TASK_CELLS cells (counted
 first) are raked in one task and broadcast to the documents; more stay distributed, with the lineage cut after each round.
@@ -88,23 +92,44 @@ def calibrate(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     return cells.withColumn("probability", F.round(p, 6)).drop("ratio", "rate")
 
 
+def uncut(cells: DataFrame) -> DataFrame:
+    """raked cells with probability: rate * weight / tokens, the rate the largest at which none passes 1, so that the marginals hold."""
+    ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
+    most = F.max(ratio).over(Window.partitionBy())
+    return cells.withColumn("probability", F.when(ratio.isNull() | most.isNull() | (most <= 0), F.lit(1.0)).otherwise(ratio / most))
+
+
 def uniform(id_col: str = "doc_id") -> Column:
     """A number in [0, 1) made from the id."""
     return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def mix(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
-    """docs with topic, n_tokens, probability and sampled."""
+def mix(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, budget: float | None = BUDGET) -> DataFrame:
+    """docs with topic, n_tokens, probability and sampled; without a budget as many tokens as the targets allow."""
     rows = with_cells(docs)
     keys = [f"_{d}" for d in DIMENSIONS]
     cells = cut_lineage(rows.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
     near = cells.count() <= ONE_TASK_CELLS
-    fitted = calibrate(rake(cells.coalesce(1) if near else cells, shares, cut=not near), budget).select(*keys, "probability")
+    raked = rake(cells.coalesce(1) if near else cells, shares, cut=not near)
+    fitted = (uncut(raked) if budget is None else calibrate(raked, budget)).select(*keys, "probability")
     out = rows.join(F.broadcast(fitted) if near else fitted, keys).drop(*keys)
     return out.withColumn("sampled", uniform() < F.col("probability"))
 
 
-def sample(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
+def achieved(mixed: DataFrame, shares: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """(dimension, value, target, share): the target and the sampled share of tokens of each value, from the rows of ``mix``."""
+    rows = mixed.withColumns({f"_{d}": F.coalesce(F.col(d).cast("string"), F.lit("")) for d in DIMENSIONS})
+    keys = [f"_{d}" for d in DIMENSIONS]
+    kept = F.sum(F.when(F.col("sampled"), F.col("n_tokens")).otherwise(0)).alias("kept")
+    cells = _targets(cut_lineage(rows.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens"), kept)), shares)
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(f"_{d}").alias("value"), F.col(f"target_{d}").alias("goal")) for d in DIMENSIONS))).alias("of")
+    out = cells.select("tokens", "kept", each).groupBy("of.dimension", "of.value").agg(F.sum("tokens").alias("tokens"), F.sum("kept").alias("kept"), F.max("of.goal").alias("goal"))
+    whole = Window.partitionBy("dimension")
+    part = lambda c: F.when(F.sum(c).over(whole) > 0, F.col(c) / F.sum(c).over(whole))
+    return out.select("dimension", "value", part("goal").alias("target"), part("kept").alias("share"))
+
+
+def sample(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, budget: float | None = BUDGET) -> DataFrame:
     """The sampled documents with their own columns."""
     return mix(docs, shares, budget).filter("sampled").select(*docs.columns)
 

@@ -194,6 +194,15 @@ def test_raking_meets_its_targets(spark):
     assert abs((p.probability * p.tokens).sum() - 0.5 * total) < 0.01 * total and p.probability.between(0, 1).all()
 
 
+def test_sampled_marginals_meet_the_targets(spark):
+    rng = random.Random(14)
+    rows = [(i, "w " * rng.randint(5, 30), "en" if rng.random() < 0.8 else "de", rng.choice(["a", "a", "a", "b", "c"]), 1) for i in range(12_000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = mixing.achieved(mixing.mix(docs, {"lang": {"en": 0.5, "de": 0.5}}, None), {"lang": {"en": 0.5, "de": 0.5}}).collect()
+    assert {(r["dimension"], r["value"]) for r in got} == {("lang", "en"), ("lang", "de"), ("source", "a"), ("source", "b"), ("source", "c"), ("topic", "short")}
+    assert all(abs(r["share"] - r["target"]) < 0.02 for r in got)
+
+
 def test_mixing_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (3, "a b c", "en", "s", 5), (3, "a b c", "en", "s", 5)], DOCS)
     rows = mixing.mix(docs.withColumn("weight", F.lit(1)).withColumn("tokens", F.lit(1))).collect()
