@@ -1,8 +1,9 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Transducers, composed clause by clause: insult and threat arcs carry weights; target, negation and reported-speech
-arcs scale what stands in the same clause. A clause's weight is the sum of its insult and threat arcs times its
-context's factors; a document's score is the logistic of the prior's log odds and its clauses' weights. Insult arcs
+A transducer reads each clause in word order: insult and threat arcs carry weights; a target in the clause raises
+them; a negation before an arc, at most NEGATION_SCOPE words back, or a reporting verb anywhere before it in the clause, or
+quotes around it, leaves only the share of DAMPED of its weight. What stands after an arc doesn't soften it. A
+clause's weight is the sum of its arcs' weights; a document's score is the logistic of the prior's log odds and its clauses' weights. Insult arcs
 are learned from labels: stems and words (letter prefixes, or whole words) whose share of toxic documents is
 significantly high, weighted by their smoothed log odds. Threats, targets, negations and reporting verbs are lists.
 
@@ -42,10 +43,13 @@ THREATS = ("kill you", "hurt you", "beat you up", "break your", "burn you", "hun
 TARGETS = "you your you're yourself they them he she all these people du dich dir ihr euch tu toi vous ils elles tú te vosotros usted ustedes".split()
 NEGATIONS = "not no never nobody isn't aren't don't doesn't didn't wasn't nicht kein keine niemals pas jamais aucun nunca jamás tampoco".split()
 REPORTS = "said says say told wrote claimed called quoted reported according sagte sagt schrieb behauptete laut dit disait écrit selon dijo dice escribió según".split()
-FACTORS = {"target": 1.25, "negation": 0.6, "report": 0.7}
+FACTORS = {"target": 1.25}
+#: The share of its weight that an arc in the scope of a negation or a report keeps, and the words a negation reaches.
+DAMPED, NEGATION_SCOPE = 0.05, 4
 LISTED_WEIGHT = {"insult": 3.0, "threat": 3.5}
 
 _WORD = re.compile(r"[^\W\d_]+")
+_SPOKEN = re.compile(r"[^\W\d_]+(?:'[a-z]+)?")
 _CLAUSE = re.compile(r"[.!?;:\n]")
 
 
@@ -88,19 +92,21 @@ class Grammar:
         low = text.lower()
         out, until = [], -1
         for start, end, weight in self.arcs_in(low):
-            if start < until:
-                out[-1][1] += weight
-                continue
-            left = max((m.end() for m in _CLAUSE.finditer(low, max(0, start - 400), start)), default=max(0, start - 400))
-            right = m.start() if (m := _CLAUSE.search(low, end, end + 400)) else min(len(low), end + 400)
-            out.append([low[left:right], weight])
-            until = right
-        return [(clause, weight * self.factor(clause)) for clause, weight in out]
-
-    def factor(self, clause: str) -> float:
-        words = set(re.findall(r"[^\W\d_]+(?:'[a-z]+)?", clause))
-        factor = math.prod(FACTORS[kind] for kind, marks in self.context.items() if words & marks)
-        return factor * (FACTORS["report"] if clause.count('"') >= 2 else 1.0)
+            if start >= until:
+                left = max((m.end() for m in _CLAUSE.finditer(low, max(0, start - 400), start)), default=max(0, start - 400))
+                right = m.start() if (m := _CLAUSE.search(low, end, end + 400)) else min(len(low), end + 400)
+                out.append([low[left:right], 0.0])
+                until = right
+            out[-1][1] += weight * self.factor(low[left:right], start - left)
+        return [(clause, weight) for clause, weight in out]
+
+    def factor(self, clause: str, at: int) -> float:
+        """What an arc that begins at a place of a clause keeps of its weight."""
+        before = _SPOKEN.findall(clause[:at])
+        damped = any(w in self.context["negation"] for w in before[-NEGATION_SCOPE:]) or any(w in self.context["report"] for w in before)
+        if damped or (clause.count('"', 0, at) % 2 == 1 and '"' in clause[at:]):
+            return DAMPED
+        return FACTORS["target"] if any(w in self.context["target"] for w in _SPOKEN.findall(clause)) else 1.0
 
     def score(self, text: str | None) -> float:
         weight = sum(w for _, w in self.clauses(text)) if text else 0.0

@@ -170,6 +170,14 @@ def test_grammar_scores_clauses():
     assert 0 < g.score("zorg. " * 10_000) < 1
 
 
+def test_negation_and_reports_have_scope():
+    g = toxicity.Grammar(list(toxicity.LISTED))
+    for stays in ("not an idiot", "he is not an idiot", "they said he was an idiot", 'the sign read "you idiot" in red', "nobody will hurt you"):
+        assert g.score(stays) < toxicity.THRESHOLD, stays
+    for goes in ("you idiot, not that it matters", "an idiot is what you are, he said", "not now. you idiot", "i am not going there with him again, you idiot", "i will kill you"):
+        assert g.score(goes) >= toxicity.THRESHOLD, goes
+
+
 def test_toxicity_edge_cases(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     d = spark.createDataFrame([(1, None, None, None, None), (None, "", "en", "s", 0), (3, "you idiot", "en", "s", 9)], DOCS)
