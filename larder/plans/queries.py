@@ -371,3 +371,14 @@ def q36_osa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, length(t)::INTEGER AS n_chars FROM (SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents WHERE lang IN ('fr', 'es'))")
 def q37_fold_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter(F.col("lang").isin("fr", "es")).select("doc_id", F.length(normalize(F.col("text"))).alias("n_chars"))
+
+
+@query()
+def q38_normalize_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("word"))
+    return rows.groupBy("doc_id", "word").agg(F.count("*").alias("k")).groupBy("word").agg(F.sum("k").alias("n"), F.count("*").alias("docs"))
+
+
+@query()
+def q39_fold_all_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(normalize(F.col("text"))).alias("n_chars"))
