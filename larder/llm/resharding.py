@@ -156,11 +156,16 @@ def moved_bytes(plan: DataFrame) -> DataFrame:
 
 
 def rewrite(plan: DataFrame, path: str) -> list[int]:
-    """Write the shards that gain or lose rows below path/shard=N and leave all others; returns their numbers."""
+    """Write the shards that gain or lose rows below path/shard=N, delete those that end empty and leave all others; returns their numbers."""
     pairs = plan.filter("old_shard <> shard").select("old_shard", "shard").distinct().collect()  # at most old times new shards
     touched = sorted({s for r in pairs for s in r})
     rows = plan.filter(F.col("shard").isin(touched))
     rows.repartition(max(1, len(touched)), "shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    filled = {r["shard"] for r in rows.select("shard").distinct().collect()}  # no more than new shards
+    spark = plan.sparkSession
+    for s in set(touched) - filled:  # no row of the write replaces their files
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={s}")
+        old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(old, True)
     return touched
 
 

@@ -136,6 +136,17 @@ def test_rewrite_touches_only_what_changes(spark, tmp_path):
     assert resharding.moved_bytes(plan).first()["bytes"] == 1000
 
 
+def test_rewrite_deletes_emptied_shards(spark, tmp_path):
+    path = str(tmp_path / "out")
+    docs = spark.createDataFrame([(i, "x" * 84, "en", "s", 84) for i in range(40)], DOCS)
+    lean, old = docs.select("doc_id", resharding.text_size().alias("b")), F.floor(F.col("doc_id") / 10)
+    docs.select("doc_id", old.alias("shard")).write.partitionBy("shard").parquet(path)
+    plan = resharding.reshard(lean, old, F.col("b"), [2000, 2000])
+    assert resharding.rewrite(plan, path) == [0, 1, 2, 3]
+    got = spark.read.parquet(path).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(40)) and {r["shard"] for r in got} == {0, 1}
+
+
 # toxicity
 
 
