@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Work on at most about so many text bytes at once inside a task; a longer text is taken alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,26 +1,33 @@
-"""N-gram Jaccard join by set-relation skipping, and the components of its links.
+"""N-gram Jaccard join by set-relation skipping: classes, links and components of texts.
 
 Sets are the distinct word shingles of whole texts (``shingles``), two sets link when their Jaccard similarity is
-0.75 or more; the result is exact up to collisions of 64-bit shingle hashes.
-
-1. Every text gives its set's size and 128-bit signature; equal sets become one class (within a task first).
-2. A fixed-size count sketch over all shingles orders them from rare to frequent. Two linked sets share a
-   shingle in the first quarter of this order (the prefix), so only prefixes go into the index: rows (token,
-   set, size, position). Very long lists are salted by the sketch's own counts while single entries are dropped.
-3. Lists are joined by skipping. Each list first offers its least set as a hub: few pairs, linear in the index,
-   that link nearly all of a group of near copies. Sets that are left ask one hub of each of their lists,
-   chosen at random. At last all pairs of sets that are in different components yet are joined in blocks
-   of (token, size): an entry reads only the blocks that its position allows and skips the others. Pairs inside
-   a component need no answer, as they can't change it.
-4. Answers of a set are derived from the overlaps that it and its partner have with a common, similar set (the
-   hub) where these bound the overlap on the right side of the threshold; only the other pairs intersect sets.
+0.75 or more. Equal sets are one class; links are between classes. The result is exact up to collisions of
+TOKEN_BITS-bit shingle hashes and 64-bit set hashes.
+
+1. An inverted index of all shingles says how many sets hold each. It crosses the network packed: a task sorts
+   the shingles of about BATCH_TOKENS at once and sends each shard of the hash range a compressed block (shingles as
+   differences, sets as small numbers); the number of shards grows with the corpus. What only one set has is
+   dropped there, the rest goes back to its batch, again packed. A set of which a quarter is its own can't link
+   and ends here. The others keep their shared shingles, rare ones first: overlaps need no text any more.
+   Shingles that are frequent within one batch (at most MOST_HOT are told to the tasks; any choice is right) skip
+   the shards and come last in the order, so no shard holds the list of a shingle that a third of all sets have.
+2. Two linked sets share a shingle in the first quarter of this order, so only that goes into the lists: rows
+   (token, set, size, position). Each list first offers its least set as a hub, then one chosen at random: few
+   pairs, linear in the lists, that link nearly all of a group of near copies. Then pairs of sets still in different
+   components are joined in blocks of (token, size), reading only the blocks that an entry's position allows.
+3. Links are then counted inside each component in cells of two blocks of sets. A cell derives all its answers from
+   one of its sets, the hub: with B what a set lacks of the hub and A what it has beyond it, the overlap of x and y is
+   |hub| - |Bx| - |By| + |Bx & By| + |Ax & Ay|. Sizes of A and B alone decide most pairs; only a cell with
+   open pairs looks at the small sets A and B. Cells return numbers of links, never pairs.
 
 Nothing is emitted for all pairs of a group, and no list, set of links or component is collected; the lineage is cut
-by checkpoints in the shared folder.
+by tables in the shared folder. Every plan is the same at every size.
 
 Defined cases: null and empty texts have no shingles, link with nothing and are their own component; fewer
-than five words are one shingle; repeated rows and equal texts are one class; a null doc_id keeps its size and
-has a null component; an empty table gives an empty result; extra columns are ignored.
+than five words are one shingle; repeated rows and equal texts are one class; one doc_id on several texts keeps a row
+for each, judged by its own set; a null doc_id keeps its size, links with nothing and has a null component; a
+text's shingles are held at once while it is read, 8 bytes for each; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,19 +35,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut_lineage, near
+from larder.llm.common import cut_lineage
 from larder.llm.shingles import shingle_sets
 
-#: The sketch: 2 ** SKETCH_BITS counters in 2 ** BLOCK_BITS blocks, 32 MB in all whatever the corpus; blocks of so many tasks are merged at once.
-SKETCH_BITS, BLOCK_BITS, FAN_IN = 23, 6, 64
-#: Entries of a list that stay together while single entries are dropped.
+#: Bits of a shingle's hash that are kept; shingles and sets that a task packs at once; shingles of a shard.
+TOKEN_BITS, BATCH_TOKENS, BATCH_SETS, SHARD_TOKENS = 52, 2_000_000, 60_000, 1_000_000
+#: Sets of a batch that make a shingle hot, and hot shingles that are broadcast at most (the most frequent, 16 MB).
+HOT, MOST_HOT = 16, 1_000_000
+#: Entries of a list that stay together in a join.
 LIST_ROWS = 1000
+#: Sets of a block whose links are counted with another block at once, and columns of the matrices that do it.
+BLOCK_SETS, COLUMNS = 256, 8192
 
 
 def needed(n: Column, m: Column, overlap: Column) -> Column:
@@ -48,133 +58,184 @@ def needed(n: Column, m: Column, overlap: Column) -> Column:
     return 7 * overlap >= 3 * (n + m)
 
 
-def _distinct_sets(b: pa.RecordBatch, seen: dict[bytes, int]) -> Iterator[tuple[int | None, np.ndarray, bytes, int | None]]:
-    """(doc_id, set, signature, first doc_id of this task with that set) of each row."""
-    import xxhash
+class Batch:
+    """Some rows of a task: ids, sets and set hashes, and the distinct sets among them."""
+
+    def __init__(self, ids: list, sets: list[np.ndarray]):
+        import xxhash
+
+        self.ids, self.sets = ids, sets
+        self.keys = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
+        first: dict[int, int] = {}
+        for i, k in enumerate(self.keys):
+            if k is not None and ids[i] is not None:
+                first.setdefault(k, i)
+        self.own_keys = np.array(list(first), np.int64)
+        self.own = [sets[i] for i in first.values()]
+        self.sizes = np.array([len(s) for s in self.own], np.int64)
+        self.tokens = np.concatenate(self.own) if self.own else np.zeros(0, np.uint64)
+        self.set_of = np.repeat(np.arange(len(self.own)), self.sizes)
+
+
+def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
+    """Batches of about BATCH_TOKENS shingles; a larger text is alone in one."""
+    ids, sets, held = [], [], 0
+    for b in rows:
+        for doc_id, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1)), strict=True):
+            s = s >> np.uint64(64 - TOKEN_BITS)
+            if (s[1:] == s[:-1]).any():
+                s = np.unique(s)
+            if sets and (held + len(s) > BATCH_TOKENS or len(sets) >= BATCH_SETS):
+                yield Batch(ids, sets)
+                ids, sets, held = [], [], 0
+            ids.append(doc_id)
+            sets.append(s)
+            held += len(s)
+    if sets:
+        yield Batch(ids, sets)
 
-    for doc_id, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1)), strict=True):
-        sig = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b""
-        node = seen.setdefault(sig, doc_id) if len(s) and doc_id is not None else doc_id
-        yield doc_id, s, sig, node
 
+def set_table(docs: DataFrame) -> DataFrame:
+    """doc_id, n (set size) and key (set hash, null if empty) of every row; a batch's first row has its hot shingles and their counts."""
 
-def parity(s: np.ndarray) -> bytes:
-    """A bit for each hash bucket: whether the set has an odd number of shingles in it; as many buckets as shingles, a power of 2."""
-    bits = 1 << max(6, int(len(s) - 1).bit_length()) if len(s) else 64
-    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _batches(rows):
+            tokens, counts = np.unique(b.tokens, return_counts=True)
+            hot = counts >= HOT
+            rest = [None] * (len(b.ids) - 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(b.ids, pa.int64()), pa.array([len(s) for s in b.sets], pa.int64()), pa.array(b.keys, pa.int64()), pa.array([tokens[hot].view(np.int64), *rest], pa.list_(pa.int64())), pa.array([counts[hot], *rest], pa.list_(pa.int64()))],
+                ["doc_id", "n", "key", "hot", "often"],
+            )
 
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, key bigint, hot array<bigint>, often array<bigint>")
 
-def parity_distance(p: bytes, q: bytes) -> int:
-    """Buckets in which two sets differ in parity: never more than the shingles in which they differ."""
-    a, b = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
-    n = min(len(a), len(b))
-    a, b = (np.bitwise_xor.reduce(x.reshape(-1, n), axis=0) for x in (a, b))
-    return int(np.bitwise_count(a ^ b).sum())
 
+def hot_tokens(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent of the hot shingles, at most MOST_HOT, in order, with the sum of their counts where they are hot."""
+    pairs = table.filter("hot IS NOT NULL").select(F.explode(F.arrays_zip("hot", "often")).alias("h"))
+    rows = pairs.groupBy(F.col("h.hot").alias("token")).agg(F.sum("h.often").alias("often")).orderBy(F.desc("often"), "token").limit(MOST_HOT).toPandas()
+    rows = rows.sort_values("token")
+    return rows["token"].to_numpy(np.int64).view(np.uint64), rows["often"].to_numpy(np.int64)
 
-def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), sig_a and sig_b (0 and 0: empty), node (the first doc_id with that set in the task) and the node's parity."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
-        for b in batches:
-            rows = [(len(s), sig, node, parity(s) if node == doc_id and len(s) else None) for doc_id, s, sig, node in _distinct_sets(b, seen)]
-            sigs = np.frombuffer(b"".join(r[1] or bytes(16) for r in rows), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array(sigs[:, 0]), pa.array(sigs[:, 1]), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], ["doc_id", "n", "sig_a", "sig_b", "node", "parity"])
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of equal length as byte planes, compressed; what is small or alike costs little."""
+    planes = b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T).tobytes() for c in columns)
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, sig_a bigint, sig_b bigint, node bigint, parity binary")
+def _unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    widths = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(raw) // sum(widths), 0, []
+    for k, w in zip(kinds, widths, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).reshape(-1).view(k))
+        at += n * w
+    return out
 
 
-def _bucket(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+_POSTED = "shard int, batch bigint, head binary, data binary"
 
 
-def count_sketch(docs: DataFrame) -> np.ndarray:
-    """How many distinct sets of each task hold a shingle of each bucket, summed; a fixed-size array."""
-    size = 1 << (SKETCH_BITS - BLOCK_BITS)
+def postings(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], shard_bits: int) -> DataFrame:
+    """Blocks of (token, set) for each shard and batch; one row of a batch has its sets' keys and sizes and its hot postings."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)  # MOST_HOT shingles at most
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counts, seen, held = np.zeros(1 << SKETCH_BITS, np.uint32), {}, []
-
-        def add() -> None:
-            at, n = np.unique(_bucket(np.concatenate(held)), return_counts=True) if held else (np.zeros(0, np.int64), 0)
-            counts[at] += np.uint32(1) * n.astype(np.uint32) if held else 0
-            held.clear()
-
-        n_held = 0
-        for b in batches:
-            for doc_id, s, _, node in _distinct_sets(b, seen):
-                if node == doc_id and len(s):
-                    held.append(s)
-                    n_held += len(s)
-                if n_held > 2_000_000:
-                    add()
-                    n_held = 0
-        add()
-        z = zstandard.ZstdCompressor(level=1)
-        blocks = np.minimum(counts, 255).astype(np.uint8).reshape(-1, size)
-        yield pa.RecordBatch.from_pandas(pd.DataFrame({"block": range(len(blocks)), "part": TaskContext.get().partitionId(), "counts": [z.compress(np.ascontiguousarray(x, np.uint32).tobytes()) for x in blocks]}))
-
-    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(size, np.uint64)
-        for c in rows["counts"]:
-            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(c), np.uint32)
-        packed = zstandard.ZstdCompressor(level=1).compress(np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes())
-        return pd.DataFrame({"block": [rows["block"].iloc[0]], "part": [rows["part"].iloc[0] // FAN_IN], "counts": [packed]})
-
-    schema = "block int, part int, counts binary"
-    parts = docs.mapInArrow(lambda it: (x for x in count(it)), "block bigint, part bigint, counts binary").selectExpr("int(block) AS block", "int(part) AS part", "counts")
-    n_parts = docs.rdd.getNumPartitions()
-    while n_parts > FAN_IN:
-        parts = parts.groupBy("block", F.floor(F.col("part") / FAN_IN)).applyInPandas(merge, schema)
-        n_parts = -(-n_parts // FAN_IN)
-    merged = {r["block"]: r["counts"] for r in parts.groupBy("block").applyInPandas(merge, schema).collect()}  # 2 ** BLOCK_BITS rows, 32 MB at most
-    out = [np.frombuffer(zstandard.ZstdDecompressor().decompress(merged[k]), np.uint32) if k in merged else np.zeros(size, np.uint32) for k in range(1 << BLOCK_BITS)]
-    return np.concatenate(out)
-
-
-def postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(token, salt, salted, doc_id, n, pos): the prefixes of all sets in the order of (sketch count, hash)."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    usual = float(sketch.mean())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = shared.value, {}
-        for b in batches:
-            tokens, salts, salted, ids, sizes, places = [], [], [], [], [], []
-            for doc_id, s, _, node in _distinct_sets(b, seen):
-                if node is None or node != doc_id or not len(s):
-                    continue
-                n = len(s)
-                often = counts[_bucket(s)]
-                first = np.lexsort((s, often))[: n - -(-3 * n // 4) + 1]
-                often = often[first]
-                some = np.flatnonzero(often > 1)  # a bucket that was met once holds a shingle of one set
-                lists = 1 + (np.maximum(often[some] - usual, 0) // LIST_ROWS).astype(np.int64)
-                tokens.append(s[first[some]].view(np.int64))
-                salts.append(np.asarray(doc_id) * 2654435761 % (1 << 31) % lists)
-                salted.append(lists > 1)
-                ids.append(np.full(len(some), doc_id, np.int64))
-                sizes.append(np.full(len(some), n, np.int32))
-                places.append(some.astype(np.int32))
-            if tokens:
-                cols = [pa.array(np.concatenate(x)) for x in (tokens, salts, salted, ids, sizes, places)]
-                table = pa.RecordBatch.from_arrays([cols[0], cols[1].cast(pa.int32()), *cols[2:]], ["token", "salt", "salted", "doc_id", "n", "pos"])
-                for at in range(0, len(table), 50_000):
-                    yield table.slice(at, 50_000)
-
-    return docs.mapInArrow(run, "token bigint, salt int, salted boolean, doc_id bigint, n int, pos int")
-
-
-def shared_postings(rows: DataFrame) -> DataFrame:
-    """Postings of tokens that more than one set has (salted lists are kept whole)."""
-    from pyspark.sql import Window
-
-    n = F.count("*").over(Window.partitionBy("token", "salt"))
-    return rows.withColumn("entries", n).filter((F.col("entries") > 1) | F.col("salted")).select("token", "doc_id", "n", "pos")
+        hot, often = shared.value
+        for number, b in enumerate(_batches(rows)):
+            batch = (TaskContext.get().partitionId() << 32) + number
+            at = np.minimum(np.searchsorted(hot, b.tokens), max(len(hot) - 1, 0))
+            is_hot = hot[at] == b.tokens if len(hot) else np.zeros(len(b.tokens), bool)
+            head = pa.array([_pack(b.own_keys, b.sizes)], pa.binary())
+            counts = np.minimum(often[at[is_hot]], (1 << 32) - 1) if len(hot) else np.zeros(0)
+            rows_ = [(number % (1 << shard_bits), _pack(b.set_of[is_hot].astype(np.uint16), b.tokens[is_hot], counts.astype(np.uint32)))]
+            yield pa.RecordBatch.from_arrays([pa.array([rows_[0][0]], pa.int32()), pa.array([batch]), head, pa.array([rows_[0][1]], pa.binary())], ["shard", "batch", "head", "data"])
+            tokens, set_of = b.tokens[~is_hot], b.set_of[~is_hot].astype(np.uint16)
+            order = np.argsort(tokens, kind="stable")
+            tokens, set_of = tokens[order], set_of[order]
+            ends = np.searchsorted(tokens, np.arange(1, (1 << shard_bits) + 1, dtype=np.uint64) << np.uint64(TOKEN_BITS - shard_bits))
+            starts = np.concatenate(([0], ends[:-1]))
+            used = np.flatnonzero(ends > starts)
+            for some in np.array_split(used, -(-len(used) // 256) or 1):
+                blocks = [_pack(np.diff(tokens[starts[k] : ends[k]], prepend=np.uint64(0)), set_of[starts[k] : ends[k]]) for k in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), batch)), pa.nulls(len(some), pa.binary()), pa.array(blocks, pa.binary())], ["shard", "batch", "head", "data"])
+
+    return docs.mapInArrow(run, _POSTED)
+
+
+def shared_postings(posted: DataFrame) -> DataFrame:
+    """The blocks of each batch again: (set, token, count of sets) where more than one set has the token. Batches count apart."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        batches, heads, blocks = (rows.column(c).to_pylist() for c in ("batch", "head", "data"))
+        out = [(b, h, d) for b, h, d in zip(batches, heads, blocks, strict=True) if h is not None]
+        batches = [b for b, h in zip(batches, heads, strict=True) if h is None]
+        parts = [_unpack(d, np.uint64, np.uint16) for d, h in zip(blocks, heads, strict=True) if h is None]
+        if parts:
+            sizes = [len(t) for t, _ in parts]
+            tokens = np.concatenate([np.cumsum(t, dtype=np.uint64) for t, _ in parts])
+            set_of, part = np.concatenate([s for _, s in parts]), np.repeat(np.arange(len(parts)), sizes)
+            order = np.argsort(tokens, kind="stable")
+            tokens = tokens[order]
+            heads_at = np.flatnonzero(np.diff(tokens, prepend=tokens[:1] ^ np.uint64(1)))
+            runs = np.diff(np.append(heads_at, len(tokens)))
+            count = np.repeat(runs, runs)
+            keep = count > 1
+            tokens, order, count = tokens[keep], order[keep], count[keep]
+            by_set = np.lexsort((set_of[order], part[order]))
+            tokens, order, count = tokens[by_set], order[by_set], np.minimum(count[by_set], (1 << 32) - 1).astype(np.uint32)
+            ends = np.searchsorted(part[order], np.arange(len(parts)), side="right")
+            for k, (a, z) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends, strict=True)):
+                if z > a:
+                    out.append((batches[k], None, _pack(set_of[order[a:z]], tokens[a:z], count[a:z])))
+        return pa.table({"batch": pa.array([r[0] for r in out], pa.int64()), "head": pa.array([r[1] for r in out], pa.binary()), "data": pa.array([r[2] for r in out], pa.binary())})
+
+    return posted.groupBy("shard").applyInArrow(run, "batch bigint, head binary, data binary")
+
+
+def _prefix(n: np.ndarray) -> np.ndarray:
+    return n - -(-3 * n // 4) + 1
+
+
+def live_sets(shared: DataFrame) -> DataFrame:
+    """(key, n, own, tokens, often): sets that share three quarters of their shingles; the shared ones, rare ones first, with the counts of those in the prefix."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        parts = [_unpack(d, np.uint16, np.uint64, np.uint32) for d in rows.column("data").to_pylist()]
+        keys, sizes = _unpack(next(h for h in rows.column("head").to_pylist() if h is not None), np.int64, np.int64)
+        set_of, tokens, often = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        held = np.bincount(set_of, minlength=len(keys))
+        live = 4 * held >= 3 * sizes
+        some = live[set_of]
+        set_of, tokens, often = set_of[some], tokens[some], often[some]
+        order = np.lexsort((tokens, often, set_of))
+        set_of, tokens, often = set_of[order], tokens[order], often[order]
+        keys, sizes, held = keys[live], sizes[live], held[live]
+        at = np.concatenate(([0], np.cumsum(held)))
+        first = np.repeat(_prefix(sizes) - (sizes - held), held) > np.arange(len(tokens)) - np.repeat(at[:-1], held)
+        cut = np.concatenate(([0], np.cumsum(first)))[at]
+        lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens.view(np.int64))), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(often[first].astype(np.int64)))]
+        return pa.table({"key": pa.array(keys), "n": pa.array(sizes.astype(np.int32)), "own": pa.array((sizes - held).astype(np.int32)), "tokens": lists[0], "often": lists[1]})
+
+    found = shared.groupBy("batch").applyInArrow(run, "key bigint, n int, own int, tokens array<bigint>, often array<bigint>")
+    return found.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "own", "tokens", "often")))
+
+
+def lists(sets: DataFrame) -> DataFrame:
+    """(token, salt, salts, cls, n, pos, comp): the prefixes of the sets; a long list has its entries under several salts."""
+    rows = sets.select(F.col("key").alias("cls"), "n", "own", "tokens", F.posexplode("often").alias("at", "times"))
+    salts = (1 + F.floor(F.col("times") / LIST_ROWS)).cast("int")
+    rows = rows.select(F.get("tokens", F.col("at")).alias("token"), salts.alias("salts"), "cls", "n", (F.col("own") + F.col("at")).alias("pos"), F.col("cls").alias("comp"))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int"))
+
+
+def _salted(per_list: DataFrame) -> DataFrame:
+    """A row per salt of tables with one row per list."""
+    return per_list.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -191,42 +252,28 @@ def components(edges: DataFrame) -> DataFrame:
         changed = new.join(edges, ["a", "b"], "left_anti").limit(1).count()
         edges = new
         if not changed:
-            return edges.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "id")
+            stars = edges.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "id")
+            return stars.unionByName(stars.select(F.col("comp").alias("id"), "comp").distinct())
 
 
 def _relabel(index: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of lists that still show sets of different components; a list of two sets has been answered by its hub."""
-    rows = index.drop("comp").join(near(labels.select(F.col("id").alias("cls"), "comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    open_ = rows.groupBy("token").agg(F.count("*").alias("sets"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("sets > 2 AND lo <> hi").select("token")
-    return rows.join(open_, "token", "left_semi")
+    rows = index.drop("comp").join(labels.select(F.col("id").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    open_ = rows.groupBy("token", "salts").agg(F.count("*").alias("sets"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("sets > 2 AND lo <> hi").select("token", "salts")
+    return rows.join(_salted(open_), ["token", "salt"], "left_semi")
 
 
 def hub_pairs(index: DataFrame, hub: Column) -> DataFrame:
-    """(x, y, nx, ny): sets with their list's hub, where sizes and positions allow a link and they are in different components."""
-    hubs = index.groupBy("token").agg(F.min(F.struct(hub.alias("rank"), "cls", "n", "pos", "comp")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token", "hub")
+    """(x, y): sets with their list's hub, where sizes and positions allow a link and they are in different components."""
+    hubs = index.groupBy("token", "salts").agg(F.min(F.struct(hub.alias("rank"), "cls", "n", "pos", "comp")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
     left = F.least(F.col("n") - F.col("pos"), F.col("hub.n") - F.col("hub.pos"))
     fits = (F.col("comp") != F.col("hub.comp")) & (4 * F.least("n", "hub.n") >= 3 * F.greatest("n", "hub.n")) & (7 * left >= 3 * (F.col("n") + F.col("hub.n")))
-    rows = index.join(hubs, "token").filter(fits)
-    return _ordered(rows.select(F.col("cls").alias("x"), F.col("hub.cls").alias("y"), F.col("n").alias("nx"), F.col("hub.n").alias("ny")))
-
-
-def plausible(pairs: DataFrame, parities: DataFrame) -> DataFrame:
-    """Pairs that their parities (doc_id, parity) don't rule out: linked sets differ in a seventh of both sizes at most."""
-    rows = pairs.join(parities.select(F.col("doc_id").alias("x"), F.col("parity").alias("px")), "x").join(parities.select(F.col("doc_id").alias("y"), F.col("parity").alias("py")), "y")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes = b.column(2).to_numpy() + b.column(3).to_numpy()
-            apart = np.array([parity_distance(p, q) for p, q in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], np.int64)
-            yield b.select([0, 1, 2, 3]).filter(pa.array(7 * apart <= sizes))
-
-    return rows.select("x", "y", "nx", "ny", "px", "py").mapInArrow(run, "x bigint, y bigint, nx int, ny int")
+    rows = index.join(_salted(hubs.select("token", "salts", "hub")), ["token", "salt"]).filter(fits)
+    return _ordered(rows.select(F.col("cls").alias("x"), F.col("hub.cls").alias("y")))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    up = F.col("x") < F.col("y")
-    pick = lambda a, b: F.when(up, F.col(a)).otherwise(F.col(b))
-    return pairs.select(pick("x", "y").alias("x"), pick("y", "x").alias("y"), pick("nx", "ny").alias("nx"), pick("ny", "nx").alias("ny")).distinct()
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def _size_block(n: Column) -> Column:
@@ -236,89 +283,110 @@ def _size_block(n: Column) -> Column:
 
 def block_pairs(index: DataFrame) -> DataFrame:
     """All pairs of sets in different components that a list shows to be possible; reads only blocks that positions allow."""
-    rows = index
     left = F.col("n") - F.col("pos")
-    smaller = rows.filter(7 * left >= 6 * F.col("n")).select("token", _size_block(F.col("n")).alias("block"), F.col("cls").alias("y"), F.col("n").alias("ny"), left.alias("left_y"), F.col("comp").alias("comp_y"))
+    smaller = index.filter(7 * left >= 6 * F.col("n")).select("token", _size_block(F.col("n")).alias("block"), "salt", F.col("cls").alias("y"), F.col("n").alias("ny"), left.alias("left_y"), F.col("comp").alias("comp_y"))
     least, most = F.ceil(0.75 * F.col("n")), F.least(F.col("n").cast("long"), F.floor((7 * left - 3 * F.col("n")) / 3))
-    larger = rows.withColumns({"least": least, "most": most}).filter("most >= least")
-    larger = larger.select("token", F.explode(F.sequence(_size_block(F.col("least")) - 1, _size_block(F.col("most")) + 1)).alias("block"), F.col("cls").alias("x"), F.col("n").alias("nx"), left.alias("left_x"), F.col("comp").alias("comp_x"), "least", "most")
+    larger = index.withColumns({"least": least, "most": most}).filter("most >= least")
+    blocks = F.sequence(_size_block(F.col("least")) - 1, _size_block(F.col("most")) + 1)
+    larger = larger.select("token", F.explode(blocks).alias("block"), "salts", F.col("cls").alias("x"), F.col("n").alias("nx"), left.alias("left_x"), F.col("comp").alias("comp_x"), "least", "most")
     fits = (F.col("comp_x") != F.col("comp_y")) & F.col("ny").between(F.col("least"), F.col("most")) & ((F.col("ny") < F.col("nx")) | (F.col("y") < F.col("x")))
     fits &= 7 * F.least("left_x", "left_y") >= 3 * (F.col("nx") + F.col("ny"))
-    return _ordered(larger.join(smaller, ["token", "block"]).filter(fits).select("x", "y", "nx", "ny"))
-
-
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs with o, the size of the intersection of their sets."""
-    rows = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("tokens").alias("sx")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("tokens").alias("sy")), "y")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets_of = (c.to_pylist() for c in (b.column(4), b.column(5)))
-            o = [len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True)) for p, q in zip(*sets_of, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(o, pa.int32())], ["x", "y", "nx", "ny", "o"])
-
-    return rows.select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(run, "x bigint, y bigint, nx int, ny int, o int")
-
-
-def derived(pairs: DataFrame, answers: DataFrame) -> DataFrame:
-    """pairs with known: true or false where the overlaps with a common similar set decide, else null."""
-    best = answers.select(F.col("x").alias("s"), F.col("y").alias("h"), F.col("ny").alias("nh"), "o").unionByName(answers.select(F.col("y").alias("s"), F.col("x").alias("h"), F.col("nx").alias("nh"), "o"))
-    best = best.groupBy("s").agg(F.max(F.struct("o", "h", "nh")).alias("a"))
-    rows = pairs.join(best.select(F.col("s").alias("x"), F.col("a").alias("ax")), "x", "left").join(best.select(F.col("s").alias("y"), F.col("a").alias("ay")), "y", "left")
-    low = F.col("ax.o") + F.col("ay.o") - F.col("ax.nh")
-    high = F.least("ax.o", "ay.o") + F.least(F.col("nx") - F.col("ax.o"), F.col("ny") - F.col("ay.o"))
-    known = F.when(F.col("ax.h") == F.col("ay.h"), F.when(needed(F.col("nx"), F.col("ny"), low), True).when(~needed(F.col("nx"), F.col("ny"), high), False))
-    return rows.select("x", "y", "nx", "ny", known.alias("known"))
-
-
-def link_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and class_id (least doc_id with an equal set) of every document."""
-    lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = cut_lineage(set_table(lean))
-    nodes = table.filter("n > 0 AND node IS NOT NULL").groupBy("node", "sig_a", "sig_b").agg(F.min("doc_id").alias("least"), F.max("parity").alias("parity"))
-    classes = cut_lineage(nodes.groupBy("sig_a", "sig_b").agg(F.min("least").alias("cls"), F.max("parity").alias("parity")))
-    parities = classes.select(F.col("cls").alias("doc_id"), "parity")
-    node_class = cut_lineage(nodes.join(classes.drop("parity"), ["sig_a", "sig_b"]).select("node", "cls"))
-    doc_class = cut_lineage(table.select("doc_id", "n", "node").join(node_class, "node", "left").select("doc_id", "n", F.coalesce("cls", "doc_id").alias("cls")))
-
-    entries = cut_lineage(shared_postings(postings(lean, count_sketch(lean))))
-    index = entries.join(doc_class.select("doc_id", "cls"), "doc_id").groupBy("token", "cls").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-    index = cut_lineage(index.withColumn("comp", F.col("cls")))
-
-    def answered(pairs: DataFrame) -> DataFrame:
-        """Overlaps of the plausible pairs; only their sets are made."""
-        pairs = cut_lineage(plausible(pairs, parities))
-        wanted = near(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
-        return cut_lineage(overlaps(pairs, cut_lineage(_sets(lean.join(wanted, "doc_id", "left_semi")))))
-
-    def links(rows: DataFrame) -> DataFrame:
-        return rows.filter(needed(F.col("nx"), F.col("ny"), F.col("o"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
-
-    answers = answered(hub_pairs(index, F.lit(0)))
-    edges = cut_lineage(links(answers))
+    return _ordered(_salted(larger).join(smaller, ["token", "block", "salt"]).filter(fits).select("x", "y"))
+
+
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The edges (a, b) of those pairs whose sets, compared in full, link."""
+    side = lambda k: sets.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("tokens").alias(f"s{k}"))
+    overlap = F.size(F.array_intersect("sx", "sy"))
+    return pairs.join(side("x"), "x").join(side("y"), "y").filter(needed(F.col("nx"), F.col("ny"), overlap)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def cell_links(own: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], same: bool) -> tuple[np.ndarray, int]:
+    """Links of each set of a cell with sets of the other block (same: of its own), and how many pairs sizes alone left open."""
+    hub = sets[int(np.argmax(sizes))]
+    beyond = [np.setdiff1d(s, hub, assume_unique=True) for s in sets]
+    lacking = [np.setdiff1d(hub, s, assume_unique=True) for s in sets]
+    a, b = (np.array([len(x) for x in part], np.int64) for part in (beyond, lacking))
+    asked = np.ones((len(sets), len(sets)), bool) if same else own[:, None] != own[None, :]
+    np.fill_diagonal(asked, False)
+    bar = 3 * (sizes[:, None] + sizes[None, :])
+    low = len(hub) - b[:, None] - b[None, :]
+    links = 7 * low >= bar
+    open_ = asked & ~links & (7 * (low + np.minimum(a[:, None], a[None, :]) + np.minimum(b[:, None], b[None, :])) >= bar)
+    if open_.any():
+        of = np.repeat(np.arange(len(sets)), a + b)
+        words = np.unique(np.concatenate([x for pair in zip(beyond, lacking, strict=True) for x in pair]), return_inverse=True)[1]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for at in range(0, int(words.max()) + 1, COLUMNS):
+            some = (words >= at) & (words < at + COLUMNS)
+            m = np.zeros((len(sets), COLUMNS), np.float32)
+            m[of[some], words[some] - at] = 1
+            both += m @ m.T
+        links = np.where(open_, 7 * (low + both.astype(np.int64)) >= bar, links)
+    return (links & asked).sum(axis=1), int(open_.sum()) // 2
+
+
+def link_counts(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cls, n_links): the classes that each class of a component of at least two links with."""
+    members = sets.join(labels.select(F.col("id").alias("key"), "comp"), "key").withColumn("band", _size_block(F.col("n")))
+    bands = cut_lineage(members.groupBy("comp", "band").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks")))
+    near_bands = bands.select("comp", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("band"), F.col("band").alias("with_band"), F.col("blocks").alias("with_blocks"))
+    rows = members.join(bands, ["comp", "band"]).join(near_bands, ["comp", "band"])
+    block = F.struct("band", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("no"))
+    other = F.struct(F.col("with_band").alias("band"), F.col("with_no").alias("no"))
+    rows = rows.withColumn("with_no", F.explode(F.sequence(F.lit(0), F.col("with_blocks") - 1)))
+    rows = rows.select("comp", F.least(block, other).alias("one"), F.greatest(block, other).alias("two"), (block <= other).alias("first"), (block == other).alias("same"), "key", "n", "tokens")
+
+    def run(cell: pa.Table) -> pa.Table:
+        own, sizes = cell.column("first").to_numpy().astype(bool), cell.column("n").to_numpy().astype(np.int64)
+        found = cell_links(own, sizes, [np.sort(np.asarray(t, np.int64)) for t in cell.column("tokens").to_numpy()], cell.column("same")[0].as_py())[0]
+        return pa.table({"cls": cell.column("key"), "links": pa.array(found.astype(np.int64))})
+
+    return rows.groupBy("comp", "one", "two").applyInArrow(run, "cls bigint, links bigint").groupBy("cls").agg(F.sum("links").alias("n_links"))
+
+
+def link_edges(sets: DataFrame) -> DataFrame:
+    """(id, comp) of all sets that link, by set hash; sets are those of ``live_sets``."""
+    index = cut_lineage(lists(sets))
+    edges = cut_lineage(linked(hub_pairs(index, F.lit(0)), sets))
     labels = cut_lineage(components(edges))
     for pairs_of in (lambda i: hub_pairs(i, F.xxhash64("token", "cls")), block_pairs):
         index = cut_lineage(_relabel(index, labels))
-        pairs = cut_lineage(derived(pairs_of(index).join(answers.select("x", "y"), ["x", "y"], "left_anti"), answers))
-        if pairs.isEmpty():
-            continue
-        new = answered(pairs.filter("known IS NULL").drop("known"))
-        edges = cut_lineage(edges.unionByName(links(new)).unionByName(pairs.filter("known").select(F.col("x").alias("a"), F.col("y").alias("b"))))
-        labels = cut_lineage(components(edges))
+        if index.isEmpty():  # all lists show one component each
+            break
+        new = cut_lineage(linked(pairs_of(index), sets))
+        if not new.isEmpty():
+            edges = edges.unionByName(new)
+            labels = cut_lineage(components(edges))
+    return labels
 
-    labels = labels.select(F.col("id").alias("cls"), "comp")
-    return doc_class.join(labels, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "cls").alias("component_id"), F.col("cls").alias("class_id"))
 
+def indexed_sets(lean: DataFrame, table: DataFrame) -> DataFrame:
+    """``live_sets`` of documents (doc_id, text), of which table is the ``set_table``."""
+    total = table.agg(F.sum("n")).first()[0] or 0
+    shard_bits = max(0, (int(total) // SHARD_TOKENS).bit_length())
+    return live_sets(shared_postings(postings(lean, hot_tokens(table), shard_bits)))
 
-def _sets(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1))], pa.binary())], ["doc_id", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, tokens binary")
+def link_components(docs: DataFrame, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id (least doc_id with an equal set) and n_links (other classes its class links with) of every document."""
+    lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    table = cut_lineage(set_table(lean))
+    classes = table.filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("cls"))
+    sets = cut_lineage(indexed_sets(lean, table))
+    labels = link_edges(sets)
+    named = labels.select(F.col("id").alias("key"), "comp").join(classes, "key")
+    least = named.groupBy("comp").agg(F.min("cls").alias("least"))
+    named = named.join(least, "comp").select("key", "least")
+    if count_links:
+        named = named.join(link_counts(sets, labels).withColumnRenamed("cls", "key"), "key", "left")
+    facts = classes.join(named, "key", "left")
+    rows = table.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(facts, "key", "left")
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "cls", "doc_id").alias("component_id"), F.coalesce("cls", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links") if count_links else F.lit(None).cast("long").alias("n_links"))
+    return out if count_links else out.drop("n_links")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without those of which another document of their component has a smaller doc_id; a null doc_id stays."""
-    gone = near(link_components(docs).filter("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = link_components(docs, count_links=False).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
