@@ -12,13 +12,14 @@ TOKEN_BITS-bit shingle hashes and 64-bit set hashes.
    Shingles that are frequent within one batch (at most MOST_HOT are told to the tasks; any choice is right) skip
    the shards and come last in the order, so no shard holds the list of a shingle that a third of all sets have.
 2. Two linked sets share a shingle in the first quarter of this order, so only that goes into the lists: rows
-   (token, set, size, position). Each list first offers its least set as a hub, then one chosen at random: few
-   pairs, linear in the lists, that link nearly all of a group of near copies. Then pairs of sets still in different
-   components are joined in blocks of (token, size), reading only the blocks that an entry's position allows.
-3. Links are then counted inside each component in cells of two blocks of sets. A cell derives all its answers from
-   one of its sets, the hub: with B what a set lacks of the hub and A what it has beyond it, the overlap of x and y is
-   |hub| - |Bx| - |By| + |Bx & By| + |Ax & Ay|. Sizes of A and B alone decide most pairs; only a cell with
-   open pairs looks at the small sets A and B. Cells return numbers of links, never pairs.
+   (token, set, size, position). Each list first offers its least set as a hub: few pairs, linear in the lists, that
+   link nearly all of a group of near copies. Lists that then still show different components put their sets, where
+   position and sizes leave room for a link, into the family of the largest component among them.
+3. A family is answered in cells of two blocks of sets of neighbouring sizes (all other blocks are skipped, as are two
+   blocks of the component itself). A cell derives all its answers from one of its sets, the hub: with B what a set
+   lacks of the hub and A what it has beyond it, the overlap of x and y is |hub| - |Bx| - |By| + |Bx & By| + |Ax & Ay|.
+   Sizes of A and B alone decide most pairs; only a cell with open pairs looks at the small sets A and B. Cells
+   return the least set that each set reaches, never pairs. Links are counted by the same cells inside each component.
 
 Nothing is emitted for all pairs of a group, and no list, set of links or component is collected; the lineage is cut
 by tables in the shared folder. Every plan is the same at every size.
@@ -49,6 +50,8 @@ TOKEN_BITS, BATCH_TOKENS, BATCH_SETS, SHARD_TOKENS = 52, 2_000_000, 60_000, 1_00
 HOT, MOST_HOT = 16, 1_000_000
 #: Entries of a list that stay together in a join.
 LIST_ROWS = 1000
+#: A class with this part of all rows has its rows dealt apart.
+COPIED = 1000
 #: Sets of a block whose links are counted with another block at once, and columns of the matrices that do it.
 BLOCK_SETS, COLUMNS = 256, 8192
 
@@ -226,10 +229,10 @@ def live_sets(shared: DataFrame) -> DataFrame:
 
 
 def lists(sets: DataFrame) -> DataFrame:
-    """(token, salt, salts, cls, n, pos, comp): the prefixes of the sets; a long list has its entries under several salts."""
+    """(token, salt, salts, cls, n, pos): the prefixes of the sets; a long list has its entries under several salts."""
     rows = sets.select(F.col("key").alias("cls"), "n", "own", "tokens", F.posexplode("often").alias("at", "times"))
     salts = (1 + F.floor(F.col("times") / LIST_ROWS)).cast("int")
-    rows = rows.select(F.get("tokens", F.col("at")).alias("token"), salts.alias("salts"), "cls", "n", (F.col("own") + F.col("at")).alias("pos"), F.col("cls").alias("comp"))
+    rows = rows.select(F.get("tokens", F.col("at")).alias("token"), salts.alias("salts"), "cls", "n", (F.col("own") + F.col("at")).alias("pos"))
     return rows.withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int"))
 
 
@@ -256,24 +259,21 @@ def components(edges: DataFrame) -> DataFrame:
             return stars.unionByName(stars.select(F.col("comp").alias("id"), "comp").distinct())
 
 
-def _relabel(index: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of lists that still show sets of different components; a list of two sets has been answered by its hub."""
-    rows = index.drop("comp").join(labels.select(F.col("id").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    open_ = rows.groupBy("token", "salts").agg(F.count("*").alias("sets"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("sets > 2 AND lo <> hi").select("token", "salts")
-    return rows.join(_salted(open_), ["token", "salt"], "left_semi")
+def open_lists(index: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of lists that still show sets of different components, with their component and its size."""
+    known = labels.join(labels.groupBy("comp").agg(F.count("*").alias("size")), "comp").select(F.col("id").alias("cls"), "comp", "size")
+    rows = index.join(known, "cls", "left").withColumns({"comp": F.coalesce("comp", "cls"), "size": F.coalesce("size", F.lit(1).cast("long"))})
+    open_ = rows.groupBy("token", "salts").agg(F.count("*").alias("sets"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("sets > 2 AND lo <> hi")  # a list of two sets has been answered by its hub
+    return rows.join(_salted(open_.select("token", "salts")), ["token", "salt"], "left_semi")
 
 
-def hub_pairs(index: DataFrame, hub: Column) -> DataFrame:
-    """(x, y): sets with their list's hub, where sizes and positions allow a link and they are in different components."""
-    hubs = index.groupBy("token", "salts").agg(F.min(F.struct(hub.alias("rank"), "cls", "n", "pos", "comp")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+def hub_pairs(index: DataFrame) -> DataFrame:
+    """(x, y): sets with their list's least set, its hub, where sizes and positions allow a link."""
+    hubs = index.groupBy("token", "salts").agg(F.min(F.struct("cls", "n", "pos")).alias("hub"))
     left = F.least(F.col("n") - F.col("pos"), F.col("hub.n") - F.col("hub.pos"))
-    fits = (F.col("comp") != F.col("hub.comp")) & (4 * F.least("n", "hub.n") >= 3 * F.greatest("n", "hub.n")) & (7 * left >= 3 * (F.col("n") + F.col("hub.n")))
-    rows = index.join(_salted(hubs.select("token", "salts", "hub")), ["token", "salt"]).filter(fits)
-    return _ordered(rows.select(F.col("cls").alias("x"), F.col("hub.cls").alias("y")))
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    fits = (F.col("cls") != F.col("hub.cls")) & (4 * F.least("n", "hub.n") >= 3 * F.greatest("n", "hub.n")) & (7 * left >= 3 * (F.col("n") + F.col("hub.n")))
+    rows = index.join(_salted(hubs), ["token", "salt"]).filter(fits)
+    return rows.select(F.least("cls", "hub.cls").alias("x"), F.greatest("cls", "hub.cls").alias("y")).distinct()
 
 
 def _size_block(n: Column) -> Column:
@@ -281,17 +281,17 @@ def _size_block(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(4 / 3))).cast("int")
 
 
-def block_pairs(index: DataFrame) -> DataFrame:
-    """All pairs of sets in different components that a list shows to be possible; reads only blocks that positions allow."""
+def families(rows: DataFrame) -> DataFrame:
+    """(fam, cls, n, core): the sets of each open list, under the largest component in it; core: of that component itself.
+
+    A set stays only where an entry's position allows a link with some set of the list's sizes.
+    """
+    lists_ = rows.groupBy("token", "salts").agg(F.min(F.struct((-F.col("size")).alias("rank"), "comp")).alias("top"), F.min("n").alias("least"), F.max(F.when(7 * (F.col("n") - F.col("pos")) >= 6 * F.col("n"), F.col("n"))).alias("most"))
+    lists_ = _salted(lists_.select("token", "salts", F.col("top.comp").alias("fam"), "least", "most"))
     left = F.col("n") - F.col("pos")
-    smaller = index.filter(7 * left >= 6 * F.col("n")).select("token", _size_block(F.col("n")).alias("block"), "salt", F.col("cls").alias("y"), F.col("n").alias("ny"), left.alias("left_y"), F.col("comp").alias("comp_y"))
-    least, most = F.ceil(0.75 * F.col("n")), F.least(F.col("n").cast("long"), F.floor((7 * left - 3 * F.col("n")) / 3))
-    larger = index.withColumns({"least": least, "most": most}).filter("most >= least")
-    blocks = F.sequence(_size_block(F.col("least")) - 1, _size_block(F.col("most")) + 1)
-    larger = larger.select("token", F.explode(blocks).alias("block"), "salts", F.col("cls").alias("x"), F.col("n").alias("nx"), left.alias("left_x"), F.col("comp").alias("comp_x"), "least", "most")
-    fits = (F.col("comp_x") != F.col("comp_y")) & F.col("ny").between(F.col("least"), F.col("most")) & ((F.col("ny") < F.col("nx")) | (F.col("y") < F.col("x")))
-    fits &= 7 * F.least("left_x", "left_y") >= 3 * (F.col("nx") + F.col("ny"))
-    return _ordered(_salted(larger).join(smaller, ["token", "block", "salt"]).filter(fits).select("x", "y"))
+    # the partner that the position leaves room for: overlaps of at most ``left`` need 7 * left >= 3 * (n + m); in a pair the smaller set needs 7 * left >= 6 * n
+    fits = (7 * left >= 3 * (F.col("n") + F.greatest("least", F.ceil(0.75 * F.col("n"))))) & (4 * F.col("most") >= 3 * F.col("n"))
+    return rows.join(lists_, ["token", "salt"]).filter(fits).select("fam", "cls", "n", (F.col("comp") == F.col("fam")).alias("core")).distinct()
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def cell_links(own: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], same: bool) -> tuple[np.ndarray, int]:
-    """Links of each set of a cell with sets of the other block (same: of its own), and how many pairs sizes alone left open."""
+    """Which sets of a cell link with which of the other block (same: of their own), and how many pairs sizes alone left open."""
     hub = sets[int(np.argmax(sizes))]
     beyond = [np.setdiff1d(s, hub, assume_unique=True) for s in sets]
     lacking = [np.setdiff1d(hub, s, assume_unique=True) for s in sets]
@@ -323,42 +323,60 @@ def cell_links(own: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], same:
             m[of[some], words[some] - at] = 1
             both += m @ m.T
         links = np.where(open_, 7 * (low + both.astype(np.int64)) >= bar, links)
-    return (links & asked).sum(axis=1), int(open_.sum()) // 2
+    return links & asked, int(open_.sum()) // 2
+
+
+def cells(members: DataFrame) -> DataFrame:
+    """The rows (fam, key, n, tokens, core) of each family in cells of two blocks whose sizes can link; not for two blocks of the core."""
+    rows = members.withColumn("band", _size_block(F.col("n")))
+    blocks = cut_lineage(rows.groupBy("fam", "core", "band").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks")))
+    partners = blocks.select("fam", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("band"), F.col("core").alias("_core"), F.col("band").alias("_band"), F.col("blocks").alias("_blocks"))
+    block = F.struct("core", "band", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("no"))
+    other = F.struct(F.col("_core").alias("core"), F.col("_band").alias("band"), F.col("_no").alias("no"))
+    rows = rows.join(blocks, ["fam", "core", "band"]).join(partners, ["fam", "band"]).filter("NOT (core AND _core)")
+    rows = rows.withColumn("_no", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return rows.select("fam", F.least(block, other).alias("one"), F.greatest(block, other).alias("two"), (block <= other).alias("first"), (block == other).alias("same"), "key", "n", "tokens")
+
+
+def _answers(cell: pa.Table) -> np.ndarray:
+    own, sizes = cell.column("first").to_numpy().astype(bool), cell.column("n").to_numpy().astype(np.int64)
+    return cell_links(own, sizes, [np.sort(np.asarray(t, np.int64)) for t in cell.column("tokens").to_numpy()], cell.column("same")[0].as_py())[0]
+
+
+def cell_edges(members: DataFrame) -> DataFrame:
+    """(a, b): every set with the least set that it reaches by links of one cell."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        links, keys = _answers(cell), cell.column("key").to_numpy()
+        np.fill_diagonal(links, True)
+        labels, before = keys, None
+        while before is None or (labels != before).any():
+            before, labels = labels, np.where(links, labels[None, :], np.iinfo(np.int64).max).min(axis=1)
+        far = labels != keys
+        return pa.table({"a": pa.array(keys[far]), "b": pa.array(labels[far])})
+
+    return cells(members).groupBy("fam", "one", "two").applyInArrow(run, "a bigint, b bigint")
 
 
 def link_counts(sets: DataFrame, labels: DataFrame) -> DataFrame:
     """(cls, n_links): the classes that each class of a component of at least two links with."""
-    members = sets.join(labels.select(F.col("id").alias("key"), "comp"), "key").withColumn("band", _size_block(F.col("n")))
-    bands = cut_lineage(members.groupBy("comp", "band").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks")))
-    near_bands = bands.select("comp", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("band"), F.col("band").alias("with_band"), F.col("blocks").alias("with_blocks"))
-    rows = members.join(bands, ["comp", "band"]).join(near_bands, ["comp", "band"])
-    block = F.struct("band", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("no"))
-    other = F.struct(F.col("with_band").alias("band"), F.col("with_no").alias("no"))
-    rows = rows.withColumn("with_no", F.explode(F.sequence(F.lit(0), F.col("with_blocks") - 1)))
-    rows = rows.select("comp", F.least(block, other).alias("one"), F.greatest(block, other).alias("two"), (block <= other).alias("first"), (block == other).alias("same"), "key", "n", "tokens")
+    members = sets.join(labels.select(F.col("id").alias("key"), F.col("comp").alias("fam")), "key").withColumn("core", F.lit(False))
 
     def run(cell: pa.Table) -> pa.Table:
-        own, sizes = cell.column("first").to_numpy().astype(bool), cell.column("n").to_numpy().astype(np.int64)
-        found = cell_links(own, sizes, [np.sort(np.asarray(t, np.int64)) for t in cell.column("tokens").to_numpy()], cell.column("same")[0].as_py())[0]
-        return pa.table({"cls": cell.column("key"), "links": pa.array(found.astype(np.int64))})
+        return pa.table({"cls": cell.column("key"), "links": pa.array(_answers(cell).sum(axis=1).astype(np.int64))})
 
-    return rows.groupBy("comp", "one", "two").applyInArrow(run, "cls bigint, links bigint").groupBy("cls").agg(F.sum("links").alias("n_links"))
+    return cells(members).groupBy("fam", "one", "two").applyInArrow(run, "cls bigint, links bigint").groupBy("cls").agg(F.sum("links").alias("n_links"))
 
 
-def link_edges(sets: DataFrame) -> DataFrame:
+def link_labels(sets: DataFrame) -> DataFrame:
     """(id, comp) of all sets that link, by set hash; sets are those of ``live_sets``."""
     index = cut_lineage(lists(sets))
-    edges = cut_lineage(linked(hub_pairs(index, F.lit(0)), sets))
-    labels = cut_lineage(components(edges))
-    for pairs_of in (lambda i: hub_pairs(i, F.xxhash64("token", "cls")), block_pairs):
-        index = cut_lineage(_relabel(index, labels))
-        if index.isEmpty():  # all lists show one component each
-            break
-        new = cut_lineage(linked(pairs_of(index), sets))
-        if not new.isEmpty():
-            edges = edges.unionByName(new)
-            labels = cut_lineage(components(edges))
-    return labels
+    labels = cut_lineage(components(linked(hub_pairs(index), sets)))
+    rest = cut_lineage(families(open_lists(index, labels)))
+    if rest.isEmpty():
+        return labels
+    new = cell_edges(rest.withColumnRenamed("cls", "key").join(sets.select("key", "tokens"), "key"))
+    return cut_lineage(components(labels.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(new)))
 
 
 def indexed_sets(lean: DataFrame, table: DataFrame) -> DataFrame:
@@ -372,20 +390,32 @@ def link_components(docs: DataFrame, count_links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (least doc_id with an equal set) and n_links (other classes its class links with) of every document."""
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = cut_lineage(set_table(lean))
-    classes = table.filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("cls"))
+    classes = table.filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("cls"), F.count("*").alias("copies"))
     sets = cut_lineage(indexed_sets(lean, table))
-    labels = link_edges(sets)
+    labels = link_labels(sets)
     named = labels.select(F.col("id").alias("key"), "comp").join(classes, "key")
     least = named.groupBy("comp").agg(F.min("cls").alias("least"))
     named = named.join(least, "comp").select("key", "least")
     if count_links:
         named = named.join(link_counts(sets, labels).withColumnRenamed("cls", "key"), "key", "left")
-    facts = classes.join(named, "key", "left")
-    rows = table.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(facts, "key", "left")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "cls", "doc_id").alias("component_id"), F.coalesce("cls", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links") if count_links else F.lit(None).cast("long").alias("n_links"))
+    else:
+        named = named.withColumn("n_links", F.lit(None).cast("long"))
+    facts = cut_lineage(classes.join(named, "key", "left").withColumn("copied", F.lit(False)))
+    rows = table.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
+    out = _with_facts(rows, facts, rows.count())
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "cls", "doc_id").alias("component_id"), F.coalesce("cls", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     return out if count_links else out.drop("n_links")
 
 
+def _with_facts(rows: DataFrame, facts: DataFrame, n_rows: int) -> DataFrame:
+    """rows with the facts of their class; those of classes that hold a COPIED-th of all rows, at most COPIED, come by broadcast and deal their rows by doc_id."""
+    much = facts.filter(F.col("copies") * COPIED >= n_rows).select("key", *(F.col(c).alias(f"_{c}") for c in ("cls", "least", "n_links")))
+    rows = rows.join(F.broadcast(much), "key", "left").withColumn("copied", F.col("_cls").isNotNull() | F.col("key").isNull())
+    rows = rows.withColumn("key", F.when(F.col("copied"), F.xxhash64("doc_id", "n")).otherwise(F.col("key")))
+    rows = rows.join(facts.drop("copies").hint("merge"), ["key", "copied"], "left")
+    return rows.withColumns({c: F.coalesce(f"_{c}", c) for c in ("cls", "least", "n_links")})
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without those of which another document of their component has a smaller doc_id; a null doc_id stays."""
     gone = link_components(docs, count_links=False).filter("doc_id <> component_id").select("doc_id").distinct()
