@@ -12,6 +12,7 @@ import corpus_pipeline
 from larder.llm import jaccard_join, mixing, quality_lm, resharding, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+DAMP = toxicity.DAMPED
 FILL = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
 
@@ -189,6 +190,58 @@ def test_negation_and_reports_have_scope():
         assert g.score(goes) >= toxicity.THRESHOLD, goes
 
 
+def runs(machine, read):
+    """All accepted runs of one transducer over symbols, as lists of factors."""
+    out = []
+
+    def go(state, k, factors):
+        if k == len(read):
+            if state in machine.finals:
+                out.append(factors)
+            return
+        for to, f in machine.arcs.get((state, read[k][0]), ()):
+            go(to, k + 1, [*factors, f])
+
+    for s in machine.starts:
+        go(s, 0, [])
+    return out
+
+
+def test_composition_against_separate_runs():
+    rng = random.Random(4)
+    machines = [toxicity.negation_scope(0.1), toxicity.reported_speech(0.3), toxicity.quotation(0.2), toxicity.aim()]
+    whole = toxicity.compose(machines)
+    for _ in range(300):
+        read = [(x, rng.choice([1.0, 2.5]) if x in toxicity.HITS else 0.0) for x in rng.choices(toxicity.SYMBOLS, k=rng.randint(0, 9))]
+        each = [runs(m, read) for m in machines]
+        assert all(len(r) == 1 for r in each)  # every clause has one accepted run of each
+        want = sum(w * np.prod([r[0][k] for r in each]) for k, (_, w) in enumerate(read))
+        assert toxicity.path_weight(whole, read) == pytest.approx(want)
+
+
+def test_contexts_matter_on_held_out_rows(spark):
+    """Negated and reported insults are labelled civil; without these transducers the held-out rows are judged worse."""
+    rng = random.Random(6)
+    docs, labels = [], []
+    for i in range(1200):
+        kind = i % 6
+        said = {0: "you are an idiot", 1: "he is not an idiot", 2: "she said that idiot came"}.get(kind, "")
+        docs.append((i, f"{say(rng, 12)}. {said}. {say(rng, 12)}", "en", "s", 1))
+        labels.append((i, 1, int(kind == 0)))
+    d, known = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    grammar = toxicity.fit(d, known)
+    wrong = lambda g: sum(r["predicted"] != int(r["doc_id"] % 6 == 0) for r in toxicity.score(d, g).filter("held_out").collect())
+    assert wrong(grammar) == 0
+    assert wrong(toxicity.Grammar(grammar.arcs, negated=1.0, reported=DAMP)) > 20 and wrong(toxicity.Grammar(grammar.arcs, negated=DAMP, reported=1.0)) > 20
+
+
+def test_far_contexts_and_long_clauses():
+    g = toxicity.Grammar(list(toxicity.LISTED))
+    far = "she said " + "that word " * 500 + "idiot"
+    assert g.score(far) < toxicity.THRESHOLD < g.score("that word " * 500 + "idiot")
+    assert 0.9 < g.score("word " * 200_000 + "you idiot, you moron") <= 1
+
+
 def test_toxicity_edge_cases(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     d = spark.createDataFrame([(1, None, None, None, None), (None, "", "en", "s", 0), (3, "you idiot", "en", "s", 9)], DOCS)
