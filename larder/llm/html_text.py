@@ -12,27 +12,35 @@ Counting combines before the shuffle, so a host with a third of all pages is no
 page ids and hashes, and the pages' text blocks.
 
 Defined cases: null or empty html and pages without text give ''; unclosed and misnested tags are repaired as
-browsers do; repeated pages each get their row; an empty table gives an empty result; extra columns are ignored.
+browsers do, and after a quote that never ends tags end at the next >; markup of any depth is walked without
+recursion; all articles of a page that aren't comments count; repeated pages each get their row; a very long page is
+held whole by its task; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.common import cut_lineage
+
 #: A subtree is a template if it is on at least MIN_PAGES pages and on MIN_SHARE of its host's pages.
 MIN_PAGES, MIN_SHARE = 4, 0.05
 #: Pages that are enough on a host of any size.
 MANY_PAGES = 100
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|\Z)""", re.I)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_TAG_REST = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_PLAIN_REST = re.compile(r"([^>]*+)>")
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
+_KNOWN = frozenset("class id role hidden aria-hidden itemprop style".split())
 _SPACE = re.compile(r"\s+")
 
 # HTML element classes.
@@ -47,6 +55,7 @@ CLOSES = {
 ENDS_P = BLOCK - frozenset("body html td th tr tbody thead tfoot li dd dt summary legend figcaption".split())
 BOXES = frozenset("center details dir div dl fieldset figure ol section table ul".split())
 NOT_TEXT = frozenset("nav footer aside form button select menu head dialog object svg canvas audio video map search".split())
+NAMED = BOXES | frozenset("span p".split())
 NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 NOT_TEXT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer masthead comment comments commentlist disqus respond replies share sharing social related recommended newsletter subscribe subscription signup login widget widgets pagination pager toolbar skip".split()
@@ -54,42 +63,53 @@ NOT_TEXT_WORDS = frozenset(
 
 
 class Element:
-    """A node: children are elements, or text between tags."""
+    """A node: children are elements, or text between tags; size, digest and has_text are set by ``_measure``."""
 
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "digest", "has_text", "size", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
 
+    def tokens(self) -> set[str]:
+        """Whole words of class and id."""
+        return {w for k in ("class", "id") if k in self.attrs for w in self.attrs[k].lower().split()}
+
     def words(self) -> set[str]:
+        """Words of class and id and their parts."""
         return {w for k in ("class", "id") if k in self.attrs for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", self.attrs[k]).lower())}
 
     def is_text(self, in_article: bool) -> bool:
-        """Whether the markup allows main text in this element."""
+        """Whether the markup allows main text in this element; inside an article only whole class words of containers count."""
         if self.tag in NOT_TEXT or (self.tag == "header" and not in_article):
             return False
         if not self.attrs:
             return True
         if "hidden" in self.attrs or self.attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", self.attrs.get("style", ""), re.I):
             return False
-        return self.tag in ("body", "html", "main") or not (self.attrs.get("role", "").lower() in NOT_TEXT_ROLES or self.words() & NOT_TEXT_WORDS)
+        if self.tag in ("body", "html", "main") or self.attrs.get("role", "").lower() in NOT_TEXT_ROLES:
+            return self.tag in ("body", "html", "main")
+        return not (self.tokens() & NOT_TEXT_WORDS and self.tag in NAMED) if in_article else not self.words() & NOT_TEXT_WORDS
 
 
 def parse(page: str) -> Element:
     root = Element("html", {})
-    stack = [root]
+    stack, open_tags = [root], Counter()
 
     def close(tags: set[str], until: tuple[str, ...]) -> None:
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in tags:
+                open_tags.subtract(e.tag for e in stack[k:])
+                for e in stack[k:]:
+                    if not open_tags[e.tag]:
+                        del open_tags[e.tag]
                 del stack[k:]
                 return
             if stack[k].tag in until:
                 return
 
-    at, n = 0, len(page)
+    at, n, rest = 0, len(page), _TAG_REST
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _MARKUP.search(page, at)
         if not m:
             stack[-1].children.append(page[at:])
             break
@@ -98,141 +118,162 @@ def parse(page: str) -> Element:
         at = m.end()
         if m[2] is None:
             continue
+        inner = rest.match(page, at)
+        if not inner and rest is _TAG_REST:  # a quote that never ends: from here on tags end at the next >
+            rest = _PLAIN_REST
+            inner = rest.match(page, at)
+        if not inner:
+            stack[-1].children.append(page[m.start() :])
+            break
+        at = inner.end()
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not any(e.tag == "p" for e in stack):
+            if tag == "p" and "p" not in open_tags:
                 stack[-1].children.append(Element("p", {}))
-            elif tag not in ("html", "body"):
+            elif tag not in ("html", "body") and tag in open_tags:
                 close({tag}, ("article", "main", "body") if tag not in BLOCK else ())
             continue
-        attrs = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(m[3])} if m[3] else {}
+        attrs = {k: v.strip("\"'") for name, v in _ATTR.findall(inner[1]) if (k := name.lower()) in _KNOWN} if inner[1] else {}
         if tag in ("html", "body"):
             root.attrs |= attrs if tag == "body" else {}
             continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and "p" in open_tags:
             close({"p"}, ("article", "section", "div", "td", "th", "li", "button", "object"))
         if tag in CLOSES:
             tags, until = CLOSES[tag]
-            close(set(tags.split()), until)
+            if any(t in open_tags for t in tags.split()):
+                close(set(tags.split()), until)
         element = Element(tag, attrs)
         stack[-1].children.append(element)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not inner[1].endswith("/"):
             stack.append(element)
+            open_tags[tag] += 1
     return root
 
 
-class _Page:
-    """Main-text blocks of one page, each with the hashes of the candidate subtrees that hold it."""
+def _elements(root: Element, into: Callable[[Element], bool]) -> list[Element]:
+    """root and all elements below it, parents first, not below those that ``into`` refuses."""
+    out = [root]
+    for e in out:
+        if e is root or into(e):
+            out.extend(c for c in e.children if isinstance(c, Element))
+    return out
 
-    def __init__(self, page: str):
-        self.blocks: list[tuple[str, list[int]]] = []
-        self.parts: list[str] = []
-        root = parse(page)
-        articles = [e for e in self._find(root, "article")]
-        main = max(articles, key=self._length, default=None) or next(iter(self._find(root, "main")), None)
-        self.settled = main is not None
-        self.hashes: dict[int, int] = {}
-        self._hash(root, main)
-        outer, self.hashes = self.hashes, {}
-        if main:
-            self._boxes(main)
-        self.inner, self.hashes = self.hashes, outer
-        self.size = self._length(main) if self.inner else 0
-        self.counted = set(outer.values())
-        self._walk(main or root, self.settled, [])
-        self._flush([])
-
-    def _find(self, e: Element, tag: str) -> Iterator[Element]:
-        for c in e.children:
-            if isinstance(c, Element) and c.is_text(False):
-                if c.tag == tag:
-                    yield c
-                else:
-                    yield from self._find(c, tag)
-
-    def _length(self, e: Element) -> int:
-        return sum(len(c) if isinstance(c, str) else self._length(c) for c in e.children)
-
-    def _hash(self, e: Element, main: Element | None) -> int:
-        """Of all subtrees outside the main element; kept for those that hold text."""
-        h, has_text = xxhash.xxh64(f"{e.tag}|{e.attrs.get('class', '')}|{e.attrs.get('id', '')}"), False
+
+def _measure(root: Element, mains: list[Element]) -> None:
+    """Text size and hash of every subtree; a main element counts as an empty mark in those around it."""
+    inside = {id(e) for e in mains}
+    for e in reversed(_elements(root, lambda _: True)):
+        h = xxhash.xxh64(f"{e.tag}|{e.attrs.get('class', '')}|{e.attrs.get('id', '')}".encode("utf-8", "surrogatepass"))
+        e.size, e.has_text = 0, False
         for c in e.children:
-            if c is main:
-                h.update(b"<main>")
-            elif isinstance(c, str):
+            if isinstance(c, str):
+                e.size += len(c)
                 if not c.isspace():
-                    has_text = True
+                    e.has_text = True
                     h.update(_SPACE.sub(" ", c).strip().encode("utf-8", "surrogatepass") + b"|")
+            elif id(c) in inside:
+                h.update(b"<main>")
             else:
-                d = self._hash(c, main)
-                has_text |= id(c) in self.hashes
-                h.update(d.to_bytes(8, "little"))
-        d = h.intdigest()
-        if has_text and e.tag not in ("html", "body"):
-            self.hashes[id(e)] = d - (1 << 63)
-        return d
-
-    def _boxes(self, e: Element) -> None:
-        """Hashes of the containers inside the main element."""
-        for c in e.children:
-            if isinstance(c, Element) and c.tag not in RAW:
-                if c.tag in BOXES:
-                    self._hash(c, None)
-                else:
-                    self._boxes(c)
-
-    def _flush(self, within: list[int]) -> None:
-        text = _SPACE.sub(" ", entities.unescape("".join(self.parts))).strip()
-        self.parts = []
-        if text:
-            self.blocks.append((text, list(within)))
-
-    def _walk(self, e: Element, in_article: bool, within: list[int]) -> None:
-        for c in e.children:
-            if isinstance(c, str):
-                self.parts.append(c)
+                e.size += c.size
+                e.has_text |= c.has_text
+                h.update(c.digest.to_bytes(8, "little"))
+        e.digest = h.intdigest()
+
+
+class _Page:
+    """Main-text blocks of one page; each names its innermost candidate subtree, each of those the one around it."""
+
+    def __init__(self, page: str):
+        self.blocks: list[str] = []
+        self.box_of: list[int] = []  # of each block, -1 outside all
+        self.hashes: list[int] = []
+        self.parents: list[int] = []
+        root = parse(page)
+        seen = _elements(root, lambda e: e.is_text(False) and e.tag != "article")
+        text = [e for e in seen if e.is_text(False)]
+        mains = [e for e in text if e.tag == "article"] or [e for e in text if e.tag == "main"][:1]
+        _measure(root, mains)
+        self.settled = bool(mains)
+        self.counted = {e.digest - (1 << 63) for e in _elements(root, lambda e: e not in mains) if e.has_text and e not in mains and e.tag not in ("html", "body")}
+        size = sum(e.size for e in mains)
+        order = {id(e): k for k, e in enumerate(mains)}
+        for main in sorted(mains, key=lambda e: order[id(e)]) or [root]:
+            self._walk(main, size)
+        self.counted |= set(self.hashes)
+
+    def _box(self, e: Element, around: int) -> int:
+        self.hashes.append(e.digest - (1 << 63))
+        self.parents.append(around)
+        return len(self.hashes) - 1
+
+    def _walk(self, top: Element, size: int) -> None:
+        parts: list[str] = []
+
+        def flush(box: int) -> None:
+            text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
+            parts.clear()
+            if text:
+                self.blocks.append(text)
+                self.box_of.append(box)
+
+        stack = [(top, iter(top.children), -1)]
+        while stack:
+            e, children, box = stack[-1]
+            c = next(children, None)
+            if c is None:
+                stack.pop()
+                if e.tag in BLOCK:
+                    flush(box)
+            elif isinstance(c, str):
+                parts.append(c)
             elif c.tag == "br":
-                self.parts.append(" ")
-            elif c.tag in RAW or not c.is_text(in_article):
+                parts.append(" ")
+            elif c.tag in RAW or not c.is_text(self.settled):
                 if c.tag in BLOCK:
-                    self._flush(within)
+                    flush(box)
             elif c.tag in BLOCK:
-                self._flush(within)
-                own = within
-                if not in_article:
-                    own = [*within, self.hashes.get(id(c), 0)]
-                elif c.tag in BOXES and id(c) in self.inner and 2 * self._length(c) <= self.size:
-                    own = [*within, self.inner[id(c)]]
-                    self.counted.add(own[-1])
-                self._walk(c, in_article, own)
-                self._flush(own)
+                flush(box)
+                candidate = c.has_text if not self.settled else c.tag in BOXES and c.has_text and 2 * c.size <= size
+                stack.append((c, iter(c.children), self._box(c, box) if candidate else box))
             else:
-                self._walk(c, in_article, within)
+                stack.append((c, iter(c.children), box))
+        flush(-1)
 
 
 def host_of(url: str | None) -> str:
     return re.sub(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/@]*@)?", "", (url or "").lower()).partition("/")[0].partition("?")[0].partition("#")[0].partition(":")[0]
 
 
-PARSED = "page_id {id}, url string, host string, settled boolean, article bigint, blocks array<string>, within array<array<bigint>>, counted array<bigint>"
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """One row a page: its text blocks, the candidate subtree of each, and these subtrees' hashes and parents."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [_Page(html or "") for html in b["html"]]
+            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "settled": [p.settled for p in found], "blocks": [p.blocks for p in found], "box_of": [p.box_of for p in found], "hashes": [p.hashes for p in found], "parents": [p.parents for p in found]})
 
-def parsed_pages(pages: DataFrame) -> DataFrame:
-    """One row a page: its text blocks and the counted subtrees that hold them; hashes of all counted subtrees."""
+    lean = pages.select("page_id", "url", "html")
+    return lean.mapInPandas(run, f"page_id {dict(lean.dtypes)['page_id']}, url string, settled boolean, blocks array<string>, box_of array<int>, hashes array<bigint>, parents array<int>")
+
+
+def counted_subtrees(pages: DataFrame) -> DataFrame:
+    """page_id, host, article (a hash of the article's text, null without one) and the hashes of all counted subtrees of every page."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for page_id, url, html in zip(b["page_id"], b["url"], b["html"], strict=True):
                 p = _Page(html or "")
-                rows.append((page_id, url, host_of(url), p.settled, xxhash.xxh64_intdigest("\n".join(t for t, _ in p.blocks).encode("utf-8", "surrogatepass")) - (1 << 63) if p.settled else None, [t for t, _ in p.blocks], [w for _, w in p.blocks], sorted(p.counted)))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "host", "settled", "article", "blocks", "within", "counted"])
+                rows.append((page_id, host_of(url), xxhash.xxh64_intdigest("\n".join(p.blocks).encode("utf-8", "surrogatepass")) - (1 << 63) if p.settled else None, sorted(p.counted)))
+            out = pd.DataFrame(rows, columns=["page_id", "host", "article", "counted"])
+            yield out.astype({"article": "Int64"})
 
     lean = pages.select("page_id", "url", "html")
-    return lean.mapInPandas(run, PARSED.format(id=dict(lean.dtypes)["page_id"]))
+    return lean.mapInPandas(run, f"page_id {dict(lean.dtypes)['page_id']}, host string, article bigint, counted array<bigint>")
 
 
 def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -242,16 +283,32 @@ def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float =
     return counts.filter(F.col("n") >= min_pages).join(hosts, "host").filter((F.col("n") >= MANY_PAGES) | (F.col("n") >= F.col("pages") * min_share)).select("host", "hash")
 
 
+def _without(row: tuple) -> tuple[str, int]:
+    """A page's text without the blocks in dropped subtrees, and how many those are."""
+    settled, blocks, box_of, hashes, parents, drop = row
+    gone = [False]  # the last entry answers for -1, outside all subtrees
+    if drop is not None and len(drop):
+        gone = [False] * (len(hashes) + 1)
+        drop = set(drop.tolist())
+        for k, h in enumerate(hashes.tolist()):  # a parent comes before its children
+            gone[k] = h in drop or gone[parents[k]]
+        kept = [t for t, k in zip(blocks, box_of, strict=True) if not gone[k]]
+        if not (settled and 2 * sum(map(len, kept)) < sum(map(len, blocks))):
+            return "\n".join(kept), len(blocks) - len(kept)
+    return "\n".join(blocks), 0
+
+
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, url, text, n_chars and the number of deleted template blocks for every page."""
-    parsed = parsed_pages(pages)
-    held = parsed.select("page_id", "host", F.explode("counted").alias("hash"))
-    drop = held.join(templates(parsed, min_pages, min_share), ["host", "hash"], "left_semi").groupBy("page_id").agg(F.collect_set("hash").alias("drop"))
-    rows = parsed.drop("host", "counted").join(drop, "page_id", "left")
-    gone = F.coalesce("drop", F.array().cast("array<bigint>"))
-    kept = F.filter("blocks", lambda x, i: ~F.arrays_overlap(F.get("within", i), gone))
-    size = lambda c: F.length(F.array_join(c, ""))
-    rows = rows.select("page_id", "url", "settled", "blocks", kept.alias("kept"))
-    kept = F.when(F.col("settled") & (2 * size("kept") < size("blocks")), F.col("blocks")).otherwise(F.col("kept"))
-    out = rows.select("page_id", "url", F.array_join(kept, "\n").alias("text"), (F.size("blocks") - F.size(kept)).cast("long").alias("n_template_blocks"))
+    counted = cut_lineage(counted_subtrees(pages))
+    held = counted.select("page_id", "host", F.explode("counted").alias("hash"))
+    drop = held.join(templates(counted, min_pages, min_share), ["host", "hash"], "left_semi").groupBy("page_id").agg(F.collect_set("hash").alias("drop"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [_without(row) for row in zip(*(b[c] for c in ("settled", "blocks", "box_of", "hashes", "parents", "drop")), strict=True)]
+            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": [t for t, _ in out], "n_template_blocks": [n for _, n in out]})
+
+    rows = parsed_pages(pages).join(drop.hint("merge"), "page_id", "left")
+    out = rows.mapInPandas(run, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_template_blocks bigint")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template_blocks")

@@ -69,6 +69,44 @@ def test_broken_pages_do_not_crash(page):
     html_text._Page(page)
 
 
+def text_of(html):
+    return "\n".join(html_text._Page(html).blocks)
+
+
+def test_names_and_attributes_inside_articles():
+    body = '<p data-id="comment-3">Two</p><p data-role="banner">Three</p><p title="the hidden truth">Four</p><a title="no hidden fees">Five</a><h2 id="related-work">Six</h2><section class="share-price">Seven</section><div id="menu-history">Eight</div>'
+    assert text_of(f"<article><p>One</p>{body}<div class='box related'>no</div><p hidden>no</p></article>") == "One\nTwo\nThree\nFour\nFive\nSix\nSeven\nEight"
+    assert text_of("<article>First</article><div class='comments'><article>me too</article></div><article>Second</article>") == "First\nSecond"
+
+
+def test_deep_and_unclosed_markup_is_linear():
+    import time
+
+    for tag in ("b", "div"):
+        assert text_of("<article>" + f"<{tag}>" * 10_000 + "deep</article>") == "deep"
+        assert text_of(f"<{tag}>x" * 10_000).replace("\n", "") == "x" * 10_000
+    start = time.time()
+    assert text_of("x" + '<a "' * 60_000).startswith("x")
+    assert text_of("<p>" * 20_000 + "</i>" * 20_000 + "y") == "y"
+    assert time.time() - start < 20
+
+
+def test_template_counts_against_brute_force(spark):
+    rng = random.Random(9)
+    boxes = [f"<div class='b{k}'><p>Box {k}</p></div>" for k in range(5)]
+    page = lambda i: f"<article><p>{'Own words ' * 9}{i}</p>{''.join(b for b in boxes if rng.random() < 0.3)}</article>"
+    rows = [(i, f"https://h{i % 3}.example/", page(i)) for i in range(60)]
+    on = {}
+    for _, url, html in rows:
+        for k in range(5):
+            on.setdefault((url, k), []).append(f"Box {k}" in html)
+    gone = {key for key, pages in on.items() if sum(pages) >= html_text.MIN_PAGES}
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, url, html in rows:
+        assert [f"Box {k}" in got[i] for k in range(5)] == [f"Box {k}" in html and (url, k) not in gone for k in range(5)]
+    assert gone
+
+
 # decontamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
