@@ -6,13 +6,14 @@ scaled so that the expected tokens are ``budget`` of all, with probabilities ove
 anew. A document is sampled when a uniform number made from its id lies below its probability, so a rerun and
 a lost executor give the same sample.
 
-That budget is met before the targets: cells that would pass 1 are cut off, and the marginals then miss them.
-With ``budget=None`` the rate is the largest at which no cell is cut, and the marginals are the raked ones
-(``achieved`` returns both).
+Without a budget (``budget=None``, what the query and the pipeline use) the rate is the largest at which no cell is cut off,
+so that the sampled marginals are the targets (``achieved`` returns both). With a budget, cells that would pass 1 are cut
+off and the marginals miss their targets by that.
 
 Targets: shares by dimension (value -> share) or, by default, tempered shares: share ** TEMPER, normalised. The
-cell table is made by one aggregation that combines before the shuffle. Up to ONE_TASK_CELLS cells (counted
-first) are raked in one task and broadcast to the documents; more stay distributed, with the lineage cut after each round.
+cell table is made by one aggregation that combines before the shuffle, and raked by windows over one dimension's value at
+a time, with the lineage cut after each CUT_ROUNDS rounds; totals are single numbers. Whether the fitted cells are broadcast
+to the documents is left to Spark's own check of their size.
 
 Defined cases: null source or language counts as the empty string; null and empty texts have no tokens, are
 sampled always (they weigh nothing); a target value without documents is ignored and the rest renormalised; an
@@ -28,7 +29,7 @@ from larder.llm.common import cut_lineage
 
 DIMENSIONS = ("source", "lang", "topic")
 BUDGET, TEMPER, ROUNDS = 0.9, 0.7, 12
-ONE_TASK_CELLS = 100_000
+CUT_ROUNDS = 4
 #: Topic rules in order; the first that holds counts, the last is the rest.
 LEGAL = "[Ll]icen[cs]e|[Cc]opyright"
 CONTACT = "[a-z0-9]@[a-z0-9]"
@@ -53,50 +54,51 @@ def with_cells(docs: DataFrame) -> DataFrame:
 
 def _targets(cells: DataFrame, shares: dict[str, dict[str, float]] | None) -> DataFrame:
     """cells with target_<dim>: tokens that the cell's value of the dimension should have in all."""
-    everything = Window.partitionBy()
+    keys = [f"_{d}" for d in DIMENSIONS]
     for d in DIMENSIONS:
-        per_value = Window.partitionBy(f"_{d}")
+        values = cells.groupBy(f"_{d}").agg(F.sum("tokens").cast("double").alias("_own"))
         if shares and d in shares:
             given = F.coalesce(*(F.when(F.col(f"_{d}") == v, F.lit(float(s))) for v, s in shares[d].items()), F.lit(0.0))
         else:
-            given = F.pow(F.sum("tokens").over(per_value).cast("double"), F.lit(TEMPER))
-        cells = cells.withColumn("_given", given).withColumn("_one", F.row_number().over(per_value.orderBy(*(f"_{x}" for x in DIMENSIONS))))
-        total = F.sum(F.when(F.col("_one") == 1, F.col("_given"))).over(everything)
-        cells = cells.withColumn(f"target_{d}", F.when(total > 0, F.col("_given") / total * F.sum("tokens").over(everything)).otherwise(0.0)).drop("_given", "_one")
-    return cells
+            given = F.pow("_own", F.lit(TEMPER))
+        values = values.withColumn("_given", given)
+        tokens, total = values.agg(F.sum("_own"), F.sum("_given")).first()
+        factor = (tokens or 0.0) / total if total else 0.0
+        cells = cells.join(values.select(f"_{d}", (F.col("_given") * F.lit(factor)).alias(f"target_{d}")), f"_{d}")
+    return cells.select(*keys, *(c for c in cells.columns if c not in keys))
 
 
-def rake(cells: DataFrame, shares: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, cut: bool = False) -> DataFrame:
+def rake(cells: DataFrame, shares: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
     """cells (_source, _lang, _topic, tokens) with weight: fitted tokens."""
-    cells = _targets(cells, shares).withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(rounds):
+    cells = cut_lineage(_targets(cells, shares).withColumn("weight", F.col("tokens").cast("double")))
+    for k in range(1, rounds + 1):
         for d in DIMENSIONS:
             own = F.sum("weight").over(Window.partitionBy(f"_{d}"))
             cells = cells.withColumn("weight", F.when(own > 0, F.col("weight") * F.col(f"target_{d}") / own).otherwise(0.0))
-        if cut:
+        if k % CUT_ROUNDS == 0 or k == rounds:
             cells = cut_lineage(cells)
     return cells
 
 
 def calibrate(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     """raked cells with probability: min(1, rate * weight / tokens), the rate such that expected tokens meet the budget."""
-    ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
-    order = Window.orderBy(F.col("ratio").desc_nulls_last(), *(f"_{d}" for d in DIMENSIONS))
-    cells = cells.withColumn("ratio", ratio)
-    full = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    all_tokens = F.sum("tokens").over(Window.partitionBy())
-    cells = cells.withColumn("rate", F.when(rest > 0, (all_tokens * F.lit(float(budget)) - full) / rest))
-    rate = F.max(F.when(F.col("rate") * F.col("ratio") <= 1.0 + 1e-12, F.col("rate"))).over(Window.partitionBy())
-    p = F.when(F.col("ratio").isNull() | rate.isNull(), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), rate * F.col("ratio"))))
-    return cells.withColumn("probability", F.round(p, 6)).drop("ratio", "rate")
+    want = budget * (cells.agg(F.sum("tokens")).first()[0] or 0)
+    rate, full = 0.0, F.lit(False)
+    while True:  # each round cuts off at least one more cell, and few rounds cut off all that must be
+        whole, rest = cells.agg(F.sum(F.when(full, F.col("tokens"))), F.sum(F.when(~full, F.col("weight")))).first()
+        new = (want - (whole or 0)) / rest if rest else rate
+        if new <= rate:
+            break
+        rate, full = new, F.lit(new) * F.col("weight") >= F.col("tokens")
+    p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(rate) * F.col("weight") / F.col("tokens"))).otherwise(1.0)
+    return cells.withColumn("probability", F.round(p, 6))
 
 
 def uncut(cells: DataFrame) -> DataFrame:
     """raked cells with probability: rate * weight / tokens, the rate the largest at which none passes 1, so that the marginals hold."""
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
-    most = F.max(ratio).over(Window.partitionBy())
-    return cells.withColumn("probability", F.when(ratio.isNull() | most.isNull() | (most <= 0), F.lit(1.0)).otherwise(ratio / most))
+    most = cells.agg(F.max(ratio)).first()[0]
+    return cells.withColumn("probability", F.round(F.when(ratio.isNull() | F.lit(not most), F.lit(1.0)).otherwise(ratio / F.lit(most or 1.0)), 6))
 
 
 def uniform(id_col: str = "doc_id") -> Column:
@@ -104,16 +106,19 @@ def uniform(id_col: str = "doc_id") -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def mix(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, budget: float | None = BUDGET) -> DataFrame:
-    """docs with topic, n_tokens, probability and sampled; without a budget as many tokens as the targets allow."""
-    rows = with_cells(docs)
+def lean(docs: DataFrame) -> DataFrame:
+    """docs with their cells and without their texts, written once: what ``mix`` needs when the texts aren't wanted."""
+    return cut_lineage(with_cells(docs).drop("text", *(f"_{d}" for d in DIMENSIONS)))
+
+
+def mix(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, budget: float | None = None) -> DataFrame:
+    """docs (as they are, or from ``lean``) with topic, n_tokens, probability and sampled; without a budget as many tokens as the targets allow."""
+    rows = with_cells(docs) if "text" in docs.columns else docs.withColumns({f"_{d}": F.coalesce(F.col(d).cast("string"), F.lit("")) for d in DIMENSIONS})
     keys = [f"_{d}" for d in DIMENSIONS]
     cells = cut_lineage(rows.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
-    near = cells.count() <= ONE_TASK_CELLS
-    raked = rake(cells.coalesce(1) if near else cells, shares, cut=not near)
-    fitted = (uncut(raked) if budget is None else calibrate(raked, budget)).select(*keys, "probability")
-    out = rows.join(F.broadcast(fitted) if near else fitted, keys).drop(*keys)
-    return out.withColumn("sampled", uniform() < F.col("probability"))
+    raked = rake(cells, shares)
+    fitted = cut_lineage((uncut(raked) if budget is None else calibrate(raked, budget)).select(*keys, "probability"))
+    return rows.join(fitted, keys).drop(*keys).withColumn("sampled", uniform() < F.col("probability"))
 
 
 def achieved(mixed: DataFrame, shares: dict[str, dict[str, float]] | None = None) -> DataFrame:
@@ -129,7 +134,7 @@ def achieved(mixed: DataFrame, shares: dict[str, dict[str, float]] | None = None
     return out.select("dimension", "value", part("goal").alias("target"), part("kept").alias("share"))
 
 
-def sample(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, budget: float | None = BUDGET) -> DataFrame:
+def sample(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, budget: float | None = None) -> DataFrame:
     """The sampled documents with their own columns."""
     return mix(docs, shares, budget).filter("sampled").select(*docs.columns)
 
@@ -152,8 +157,7 @@ def _sql() -> str:
         last = f"cells_{i + 1}"
     steps += [
         f"ratios AS (SELECT {keys}, tokens, weight, CASE WHEN tokens > 0 THEN weight / tokens END AS ratio FROM {last})",
-        f"rates AS (SELECT *, ((SELECT sum(tokens) FROM cells) * {BUDGET} - coalesce(sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / nullif(sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS rate FROM ratios WINDOW o AS (ORDER BY ratio DESC NULLS LAST, {keys}))",
-        f"fitted AS (SELECT {keys}, round(CASE WHEN ratio IS NULL THEN 1.0 ELSE least(1.0, greatest(0.0, (SELECT max(rate) FROM rates WHERE rate * ratio <= 1.0 + 1e-12) * ratio)) END, 6) AS probability FROM rates)",
+        f"fitted AS (SELECT {keys}, round(CASE WHEN ratio IS NULL OR (SELECT max(ratio) FROM ratios) = 0 THEN 1.0 ELSE ratio / (SELECT max(ratio) FROM ratios) END, 6) AS probability FROM ratios)",
     ]
     u = "(('0x' || md5(doc_id::VARCHAR)[1:8])::UBIGINT)::DOUBLE / 4294967296.0"
     return f"WITH {', '.join(steps)} SELECT doc_id, _source AS source, _lang AS lang, _topic AS topic, n_tokens, probability, {u} < probability AS sampled FROM docs JOIN fitted USING ({keys})"

@@ -44,17 +44,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(mixing.lean(table(spark, sf_dir, "documents")))
     return mixed.selectExpr("doc_id", "coalesce(source, '') AS source", "coalesce(lang, '') AS lang", "topic", "n_tokens", "probability", "sampled")
 
 
 def op9_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), budget=None)
+    mixed = mixing.mix(mixing.lean(table(spark, sf_dir, "documents")))
     return mixed.selectExpr("doc_id", "coalesce(source, '') AS source", "coalesce(lang, '') AS lang", "topic", "n_tokens", "probability", "sampled")
 
 
 def op9_mixing_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.achieved(mixing.mix(table(spark, sf_dir, "documents"), budget=None))
+    return mixing.achieved(mixing.mix(mixing.lean(table(spark, sf_dir, "documents"))))
 
 
 def op10_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +63,4 @@ def op10_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_jaccard_join, op3_decontamination, op4_resharding, op5_secret_ledger, op6_toxicity, op7_media_ts, op8_token_counts, op9_mixing, op10_quality_lm, op9_mixing_to_targets, op9_mixing_shares)}
-SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL, "op9_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL, "op9_mixing": mixing.SQL, "op9_mixing_to_targets": mixing.SQL}
