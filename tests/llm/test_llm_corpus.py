@@ -126,6 +126,16 @@ def test_shards(spark, monkeypatch):
     assert max(sizes.values()) - min(sizes[k] for k in range(40)) <= 2 * max(r["size"] for r in plan)
     assert resharding.sharded(spark.createDataFrame([], DOCS)).count() == 0
     assert resharding.sharded(spark.createDataFrame(rows[:1] * 2, DOCS)).count() == 2
+    twins = [(7, t, "en", "s", 1) for t in ("ab", "cd", "ef", None)] * 3
+    once, again = (sorted((r["text_crc32"], r["shard"], r["slot"]) for r in resharding.sharded(spark.createDataFrame(x, DOCS)).collect()) for x in (twins, twins[::-1]))
+    assert once == again and len({x[1:] for x in once}) == 12
+
+
+def test_documents_come_back_from_their_shards(spark):
+    rows = corpus(8, 60)
+    got = resharding.written(spark.createDataFrame(rows, DOCS), 7).collect()
+    assert sorted((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in got if r["text"] is not None) == sorted(r for r in rows if r[1] is not None) and len(got) == len(rows)
+    assert {r["shard"] for r in got} == set(range(7)) and len({(r["shard"], r["slot"]) for r in got}) == len(rows)
 
 
 def test_rewrite_touches_only_what_changes(spark, tmp_path):
