@@ -2,7 +2,11 @@
 
 Toxic documents go; of each group of near-duplicate documents the one with the least id stays; documents that
 hold benchmark passages go; the rest is sampled to target weights of source, language and topic; what is left
-is dealt to shards of near-equal bytes. Every stage takes all rows its predecessor kept.
+is dealt to shards of near-equal bytes, written, and returned. Every stage takes all rows its predecessor kept.
+
+Nulls and empty texts pass every stage but the sampling, where they weigh nothing and stay; a null doc_id is no
+duplicate; rows that repeat count as duplicates of each other only if another id is smaller, so they stay together;
+empty tables give empty results; extra columns are carried through; very long texts are read whole by one task.
 """
 
 from __future__ import annotations
@@ -16,23 +20,28 @@ from larder.llm.common import shared_dir, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that the grammar, fitted to the labels, scores as toxic."""
     return toxicity.keep_civil(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of documents that share 75 % of their word shingles, the one with the least id."""
     return jaccard_join.keep_first(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that hold a window of a benchmark item."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample of docs whose tokens by source, language and topic meet the tempered targets."""
     return mixing.sample(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return resharding.sharded(docs)
+    """docs as read back from their new shards, with old_shard, size, slot and shard."""
+    return resharding.written(docs)
 
 
 STAGES = [

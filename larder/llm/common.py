@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, a temporary one, but only if driver and executors are one process (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="larder-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -36,16 +38,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of ids up to which a side is broadcast (about 50 MB); more are joined by shuffling.
-NEAR_IDS = 2_000_000
-
-
-def near(ids: DataFrame) -> DataFrame:
-    """A table of ids (cut from its lineage, so that counting is cheap) with a broadcast hint if it is known to be small."""
-    ids = cut_lineage(ids)
-    return F.broadcast(ids) if ids.count() <= NEAR_IDS else ids
-
-
 def text_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of an Arrow string column holding about SLICE_BYTES each."""
     sizes = pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False)

@@ -19,8 +19,6 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut_lineage, near
-
 #: Words of a window, and of its start that serve as its hash key.
 WINDOW, KEY_WORDS = 10, 3
 #: A window takes about 200 bytes in the broadcast set.
@@ -63,7 +61,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         scan = _keyed(rows, length).select("doc_id", "words", F.posexplode(keys).alias("at", "key")).withColumn("at", F.col("at") - int(main))
         set_ = windows.filter(F.col("key_len") == length).select("item_id", "len", F.xxhash64(*(F.get("window", F.lit(k)) for k in range(length))).alias("item_key"), "window")
         same = (F.col("key") == F.col("item_key")) & (F.col("at") >= 0) & (F.slice("words", F.greatest(F.col("at"), F.lit(0)) + 1, F.col("len")) == F.col("window"))
-        joined = scan.join(F.broadcast(set_) if small else set_, same, "left" if main else "inner")
+        if not small:  # only keys cross the network; what a key finds is verified against the document, joined back
+            keyed = scan.filter("at >= 0").select("doc_id", "at", "key").join(set_, F.col("key") == F.col("item_key")).drop("key", "item_key")
+            found = keyed.join(rows.select(F.col("doc_id").alias("_id"), "words"), F.col("doc_id").eqNullSafe(F.col("_id"))).filter(F.slice("words", F.col("at") + 1, F.col("len")) == F.col("window"))
+            found = found.select("doc_id", "at", "len", "item_id", F.lit(None).cast("long").alias("n_words"))
+            if main:
+                found = found.unionByName(rows.select("doc_id", F.lit(-1).alias("at"), F.lit(None).cast("int").alias("len"), F.lit(None).cast(dict(set_.dtypes)["item_id"]).alias("item_id"), F.size("words").cast("long").alias("n_words")))
+            parts.append(found)
+            continue
+        joined = scan.join(F.broadcast(set_), same, "left" if main else "inner")
         parts.append(joined.filter((F.col("at") < 0) | F.col("item_id").isNotNull()).select("doc_id", "at", "len", "item_id", F.when(F.col("at") < 0, F.size("words")).cast("long").alias("n_words")))
     out = parts[0]
     for p in parts[1:]:
@@ -90,7 +96,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without contaminated documents, or (remove = "spans") with the hit words and what follows them up to the next word cut out."""
     bad = scan(docs, benchmark, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("spans").alias("_spans"))
-    bad = cut_lineage(bad) if remove == "spans" else near(bad.select("_bad_id"))
+    bad = (bad if remove == "spans" else bad.select("_bad_id")).hint("merge")
     same = F.col(id_col).eqNullSafe(F.col("_bad_id"))
     if remove == "documents":
         return docs.join(bad, same, "left_anti")

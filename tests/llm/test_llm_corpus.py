@@ -444,4 +444,18 @@ def test_stages_keep_columns_and_decide(spark, tmp_path):
     plain = plain_components([r for r in rows if r[0] != 900])
     assert first == {i for i, (_, c) in plain.items() if i == c} and clean == first - {901} and mixed <= clean
     final = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert set(final) == mixed and {r["law"] for r in final.values()} == {"bytes"}
+    texts = {r[0]: r[1] for r in rows}
+    assert set(final) == mixed and all(r["text"] == texts[i] for i, r in final.items())
+    assert len({(r["shard"], r["slot"]) for r in final.values()}) == len(final)
+
+
+def test_pipeline_of_empty_tables_and_extra_columns(spark, tmp_path):
+    for name, data, schema in (("documents", [], DOCS + ", shard int, extra string"), ("labels", [], "doc_id long, quality int, toxic int"), ("benchmark", [], "item_id long, text string")):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    docs = spark.createDataFrame([(1, None, None, None, None, 3, "x"), (None, "a b c", "en", "s", 5, 4, "y"), (2, "", "en", "s", 0, 5, "z")], DOCS + ", shard int, extra string")
+    docs.write.parquet(str(tmp_path / "few" / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).write.parquet(str(tmp_path / "few" / f"{name}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "few")).collect()
+    assert {r["extra"] for r in out} >= {"x", "z"} and len(out) <= 3
