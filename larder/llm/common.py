@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; where that is unset, a temporary one, but only if driver and executors are one process (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="larder-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", where)
@@ -38,6 +39,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with this part of all rows has its rows dealt apart.
+HOT_PART = 1000
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, n_rows: int, spread: str) -> DataFrame:
+    """rows left-joined with the facts (key, copies, ...) of their key, of which copies are the rows that have it.
+
+    Keys that hold a HOT_PART-th of all rows, at most HOT_PART of them, come by broadcast, and their rows are dealt by ``spread``.
+    """
+    names = [c for c in facts.columns if c not in (key, "copies")]
+    much = facts.filter(F.col("copies") * HOT_PART >= n_rows).select(key, F.lit(True).alias("_hot"), *(F.col(c).alias(f"_{c}") for c in names))
+    rows = rows.join(F.broadcast(much), key, "left").withColumn("_apart", F.coalesce("_hot", F.col(key).isNull()))
+    rows = rows.withColumn("_key", F.when(F.col("_apart"), F.xxhash64(spread).cast("string")).otherwise(F.col(key).cast("string")))
+    rest = facts.select(F.col(key).cast("string").alias("_key"), F.lit(False).alias("_apart"), *names)
+    rows = rows.join(rest.hint("merge"), ["_key", "_apart"], "left")
+    return rows.withColumns({c: F.when(F.col("_hot"), F.col(f"_{c}")).otherwise(F.col(c)) for c in names}).drop("_key", "_apart", "_hot", *(f"_{c}" for c in names))
+
+
 def text_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of an Arrow string column holding about SLICE_BYTES each."""
     sizes = pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False)

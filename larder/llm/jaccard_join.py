@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut_lineage
+from larder.llm.common import cut_lineage, with_facts
 from larder.llm.shingles import shingle_sets
 
 #: Bits of a shingle's hash that are kept; shingles and sets that a task packs at once; shingles of a shard.
@@ -50,8 +50,6 @@ TOKEN_BITS, BATCH_TOKENS, BATCH_SETS, SHARD_TOKENS = 52, 2_000_000, 60_000, 1_00
 HOT, MOST_HOT = 16, 1_000_000
 #: Entries of a list that stay together in a join.
 LIST_ROWS = 1000
-#: A class with this part of all rows has its rows dealt apart.
-COPIED = 1000
 #: Sets of a block whose links are counted with another block at once, and columns of the matrices that do it.
 BLOCK_SETS, COLUMNS = 256, 8192
 
@@ -400,22 +398,13 @@ def link_components(docs: DataFrame, count_links: bool = True) -> DataFrame:
         named = named.join(link_counts(sets, labels).withColumnRenamed("cls", "key"), "key", "left")
     else:
         named = named.withColumn("n_links", F.lit(None).cast("long"))
-    facts = cut_lineage(classes.join(named, "key", "left").withColumn("copied", F.lit(False)))
+    facts = cut_lineage(classes.join(named, "key", "left"))
     rows = table.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
-    out = _with_facts(rows, facts, rows.count())
+    out = with_facts(rows, facts, "key", rows.count(), "doc_id")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "cls", "doc_id").alias("component_id"), F.coalesce("cls", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     return out if count_links else out.drop("n_links")
 
 
-def _with_facts(rows: DataFrame, facts: DataFrame, n_rows: int) -> DataFrame:
-    """rows with the facts of their class; those of classes that hold a COPIED-th of all rows, at most COPIED, come by broadcast and deal their rows by doc_id."""
-    much = facts.filter(F.col("copies") * COPIED >= n_rows).select("key", *(F.col(c).alias(f"_{c}") for c in ("cls", "least", "n_links")))
-    rows = rows.join(F.broadcast(much), "key", "left").withColumn("copied", F.col("_cls").isNotNull() | F.col("key").isNull())
-    rows = rows.withColumn("key", F.when(F.col("copied"), F.xxhash64("doc_id", "n")).otherwise(F.col("key")))
-    rows = rows.join(facts.drop("copies").hint("merge"), ["key", "copied"], "left")
-    return rows.withColumns({c: F.coalesce(f"_{c}", c) for c in ("cls", "least", "n_links")})
-
-
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without those of which another document of their component has a smaller doc_id; a null doc_id stays."""
     gone = link_components(docs, count_links=False).filter("doc_id <> component_id").select("doc_id").distinct()

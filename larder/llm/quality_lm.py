@@ -37,8 +37,6 @@ LOW, HIGH = 0.001, 0.995
 #: A document is only rejected beyond the quantiles by this factor; texts of few symbols vary more.
 SLACK = 1.02
 MIN_TRUSTED = 30
-#: Languages up to which their thresholds are broadcast.
-NEAR_LANGUAGES = 10_000
 
 
 def _classes() -> np.ndarray:
@@ -322,8 +320,7 @@ def judged(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     model = scored.join(ids, "doc_id", "left_semi").filter("perplexity IS NOT NULL")
     by_lang = cut_lineage(model.groupBy("lang").agg(*_quantiles(), F.count("*").alias("n")).filter(F.col("n") >= MIN_TRUSTED).drop("n"))
     overall = model.agg(*_quantiles()).first()
-    near = by_lang.count() <= NEAR_LANGUAGES
-    rows = scored.join(F.broadcast(by_lang) if near else by_lang, "lang", "left")
+    rows = scored.join(by_lang, "lang", "left")
     low = F.coalesce("low", F.lit(overall["low"] if overall["low"] is not None else 0.0))
     high = F.coalesce("high", F.lit(overall["high"] if overall["high"] is not None else math.inf))
     slack = F.lit(SLACK) + 2.0 / F.sqrt(F.greatest(F.col("n_symbols"), F.lit(1)).cast("double"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from larder.llm import decontamination, html_text, jaccard_join, media_ts, mixing, quality_lm, resharding, secret_ledger, token_counts, toxicity
-from larder.llm.common import table
+from larder.llm.common import shared_dir, table
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def op4_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_ledger.secrets(table(spark, sf_dir, "documents"))
+    return secret_ledger.secrets_by_ledger(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/larder-ledger/{uuid.uuid4()}")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,17 +4,18 @@ Every version of every path is content-addressed (SHA-256 of its text). A ledger
 (blob, rule version) have been scanned and what was found; a run scans only pairs that the ledger does not
 have, each blob once however many paths hold it, and joins the findings back to all paths.
 
-Blobs are deduplicated by their address before the scan (map-side first, so a blob that a third of the rows
-share is combined before the shuffle); the join back is a plain equi-join that adaptive execution can split.
+Addresses alone decide what is unseen and which path speaks for a blob; only the texts of those paths are then looked
+up and scanned. Joining back, blobs that hold a thousandth of all paths come by broadcast, so none is a hot key. The
+ledger is a Parquet table; ``run`` appends to it. Rows that a retried run appends again are harmless: a pair counts once.
 Spans are in code points, end exclusive; base spans are the leftmost non-overlapping matches of each kind.
 
 Defined cases: a null text counts as empty; an empty text has no finding but is entered in the ledger; equal
-texts share one ledger row; an empty table gives an empty ledger; extra columns are ignored by the scan.
+texts share one ledger row; a null path is a path; repeated rows are one; a very long text is scanned whole, alone; an
+empty table gives an empty ledger; extra columns are ignored by the scan.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.common import cut_lineage, with_facts
+
 # The rules of the base scan, in the order in which kinds are listed.
 RULES = (
     ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 2, 8),
@@ -70,13 +73,13 @@ def addressed(versions: DataFrame, text_col: str = "text") -> DataFrame:
     return versions.withColumn("blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
 
 
-def unseen(versions: DataFrame, ledger: DataFrame | None, rule_version: str, text_col: str = "text") -> DataFrame:
-    """One row (blob, text) for every blob that the ledger lacks under this rule version."""
-    blobs = versions.select("blob", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def unseen(versions: DataFrame, ledger: DataFrame | None, rule_version: str, path_col: str = "doc_id") -> DataFrame:
+    """(blob, _at) for every blob of addressed versions that the ledger lacks under this rule version; _at is the hash of the path that speaks for it."""
+    blobs = versions.select("blob", F.xxhash64(path_col).alias("_at"))
     if ledger is not None:
         known = ledger.filter(F.col("rule_version") == rule_version).select("blob")
-        blobs = blobs.join(known, "blob", "left_anti")
-    return blobs.dropDuplicates(["blob"])
+        blobs = blobs.join(known.hint("merge"), "blob", "left_anti")
+    return blobs.groupBy("blob").agg(F.min("_at").alias("_at"))
 
 
 def scan(blobs: DataFrame, rule_version: str = RULE_VERSION, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
@@ -90,16 +93,33 @@ def scan(blobs: DataFrame, rule_version: str = RULE_VERSION, rules: tuple[Rule,
     return blobs.mapInPandas(run, LEDGER)
 
 
-def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION, rules: tuple[Rule, ...] = BASE_RULES, text_col: str = "text") -> DataFrame:
+def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION, rules: tuple[Rule, ...] = BASE_RULES, text_col: str = "text", path_col: str = "doc_id") -> DataFrame:
     """The rows that this run adds to the ledger; append them to its table."""
-    return scan(unseen(addressed(versions, text_col), ledger, rule_version, text_col), rule_version, rules)
-
-
-def findings_by_path(versions: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION, text_col: str = "text") -> DataFrame:
-    """Every version's own columns (less its text) with the findings of its blob."""
+    rows = addressed(versions.select(path_col, text_col), text_col)
+    new = cut_lineage(unseen(rows, ledger, rule_version, path_col))
+    if new.isEmpty():
+        return versions.sparkSession.createDataFrame([], LEDGER)
+    texts = rows.select("blob", F.xxhash64(path_col).alias("_at"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return scan(texts.join(new.hint("merge"), ["_at", "blob"], "left_semi").select("blob", "text"), rule_version, rules)
+
+
+def run(versions: DataFrame, path: str, rule_version: str = RULE_VERSION, rules: tuple[Rule, ...] = BASE_RULES, text_col: str = "text", path_col: str = "doc_id") -> DataFrame:
+    """Append what versions add to the ledger table at path (made if it isn't there) and return it."""
+    spark = versions.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder)
+    read = spark.read.schema(LEDGER)
+    update_ledger(versions, read.parquet(path) if there else None, rule_version, rules, text_col, path_col).write.mode("append").parquet(path)
+    return read.parquet(path)
+
+
+def findings_by_path(versions: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION, text_col: str = "text", path_col: str = "doc_id") -> DataFrame:
+    """Every version's own columns (less its text) with its blob and the findings of it."""
     kept = [c for c in versions.columns if c not in (text_col, "blob", "findings", "rule_version")]
-    paths = addressed(versions, text_col).select(*kept, "blob")
-    return paths.join(ledger.filter(F.col("rule_version") == rule_version).select("blob", "findings"), "blob", "left")
+    paths = cut_lineage(addressed(versions, text_col).select(*kept, "blob"))
+    found = ledger.filter(F.col("rule_version") == rule_version).groupBy("blob").agg(F.first("findings").alias("findings"))
+    copies = paths.groupBy("blob").agg(F.count("*").alias("copies"))
+    return with_facts(paths, cut_lineage(copies.join(found, "blob")), "blob", paths.count(), path_col)
 
 
 def digest_spans(findings: DataFrame) -> DataFrame:
@@ -112,18 +132,13 @@ def digest_spans(findings: DataFrame) -> DataFrame:
 def secrets(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Scan what is unseen, then report on all documents."""
     versions = docs.select("doc_id", "text")
-    new = update_ledger(versions, ledger)
+    new = cut_lineage(update_ledger(versions, ledger))
     return digest_spans(findings_by_path(versions, new if ledger is None else ledger.unionByName(new)))
 
 
-def brute_row(text: str | None) -> tuple:
-    """What secrets() returns for a text, the plain way."""
-    found = []
-    for order, (kind, pattern, flags, group, least) in enumerate(RULES):
-        at = 0
-        while m := re.compile(pattern, flags).search(text or "", at):
-            at = m.end()
-            if len(m.group(group)) >= least:
-                found.append((m.start(), order, f"{kind}:{m.start()}:{m.end()}"))
-    spans = ",".join(x[2] for x in sorted(found))
-    return (*(spans.count(f"{k}:") for k in ("assign", "access", "hex")), hashlib.sha256(spans.encode()).hexdigest(), spans)
+def secrets_by_ledger(docs: DataFrame, path: str) -> DataFrame:
+    """Enter all documents in the ledger table at path, in a second generation what has changed since, and report on all documents from the table."""
+    versions = docs.select("doc_id", "text")
+    for _ in range(2):  # the second run scans the pairs that the first left unseen, none if nothing has changed
+        ledger = run(versions, path)
+    return digest_spans(findings_by_path(versions, ledger))
