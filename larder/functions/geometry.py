@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,3 +29,20 @@ def upper_median(values: Column) -> Column:
     """The element at floor(n / 2) of the sorted non-null values; null for none."""
     some = F.array_sort(F.filter(values, lambda v: v.isNotNull()))
     return F.get(some, F.floor(F.size(some) / 2).cast("int"))
+
+
+def upper_medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys with median: the upper median of the non-null values by key, from counts of distinct values; no group is collected."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value))
+    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    ranked = counts.withColumn("_upto", upto).join(total, keys)
+    return ranked.filter(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*keys).agg(F.min(value).alias("median"))
+
+
+def row_sharpness(boxes: DataFrame, keys: list[str], slopes: Sequence[float], bin_height: float) -> DataFrame:
+    """(keys, slope, sharpness) of boxes (x, y, width): the sum of squared widths of the rows that boxes fall into at each slope."""
+    rows = boxes.withColumn("slope", F.explode(F.array(*(F.lit(float(s)) for s in slopes))))
+    at = F.floor((F.col("y") - F.col("slope") * F.col("x")) / F.lit(float(bin_height)) + 0.5)
+    widths = rows.groupBy(*keys, "slope", at.alias("_bin")).agg(F.sum("width").alias("_w"))
+    return widths.groupBy(*keys, "slope").agg(F.sum(F.col("_w").cast("double") * F.col("_w").cast("double")).alias("sharpness"))

@@ -120,3 +120,34 @@ def compliance(products: DataFrame) -> DataFrame:
     rows = rows.withColumn("deviation_pct", energy_deviation_pct(n["energy_kcal"], energy_kcal(n["carbohydrate_g"], n["protein_g"], n["total_fat_g"]))).withColumn("sat_pct", sat_fat_pct(n["saturated_fat_g"], n["total_fat_g"]))
     any_fail = F.exists("claims", lambda c: c["status"] == "fail")
     return rows.select("sheet", "name", "claims", "deviation_pct", "oil", "sat_pct", verdict(any_fail, F.col("sat_pct") > F.col("oil.max_pct"), F.col("deviation_pct") > ENERGY_TOLERANCE_PCT, n["sodium_mg"] > SODIUM_LIMIT_MG).alias("verdict"))
+
+
+def serving_factor(serving: Column) -> Column:
+    """What a value per 100 g is multiplied with to be one per serving."""
+    return serving / F.lit(100.0)
+
+
+def signed_deviation_pct(got: Column, expected: Column) -> Column:
+    """Percent that a value lies above (or, below 0, under) what is expected, to one place; null if that is 0."""
+    return F.when(expected != 0, round_half_up((got - expected) / F.abs(expected) * 100, 1))
+
+
+def rda_at_serving(serving: Column, rda: Column, field: str) -> Column:
+    """The value of the block nearest to a serving, scaled to it; unscaled where the block has no grammage."""
+    near = nearest_block(serving, F.filter(rda, lambda r: r[field].isNotNull()), "grammage")
+    return near[field] * F.when(near["grammage"] > 0, serving / near["grammage"]).otherwise(1.0)
+
+
+def nutrition_text(blocks: Column) -> Column:
+    """Blocks (grammage, values of (label, value, unit)) in words, without the values that are null."""
+    said = lambda v: F.when(v["value"].isNotNull(), F.concat(v["label"], F.lit(" "), number_text(v["value"]), F.lit(" "), v["unit"]))
+    block = lambda b: F.concat(F.lit("per "), number_text(b["grammage"]), F.lit("g: "), F.array_join(F.transform(b["values"], said), ", "))
+    return F.array_join(F.transform(blocks, block), " | ")
+
+
+def claim_matrix(products: DataFrame, key: list[str], bases: dict[str, str], claims: str = "brand_usp") -> DataFrame:
+    """(key, pos, claim) with the status and the actual value of each claim by every basis: name -> column of nutrition values."""
+    rows = products.select(*key, *bases.values(), F.posexplode(F.filter(claims, lambda c: c != "")).alias("pos", "claim"))
+    for name, values in bases.items():
+        rows = rows.withColumn(f"_{name}", claim_result(F.col("claim"), F.col(values)))
+    return rows.select(*key, "pos", "claim", *(F.col(f"_{n}.{f}").alias(f"{n}_{f}") for n in bases for f in ("status", "actual")))

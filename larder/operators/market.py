@@ -48,3 +48,14 @@ def headline(listings: DataFrame) -> DataFrame:
 def history(past: DataFrame, new: DataFrame, keep: int = 10) -> DataFrame:
     """The newest entries by time."""
     return past.unionByName(new).orderBy(F.desc("ts")).limit(keep)
+
+
+def of_platform(listings: DataFrame, platform: str = "All") -> DataFrame:
+    """The listings of one platform, or all."""
+    return listings if platform == "All" else listings.filter(F.col("platform") == platform)
+
+
+def search_request(requests: DataFrame) -> DataFrame:
+    """Requests that have a keyword, with the default category and region."""
+    blank = lambda c, d: F.coalesce(F.when(F.trim(c) != "", F.col(c)), F.lit(d))
+    return requests.filter(F.trim("keyword") != "").withColumns({"category": blank("category", "Healthy Snacks"), "region": blank("region", "Pan India")})

@@ -96,15 +96,6 @@ def interval_anti_join(rows: DataFrame, other: DataFrame, key: list[str], lo: st
     return rows.join(o, cond & (overlap > share * (F.col(hi) - F.col(lo))), "left_anti")
 
 
-def box_anti_join(secondary: DataFrame, primary: DataFrame, share: float = 0.2) -> DataFrame:
-    """Secondary boxes (page, x0, y0, x1, y1) that no primary box of the page covers by more than a share of their own area."""
-    p = primary.select(F.col("page").alias("_page"), *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
-    wide = F.greatest(F.least("x1", "_x1") - F.greatest("x0", "_x0"), F.lit(0.0))
-    high = F.greatest(F.least("y1", "_y1") - F.greatest("y0", "_y0"), F.lit(0.0))
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    return secondary.join(p, (F.col("page") == F.col("_page")) & (wide * high > share * area), "left_anti")
-
-
 def first_seen(rows: DataFrame, col: str, order: str) -> DataFrame:
     """Distinct values with the first place where each occurs."""
     return rows.groupBy(col).agg(F.min(order).alias("first_at"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.functions.numbers import num, num_or_null, positive
+from larder.functions.numbers import number_text, num, num_or_null, positive
 from larder.functions.text import mrp_entries, split_list, words
 from larder.sources.products import product_rows
 from larder.sources.schema import NUTRIENT_COLUMNS, NUTRITION_PRESENT, PCT_COLUMNS, PRODUCT_STATUSES, RDA_PRESENT, REQUIRED_NUTRIENTS, ROWNUM, SHEET_COLUMNS
@@ -178,3 +178,14 @@ def align_rda(nutrition: Column, rda: Column) -> Column:
         return F.struct(b["grammage"].alias("grammage"), *[own[c].alias(c) for c in PCT_COLUMNS])
 
     return F.transform(nutrition, of)
+
+
+def pack_text(packs: Column, unit: str = "g") -> Column:
+    """Pack sizes in words; those that are null or 0 aren't named."""
+    return F.array_join(F.transform(F.filter(packs, lambda p: p > 0), lambda p: F.concat(number_text(p), F.lit(unit))), ", ")
+
+
+def top_claims_text(claims: Column, most: int = 3) -> Column:
+    """Struct (shown, more): the first few claims, and "N more" for the rest (null without a rest)."""
+    rest = F.size(claims) - most
+    return F.struct(F.slice(claims, 1, most).alias("shown"), F.when(rest > 0, F.concat(rest.cast("string"), F.lit(" more"))).alias("more"))

@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.functions.geometry import anchored_clusters, upper_median
+from larder.functions import geometry
+from larder.functions.geometry import anchored_clusters
 from larder.functions.numbers import parse_float
-from larder.functions.text import find_all, has_phrase, normalize, split_outside_brackets, words
-from larder.operators import checks, market, matching, products
+from larder.functions.text import ACCENTED, PLAIN, find_all, has_phrase, normalize, split_outside_brackets, words
+from larder.operators import checks, claims, market, matching, products
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,9 +90,9 @@ NAME_RULES = (("green", "cool"), ("blue", "cool"), ("red", "warm"), ("or", "othe
 
 @query("SELECT p_partkey, " + "CASE " + " ".join(f"WHEN contains(lower(p_name), '{k}') THEN {i}" for i, (k, _) in enumerate(NAME_RULES)) + " END AS ord, CASE " + " ".join(f"WHEN contains(lower(p_name), '{k}') THEN '{v}'" for k, v in NAME_RULES) + " END AS family FROM part")
 def q03_first_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = matching.rule_table(spark, list(NAME_RULES), "kw string, family string")
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("low"))
-    return matching.first_rule(parts, ["p_partkey"], rules, F.contains(F.col("low"), F.col("kw")), ["family"]).select("p_partkey", "ord", "family")
+    low = F.lower("p_name")
+    place = matching.first_rule_in_list(low, [(kw, i) for i, (kw, _) in enumerate(NAME_RULES)])
+    return table(spark, sf_dir, "part").select("p_partkey", place.cast("int").alias("ord"), matching.first_rule_in_list(low, list(NAME_RULES)).alias("family"))
 
 
 BLOCKS = ((10.0, 2.0), (20.0, 3.5), (30.0, 6.0), (45.0, 7.25))
@@ -137,10 +138,13 @@ def q07_fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.fuzzy_pairs(terms, terms.withColumnRenamed("word", "near"), "word", "near").filter("word <> near")
 
 
-@query(f"""SELECT word, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS docs FROM (SELECT doc_id, unnest({_WORDS_SQL.format(c="text")}) AS word FROM documents WHERE lang = 'en') GROUP BY 1""")
+_NORMAL_SQL = f"trim(regexp_replace(lower(regexp_replace(translate(text, '{ACCENTED}', '{PLAIN}'), '[\\x{{300}}-\\x{{36F}}]', '', 'g')), '[^a-z0-9]+', ' ', 'g'))"
+_ALL_WORDS_SQL = f"SELECT word, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS docs FROM (SELECT doc_id, unnest(string_split({_NORMAL_SQL}, ' ')) AS word FROM documents) WHERE word <> '' GROUP BY 1"
+
+
+@query(_ALL_WORDS_SQL)
 def q08_normalize_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))  # English text: no accents to fold
-    rows = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.explode(F.array_remove(F.split(text, " "), "")).alias("word"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("word"))
     return rows.groupBy("doc_id", "word").agg(F.count("*").alias("k")).groupBy("word").agg(F.sum("k").alias("n"), F.count("*").alias("docs"))
 
 
@@ -249,7 +253,7 @@ def q21_scale_per_100(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_suppkey, list_sort(list(l_quantity))[(count(*) // 2) + 1] AS median FROM lineitem GROUP BY 1")
 def q22_upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(upper_median(F.collect_list("l_quantity")).alias("median"))
+    return table(spark, sf_dir, "lineitem").transform(geometry.upper_medians, ["l_suppkey"], "l_quantity")
 
 
 @query("""
@@ -299,7 +303,7 @@ def q27_pincode_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT event_id, TRY_CAST(regexp_extract(t, '^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)', 1) AS DOUBLE) AS n FROM (SELECT event_id, substring(props, 7) AS t FROM events)""")
 def q28_parse_float_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", parse_float(F.substring("props", 7, 1_000)).alias("n"))
+    return table(spark, sf_dir, "events").select("event_id", parse_float(F.expr("substring(props, 7)")).alias("n"))
 
 
 @query("""SELECT event_id, coalesce(CASE WHEN json_valid(t) THEN TRY_CAST(json_extract_string(t, '$.k') AS BIGINT) END, -1) AS k FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '{' || props ELSE props END AS t FROM events)""")
@@ -350,9 +354,9 @@ def q33_rewrite_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q34_append_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larder.functions.numbers import number_text
 
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")).alias("nutrition"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.explode("nutrition").alias("b"))
-    return rows.select(F.col("o_orderkey").cast("string").alias("sheet"), F.col("b.l_linenumber").cast("string").alias("grammage"), F.coalesce(number_text(F.col("b.l_quantity")), F.lit("")).alias("protein_g"), F.concat_ws(" | ", "b.l_returnflag", "b.l_linestatus").alias("brand_usp"), F.lit("not_launched").alias("status"))
+    orders, lines = table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "lineitem")
+    b = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return b.select(F.col("o_orderkey").cast("string").alias("sheet"), F.col("l_linenumber").cast("string").alias("grammage"), F.coalesce(number_text(F.col("l_quantity")), F.lit("")).alias("protein_g"), F.concat_ws(" | ", "l_returnflag", "l_linestatus").alias("brand_usp"), F.lit("not_launched").alias("status"))
 
 
 @query("""SELECT p_partkey, string_split(p_type, ' ') AS parts, len(string_split(p_type, ' '))::INTEGER AS n FROM part""")
@@ -368,17 +372,41 @@ def q36_osa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.osa_pairs(terms, terms.withColumnRenamed("word", "near"), "word", "near").filter("word <> near")
 
 
-@query("SELECT doc_id, length(t)::INTEGER AS n_chars FROM (SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents WHERE lang IN ('fr', 'es'))")
+@query(f"SELECT doc_id, length(t)::INTEGER AS n_chars, md5(t) AS normal_md5 FROM (SELECT doc_id, {_NORMAL_SQL} AS t FROM documents)")
 def q37_fold_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter(F.col("lang").isin("fr", "es")).select("doc_id", F.length(normalize(F.col("text"))).alias("n_chars"))
+    t = normalize(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(t).alias("n_chars"), F.md5(t).alias("normal_md5"))
 
 
-@query()
+@query(_ALL_WORDS_SQL)
 def q38_normalize_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("word"))
-    return rows.groupBy("doc_id", "word").agg(F.count("*").alias("k")).groupBy("word").agg(F.sum("k").alias("n"), F.count("*").alias("docs"))
+    return q08_normalize_words(spark, sf_dir)
 
 
-@query()
+@query(f"SELECT doc_id, length({_NORMAL_SQL})::INTEGER AS n_chars FROM documents")
 def q39_fold_all_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.length(normalize(F.col("text"))).alias("n_chars"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size <> 25 THEN CASE WHEN p_size = 0 THEN NULL ELSE floor((p_retailprice - p_size * 30.0::DOUBLE) / abs(p_size * 30.0::DOUBLE) * 1000 + 0.5) / 10 END END AS deviation_pct, p_size / 100.0::DOUBLE AS factor FROM part")
+def q40_signed_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got, want = F.when(F.col("p_size") != 25, F.col("p_retailprice")), F.col("p_size") * F.lit(30.0)
+    return table(spark, sf_dir, "part").select("p_partkey", claims.signed_deviation_pct(got, want).alias("deviation_pct"), claims.serving_factor(F.col("p_size")).alias("factor"))
+
+
+SLOPES = (-2.0, -0.5, 0.0, 0.5, 2.0)
+
+
+@query(f"""WITH bins AS (SELECT l_suppkey, slope, floor((l_linenumber - slope * l_quantity) / 3.0 + 0.5) AS bin, sum(l_quantity::DECIMAL(18,2)) AS width
+  FROM lineitem, (SELECT unnest([{", ".join(map(str, SLOPES))}]::DOUBLE[]) AS slope) GROUP BY ALL) SELECT l_suppkey, slope, sum(width::DOUBLE * width::DOUBLE) AS sharpness FROM bins GROUP BY ALL""")
+def q41_row_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_quantity").alias("x"), F.col("l_linenumber").alias("y"), dec("l_quantity").alias("width"))
+    return geometry.row_sharpness(boxes, ["l_suppkey"], SLOPES, 3.0)
+
+
+@query("""SELECT l_orderkey, 'per ' || (count(*) * 10)::VARCHAR || 'g: ' || coalesce(string_agg(l_returnflag || ' ' || l_quantity::BIGINT::VARCHAR || ' g', ', ' ORDER BY l_linenumber, l_returnflag, l_quantity) FILTER (WHERE l_quantity <> 7), '') AS said FROM lineitem GROUP BY 1""")
+def q42_nutrition_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", F.col("l_quantity").alias("q"))))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(items.alias("items"))
+    values = F.transform("items", lambda b: F.struct(b["l_returnflag"].alias("label"), F.when(b["q"] != 7, b["q"]).alias("value"), F.lit("g").alias("unit")))
+    return rows.select("l_orderkey", claims.nutrition_text(F.array(F.struct((F.size("items") * 10).cast("double").alias("grammage"), values.alias("values")))).alias("said"))
