@@ -388,7 +388,7 @@ def q39_fold_all_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.length(normalize(F.col("text"))).alias("n_chars"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size <> 25 THEN CASE WHEN p_size = 0 THEN NULL ELSE floor((p_retailprice - p_size * 30.0::DOUBLE) / abs(p_size * 30.0::DOUBLE) * 1000 + 0.5) / 10 END END AS deviation_pct, p_size / 100.0::DOUBLE AS factor FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size <> 25 THEN CASE WHEN p_size = 0 THEN NULL ELSE floor((p_retailprice - p_size * 30.0::DOUBLE) / abs(p_size * 30.0::DOUBLE) * 100 * 10.0::DOUBLE + 0.5) / 10.0::DOUBLE END END AS deviation_pct, p_size / 100.0::DOUBLE AS factor FROM part")
 def q40_signed_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     got, want = F.when(F.col("p_size") != 25, F.col("p_retailprice")), F.col("p_size") * F.lit(30.0)
     return table(spark, sf_dir, "part").select("p_partkey", claims.signed_deviation_pct(got, want).alias("deviation_pct"), claims.serving_factor(F.col("p_size")).alias("factor"))
