@@ -94,6 +94,12 @@ def test_claims(spark, rows):
     assert got["verdict"] == "NON_COMPLIANT"
 
 
+def test_claim_matrix(rows):
+    found = products.group_fold(rows).filter("name = 'Ragi  Chips'").withColumn("n100", claims.block_at_100g(F.col("nutrition"))).withColumn("label", F.col("n100").withField("protein_g", F.lit(1.0)))
+    got = claims.claim_matrix(found, ["name"], {"master": "n100", "label": "label"}).orderBy("pos").collect()
+    assert [(r["pos"], r["claim"], r["master_status"], r["label_status"]) for r in got] == [(0, "Source of Protein", "pass", "fail"), (1, "No Maida", "factual", "factual")]
+
+
 @pytest.mark.parametrize(("claim", "status", "threshold"), [("Source of Fibre", "pass", ">= 3g"), ("Protein", "fail", ">= 10.8g"), ("Low Calorie", "pass", "<= 40 kcal"), ("Tasty", "custom", None)])
 def test_claim_rules(spark, claim, status, threshold):
     block = F.struct(F.lit(3.0).alias("dietary_fibre_g"), F.lit(None).cast("double").alias("protein_g"), F.lit(0.0).alias("calcium_mg"), F.lit(39.0).alias("energy_kcal"))
