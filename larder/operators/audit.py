@@ -18,7 +18,7 @@ from larder.functions.distance import osa
 from larder.functions.numbers import number_text
 from larder.functions.text import absence_target, ao_key, find_all, has_phrase, made_with_target, normalize, split_outside_brackets, words
 from larder.operators.checks import ocr_post_pass
-from larder.operators.labels import block_under, context, heading_at, nutrient_names, nutrition_cells, table_edge
+from larder.operators.labels import block_under, context, heading_at, nutrient_names, nutrition_cells, table_edge, text_near
 from larder.operators.matching import best_suggestion
 from larder.sources.schema import NUTRIENTS
 from larder.sources.tables import cut_lineage
@@ -38,6 +38,17 @@ ALLERGENS = (
     ("fish", "fish"),
     ("crustacean", "crustaceans?|shellfish|prawns?"),
 )
+# The words that a misread allergen word may stand for.
+ALLERGEN_WORDS = {
+    "gluten": ("gluten", "wheat", "barley"),
+    "milk": ("milk", "dairy", "whey", "casein", "lactose"),
+    "soya": ("soya", "soybean", "soybeans"),
+    "peanut": ("peanut", "peanuts", "groundnut", "groundnuts"),
+    "tree nuts": ("almond", "almonds", "cashew", "cashews", "walnut", "walnuts", "pistachio", "pistachios", "hazelnut", "hazelnuts"),
+    "mustard": ("mustard",),
+    "sesame": ("sesame",),
+    "crustacean": ("crustacean", "crustaceans", "shellfish"),
+}
 ALLOWED_CAPS = ("INS", "GMO", "FSSAI")
 FACILITY = r"(?i)made in a facility|manufactured in a facility|in a facility|may contain|processed in|processes"
 WEIGHT_TOLERANCE, PRICE_TOLERANCE, UNIT_PRICE_PASS, UNIT_PRICE_WARN, FAIL_PCT = 0.01, 0.001, 0.011, 0.05, 2.0
@@ -75,6 +86,24 @@ def near_words(own: Column, pool: Column, long: int = 8) -> Column:
     return _near(own, pool, F.lit(long))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _damaged(absent: pd.Series, pool: pd.Series) -> pd.Series:
+    def fragment(w, ps):
+        most = 1 if len(w) <= 3 else 2 if len(w) <= 7 else -(-len(w) * 2 // 5)
+        return next((p for p in ps if len(p) >= 2 and ((len(p) >= 3 and w.startswith(p)) or osa(w, p, most) <= most)), None)
+
+    def of(ws, ps):
+        return [fragment(w, ps) for w in ws] if ws is not None and ps is not None else []
+
+    return pd.Series([of(*x) for x in zip(absent, pool, strict=True)])
+
+
+def damaged_words(absent: Column, pool: Column) -> Column:
+    """Array of (word, fragment): absent words with the first word of the pool that may be a damaged piece of each: its start, or a few edits away (40 % of a long word)."""
+    pairs = F.arrays_zip(absent.alias("word"), _damaged(absent, pool).alias("fragment"))
+    return F.filter(pairs, lambda d: d["fragment"].isNotNull())
+
+
 def _printed(phrase: Column) -> Column:
     return F.exists("views", lambda v: has_phrase(v, phrase))
 
@@ -209,9 +238,34 @@ def weight_step(rows: DataFrame) -> DataFrame:
     return rows.withColumn("step4", _listed(first, second)).drop("_hits")
 
 
-def allergen_groups(text: Column) -> Column:
+def _one_edit(word: str, letter: str) -> str:
+    """A pattern for all texts of 4 letters or more that are at most one edit from a word."""
+    n = len(word)
+    other = [word[:i] + letter + word[i + 1 :] for i in range(n)] + [word[:i] + letter + word[i:] for i in range(n + 1)]
+    return "|".join([*other, *_swapped(word), *(word[:i] + word[i + 1 :] for i in range(n) if n > 4)])
+
+
+def _swapped(word: str) -> list[str]:
+    return [word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)]
+
+
+def _run_together(word: str) -> str:
+    """A pattern for a word inside a run of letters, one letter wrong, two swapped, or one lost at the run's end."""
+    n = len(word)
+    short = "|".join(word[:i] + word[i + 1 :] for i in range(n))
+    return "|".join([*(word[:i] + "." + word[i + 1 :] for i in range(n)), *_swapped(word), f"(?:{short})$"])
+
+
+def allergen_groups(text: Column, ocr: Column | None = None) -> Column:
+    """The allergen groups that a text names; where ``ocr`` holds also those of words one edit off, apart or run into others."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*[F.when(low.rlike(f"{_START}({p}){_END}"), g) for g, p in ALLERGENS]))
+    hits = {g: low.rlike(f"{_START}({p}){_END}") for g, p in ALLERGENS}
+    if ocr is not None:
+        plain, compact = normalize(low), F.regexp_replace(low, "[^a-z]", "")
+        for g, keys in ALLERGEN_WORDS.items():
+            apart = plain.rlike(f"(?<![a-z0-9])(?:{'|'.join(_one_edit(k, '[a-z0-9]') for k in keys)})(?![a-z0-9])")
+            hits[g] = hits[g] | (ocr & (apart | compact.rlike("|".join(_run_together(k) for k in keys))))
+    return F.array_compact(F.array(*[F.when(hit, g) for g, hit in hits.items()]))
 
 
 def _declared(group: Column, label: Column) -> Column:
@@ -226,43 +280,83 @@ def top_items(body: Column) -> Column:
     return F.filter(F.transform(split_outside_brackets(body, ","), plain), lambda i: i != "")
 
 
+_SEGMENT = "array<struct<heading:string,body:string>>"
+
+
+def segments(text: Column, ocr: Column) -> Column:
+    """Array of (heading, body): the components of a list. A heading ("Seasoning:") stands at the start or after a full stop, with OCR also after a bracket."""
+    name = r"([A-Z\x{C0}-\x{DD}][A-Za-z\x{C0}-\x{FF}&'\x{2019} ]{1,40}?)"
+    mark = lambda lead: F.regexp_replace(F.trim(text), rf"(^|[{lead}]\s+){name}\s*:\s", "$1\ue000$2\ue001")
+    parts = F.split(F.when(ocr, mark(".)")).otherwise(mark(".")), "\ue000")
+
+    def of(part: Column) -> Column:
+        headed = F.contains(part, F.lit("\ue001"))
+        head, body = F.substring_index(part, "\ue001", 1), F.substring_index(part, "\ue001", -1)
+        return F.struct(F.when(headed, F.trim(head)).alias("heading"), F.trim(F.when(headed, body).otherwise(part)).alias("body"))
+
+    return F.coalesce(F.filter(F.transform(parts, of), lambda x: x["body"] != ""), F.array().cast(_SEGMENT))
+
+
+def _components(segs: Column) -> Column:
+    return F.size(F.filter(segs, lambda x: x["heading"].isNotNull()))
+
+
 def ingredients_step(rows: DataFrame) -> DataFrame:
-    """Ingredient words, order, casing and full stop against the sheet, and the allergen statement."""
-    has_list = F.col("label_list").isNotNull()
+    """Ingredient words, order, casing and full stops against the sheet by component, and the allergen statement."""
+    has_list, ocr, none = F.col("label_list").isNotNull(), F.col("ocr"), F.array().cast("array<string>")
     before = lambda c: F.trim(F.regexp_replace(c, rf"(?s){_START}CONTAINS{_END}.*$", ""))
-    rows = rows.withColumn("_own", F.filter(F.array_distinct(words(F.col("ingredients"))), lambda w: F.length(w) > 1)).withColumn("_tokens", words(F.coalesce("label_list", F.lit(""))))
-    rows = rows.withColumn("_absent", F.array_except("_own", "_tokens")).withColumn("_near", near_words(F.col("_absent"), F.when(F.col("ocr"), F.col("_tokens")).otherwise(F.array().cast("array<string>")), 7))
-    rows = rows.withColumn("_missing", F.filter("_absent", lambda w: ~F.array_contains("_near", w))).withColumn("_body", before(F.coalesce("label_list", F.lit("")))).withColumn("_extra", F.filter(F.array_except(words(F.col("_body")), "_own"), lambda w: F.length(w) > 1))
-    missing, extra = F.col("_missing"), F.col("_extra")
-    partly = F.col("ocr") & ((F.size("_own") - F.size(missing)) < 0.8 * F.size("_own"))
+    rows = rows.withColumn("_sheet", F.regexp_replace(F.coalesce("ingredients", F.lit("")), r"\s+", " ")).withColumn("_list", F.coalesce("label_list", F.lit("")))
+    rows = rows.withColumns({"_own": F.filter(F.array_distinct(words(F.col("_sheet"))), lambda w: F.length(w) > 1), "_tokens": F.array_distinct(words(F.col("_list"))), "_body": before(F.col("_list"))})
+    rows = rows.withColumns({"_segs": segments(F.col("_body"), ocr), "_sheet_segs": segments(before(F.col("_sheet")), F.lit(False))})
+    rows = rows.withColumn("_absent", F.array_except("_own", "_tokens")).withColumn("_near", near_words(F.col("_absent"), F.when(ocr, F.col("_tokens")).otherwise(none), 7))
+    rows = rows.withColumn("_absent", F.array_except("_absent", "_near")).withColumn("_damaged", damaged_words(F.col("_absent"), F.when(ocr, F.array_except("_tokens", "_own")).otherwise(none)))
+    rows = rows.withColumns({"_unclear": F.transform("_damaged", lambda d: d["word"]), "_pieces": F.transform("_damaged", lambda d: d["fragment"])})
     alike = lambda w: F.exists("_own", lambda t: t.startswith(w) | w.startswith(t) | (F.levenshtein(t, w) <= F.ceil(F.length(w) * 0.45)))
-    swapped = F.exists(extra, lambda w: (F.length(w) >= 5) & ~alike(w))
-    bad = ((F.size(missing) > 0.1 * F.size("_own")) | swapped) & ~partly
+    rows = rows.withColumns({"_missing": F.array_except("_absent", "_unclear"), "_new": F.array_except(F.array_except(words(F.col("_body")), "_own"), "_pieces")})
+    missing, unclear = F.col("_missing"), F.col("_unclear")
+    single = (_components(F.col("_segs")) <= 1) & (_components(F.col("_sheet_segs")) <= 1)
+    clean = F.filter("_new", lambda w: (F.length(w) >= 5) & ~alike(w))
+    extra = F.when(ocr, clean).otherwise(F.filter("_new", lambda w: F.length(w) > 1))
+    partly = ocr & ((F.size("_own") - F.size("_absent")) < 0.8 * F.size("_own"))
+    bad = ((F.size(missing) > 0.1 * F.size("_own")) | (single & (F.size(clean) > 0))) & ~partly
     some = lambda c: F.concat(F.array_join(F.slice(c, 1, 10), ", "), F.when(F.size(c) > 10, "...").otherwise(""))
     match = (
         F.when(F.trim("ingredients") == "", check("Ingredients match the sheet", "skip"))
-        .when(F.size(missing) == 0, check("Ingredients match the sheet", "pass", None, F.lit("All sheet ingredients are on the label")))
-        .otherwise(check("Ingredients match the sheet", F.when(bad, "fail").otherwise("warn"), F.trim("ingredients"), F.concat(F.lit("Missing on label: "), some(missing))))
+        .when(F.size("_absent") == 0, check("Ingredients match the sheet", "pass", None, F.lit("All sheet ingredients are on the label")))
+        .when(F.size(missing) == 0, check("Ingredients match the sheet", "warn", F.trim("ingredients"), F.concat(F.lit("Read badly: "), some(unclear)), "Printed, but misread: to be checked by eye."))
+        .otherwise(check("Ingredients match the sheet", F.when(bad, "fail").otherwise("warn"), F.trim("ingredients"), F.concat(F.lit("Missing on label: "), some(missing)), F.when(partly, "Only part of the list was read.").when(F.size(unclear) > 0, F.concat(F.lit("Also read badly: "), some(unclear)))))
     )
-    more = F.when((F.trim("ingredients") != "") & (F.size(extra) > 0), check("No extra ingredients on the label", "warn", None, F.concat(F.lit("Not in sheet: "), some(extra))))
-    rows = rows.withColumn("_items", top_items(before(F.col("ingredients")))).withColumn("_label_items", top_items(F.col("_body")))
+    more = F.when((F.trim("ingredients") != "") & single & (F.size(extra) > 0), check("No extra ingredients on the label", "warn", None, F.concat(F.lit("Not in sheet: "), some(extra))))
+    all_items = lambda segs: F.array_distinct(F.flatten(F.transform(segs, lambda x: top_items(x["body"]))))
+    rows = rows.withColumns({"_items": all_items("_sheet_segs"), "_label_items": all_items("_segs")})
     rows = rows.withColumn("_shared", F.array_intersect("_items", "_label_items"))
     places = F.transform("_shared", lambda i: F.array_position("_label_items", i))
     swap = F.exists(F.sequence(F.lit(1), F.greatest(F.size("_shared") - 1, F.lit(1))), lambda k: F.get(places, k) < F.get(places, k - 1))
     order = F.when(F.size("_shared") >= 3, check("Ingredient order matches the sheet", F.when(swap, "warn").otherwise("pass")))
-    tokens = F.regexp_extract_all("_body", F.lit(r"([A-Za-z\x{C0}-\x{FF}][A-Za-z\x{C0}-\x{FF}'\x{2019}-]*)"), 1)
-    rest = F.filter(F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t: (F.length(t) > 1) & ~t.isin(*ALLOWED_CAPS))
-    caps, capital = F.exists(rest, lambda t: t == F.upper(t)), F.exists(rest, lambda t: t.rlike(r"^[A-Z\x{C0}-\x{DD}]"))
-    starts = F.col("_body").rlike(r"^[^A-Za-z]*[A-Z\x{C0}-\x{DD}]")
+
+    def rest(seg: Column) -> Column:
+        """The words of a component behind its first."""
+        tokens = F.regexp_extract_all(seg["body"], F.lit(r"([A-Za-z\x{C0}-\x{FF}][A-Za-z\x{C0}-\x{FF}'\x{2019}-]*)"), F.lit(1))
+        return F.filter(F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t: (F.length(t) > 1) & ~t.isin(*ALLOWED_CAPS))
+
+    rows = rows.withColumn("_rest", F.flatten(F.transform("_segs", rest)))
+    caps, capital = F.exists("_rest", lambda t: t == F.upper(t)), F.exists("_rest", lambda t: t.rlike(r"^[A-Z\x{C0}-\x{DD}]"))
+    starts = (F.size("_segs") > 0) & F.forall("_segs", lambda x: x["body"].rlike(r"^[^A-Za-z]*[A-Z\x{C0}-\x{DD}]"))
     casing = check("Casing: first letter capital, rest lowercase", F.when(~starts | caps, "fail").when(capital, "warn").otherwise("pass"), F.lit("First ingredient capitalised, the rest lowercase"), sop=True)
-    stop = check("Ends with full stop", F.when(F.col("_body").rlike(r"\.\s*$"), "pass").otherwise("fail"), F.lit("A full stop at the end of the list"), sop=True)
+    statement = F.regexp_extract("_list", rf"(?s){_START}(CONTAINS{_END}.*)$", 1)
+    ends = lambda c: c.rlike(r"\.\s*$")
+    open_ends = F.concat(F.transform(F.filter("_segs", lambda x: ~ends(x["body"])), lambda x: F.coalesce(x["heading"], F.lit("Ingredient list"))), F.when((statement != "") & ~ends(statement), F.array(F.lit("the CONTAINS statement"))).otherwise(none))
+    stop = check("Ends with full stop", F.when(F.size(open_ends) == 0, "pass").otherwise("fail"), F.lit("A full stop at the end of the list"), F.when(F.size(open_ends) > 0, F.concat(F.lit("Missing after: "), F.array_join(open_ends, ", "))), sop=True)
     listed = F.when(has_list, _listed(match, more, order, casing, stop)).otherwise(F.array(check("Ingredients list", "warn", None, F.lit("No 'Ingredients' heading found in the label text"))))
 
-    sheet, label = allergen_groups(F.col("allergens")), allergen_groups(F.col("label_allergens"))
     primary = allergen_groups(F.get(F.split("allergens", FACILITY), 0))
-    lacks = F.filter(sheet, lambda g: ~_declared(g, label))
+    rows = rows.withColumns({"_needs": allergen_groups(F.col("allergens")), "_read": allergen_groups(F.col("label_allergens"), ocr), "_wide": allergen_groups(F.col("allergens_near"), ocr)})
+    lacking = lambda groups: F.filter("_needs", lambda g: ~_declared(g, F.col(groups)))
+    again = ocr & (F.size(lacking("_read")) > 0)  # a tilted line may have left the column: read the whole block
+    lacks = F.when(again, F.filter(lacking("_read"), lambda g: ~_declared(g, F.col("_wide")))).otherwise(lacking("_read"))
+    sheet, label = F.col("_needs"), F.when(again, F.col("_wide")).otherwise(F.col("_read"))
     extras = F.filter(label, lambda g: ~F.array_contains(sheet, g) & ~_declared(g, sheet))
-    worst = (F.size(F.array_intersect(lacks, primary)) > 0) | ((F.size(lacks) > 0) & ~F.col("ocr"))
+    worst = (F.size(F.array_intersect(lacks, primary)) > 0) | ((F.size(lacks) > 0) & ~ocr)
     title = "Allergen declaration"
     declared = (
         F.when(F.size(sheet) == 0, check(title, "skip"))
@@ -271,7 +365,8 @@ def ingredients_step(rows: DataFrame) -> DataFrame:
         .when(F.size(extras) > 0, check(title, "warn", F.trim("allergens"), F.concat(F.lit("Label also declares: "), F.array_join(extras, ", "))))
         .otherwise(check(title, "pass", F.trim("allergens"), F.col("label_allergens")))
     )
-    return rows.withColumn("step6", F.concat(listed, F.array(declared))).drop("_own", "_tokens", "_absent", "_near", "_missing", "_body", "_extra", "_items", "_label_items", "_shared")
+    used = "_sheet _list _own _tokens _body _segs _sheet_segs _absent _near _damaged _unclear _pieces _missing _new _items _label_items _shared _rest _needs _read _wide"
+    return rows.withColumn("step6", F.concat(listed, F.array(declared))).drop(*used.split())
 
 
 def serving_step(rows: DataFrame) -> DataFrame:
@@ -438,6 +533,7 @@ def audit(items: DataFrame, labels: DataFrame, reference: DataFrame, vocabulary:
     ctx = ctx.withColumns({f"{at}_edge": table_edge(F.col(at), F.col("rows"), F.col("_cells")) for at in ("_ing", "_all")})
     gap, align = F.when(F.col("ocr"), 60.0).otherwise(20.0), F.when(F.col("ocr"), 7.0).otherwise(4.0)
     ctx = ctx.withColumns({name: block_under(F.col("rows"), F.col(at), gap, align, F.col(f"{at}_edge")) for name, at in (("label_list", "_ing"), ("label_allergens", "_all"))})
+    ctx = ctx.withColumn("allergens_near", text_near(F.col("rows"), F.col("_all"), F.col("_all_edge")))
     ctx = ctx.drop("rows", "_ing", "_all", "_cells", "_ing_edge", "_all_edge")
     rows = cut_lineage(reference.select(*REFERENCE.split(", ")).join(ctx, "label_id"))
 

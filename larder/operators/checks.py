@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.functions.numbers import number_text
+
 # Statuses from the least to the most severe, and step names.
 STATUSES = ("skip", "pass", "warn", "fail")
 STEP_NAMES = {2: "Product Name", 3: "USPs", 4: "Grammage", 5: "Long Description", 6: "Ingredients", 7: "Nutritional Values", 8: "Serving Size", 9: "MRP", 10: "Addresses"}
 
 CHECK_SCHEMA = "label_id string, step int, seq int, label string, status string, expected string, found string, note string, sop_rule boolean"
-REPORT_SCHEMA = "steps array<struct<step:int,name:string,checks:array<struct<label:string,status:string,expected:string,found:string,note:string,sop_rule:boolean>>>>"
+REPORT_SCHEMA = "product string, pack_size string, steps array<struct<step:int,name:string,checks:array<struct<label:string,status:string,expected:string,found:string,note:string,sop_rule:boolean>>>>"
 
 
 def rank(status: Column) -> Column:
@@ -63,12 +65,24 @@ def ocr_post_pass(checks: DataFrame, is_ocr: Column) -> DataFrame:
 
 
 def coerce_report(replies: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """Checks of external JSON reports in long form: an unknown status warns, blank texts are null, sop_rule only if true."""
+    """Checks of external JSON reports in long form: an unknown status warns, blank texts are null, sop_rule only if true;
+    a step without a number is 0, a check without a label is "Check". Steps without checks vanish."""
     steps = F.explode(F.from_json(json_col, REPORT_SCHEMA)["steps"])
-    rows = replies.select(F.col(id_col).alias("label_id"), steps.alias("s")).select("label_id", F.col("s.step").alias("step"), F.posexplode("s.checks").alias("seq", "c"))
-    text = lambda name: F.when(F.trim(F.col(f"c.{name}")) != "", F.trim(F.col(f"c.{name}"))).alias(name)
+    rows = replies.select(F.col(id_col).alias("label_id"), steps.alias("s")).select("label_id", F.coalesce("s.step", F.lit(0)).alias("step"), F.posexplode("s.checks").alias("seq", "c"))
+    text = lambda name: F.when(F.trim(F.col(f"c.{name}")) != "", F.trim(F.col(f"c.{name}")))
     status = F.when(F.col("c.status").isin(*STATUSES), F.col("c.status")).otherwise("warn").alias("status")
-    return rows.select("label_id", "step", "seq", text("label"), status, text("expected"), text("found"), text("note"), F.coalesce("c.sop_rule", F.lit(False)).alias("sop_rule"))
+    return rows.select("label_id", "step", "seq", F.coalesce(text("label"), F.lit("Check")).alias("label"), status, *(text(c).alias(c) for c in ("expected", "found", "note")), F.coalesce("c.sop_rule", F.lit(False)).alias("sop_rule"))
+
+
+def report_header(replies: DataFrame, reference: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """(label_id, product, pack_size, overall) of external reports: what a report doesn't say comes from ``reference`` (label_id, product_name, pack_size_g)."""
+    said = F.from_json(json_col, REPORT_SCHEMA)
+    own = replies.select(F.col(id_col).alias("label_id"), said["product"].alias("product"), said["pack_size"].alias("pack_size"))
+    overall = roll_up(coerce_report(replies, id_col, json_col), "label_id").select("label_id", F.col("status").alias("overall"))
+    rows = own.join(reference.select("label_id", "product_name", "pack_size_g"), "label_id", "left").join(overall, "label_id", "left")
+    filled = lambda c: F.when(F.trim(F.col(c)) != "", F.col(c))
+    grams = F.when(F.coalesce("pack_size_g", F.lit(0.0)) != 0, F.concat(number_text(F.col("pack_size_g")), F.lit("g"))).otherwise("pack size not set")
+    return rows.select("label_id", F.coalesce(filled("product"), "product_name").alias("product"), F.coalesce(filled("pack_size"), grams).alias("pack_size"), F.coalesce("overall", F.lit("skip")).alias("overall"))
 
 
 def nested_report(checks: DataFrame) -> DataFrame:

@@ -124,6 +124,25 @@ def block_under(lines: Column, at: Column, column_gap: Column | float, align: Co
     return F.when(at.isNotNull(), F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
+def text_near(lines: Column, at: Column, edge_x: Column, most_rows: int = 30) -> Column:
+    """All text from a heading down to the next blank stretch or heading, left of the edge, whatever column it stands in."""
+    x_max = F.coalesce(edge_x, F.lit(float("inf")))
+    row0 = F.get(lines, at["row"])
+    head = F.get(row0["items"], at["item"])
+    own = F.slice(row0["items"], at["item"] + 1, F.size(row0["items"]))
+    state = F.struct(F.array(join_items(F.filter(own, lambda i: i["x"] < x_max))).alias("parts"), row0["y"].alias("y"), F.lit(True).alias("open"))
+
+    def below(acc: Column, line: Column) -> Column:
+        far = (line["page"] != row0["page"]) | (acc["y"] - line["y"] > F.greatest(head["h"], F.lit(4.0)) * 3.6)
+        text = join_items(F.filter(line["items"], lambda i: i["x"] < x_max))
+        still = acc["open"] & ~far & ((text == "") | ~normalize(text).rlike(STOP))
+        takes = still & (text != "")
+        return F.struct(F.when(takes, F.concat(acc["parts"], F.array(text))).otherwise(acc["parts"]).alias("parts"), F.when(takes, line["y"]).otherwise(acc["y"]).alias("y"), F.coalesce(still, F.lit(False)).alias("open"))
+
+    text = F.aggregate(F.slice(lines, at["row"] + 2, most_rows - 1), state, below, lambda acc: F.array_join(acc["parts"], " "))
+    return F.when(at.isNotNull(), F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
 def nutrient_names(spark) -> DataFrame:
     """(ord, key, title, name): every name of every nutrient; a fixed list."""
     return spark.createDataFrame([(i, key, title, name) for i, (key, title, names, _, _) in enumerate(NUTRIENTS) for name in names], "ord int, key string, title string, name string")

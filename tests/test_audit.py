@@ -146,3 +146,58 @@ def test_label_sources(spark):
 def test_join_items(spark):
     items = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(0).cast("long").alias("ord"), F.lit(s).alias("s"), F.lit(0.0).alias("y"), F.lit(w).alias("w"), F.lit(8.0).alias("h")) for x, s, w in ((0.0, "Ra", 10.0), (10.5, "gi", 10.0), (30.0, "chips", 20.0))])
     assert spark.range(1).select(labels.join_items(items).alias("t")).first()["t"] == "Ragi chips"
+
+
+def test_segments(spark):
+    text = "Pizza Sticks: Wheat flour, salt. Seasoning : Sugar (refined), mint) Dip: Oil."
+    both = spark.range(1).select(audit.segments(F.lit(text), F.lit(False)).alias("a"), audit.segments(F.lit(text), F.lit(True)).alias("b"), audit.segments(F.lit("Salt, oil."), F.lit(False)).alias("c"), audit.segments(F.lit(" "), F.lit(True)).alias("d")).first()
+    assert [tuple(x) for x in both["a"]] == [("Pizza Sticks", "Wheat flour, salt."), ("Seasoning", "Sugar (refined), mint) Dip: Oil.")]
+    assert [tuple(x) for x in both["b"]] == [("Pizza Sticks", "Wheat flour, salt."), ("Seasoning", "Sugar (refined), mint)"), ("Dip", "Oil.")]
+    assert [tuple(x) for x in both["c"]] == [(None, "Salt, oil.")] and both["d"] == []
+
+
+def test_misread_allergens_by_brute_force(spark):
+    from larder.functions.distance import osa
+
+    texts = ["Contains giuten and mi1k", "milkcudmil", "contains wheta, soybaen", "alomnds", "eggs", "mil", "ilk", "nothing here", "xxmusttardxx", "walnu", "ssame cashew", "dairies, barely", "", "milksoybea"]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", audit.allergen_groups(F.col("t"), F.lit(True)).alias("ocr"), audit.allergen_groups(F.col("t")).alias("plain")).collect():
+        tokens = [w for w in "".join(c if c.isalnum() else " " for c in r["t"].lower()).split() if len(w) >= 4]
+        run = "".join(c for c in r["t"].lower() if c.isalpha())
+        want = {g for g, keys in audit.ALLERGEN_WORDS.items() for k in keys if any(osa(w, k, 1) <= 1 for w in tokens) or any(osa(run[i : i + len(k)], k, 1) <= 1 for i in range(max(len(run) - len(k) + 2, 0)))}
+        assert set(r["ocr"]) == want | set(r["plain"]), r["t"]
+
+
+def ingredient_checks(spark, ocr, label_list, label_allergens="Contains gluten.", allergens_near=None, sheet="Ragi flour, rice flour, sunflower oil, salt."):
+    row = spark.createDataFrame([(ocr, sheet, label_list, "Contains gluten.", label_allergens, allergens_near)], "ocr boolean, ingredients string, label_list string, allergens string, label_allergens string, allergens_near string")
+    return {c["label"]: c for c in audit.ingredients_step(row).first()["step6"]}
+
+
+def test_ocr_ingredients(spark):
+    text = "Ragi fl, rce flour, sunflower oil, slt."
+    plain = ingredient_checks(spark, False, text, "Contains", "Contains giuten.")
+    assert plain["Ingredients match the sheet"]["status"] == "fail" and plain["Allergen declaration"]["status"] == "fail"
+    read = ingredient_checks(spark, True, text, "Contains", "Contains giuten.")
+    assert (read["Ingredients match the sheet"]["status"], read["Ingredients match the sheet"]["found"]) == ("warn", "Read badly: rice, salt")
+    assert "No extra ingredients on the label" not in read and read["Allergen declaration"]["status"] == "pass"
+
+
+def test_component_full_stops(spark):
+    got = ingredient_checks(spark, False, "Chips: Ragi flour, salt. Dip: Oil, Salt CONTAINS milk")
+    assert got["Ends with full stop"]["found"] == "Missing after: Dip, the CONTAINS statement"
+    assert got["Casing: first letter capital, rest lowercase"]["status"] == "warn" and "No extra ingredients on the label" not in got
+
+
+def test_text_near(spark):
+    places = [("Allergen: Contains", 20.0, 700.0), ("beside", 300.0, 700.0), ("wheat", 45.0, 686.0), ("and milk", 21.0, 672.0), ("Store in a dry place", 20.0, 658.0), ("soya", 20.0, 644.0)]
+    items = spark.createDataFrame([("L1", i, t, x, y, 50.0, 8.0, 1, False) for i, (t, x, y) in enumerate(places)], "label_id string, ord long, s string, x double, y double, w double, h double, page int, rotated boolean")
+    ctx = labels.context(items, spark.createDataFrame([("L1", "ocr")], "label_id string, source string"))
+    at = labels.heading_at(F.col("rows"), "^allergen")
+    got = ctx.select(labels.text_near(F.col("rows"), at, F.lit(250.0)).alias("near"), labels.block_under(F.col("rows"), at, 60.0, 7.0, F.lit(250.0)).alias("aligned")).first()
+    assert got["near"] == "Allergen: Contains wheat and milk" and got["aligned"] == "Contains and milk"
+
+
+def test_report_defaults(spark):
+    replies = spark.createDataFrame([("a", '{"product": " ", "steps": [{"checks": [{"status": "fail"}]}, {"step": 4, "checks": []}]}'), ("b", '{"pack_size": "80 g"}'), ("c", "no json")], "id string, r string")
+    ref = spark.createDataFrame([("a", "Chips", 70.5), ("b", "Dip", 0.0)], "label_id string, product_name string, pack_size_g double")
+    assert [(r["step"], r["label"], r["status"]) for r in checks.coerce_report(replies, "id", "r").collect()] == [(0, "Check", "fail")]
+    assert {tuple(r) for r in checks.report_header(replies, ref, "id", "r").collect()} == {("a", "Chips", "70.5g", "fail"), ("b", "Dip", "80 g", "skip"), ("c", None, "pack size not set", "skip")}
