@@ -6,8 +6,6 @@ decimals, and computed columns are cast, so that both engines return equal value
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,24 +15,9 @@ from larder.functions.geometry import anchored_clusters
 from larder.functions.numbers import parse_float
 from larder.functions.text import ACCENTED, PLAIN, find_all, has_phrase, normalize, split_outside_brackets, words
 from larder.operators import checks, claims, market, matching, products
+from larder.plans.registry import QUERIES, SQL, query, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["QUERIES", "SQL"]
 
 
 def dec(c: str, scale: int = 2) -> Column:
