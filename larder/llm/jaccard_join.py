@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut_lineage, with_facts
+from larder.llm.common import cut_lineage, small_batches, with_facts
 from larder.llm.shingles import shingle_sets
 
 #: Bits of a shingle's hash that are kept; shingles and sets that a task packs at once; shingles of a shard.
@@ -387,9 +387,10 @@ def indexed_sets(lean: DataFrame, table: DataFrame) -> DataFrame:
 def link_components(docs: DataFrame, count_links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (least doc_id with an equal set) and n_links (other classes its class links with) of every document."""
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = cut_lineage(set_table(lean))
+    with small_batches(docs.sparkSession):
+        table = cut_lineage(set_table(lean))
+        sets = cut_lineage(indexed_sets(lean, table))
     classes = table.filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("cls"), F.count("*").alias("copies"))
-    sets = cut_lineage(indexed_sets(lean, table))
     labels = link_labels(sets)
     named = labels.select(F.col("id").alias("key"), "comp").join(classes, "key")
     least = named.groupBy("comp").agg(F.min("cls").alias("least"))

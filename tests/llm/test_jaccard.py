@@ -62,3 +62,19 @@ def test_one_id_on_several_texts_and_long_texts(spark):
     rows = [(7, "a b c d e f g", "en", "s", 1), (7, "h i j k l m n", "en", "s", 1), (9, "h i j k l m n", "en", "s", 1), (8, "A B C D E F G", "en", "s", 1), (1, long_text, "en", "s", 1), (2, long_text + " end", "en", "s", 1)]
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.link_components(spark.createDataFrame(rows, DOCS)).collect())
     assert got == [(1, 59_996, 1, 1), (2, 59_997, 1, 1), (7, 3, 7, 0), (7, 3, 7, 0), (8, 3, 7, 0), (9, 3, 7, 0)]
+
+
+def test_small_batches_restore_the_setting(spark):
+    from larder.llm.common import BATCH_ROWS, small_batches
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for held, inside in (("10000", BATCH_ROWS), ("10", 10), ("0", BATCH_ROWS)):
+            spark.conf.set(name, held)
+            with pytest.raises(ValueError), small_batches(spark):
+                assert int(spark.conf.get(name)) == inside
+                raise ValueError
+            assert spark.conf.get(name) == held
+    finally:
+        spark.conf.set(name, before)
