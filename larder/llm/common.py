@@ -74,12 +74,12 @@ def with_facts(rows: DataFrame, facts: DataFrame, key: str, n_rows: int, spread:
     return rows.withColumns({c: F.when(F.col("_hot"), F.col(f"_{c}")).otherwise(F.col(c)) for c in names}).drop("_key", "_apart", "_hot", *(f"_{c}" for c in names))
 
 
-def text_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of an Arrow string column holding about SLICE_BYTES each."""
+def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of an Arrow string column holding about ``most`` bytes each."""
     sizes = pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes):
-        if held and held + n > SLICE_BYTES:
+        if held and held + n > most:
             yield start, i
             start, held = i, 0
         held += int(n)
