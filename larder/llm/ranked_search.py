@@ -278,7 +278,7 @@ def _scan(clusters: DataFrame, items: Items, weights: np.ndarray, k: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, weight = shared.value
         weighted = [weight[t] * m for t, m in zip(own.terms, own.times, strict=True)]
-        places = [np.array([np.searchsorted(own.beside[t], ts) for t in ts]).reshape(len(ts), -1) if len(ts) <= WIDE else None for ts in own.terms]
+        places = [np.array([np.searchsorted(own.beside[t], ts) for t in ts]).reshape(len(ts), len(ts)) if len(ts) <= WIDE else None for ts in own.terms]
         best, seen = [Best(k) for _ in own.terms], Counter()
         for b in batches:
             for row in b.to_pylist():
