@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import decontamination, html_text, jaccard_join, media_ts, mixing, quality_lm, ranked_search, resharding, secret_ledger, suffix_dedup, token_counts, toxicity
+from larder.llm import decontamination, html_text, jaccard_join, media_ts, merkle_manifest, mixing, quality_lm, ranked_search, resharding, secret_ledger, suffix_dedup, token_counts, toxicity
 from larder.llm.common import shared_dir, table
 
 
@@ -63,6 +63,11 @@ def op10_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lm.judged(docs, quality_lm.trusted_ids(table(spark, sf_dir, "labels")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A leaf, a proof and a verdict for every document."""
+    return merkle_manifest.proofs(table(spark, sf_dir, "documents"))
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that an earlier one has: what goes, and a digest of what stays."""
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
@@ -73,5 +78,5 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_jaccard_join, op3_decontamination, op4_resharding, op5_secret_ledger, op6_toxicity, op7_media_ts, op8_token_counts, op9_mixing, op10_quality_lm, op9_mixing_to_targets, op9_mixing_shares, op12_suffix_dedup, op13_ranked_search)}
-SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL, "op9_mixing": mixing.SQL, "op9_mixing_to_targets": mixing.SQL, "op12_suffix_dedup": suffix_dedup.SQL, "op13_ranked_search": ranked_search.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_jaccard_join, op3_decontamination, op4_resharding, op5_secret_ledger, op6_toxicity, op7_media_ts, op8_token_counts, op9_mixing, op10_quality_lm, op9_mixing_to_targets, op9_mixing_shares, op11_merkle_manifest, op12_suffix_dedup, op13_ranked_search)}
+SQL: dict[str, str] = {"op3_decontamination": decontamination.SQL, "op9_mixing": mixing.SQL, "op9_mixing_to_targets": mixing.SQL, "op11_merkle_manifest": merkle_manifest.SQL, "op12_suffix_dedup": suffix_dedup.SQL, "op13_ranked_search": ranked_search.SQL}
