@@ -44,10 +44,11 @@ GRAM = 16
 
 
 class Sizes(NamedTuple):
-    """Text bytes of a block and of a shard, blocks of a shard that meet at once, and the blocks from which a key is dealt by string."""
+    """Text bytes of a block and of a shard, shards of pieces to one of marks, blocks of a shard that meet at once, and the blocks from which a key is dealt by string."""
 
-    block: int = 4_000_000
+    block: int = 2_000_000
     shard: int = 32_000_000
+    split: int = 16
     fan: int = 1024
     hot: int = 64
 
@@ -102,10 +103,9 @@ def longest_previous_factors(data: np.ndarray, starts: np.ndarray, docs: np.ndar
         return out
     words = np.ndarray(len(data) - 7, ">u8", data, strides=(1,)) if len(data) >= 8 else None
     steps = [*range(0, least - 7, 8), *([least - 8] if least % 8 else [])]
-    level = [words[starts + k].astype(np.uint64) for k in steps]
-    h = level[0] * np.uint64(_ODD)
-    for k, w in enumerate(level[1:]):
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(_ODD + 2 * k) + w
+    h = np.zeros(len(starts), np.uint64)
+    for k in steps:
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(_ODD + 2 * k) + words[starts + k].astype(np.uint64)
     order = np.argsort(h, kind="stable")
     first = np.r_[True, h[order][1:] != h[order][:-1]]
     heads = np.flatnonzero(first)
@@ -113,10 +113,12 @@ def longest_previous_factors(data: np.ndarray, starts: np.ndarray, docs: np.ndar
     own = order[(low < high)[np.cumsum(first) - 1]]  # the others have no partner in another doc
     if not len(own):
         return out
-    sa = own[np.lexsort([docs[own], *(w[own] for w in reversed(level))])]
+    del h, order, first
+    sa = own[np.lexsort([docs[own], *(words[starts[own] + k].astype(np.uint64) for k in reversed(steps))])]
     lcp, same = np.zeros(len(sa), np.int64), np.ones(len(sa) - 1, bool)
-    for w in level:
-        same &= w[sa][1:] == w[sa][:-1]
+    for k in steps:
+        w = words[starts[sa] + k]
+        same &= w[1:] == w[:-1]
     lcp[1:][same] = least
     before, after = _earlier(docs[sa], lcp, least), _earlier(docs[sa][::-1], np.r_[0, lcp[:0:-1]], least)[::-1]
     out[sa] = np.maximum(before, after)
@@ -266,9 +268,12 @@ def _sent(block: int, data: np.ndarray, at: np.ndarray, start: np.ndarray, size:
         yield _row(PIECE, int(shard[own[0]]), block, at[own], size[own], ids[own], data[_ramp(start[own], size[own])])
 
 
-def _pieces(blocks: DataFrame, bits: DataFrame, least: int, shards: int) -> DataFrame:
+def _pieces(blocks: DataFrame, bits: DataFrame, least: int, shards: int, split: int) -> DataFrame:
     """What each block finds by itself (kind SPAN), and the pieces that it sends on."""
 
+    def dealt(code: np.ndarray) -> np.ndarray:
+        return ((code >> np.uint64(32)) * np.uint64(split) + code % np.uint64(split)).astype(np.int64)
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _ARROW.empty_table()
@@ -285,13 +290,13 @@ def _pieces(blocks: DataFrame, bits: DataFrame, least: int, shards: int) -> Data
         rows = [_row(SPAN, -1 - block % shards, block, *_joined(starts[old], least))]
         open_ = np.bincount(owner[~old], minlength=len(r.n)) > 0
         cold = open_ & ~hot
-        rows += _sent(block, data, r.start[cold], r.start[cold], r.n[cold] + least - 1, ids[r.row][cold], (r.code[cold] >> np.uint64(32)).astype(np.int64))
+        rows += _sent(block, data, r.start[cold], r.start[cold], r.n[cold] + least - 1, ids[r.row][cold], dealt(r.code[cold]))
         alone = ~old & hot[owner]
         at = starts[alone]
         h = np.zeros(len(at), np.uint64)
         for k in range(least):
             h = h * np.uint64(_ODD) + _LETTER[data[at + k]]
-        rows += _sent(block, data, at, at, np.full(len(at), least), docs[alone], (_code(h, shards) >> np.uint64(32)).astype(np.int64))
+        rows += _sent(block, data, at, at, np.full(len(at), least), docs[alone], dealt(_code(h, shards)))
         return pa.Table.from_pylist(rows, _ARROW)
 
     return blocks.select("block", "ids", "sizes", "data").groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(run, _ROW)
@@ -363,7 +368,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST, sizes: Sizes = Sizes())
     blocks = _blocks(docs.selectExpr("CAST(doc_id AS bigint) AS id", "text"), sizes.block)
     total, n = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     shards = max(1, -(-total // sizes.shard))
-    rows = _pieces(blocks, _answered(_marks(blocks, least, shards), sizes.hot), least, shards)
+    rows = _pieces(blocks, _answered(_marks(blocks, least, shards), sizes.hot), least, shards, sizes.split)
     parts = n
     while True:
         parts = max(1, -(-parts // sizes.fan))

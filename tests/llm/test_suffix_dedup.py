@@ -41,7 +41,7 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("sizes", [Sizes(), Sizes(500, 700, 2, 2), Sizes(300, 10_000, 3, 1000)])
+@pytest.mark.parametrize("sizes", [Sizes(), Sizes(500, 700, 3, 2, 2), Sizes(300, 10_000, 2, 3, 1000)])
 def test_equals_comparing_all_strings(spark, sizes, monkeypatch):
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
