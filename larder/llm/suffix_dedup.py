@@ -50,7 +50,7 @@ class Sizes(NamedTuple):
     shard: int = 32_000_000
     split: int = 16
     fan: int = 1024
-    hot: int = 64
+    hot: int = 4096
 
 
 LAST = np.iinfo(np.int64).max
@@ -106,7 +106,7 @@ def longest_previous_factors(data: np.ndarray, starts: np.ndarray, docs: np.ndar
     h = np.zeros(len(starts), np.uint64)
     for k in steps:
         h = (h ^ (h >> np.uint64(29))) * np.uint64(_ODD + 2 * k) + words[starts + k].astype(np.uint64)
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     first = np.r_[True, h[order][1:] != h[order][:-1]]
     heads = np.flatnonzero(first)
     low, high = np.minimum.reduceat(docs[order], heads), np.maximum.reduceat(docs[order], heads)
@@ -229,7 +229,7 @@ def _answered(marks: DataFrame, hot: int) -> DataFrame:
         sizes = np.array([len(x) for x in own])
         twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(t.column("twice").to_pylist(), sizes, strict=True)]).astype(bool)
         every = np.concatenate(own)
-        order = np.argsort(every, kind="stable")
+        order = np.argsort(every)
         first = np.r_[True, every[order][1:] != every[order][:-1]]
         of, count = np.cumsum(first) - 1, np.diff(np.r_[np.flatnonzero(first), len(every)])
         also = np.bincount(of, weights=twice[order], minlength=len(count)) > 0
