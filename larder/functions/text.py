@@ -22,8 +22,13 @@ ACCENTED, PLAIN = _folds()
 
 def normalize(c: Column) -> Column:
     """Accents dropped, lower case, everything but a-z and 0-9 one space, trimmed."""
+    return F.trim(loosened(c))
+
+
+def loosened(c: Column) -> Column:
+    """As ``normalize``, but not trimmed: texts joined from such parts normalise to what the joined text does."""
     plain = F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"[\x{300}-\x{36F}]", "")
-    return F.trim(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", " "))
+    return F.regexp_replace(F.lower(plain), "[^a-z0-9]+", " ")
 
 
 def words(c: Column) -> Column:

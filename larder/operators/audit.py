@@ -17,6 +17,7 @@ from pyspark.sql.types import ArrayType, StringType
 from larder.functions.distance import osa
 from larder.functions.numbers import number_text
 from larder.functions.text import absence_target, ao_key, find_all, has_phrase, made_with_target, normalize, split_outside_brackets, words
+from larder.operators import photo
 from larder.operators.checks import ocr_post_pass
 from larder.operators.labels import block_under, context, heading_at, nutrient_names, nutrition_cells, table_edge, text_near
 from larder.operators.matching import best_suggestion
@@ -524,10 +525,11 @@ STEPS = ((2, name_step), (3, claims_step), (4, weight_step), (5, description_ste
 
 def audit(items: DataFrame, labels: DataFrame, reference: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """All checks of all labels in long form; ``reference`` has the REFERENCE columns, one row a label; without a vocabulary spelling isn't checked."""
-    ctx = cut_lineage(context(items, labels))  # read by several steps
+    ctx = cut_lineage(context(photo.levelled_items(items, labels), labels))  # read by several steps
     empty = F.array().cast("array<struct<row_no:int,page:int,y:double,items:array<struct<x:double,ord:bigint,s:string,y:double,w:double,h:double>>,text:string>>")
     ctx = ctx.withColumn("rows", F.coalesce("rows", empty)).withColumn("_ing", heading_at(F.col("rows"), "^ingredients?(?![a-z0-9])")).withColumn("_all", heading_at(F.col("rows"), "^allergen"))
-    cells = cut_lineage(nutrition_cells(ctx))
+    lines = ctx.filter("ocr").select("label_id", F.explode("rows").alias("r")).select("label_id", "r.*")
+    cells = cut_lineage(photo.with_photo_cells(nutrition_cells(ctx), photo.photo_cells(lines, photo.expected_values(reference))))
     beside = cells.groupBy("label_id").agg(F.collect_list(F.struct("x", "y")).alias("_cells"))
     ctx = ctx.join(beside, "label_id", "left").withColumn("_cells", F.coalesce("_cells", F.array().cast("array<struct<x:double,y:double>>")))
     ctx = ctx.withColumns({f"{at}_edge": table_edge(F.col(at), F.col("rows"), F.col("_cells")) for at in ("_ing", "_all")})

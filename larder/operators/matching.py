@@ -20,14 +20,6 @@ def rule_table(spark, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"ord int, {schema}")
 
 
-def first_rule(rows: DataFrame, key: list[str], rules: DataFrame, matches: Column, fields: list[str]) -> DataFrame:
-    """rows with the fields of the first rule (by ord) that matches; null where none does."""
-    pairs = rows.select(*key, *[c for c in rows.columns if c not in key]).join(F.broadcast(rules), matches, "left")
-    best = F.min_by(F.struct("ord", *fields), F.col("ord"))
-    keep = [F.first(c).alias(c) for c in rows.columns if c not in key]
-    return pairs.groupBy(*key).agg(*keep, best.alias("_rule")).select(*rows.columns, *[F.col(f"_rule.{f}").alias(f) for f in ["ord", *fields]])
-
-
 def first_rule_in_list(value: Column, rules: list[tuple[str, int]], otherwise: str | None = None) -> Column:
     """The name of the first keyword rule that a text contains, as one expression: no join for a fixed list."""
     return reduce(lambda acc, r: F.when(F.contains(value, F.lit(r[0])), F.lit(r[1])).otherwise(acc), reversed(rules), F.lit(otherwise))
@@ -72,9 +64,25 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, left_col: str, right_col: str
     return pairs.filter(F.col("distance").between(0, most)).select(left_col, right_col, "distance")
 
 
+def deletions(word: Column, most: int) -> Column:
+    """A word with none, one, ... ``most`` of its letters left out: words within ``most`` edits, swaps included, have one in common."""
+    one = lambda w: F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))).otherwise(F.array().cast("array<string>"))
+    level, out = F.array(word), F.array(word)
+    for _ in range(most):
+        level = F.array_distinct(F.flatten(F.transform(level, one)))
+        out = F.concat(out, level)
+    return F.array_distinct(out)
+
+
 def osa_pairs(left: DataFrame, right: DataFrame, left_col: str, right_col: str, most: int = 2) -> DataFrame:
-    """fuzzy_pairs under the OSA distance; only blocked pairs reach Python."""
-    return fuzzy_pairs(left, right, left_col, right_col, most, lambda a, b: osa_distance(a, b, most))
+    """(left, right, distance) of terms with one first character and at most so many edits under the OSA distance.
+
+    An equi-join on deletions: a term has as many keys as its length allows, whatever the number of terms, so no block
+    grows with their square; only pairs that share a deletion reach the distance.
+    """
+    keyed = lambda df, c: df.select(c).distinct().select(c, F.substring(c, 1, 1).alias("_first"), F.explode(deletions(F.col(c), most)).alias("_key"))
+    pairs = keyed(left, left_col).join(keyed(right, right_col), ["_first", "_key"]).select(left_col, right_col).distinct()
+    return pairs.withColumn("distance", osa_distance(F.col(left_col), F.col(right_col), most)).filter(F.col("distance") <= most)
 
 
 def best_suggestion(words: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -1,5 +1,5 @@
 """Registered queries: each operator's shape over the driver's tables, with its SQL."""
 
-from larder.plans import queries, sheet_queries
+from larder.plans import photo_queries, queries, sheet_queries
 
-__all__ = ["queries", "sheet_queries"]
+__all__ = ["photo_queries", "queries", "sheet_queries"]

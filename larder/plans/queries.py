@@ -310,17 +310,17 @@ def q31_box_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.interval_anti_join(boxes.filter("l_linenumber > 2"), boxes.filter("l_linenumber <= 2"), ["l_orderkey"], "lo", "hi", 0.2)
 
 
-SLOPES = tuple(k / 10 for k in range(-3, 4))
+LINE_SLOPES = tuple(k / 10 for k in range(-3, 4))
 
 
 @query(f"""
 WITH pts AS (SELECT l_suppkey AS k, l_linenumber::DOUBLE AS x, l_quantity AS y, l_linenumber AS w FROM lineitem),
-bins AS (SELECT k, s, floor((y - s * x) / 4.0 + 0.5)::BIGINT AS bin, sum(w) AS w FROM pts, (VALUES {", ".join(f"({s}::DOUBLE)" for s in SLOPES)}) t(s) GROUP BY ALL)
+bins AS (SELECT k, s, floor((y - s * x) / 4.0 + 0.5)::BIGINT AS bin, sum(w) AS w FROM pts, (VALUES {", ".join(f"({s}::DOUBLE)" for s in LINE_SLOPES)}) t(s) GROUP BY ALL)
 SELECT k AS suppkey, s AS slope, sum(w * w)::BIGINT AS sharpness FROM bins GROUP BY ALL""")
 def q32_slope_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pts = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("suppkey"), F.col("l_linenumber").alias("w"), F.col("l_quantity").alias("y"), F.explode(F.array(*map(F.lit, SLOPES))).alias("slope"))
-    bins = pts.groupBy("suppkey", "slope", F.floor((F.col("y") - F.col("slope") * F.col("w")) / 4.0 + 0.5).alias("bin")).agg(F.sum("w").alias("w"))
-    return bins.groupBy("suppkey", "slope").agg(F.sum(F.col("w") * F.col("w")).alias("sharpness"))
+    points = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("suppkey"), F.col("l_linenumber").cast("double").alias("x"), F.col("l_quantity").alias("y"), F.col("l_linenumber").alias("width"))
+    found = geometry.row_sharpness(points, ["suppkey"], LINE_SLOPES, 4.0)
+    return found.select("suppkey", "slope", F.col("sharpness").cast("bigint").alias("sharpness"))
 
 
 @query("""
@@ -349,7 +349,14 @@ def q35_claim_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", parts.alias("parts"), F.size(parts).alias("n"))
 
 
-@query()
+# An alignment with a swap is one edit and two Levenshtein distances around it; with two swaps it is both of them.
+@query(f"""
+WITH w AS (SELECT DISTINCT unnest({_WORDS_SQL.format(c="p_name || ' ' || p_type || ' ' || p_brand")}) AS word FROM part),
+p AS (SELECT a.word AS word, b.word AS near, levenshtein(a.word, b.word) AS d FROM w a JOIN w b ON a.word[1] = b.word[1] AND abs(length(a.word) - length(b.word)) <= 2 AND a.word <> b.word),
+s AS (SELECT word, near, d, i, j, 1 + levenshtein(word[1:i - 1], near[1:j - 1]) + levenshtein(word[i + 2:], near[j + 2:]) AS one,
+    CASE WHEN word[1:i - 1] = near[1:j - 1] THEN len(list_filter(range(1, length(word) - i), lambda k: word[i + 2:][1:k - 1] || word[i + 2:][k + 1] || word[i + 2:][k] || word[i + 2:][k + 2:] = near[j + 2:])) END AS again
+  FROM (SELECT *, unnest(range(1, length(near))) AS j FROM (SELECT *, unnest(range(1, length(word))) AS i FROM p)) WHERE abs(i - j) <= 2 AND word[i] = near[j + 1] AND word[i + 1] = near[j] AND word[i] <> word[i + 1])
+SELECT word, near, least(any_value(p.d), coalesce(min(one), 9), CASE WHEN max(again) > 0 THEN 2 ELSE 9 END)::INTEGER AS distance FROM p LEFT JOIN s USING (word, near) GROUP BY ALL HAVING distance <= 2""")
 def q36_osa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = table(spark, sf_dir, "part").select(F.explode(words(F.concat_ws(" ", "p_name", "p_type", "p_brand"))).alias("word")).distinct()
     return matching.osa_pairs(terms, terms.withColumnRenamed("word", "near"), "word", "near").filter("word <> near")
@@ -377,14 +384,14 @@ def q40_signed_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", claims.signed_deviation_pct(got, want).alias("deviation_pct"), claims.serving_factor(F.col("p_size")).alias("factor"))
 
 
-SLOPES = (-2.0, -0.5, 0.0, 0.5, 2.0)
+ROW_SLOPES = (-2.0, -0.5, 0.0, 0.5, 2.0)
 
 
 @query(f"""WITH bins AS (SELECT l_suppkey, slope, floor((l_linenumber - slope * l_quantity) / 3.0 + 0.5) AS bin, sum(l_quantity::DECIMAL(18,2)) AS width
-  FROM lineitem, (SELECT unnest([{", ".join(map(str, SLOPES))}]::DOUBLE[]) AS slope) GROUP BY ALL) SELECT l_suppkey, slope, sum(width::DOUBLE * width::DOUBLE) AS sharpness FROM bins GROUP BY ALL""")
+  FROM lineitem, (SELECT unnest([{", ".join(map(str, ROW_SLOPES))}]::DOUBLE[]) AS slope) GROUP BY ALL) SELECT l_suppkey, slope, sum(width::DOUBLE * width::DOUBLE) AS sharpness FROM bins GROUP BY ALL""")
 def q41_row_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_quantity").alias("x"), F.col("l_linenumber").alias("y"), dec("l_quantity").alias("width"))
-    return geometry.row_sharpness(boxes, ["l_suppkey"], SLOPES, 3.0)
+    return geometry.row_sharpness(boxes, ["l_suppkey"], ROW_SLOPES, 3.0)
 
 
 @query("""SELECT l_orderkey, 'per ' || (count(*) * 10)::VARCHAR || 'g: ' || coalesce(string_agg(l_returnflag || ' ' || l_quantity::BIGINT::VARCHAR || ' g', ', ' ORDER BY l_linenumber, l_returnflag, l_quantity) FILTER (WHERE l_quantity <> 7), '') AS said FROM lineitem GROUP BY 1""")

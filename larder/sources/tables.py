@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df as a Parquet table below spark.checkpoint.dir (a temporary folder only where that is unset, as in tests); delete ``larder-tables`` there after a job."""
+    """df as a Parquet table below spark.checkpoint.dir (a temporary folder only where driver and executors are one process, as in tests); delete ``larder-tables`` there after a job."""
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="larder-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where}/larder-tables/{uuid.uuid4()}"

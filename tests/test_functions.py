@@ -94,3 +94,18 @@ def test_anchored_clusters(spark):
     assert [c["cluster"] for c in one(spark, geometry.anchored_clusters(items, "y", 2.5))] == [1, 1, 2, 2, 3]
     assert one(spark, geometry.upper_median(F.array(F.lit(4), F.lit(1), F.lit(3), F.lit(2)))) == 3
     assert one(spark, geometry.upper_median(F.array().cast("array<int>"))) is None
+
+
+def test_osa_pairs_equal_all_pairs(spark):
+    import random
+
+    from larder.functions.distance import osa
+    from larder.operators.matching import deletions, osa_pairs
+
+    rng = random.Random(9)
+    words = sorted({"a" + "".join(rng.choice("ab") for _ in range(rng.randrange(7))) for _ in range(60)} | {"", "b", "ca", "abc", "ba"})
+    frame = spark.createDataFrame([(w,) for w in words], "word string")
+    got = {tuple(r) for r in osa_pairs(frame, frame.withColumnRenamed("word", "near"), "word", "near").collect()}
+    assert got == {(a, b, osa(a, b, 2)) for a in words for b in words if a[:1] == b[:1] and osa(a, b, 2) <= 2}
+    keys = spark.createDataFrame([("abc",), ("",)], "w string").select(deletions(F.col("w"), 2)).collect()
+    assert sorted(keys[0][0]) == ["a", "ab", "abc", "ac", "b", "bc", "c"] and keys[1][0] == [""]
