@@ -6,9 +6,11 @@ scaled so that the expected tokens are ``budget`` of all, with probabilities ove
 anew. A document is sampled when a uniform number made from its id lies below its probability, so a rerun and
 a lost executor give the same sample.
 
-Without a budget (``budget=None``, what the query and the pipeline use) the rate is the largest at which no cell is cut off,
-so that the sampled marginals are the targets (``achieved`` returns both). With a budget, cells that would pass 1 are cut
-off and the marginals miss their targets by that.
+Without a budget (``budget=None``, what the query and the pipeline use) a cell's weight is at most MOST_WEIGHT times its
+tokens in every step of the raking, so that other cells of its marginals take over what a scarce one can't give, and the
+rate is the largest at which no cell is cut off. So the sample keeps about 1 / MOST_WEIGHT of the tokens or more, however
+scarce a cell is, and misses a target only where that bound holds (``achieved`` returns target and sampled shares). With a
+budget, cells that would pass 1 are cut off and the marginals miss their targets by that.
 
 Targets: shares by dimension (value -> share) or, by default, tempered shares: share ** TEMPER, normalised. The
 cell table is made by one aggregation that combines before the shuffle, and raked by windows over one dimension's value at
@@ -17,7 +19,7 @@ to the documents is left to Spark's own check of their size.
 
 Defined cases: null source or language counts as the empty string; null and empty texts have no tokens, are
 sampled always (they weigh nothing); a target value without documents is ignored and the rest renormalised; an
-empty table gives an empty result; rows that repeat are drawn alike; the columns added are topic, n_tokens, probability, sampled.
+empty table gives an empty result; rows that repeat, and ties of an id, are drawn alike; very long texts are counted whole; the columns added are topic, n_tokens, probability, sampled.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from larder.llm.common import cut_lineage
 DIMENSIONS = ("source", "lang", "topic")
 BUDGET, TEMPER, ROUNDS = 0.9, 0.7, 12
 CUT_ROUNDS = 4
+#: A cell's tokens are weighed at most so many times; 1 / MOST_WEIGHT of all tokens is what the sample keeps at least, roughly.
+MOST_WEIGHT = 2.0
 #: Topic rules in order; the first that holds counts, the last is the rest.
 LEGAL = "[Ll]icen[cs]e|[Cc]opyright"
 CONTACT = "[a-z0-9]@[a-z0-9]"
@@ -68,13 +72,14 @@ def _targets(cells: DataFrame, shares: dict[str, dict[str, float]] | None) -> Da
     return cells.select(*keys, *(c for c in cells.columns if c not in keys))
 
 
-def rake(cells: DataFrame, shares: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """cells (_source, _lang, _topic, tokens) with weight: fitted tokens."""
+def rake(cells: DataFrame, shares: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, most: float | None = None) -> DataFrame:
+    """cells (_source, _lang, _topic, tokens) with weight: fitted tokens, in each step at most ``most`` times the tokens."""
     cells = cut_lineage(_targets(cells, shares).withColumn("weight", F.col("tokens").cast("double")))
     for k in range(1, rounds + 1):
         for d in DIMENSIONS:
             own = F.sum("weight").over(Window.partitionBy(f"_{d}"))
-            cells = cells.withColumn("weight", F.when(own > 0, F.col("weight") * F.col(f"target_{d}") / own).otherwise(0.0))
+            fitted = F.when(own > 0, F.col("weight") * F.col(f"target_{d}") / own).otherwise(0.0)
+            cells = cells.withColumn("weight", fitted if most is None else F.least(fitted, F.lit(most) * F.col("tokens")))
         if k % CUT_ROUNDS == 0 or k == rounds:
             cells = cut_lineage(cells)
     return cells
@@ -116,7 +121,7 @@ def mix(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, budg
     rows = with_cells(docs) if "text" in docs.columns else docs.withColumns({f"_{d}": F.coalesce(F.col(d).cast("string"), F.lit("")) for d in DIMENSIONS})
     keys = [f"_{d}" for d in DIMENSIONS]
     cells = cut_lineage(rows.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
-    raked = rake(cells, shares)
+    raked = rake(cells, shares, most=MOST_WEIGHT if budget is None else None)
     fitted = cut_lineage((uncut(raked) if budget is None else calibrate(raked, budget)).select(*keys, "probability"))
     return rows.join(fitted, keys).drop(*keys).withColumn("sampled", uniform() < F.col("probability"))
 
@@ -153,7 +158,7 @@ def _sql() -> str:
     steps.append(f"{last} AS (SELECT {keys}, tokens, tokens AS weight FROM cells)")
     for i in range(ROUNDS * len(DIMENSIONS)):
         d = DIMENSIONS[i % len(DIMENSIONS)]
-        steps.append(f"cells_{i + 1} AS MATERIALIZED (SELECT {', '.join('c.' + f'_{x}' for x in DIMENSIONS)}, tokens, CASE WHEN sum(weight) OVER (PARTITION BY c._{d}) > 0 THEN weight * target / sum(weight) OVER (PARTITION BY c._{d}) ELSE 0 END AS weight FROM {last} c JOIN target_{d} t ON t._{d} = c._{d})")
+        steps.append(f"cells_{i + 1} AS MATERIALIZED (SELECT {', '.join('c.' + f'_{x}' for x in DIMENSIONS)}, tokens, least(CASE WHEN sum(weight) OVER (PARTITION BY c._{d}) > 0 THEN weight * target / sum(weight) OVER (PARTITION BY c._{d}) ELSE 0 END, {MOST_WEIGHT} * tokens) AS weight FROM {last} c JOIN target_{d} t ON t._{d} = c._{d})")
         last = f"cells_{i + 1}"
     steps += [
         f"ratios AS (SELECT {keys}, tokens, weight, CASE WHEN tokens > 0 THEN weight / tokens END AS ratio FROM {last})",

@@ -285,6 +285,24 @@ def test_sampled_marginals_meet_the_targets(spark):
     assert all(abs(r["share"] - r["target"]) < 0.02 for r in got)
 
 
+def test_a_scarce_cell_does_not_empty_the_sample(spark):
+    rows = [(i, "word " * (50 + i % 7 * 30), "en" if i % 3 else "de", f"s{i % 4}") for i in range(300)]
+    schema = "doc_id long, text string, lang string, source string"
+    kept = lambda own: mixing.mix(spark.createDataFrame(own, schema).coalesce(2)).filter("sampled").agg(F.sum("n_tokens")).first()[0]
+    assert kept([*rows, (1000, "three more words", "xx", "new")]) >= 0.9 * kept(rows)
+    cells = spark.createDataFrame([("a", "x", "t", 1000), ("a", "y", "t", 10), ("b", "x", "t", 500)], "_source string, _lang string, _topic string, tokens long").coalesce(1)
+    shares = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.5, "y": 0.5}}
+    weight = {r["tokens"]: r["weight"] for r in mixing.rake(cells, shares, most=2.0).collect()}
+    want, target = dict.fromkeys((1000, 10, 500), 0.0) | {1000: 1000.0, 10: 10.0, 500: 500.0}, {"a": 755.0, "b": 755.0, "x": 755.0, "y": 755.0, "t": 1510.0}
+    groups = [((1000, 10), (500,)), ((1000, 500), (10,)), ((1000, 10, 500),)]
+    for _ in range(mixing.ROUNDS):
+        for names, own in zip(("ab", "xy", "t"), groups, strict=True):
+            for name, members in zip(names, own, strict=True):
+                total = sum(want[m] for m in members)
+                want |= {m: min(want[m] * target[name] / total, 2.0 * m) for m in members}
+    assert all(abs(weight[k] - want[k]) < 1e-6 for k in want)
+
+
 def test_mixing_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (3, "a b c", "en", "s", 5), (3, "a b c", "en", "s", 5)], DOCS)
     rows = mixing.mix(docs.withColumn("weight", F.lit(1)).withColumn("tokens", F.lit(1))).collect()
