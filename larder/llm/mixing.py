@@ -7,7 +7,7 @@ anew. A document is sampled when a uniform number made from its id lies below it
 a lost executor give the same sample.
 
 Without a budget (``budget=None``, what the query and the pipeline use) a cell's weight is at most MOST_WEIGHT times its
-tokens in every step of the raking, so that other cells of its marginals take over what a scarce one can't give, and the
+tokens (STATED_WEIGHT for stated shares) in every step of the raking, so that other cells of its marginals take over what a scarce one can't give, and the
 rate is the largest at which no cell is cut off. So the sample keeps about 1 / MOST_WEIGHT of the tokens or more, however
 scarce a cell is, and misses a target only where that bound holds (``achieved`` returns target and sampled shares). With a
 budget, cells that would pass 1 are cut off and the marginals miss their targets by that.
@@ -34,6 +34,8 @@ BUDGET, TEMPER, ROUNDS = 0.9, 0.7, 12
 CUT_ROUNDS = 4
 #: A cell's tokens are weighed at most so many times; 1 / MOST_WEIGHT of all tokens is what the sample keeps at least, roughly.
 MOST_WEIGHT = 2.0
+#: The same where shares are stated: they may ask for more, at the price of a smaller sample.
+STATED_WEIGHT = 10.0
 #: Topic rules in order; the first that holds counts, the last is the rest.
 LEGAL = "[Ll]icen[cs]e|[Cc]opyright"
 CONTACT = "[a-z0-9]@[a-z0-9]"
@@ -121,7 +123,7 @@ def mix(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, budg
     rows = with_cells(docs) if "text" in docs.columns else docs.withColumns({f"_{d}": F.coalesce(F.col(d).cast("string"), F.lit("")) for d in DIMENSIONS})
     keys = [f"_{d}" for d in DIMENSIONS]
     cells = cut_lineage(rows.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
-    raked = rake(cells, shares, most=MOST_WEIGHT if budget is None else None)
+    raked = rake(cells, shares, most=None if budget is not None else STATED_WEIGHT if shares else MOST_WEIGHT)
     fitted = cut_lineage((uncut(raked) if budget is None else calibrate(raked, budget)).select(*keys, "probability"))
     return rows.join(fitted, keys).drop(*keys).withColumn("sampled", uniform() < F.col("probability"))
 
