@@ -8,8 +8,8 @@ a lost executor give the same sample.
 
 Without a budget (``budget=None``, what the query and the pipeline use) a cell's weight is at most MOST_WEIGHT times its
 tokens (STATED_WEIGHT for stated shares) in every step of the raking, so that other cells of its marginals take over what a scarce one can't give, and the
-rate is the largest at which no cell is cut off. So the sample keeps about 1 / MOST_WEIGHT of the tokens or more, however
-scarce a cell is, and misses a target only where that bound holds (``achieved`` returns target and sampled shares). With a
+rate is the largest at which cells that give all they have hold CUT_SHARE of the weight at most. So the sample keeps about
+1 / MOST_WEIGHT of the tokens or more, however scarce a cell is, and misses a target only where these bounds hold (``achieved`` returns target and sampled shares). With a
 budget, cells that would pass 1 are cut off and the marginals miss their targets by that.
 
 Targets: shares by dimension (value -> share) or, by default, tempered shares: share ** TEMPER, normalised. The
@@ -36,6 +36,8 @@ CUT_ROUNDS = 4
 MOST_WEIGHT = 2.0
 #: The same where shares are stated: they may ask for more, at the price of a smaller sample.
 STATED_WEIGHT = 10.0
+#: Of all weight, what cells that give all they have may hold, and the parts of 1 by which ratios are compared.
+CUT_SHARE, STEPS = 0.005, 1000
 #: Topic rules in order; the first that holds counts, the last is the rest.
 LEGAL = "[Ll]icen[cs]e|[Cc]opyright"
 CONTACT = "[a-z0-9]@[a-z0-9]"
@@ -102,10 +104,20 @@ def calibrate(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
 
 
 def uncut(cells: DataFrame) -> DataFrame:
-    """raked cells with probability: rate * weight / tokens, the rate the largest at which none passes 1, so that the marginals hold."""
+    """raked cells with probability: rate * weight / tokens, at most 1, the rate the largest at which cells that pass 1 hold CUT_SHARE of the weight at most, so that the marginals hold but for that.
+
+    Ratios are compared by STEPS-ths; as they are bounded, so are the sums by step that come to the driver.
+    """
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
-    most = cells.agg(F.max(ratio)).first()[0]
-    return cells.withColumn("probability", F.round(F.when(ratio.isNull() | F.lit(not most), F.lit(1.0)).otherwise(ratio / F.lit(most or 1.0)), 6))
+    steps = cells.filter(ratio.isNotNull()).groupBy(F.ceil(ratio * STEPS).alias("step")).agg(F.sum("weight").alias("weight")).collect()
+    left, cap = CUT_SHARE * sum(r["weight"] for r in steps), 0.0
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        cap = r["step"] / STEPS
+        left -= r["weight"]
+        if left < 0:
+            break
+    p = F.when(ratio.isNull() | F.lit(not cap), F.lit(1.0)).otherwise(F.least(F.lit(1.0), ratio / F.lit(cap or 1.0)))
+    return cells.withColumn("probability", F.round(p, 6))
 
 
 def uniform(id_col: str = "doc_id") -> Column:
@@ -164,7 +176,9 @@ def _sql() -> str:
         last = f"cells_{i + 1}"
     steps += [
         f"ratios AS (SELECT {keys}, tokens, weight, CASE WHEN tokens > 0 THEN weight / tokens END AS ratio FROM {last})",
-        f"fitted AS (SELECT {keys}, round(CASE WHEN ratio IS NULL OR (SELECT max(ratio) FROM ratios) = 0 THEN 1.0 ELSE ratio / (SELECT max(ratio) FROM ratios) END, 6) AS probability FROM ratios)",
+        f"steps AS (SELECT ceil(ratio * {STEPS})::BIGINT AS step, sum(weight) AS w FROM ratios WHERE ratio IS NOT NULL GROUP BY 1)",
+        f"cap AS (SELECT min(step) / {STEPS}.0 AS cap FROM (SELECT step, coalesce(sum(w) OVER (ORDER BY step DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS more, sum(w) OVER () AS every FROM steps) WHERE more <= {CUT_SHARE} * every)",
+        f"fitted AS (SELECT {keys}, round(CASE WHEN ratio IS NULL OR coalesce(cap, 0) = 0 THEN 1.0 ELSE least(1.0, ratio / cap::DOUBLE) END, 6) AS probability FROM ratios, cap)",
     ]
     u = "(('0x' || md5(doc_id::VARCHAR)[1:8])::UBIGINT)::DOUBLE / 4294967296.0"
     return f"WITH {', '.join(steps)} SELECT doc_id, _source AS source, _lang AS lang, _topic AS topic, n_tokens, probability, {u} < probability AS sampled FROM docs JOIN fitted USING ({keys})"
