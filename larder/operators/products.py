@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.numbers import number_text, num, num_or_null, positive
 from larder.functions.text import mrp_entries, split_list, words
+from larder.sources import ordinals
 from larder.sources.products import product_rows
 from larder.sources.schema import NUTRIENT_COLUMNS, NUTRITION_PRESENT, PCT_COLUMNS, PRODUCT_STATUSES, RDA_PRESENT, REQUIRED_NUTRIENTS, ROWNUM, SHEET_COLUMNS
 
@@ -38,7 +39,7 @@ def group_fold(rows: DataFrame) -> DataFrame:
     first = F.min_by(F.struct(*[c for c in SHEET_COLUMNS if c not in ("sheet", "name")]), ROWNUM).alias("f")
     kept = rows.filter("sheet <> '' AND name <> ''")
     groups = kept.groupBy("sheet", "name").agg(first, _blocks(NUTRIENT_COLUMNS, NUTRITION_PRESENT, REQUIRED_NUTRIENTS).alias("nutrition"), _blocks(PCT_COLUMNS, RDA_PRESENT, frozenset()).alias("rda"), F.min(ROWNUM).alias("_first"))
-    groups = groups.withColumn("_ord", F.row_number().over(Window.orderBy("_first")) - 1)  # the catalogue's order is one sequence by contract
+    groups = ordinals.ordinal(groups, ["_first"], "_ord").withColumn("_ord", F.col("_ord").cast("int"))
     slug = F.lower(F.regexp_replace(F.substring("name", 1, 20), r"\s+", "-"))
     f = lambda c: F.col(f"f.{c}")
     return groups.select(
@@ -105,18 +106,16 @@ def set_status(rows: DataFrame, sheet: str, name: str, status: str) -> DataFrame
     return rows.withColumn("status", F.when(mine, status).otherwise(F.col("status")))
 
 
-def _blocks_before(key: list[str]) -> Column:
-    """Nutrition blocks of the products ahead, of a write request's few products."""
-    ahead = Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(F.size("nutrition")).over(ahead), F.lit(0))
-
-
 def append_products(rows: DataFrame, products: DataFrame) -> DataFrame:
     """Sheet rows with new products behind them, as not launched."""
-    last = rows.agg(F.coalesce(F.max(ROWNUM), F.lit(-1)).alias("_last"))
-    new = products.withColumn("status", F.lit("not_launched")).crossJoin(F.broadcast(last))  # one row
-    start = F.col("_last") + 1 + _blocks_before(["sheet", "name"])
-    return rows.unionByName(product_rows(new, start))
+    return rows.unionByName(_behind(rows, products.withColumn("status", F.lit("not_launched")), ["sheet", "name"]))
+
+
+def _behind(rows: DataFrame, products: DataFrame, key: list[str]) -> DataFrame:
+    """Sheet rows of products, numbered behind those of ``rows`` in order of the key: a row for each nutrition block."""
+    last = rows.agg(F.coalesce(F.max(ROWNUM), F.lit(-1))).first()[0]
+    ahead = ordinals.running_sum(products, key, F.size("nutrition"), "_ahead")
+    return product_rows(ahead, F.lit(last + 1).cast("bigint") + F.col("_ahead"))
 
 
 def replace_nutrition(rows: DataFrame, override: DataFrame) -> DataFrame:
@@ -127,10 +126,7 @@ def replace_nutrition(rows: DataFrame, override: DataFrame) -> DataFrame:
     base = first.select(*key, split_list(F.col("f.brand_usp")).alias("brand_usp"), *[F.col(f"f.{c}").alias(c) for c in ("ingredients", "serving_size_g", "allergens", "shelf_life", "small_pack_g", "large_pack_g", "manufacturer", "mrp", "status")])
     base = base.withColumns({"serving_size_g": num(F.col("serving_size_g")), "small_pack_g": num_or_null(F.col("small_pack_g")), "large_pack_g": num_or_null(F.col("large_pack_g"))})
     base = base.withColumn("status", F.when(F.col("status").isin(*PRODUCT_STATUSES), F.col("status")).otherwise("not_launched"))
-    last = rows.agg(F.coalesce(F.max(ROWNUM), F.lit(-1)).alias("_last"))
-    new = base.join(some, key).crossJoin(F.broadcast(last))
-    start = F.col("_last") + 1 + _blocks_before(key)
-    return rows.join(some.select(*key), key, "left_anti").select(*rows.columns).unionByName(product_rows(new, start))
+    return rows.join(some.select(*key), key, "left_anti").select(*rows.columns).unionByName(_behind(rows, base.join(some, key), key))
 
 
 def request_errors(requests: DataFrame) -> DataFrame:

@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.functions import geometry
-from larder.functions.geometry import anchored_clusters
 from larder.functions.numbers import parse_float
 from larder.functions.text import ACCENTED, PLAIN, find_all, has_phrase, normalize, split_outside_brackets, words
-from larder.operators import checks, claims, market, matching, products
+from larder.operators import checks, claims, clusters, market, matching, products
 from larder.plans.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -246,10 +245,8 @@ f AS (SELECT s_nationkey, s_suppkey, s_acctbal, k, s_acctbal AS anchor, 1 AS clu
   FROM f JOIN r ON r.s_nationkey = f.s_nationkey AND r.k = f.k + 1)
 SELECT s_suppkey, anchor, cluster FROM f""")
 def q23_anchored_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    item = F.struct((-F.col("s_acctbal")).alias("desc"), "s_suppkey", "s_acctbal")
-    rows = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    rows = rows.select(F.explode(F.arrays_zip("items", anchored_clusters(F.col("items"), "s_acctbal", 500.0).alias("c"))).alias("x"))
-    return rows.select(F.col("x.items.s_suppkey").alias("s_suppkey"), F.col("x.c.anchor").alias("anchor"), F.col("x.c.cluster").alias("cluster"))
+    rows = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal")
+    return clusters.anchored_groups(rows, ["s_nationkey"], [F.desc("s_acctbal"), F.asc("s_suppkey")], "s_acctbal", 500.0).select("s_suppkey", "anchor", "cluster")
 
 
 @query("""

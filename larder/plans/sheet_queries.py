@@ -121,24 +121,24 @@ def q48_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LAST_SQL = "(SELECT max(rn) FROM sheet)"
 
 
-@query(f"""{_PRODUCTS_SQL}, w AS MATERIALIZED (SELECT sheet, name, status FROM p WHERE ord < 20)
+@query(f"""{_PRODUCTS_SQL}, w AS MATERIALIZED (SELECT sheet, name, status FROM p WHERE sheet = 'ECONOMY')
 SELECT rn AS _rownum, sheet, name, grammage, protein_g, status FROM sheet ANTI JOIN w USING (sheet, name)
 UNION ALL SELECT {_LAST_SQL} + row_number() OVER (ORDER BY sheet, name), sheet, name, '50', '7.5', CASE WHEN status IN ('launched', 'under_review') THEN status ELSE 'not_launched' END FROM w""")
 def q49_replace_nutrition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A write request that gives the first 20 products of the catalogue one block each."""
+    """A write request that gives every product of one category one block."""
     values = {"grammage": 50.0, "protein_g": 7.5}
     of = lambda names: F.array(F.struct(*(F.lit(values.get(c)).cast("double").alias(c) for c in ("grammage", *names))))
-    request = folded(spark, sf_dir).filter("_ord < 20").select("sheet", "name", of(NUTRIENT_COLUMNS).alias("nutrition"), of(PCT_COLUMNS).alias("rda"))
+    request = folded(spark, sf_dir).filter("sheet = 'ECONOMY'").select("sheet", "name", of(NUTRIENT_COLUMNS).alias("nutrition"), of(PCT_COLUMNS).alias("rda"))
     return products.replace_nutrition(sheet(spark, sf_dir), request).select(ROWNUM, "sheet", "name", "grammage", "protein_g", "status")
 
 
-@query(f"""{_PRODUCTS_SQL}, v AS MATERIALIZED (SELECT * FROM p WHERE ord < 20), w AS (SELECT *, coalesce(sum(len(nutrition)) OVER (ORDER BY sheet, 'New ' || name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM v),
+@query(f"""{_PRODUCTS_SQL}, v AS MATERIALIZED (SELECT * FROM p), w AS (SELECT *, coalesce(sum(len(nutrition)) OVER (ORDER BY sheet, 'New ' || name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM v),
 b AS (SELECT *, unnest(nutrition) AS x, unnest(range(len(nutrition))) AS nth FROM w)
 SELECT rn AS _rownum, sheet, name, brand_usp, grammage, protein_g, protein_pct, status FROM sheet
 UNION ALL SELECT ({_LAST_SQL} + 1 + ahead + nth)::BIGINT, sheet, 'New ' || name, claim_0 || ' | ' || claim_1, x.grammage::BIGINT::VARCHAR, x.protein_g::BIGINT::VARCHAR, coalesce(list_filter(rda, lambda r: r.grammage = x.grammage)[-1].pct::BIGINT::VARCHAR, ''), 'not_launched' FROM b""")
 def q50_append_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A write request that adds the first 20 products of the catalogue again, under new names."""
-    new = folded(spark, sf_dir).filter("_ord < 20").withColumn("name", F.concat(F.lit("New "), F.col("name")))
+    """A write request that adds all products of the catalogue again, under new names."""
+    new = folded(spark, sf_dir).withColumn("name", F.concat(F.lit("New "), F.col("name")))
     return products.append_products(sheet(spark, sf_dir), new).select(ROWNUM, "sheet", "name", "brand_usp", "grammage", "protein_g", "protein_pct", "status")
 
 
@@ -205,6 +205,16 @@ def q56_merged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.merged_words(words.filter("ord <= 2"), words.filter("ord > 2")).select("label_id", "ord", "text", "confidence")
 
 
+@query("""WITH b AS (SELECT l_orderkey::VARCHAR AS label_id, l_linenumber AS ord, 'w' || l_partkey::VARCHAR AS text, l_quantity * 2 AS confidence, l_linenumber * 10 AS x0, l_linenumber * 10 + l_quantity AS x1, l_partkey % 2 AS turned FROM lineitem),
+s AS (SELECT label_id, coalesce(sum(length(text)) FILTER (confidence >= 60 AND turned = 0), 0) AS a, coalesce(sum(length(text)) FILTER (confidence >= 60 AND turned = 1), 0) AS b FROM b GROUP BY 1),
+r AS (SELECT b.*, turned = (s.b > s.a)::INTEGER AS best, least(s.a, s.b) >= 0.4::DOUBLE * greatest(s.a, s.b) AS two FROM b JOIN s USING (label_id))
+SELECT label_id, ord, text, confidence FROM r WHERE best OR (two AND confidence >= 70 AND NOT EXISTS (SELECT 1 FROM r o WHERE o.best AND o.label_id = r.label_id AND greatest(least(o.x1, r.x1) - greatest(o.x0, r.x0), 0) * 10 > 0.2::DOUBLE * greatest((r.x1 - r.x0) * 10, 1)))""")
+def q73_best_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an order as words of two reads, by the parity of the part."""
+    words, odd = _ocr_words(spark, sf_dir), F.expr("CAST(substring(text, 2) AS bigint) % 2 = 1")
+    return labels.best_read(words.filter(~odd), words.filter(odd)).select("label_id", "ord", "text", "confidence")
+
+
 @query("SELECT l_orderkey::VARCHAR AS label_id, coalesce(sum(length('w' || l_partkey::VARCHAR)) FILTER (l_quantity * 2 >= 60), 0)::BIGINT AS score FROM lineitem GROUP BY 1")
 def q57_read_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.read_score(_ocr_words(spark, sf_dir))

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.geometry import upper_median
+from larder.operators.clusters import covered
 
 # Least confidence of an OCR word and of a merged one, the share of its area that another box may cover, the text height that OCR boxes are scaled to.
 MIN_CONFIDENCE, MERGE_CONFIDENCE, MERGE_OVERLAP, TEXT_HEIGHT = 40, 70, 0.2, 7.0
 MIN_TEXT_CHARS = 40
+#: Fixed value: the share of the better read's score from which the other read is merged.
+OTHER_SHARE = 0.4
 ITEM_COLUMNS = ("label_id", "ord", "s", "x", "y", "w", "h", "page", "rotated")
 
 
@@ -52,13 +55,19 @@ def read_score(words: DataFrame) -> DataFrame:
 
 def merged_words(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     """Primary words and those sure secondary words that no primary box covers."""
-    own = primary.select("label_id", F.col("bbox").alias("_p"))
-    wide = F.greatest(F.least("bbox.x1", "_p.x1") - F.greatest("bbox.x0", "_p.x0"), F.lit(0.0))
-    high = F.greatest(F.least("bbox.y1", "_p.y1") - F.greatest("bbox.y0", "_p.y0"), F.lit(0.0))
-    area = F.greatest((F.col("bbox.x1") - F.col("bbox.x0")) * (F.col("bbox.y1") - F.col("bbox.y0")), F.lit(1.0))
-    sure = secondary.filter((F.col("confidence") >= MERGE_CONFIDENCE) & F.col("text").rlike("[A-Za-z0-9]")).alias("s")
-    new = sure.join(own.alias("p"), (F.col("s.label_id") == F.col("p.label_id")) & (wide * high > MERGE_OVERLAP * area), "left_anti")
-    return primary.unionByName(new)
+    sure = secondary.filter((F.col("confidence") >= MERGE_CONFIDENCE) & F.col("text").rlike("[A-Za-z0-9]"))
+    same = ["ord", "text", "bbox"]
+    return primary.unionByName(sure.join(covered(sure, primary, ["label_id"], same, MERGE_OVERLAP), ["label_id", *same], "left_anti").select(*primary.columns))
+
+
+def best_read(normal: DataFrame, inverted: DataFrame) -> DataFrame:
+    """Words of the better of a label's two reads (dark on light, light on dark; a tie: the first), with the sure words of the other where it found nothing, if the other scored OTHER_SHARE of it or more."""
+    scores = read_score(normal).withColumnRenamed("score", "_a").join(read_score(inverted).withColumnRenamed("score", "_b"), "label_id", "full")
+    scores = scores.fillna(0, ["_a", "_b"]).select("label_id", (F.col("_b") > F.col("_a")).alias("_turned"), (F.least("_a", "_b") >= OTHER_SHARE * F.greatest("_a", "_b")).alias("_both"))
+    a, b = normal.join(scores, "label_id"), inverted.join(scores, "label_id")
+    best = a.filter("NOT _turned").unionByName(b.filter("_turned"))
+    other = a.filter("_turned AND _both").unionByName(b.filter("NOT _turned AND _both"))
+    return merged_words(best.select(*normal.columns), other.select(*normal.columns))
 
 
 def word_items(words: DataFrame, page: int, canvas_height: float) -> DataFrame:
