@@ -61,6 +61,9 @@ NOT_TEXT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer masthead comment comments commentlist disqus respond replies share sharing social related recommended newsletter subscribe subscription signup login widget widgets pagination pager toolbar skip".split()
 )
 
+#: Words that only say what kind of box it is: a compound of them and of NOT_TEXT_WORDS names no text ("comment-list"); else its last word counts ("share-price", "cookie-notice").
+BOX_WORDS = frozenset("area bar block box button buttons card cell container content form group holder icon icons inner item items link links list outer panel row section slot strip unit user wrap wrapper zone".split())
+
 
 class Element:
     """A node: children are elements, or text between tags; size, digest and has_text are set by ``_measure``."""
@@ -78,8 +81,16 @@ class Element:
         """Words of class and id and their parts."""
         return {w for k in ("class", "id") if k in self.attrs for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", self.attrs[k]).lower())}
 
+    def compound_of_no_text(self) -> bool:
+        """Whether a compound class or id word says that this box holds no main text, by its last word or by all of its words."""
+        for token in self.tokens():
+            parts = [p for p in re.split(r"[^a-z]+", token) if p]
+            if parts and (parts[-1] in NOT_TEXT_WORDS or set(parts) & NOT_TEXT_WORDS and set(parts) <= NOT_TEXT_WORDS | BOX_WORDS):
+                return True
+        return False
+
     def is_text(self, in_article: bool) -> bool:
-        """Whether the markup allows main text in this element; inside an article only whole class words of containers count."""
+        """Whether the markup allows main text in this element; inside an article only whole class words of named elements, and compounds of boxes, count."""
         if self.tag in NOT_TEXT or (self.tag == "header" and not in_article):
             return False
         if not self.attrs:
@@ -88,7 +99,9 @@ class Element:
             return False
         if self.tag in ("body", "html", "main") or self.attrs.get("role", "").lower() in NOT_TEXT_ROLES:
             return self.tag in ("body", "html", "main")
-        return not (self.tokens() & NOT_TEXT_WORDS and self.tag in NAMED) if in_article else not self.words() & NOT_TEXT_WORDS
+        if not in_article:
+            return not self.words() & NOT_TEXT_WORDS
+        return not (self.tag in NAMED and self.tokens() & NOT_TEXT_WORDS or self.tag in BOXES and self.compound_of_no_text())
 
 
 def parse(page: str) -> Element:

@@ -100,7 +100,8 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rule_ver
     if new.isEmpty():
         return versions.sparkSession.createDataFrame([], LEDGER)
     texts = rows.select("blob", F.xxhash64(path_col).alias("_at"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return scan(texts.join(new.hint("merge"), ["_at", "blob"], "left_semi").select("blob", "text"), rule_version, rules)
+    one = texts.join(new.hint("merge"), ["_at", "blob"], "left_semi").dropDuplicates(["_at", "blob"])  # rows that repeat a path and its text
+    return scan(one.select("blob", "text"), rule_version, rules)
 
 
 def run(versions: DataFrame, path: str, rule_version: str = RULE_VERSION, rules: tuple[Rule, ...] = BASE_RULES, text_col: str = "text", path_col: str = "doc_id") -> DataFrame:
@@ -137,8 +138,6 @@ def secrets(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
 
 
 def secrets_by_ledger(docs: DataFrame, path: str) -> DataFrame:
-    """Enter all documents in the ledger table at path, in a second generation what has changed since, and report on all documents from the table."""
+    """Enter in the ledger table at path what documents add to it, and report on all documents from the table."""
     versions = docs.select("doc_id", "text")
-    for _ in range(2):  # the second run scans the pairs that the first left unseen, none if nothing has changed
-        ledger = run(versions, path)
-    return digest_spans(findings_by_path(versions, ledger))
+    return digest_spans(findings_by_path(versions, run(versions, path)))

@@ -77,6 +77,8 @@ def text_of(html):
 def test_names_and_attributes_inside_articles():
     body = '<p data-id="comment-3">Two</p><p data-role="banner">Three</p><p title="the hidden truth">Four</p><a title="no hidden fees">Five</a><h2 id="related-work">Six</h2><section class="share-price">Seven</section><div id="menu-history">Eight</div>'
     assert text_of(f"<article><p>One</p>{body}<div class='box related'>no</div><p hidden>no</p></article>") == "One\nTwo\nThree\nFour\nFive\nSix\nSeven\nEight"
+    for name in ("cookie-notice", "newsletter-signup", "user-comments", "comment-list", "advert-box"):
+        assert text_of(f"<article><p>One</p><div class='{name}'><p>no</p></div><div class='share-price'>Two</div><p class='{name}'>Three</p></article>") == "One\nTwo\nThree"
     assert text_of("<article>First</article><div class='comments'><article>me too</article></div><article>Second</article>") == "First\nSecond"
 
 
@@ -214,6 +216,11 @@ def test_secrets_against_brute_force(spark):
     assert secret_ledger.secrets(docs.limit(0)).count() == 0
 
 
+def test_equal_rows_are_entered_once(spark):
+    docs = spark.createDataFrame([(1, "secret=abcdefgh")] * 50 + [(None, "token=abcdefgh")] * 50 + [(2, "secret=abcdefgh")], "doc_id long, text string").repartition(4)
+    assert secret_ledger.update_ledger(docs).count() == 2
+
+
 def test_ledger_is_incremental(spark):
     docs = docs_of(spark, SECRETS)
     ledger = secret_ledger.update_ledger(docs)
