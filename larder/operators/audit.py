@@ -1,12 +1,11 @@
 """The label audit: one row a label in, a long table of checks out, step by step.
 
-Text checks are expressions over a label's row (its flat text, views and words beside the product's fields);
-the nutrition step joins the parsed cells with the product's blocks. Many labels audit in one job.
+All checks are expressions over a label's row: its flat text, views, words and nutrition cells beside the product's
+fields. Many labels audit in one job, and one pass over the rows gives the checks of all steps.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -14,12 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from larder.functions.distance import osa
+from larder.functions.distance import TriesByPool
 from larder.functions.numbers import number_text
 from larder.functions.text import absence_target, ao_key, find_all, has_phrase, made_with_target, normalize, split_outside_brackets, words
 from larder.operators import photo
 from larder.operators.checks import ocr_post_pass
-from larder.operators.labels import block_under, context, heading_at, nutrient_names, nutrition_cells, table_edge, text_near
+from larder.operators.labels import block_under, context, heading_at, nutrition_cells, table_edge, text_near
 from larder.operators.matching import best_suggestion
 from larder.sources.schema import NUTRIENTS
 from larder.sources.tables import cut_lineage
@@ -56,6 +55,7 @@ WEIGHT_TOLERANCE, PRICE_TOLERANCE, UNIT_PRICE_PASS, UNIT_PRICE_WARN, FAIL_PCT =
 CLAIMS_PRINTED, OCR_CLAIMS_PRINTED = 0.4, 0.75
 
 REFERENCE = "label_id, product_name, usps, ingredients, allergens, manufacturer, nutrition, pack_size_g, expected_mrp"
+_CHECKS = "array<struct<label:string,status:string,expected:string,found:string,note:string,sop_rule:boolean>>"
 _END, _START = "(?![A-Za-z0-9_])", "(?<![A-Za-z0-9_])"
 
 
@@ -71,13 +71,14 @@ def _listed(*checks: Column) -> Column:
 
 @F.pandas_udf(ArrayType(StringType()))
 def _near(own: pd.Series, pool: pd.Series, long: pd.Series) -> pd.Series:
+    tries = TriesByPool()
+
     def of(ws, ps, n):
-        out = []
-        for w in ws if ws is not None else ():
-            most = 2 if len(w) >= n else 1
-            if len(w) >= 5 and any(abs(len(w) - len(p)) <= most and osa(w, p, most) <= most for p in ps):
-                out.append(w)
-        return out
+        tested = [w for w in ws if len(w) >= 5] if ws is not None else []
+        if not tested or ps is None or not len(ps):
+            return []
+        trie = tries.of(ps)
+        return [w for w in tested if trie.near(w, 2 if len(w) >= n else 1) is not None]
 
     return pd.Series([of(*x) for x in zip(own, pool, long, strict=True)])
 
@@ -89,12 +90,18 @@ def near_words(own: Column, pool: Column, long: int = 8) -> Column:
 
 @F.pandas_udf(ArrayType(StringType()))
 def _damaged(absent: pd.Series, pool: pd.Series) -> pd.Series:
-    def fragment(w, ps):
+    tries = TriesByPool()
+
+    def fragment(w, ps, trie):
         most = 1 if len(w) <= 3 else 2 if len(w) <= 7 else -(-len(w) * 2 // 5)
-        return next((p for p in ps if len(p) >= 2 and ((len(p) >= 3 and w.startswith(p)) or osa(w, p, most) <= most)), None)
+        places = [p for p in (trie.start_of(w, 3), trie.near(w, most, 2)) if p is not None]
+        return ps[min(places)] if places else None
 
     def of(ws, ps):
-        return [fragment(w, ps) for w in ws] if ws is not None and ps is not None else []
+        if ws is None or ps is None or not len(ws):
+            return []
+        trie = tries.of(ps)
+        return [fragment(w, ps, trie) for w in ws]
 
     return pd.Series([of(*x) for x in zip(absent, pool, strict=True)])
 
@@ -136,6 +143,11 @@ def _list_has(list_norm: Column, target: Column) -> Column:
     return reduce(lambda a, b: a | b, [(f != "") & F.contains(padded, F.concat(F.lit(" "), f)) for f in (target, singular)])
 
 
+def _nearly_listed(target: Column) -> Column:
+    """Photos: whether each word of a target is in the label's ingredient list, or nearly (``_near_list``)."""
+    return F.col("ocr") & F.forall(F.split(target, " "), lambda w: F.array_contains("_list_words", w) | F.array_contains("_near_list", w))
+
+
 def _contradicted(target: Column) -> Column:
     value = _block_value(target)
     aliases = [F.when(target == k, F.exists(F.array(*map(F.lit, v)), lambda a: F.contains(F.concat(F.lit(" "), F.col("_list")), F.concat(F.lit(" "), a)))) for k, v in ABSENCE_ALIASES.items()]
@@ -150,12 +162,16 @@ def _core(claim: Column) -> Column:
 def claims_step(rows: DataFrame) -> DataFrame:
     """Claims of the sheet: printed, contradicted, unsupported or not printed; claims whose panel is absent become one skip."""
     parts = F.flatten(F.transform("usps", lambda u: split_outside_brackets(F.regexp_replace(u, r"^\s*\d+[).]\s*", ""), "/")))
-    rows = rows.withColumn("_claims", F.filter(F.transform(parts, lambda c: _core(c)), lambda c: F.length(c) > 1)).withColumn("_list", normalize(F.col("ingredients")))
+    rows = with_figures(rows.withColumn("_parts", parts))
+    rows = rows.withColumn("_claims", F.filter(F.transform("_parts", _core), lambda c: F.length(c) > 1)).withColumn("_list", normalize(F.col("ingredients")))
     rows = rows.withColumn("_label_list", normalize(F.coalesce("label_list", F.lit(""))))
+    wanted = F.flatten(F.transform("_claims", lambda c: F.coalesce(F.split(made_with_target(c), " "), F.array().cast("array<string>"))))
+    rows = rows.withColumn("_list_words", F.split("_label_list", " "))
+    rows = rows.withColumn("_near_list", near_words(F.array_distinct(wanted), F.when(F.col("ocr"), F.col("_list_words")).otherwise(F.array().cast("array<string>")), 7))
 
     def of(claim: Column) -> Column:
         label, made, absent, printed = F.concat(F.lit("Claim: "), claim), made_with_target(claim), absence_target(claim), _printed(normalize(claim))
-        in_sheet, in_label = _list_has(F.col("_list"), made), _list_has(F.col("_label_list"), made)
+        in_sheet, in_label = _list_has(F.col("_list"), made), _list_has(F.col("_label_list"), made) | _nearly_listed(made)
         with_ = (
             F.when((F.trim("ingredients") != "") & ~in_sheet, check(label, "fail", claim, F.lit("Contradicted by the sheet")))
             .when((F.col("_label_list") != "") & ~in_label, check(label, F.when(F.col("ocr"), "warn").otherwise("fail"), claim, F.concat(F.lit("No "), made, F.lit(" in the label's ingredients"))))
@@ -177,7 +193,8 @@ def claims_step(rows: DataFrame) -> DataFrame:
     open_ = lambda c: (c["status"] == "warn") & c["found"].isin("Not printed", "Missing")
     drop = ~F.col("_panel") & F.exists("_checks", open_)
     kept = F.when(drop, F.concat(F.array(check("USP claims", "skip")), F.filter("_checks", lambda c: ~open_(c)))).otherwise(F.col("_checks"))
-    none = F.when(F.size("_claims") == 0, F.array(check("USPs present", "skip"))).otherwise(F.array().cast("array<struct<label:string,status:string,expected:string,found:string,note:string,sop_rule:boolean>>"))
+    none_yet = F.array().cast(_CHECKS)
+    none = F.when(F.size("_claims") == 0, F.array(check("USPs present", "skip"))).otherwise(none_yet)
     cooking = F.exists("usps", lambda u: u.rlike(rf"(?i){_START}(roasted|baked|popped){_END}"))
     title = "Cooking method pairs with Not Fried"
     fried = (
@@ -186,37 +203,49 @@ def claims_step(rows: DataFrame) -> DataFrame:
         .when(~F.col("_panel"), check(title, "skip", sop=True))
         .otherwise(check(title, "fail", F.lit("Not Fried next to the cooking method"), F.lit("'Not Fried' not found"), sop=True))
     )
-    return rows.withColumn("step3", F.concat(none, kept, F.array(fried))).drop("_claims", "_list", "_label_list", "_checks", "_panel")
+    return rows.withColumn("step3", F.concat(none, kept, F.col("_figures"), F.array(fried))).drop("_parts", "_figures", "_claims", "_list", "_label_list", "_list_words", "_near_list", "_checks", "_panel")
 
 
-def figure_checks(reference: DataFrame) -> DataFrame:
-    """(label_id, seq, c): amounts in a claim's brackets ("3.85g/70g") against the sheet's block of that size."""
-    names = F.broadcast(nutrient_names(reference.sparkSession))
-    parts = reference.select("label_id", "nutrition", F.posexplode(F.flatten(F.transform("usps", lambda u: split_outside_brackets(F.regexp_replace(u, r"^\s*\d+[).]\s*", ""), "/")))).alias("seq", "part"))
-    detail = F.array_join(F.regexp_extract_all("part", F.lit(r"[(\[]([^)\]]*)[)\]]"), 1), " ")
-    rows = parts.select("label_id", "nutrition", "seq", _core(F.col("part")).alias("core"), detail.alias("detail")).filter("detail <> ''")
-    named = rows.join(names, has_phrase(normalize(F.col("core")), F.col("name"))).groupBy("label_id", "seq", "core", "detail").agg(F.min(F.struct("ord", "key")).alias("n"), F.first("nutrition").alias("nutrition"))
+def with_figures(rows: DataFrame) -> DataFrame:
+    """rows with ``_figures``: checks of the amounts in claims' brackets ("3.85g/70g") against the sheet's block of that size; a claim that stands twice counts with its last brackets."""
     figure = r"(?i)(\d+(?:\.\d+)?)\s*(?:g|mg)\s*/\s*(\d+(?:\.\d+)?)\s*g"
-    each = named.select("*", F.explode(F.arrays_zip(find_all(F.col("detail"), figure, 1).alias("amount"), find_all(F.col("detail"), figure, 2).alias("per"))).alias("f"))
-    block = F.get(F.filter("nutrition", lambda b: F.abs(b["grammage"] - F.col("f.per").cast("double")) < 0.5), 0)
-    value = F.coalesce(*[F.when(F.col("n.key") == k, block[k]) for k, *_ in NUTRIENTS])
-    floor = F.coalesce(*[F.when(F.col("n.key") == k, F.lit(f)) for k, _, _, _, f in NUTRIENTS])
-    off = F.abs(value - F.col("f.amount").cast("double")) > F.greatest(floor, F.abs(value) * 0.02)
-    shown = F.concat("f.amount", F.lit("/"), "f.per", F.lit("g (sheet nutrition: "), number_text(value), F.lit(")"))
-    done = each.withColumn("off", off).withColumn("shown", shown).filter("off IS NOT NULL").groupBy("label_id", "seq", "core", "detail").agg(F.bool_or("off").alias("bad"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("off"), F.col("shown")))), "; ").alias("found"))
-    return done.select("label_id", (F.col("seq") + 1000).alias("seq"), check(F.concat(F.lit("Claim figures: "), "core"), F.when(F.col("bad"), "warn").otherwise("pass"), F.trim("detail"), F.when(F.col("bad"), F.concat(F.lit("Different from the sheet's nutrition: "), F.col("found")))).alias("c"))
-
-
-def spelling_checks(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(label_id, seq, c): words of a label's ingredient list that the vocabulary (term, ord) lacks but nearly has; with OCR words that differ only in o and a are the same."""
-    listed = rows.filter("label_list IS NOT NULL")
-    each = listed.select("label_id", "ocr", F.explode(F.array_distinct(words(F.col("label_list")))).alias("word"))
-    typos = each.join(best_suggestion(each.select("word").distinct(), vocabulary), "word").filter(~F.col("ocr") | (ao_key(F.col("word")) != ao_key(F.col("suggestion"))))
-    per = typos.groupBy("label_id").agg(F.array_sort(F.collect_list(F.struct("word", "suggestion"))).alias("t"))
-    text = lambda f: F.array_join(F.transform("t", lambda x: x[f]), ", ")
-    status = F.when(F.col("t").isNull(), "pass").when(F.col("ocr"), "warn").otherwise("fail")
-    out = listed.select("label_id", "ocr").join(per, "label_id", "left")
-    return out.select("label_id", F.lit(1000).alias("seq"), check("Ingredient spelling", status, F.when(F.col("t").isNotNull(), text("suggestion")), F.when(F.col("t").isNotNull(), text("word"))).alias("c"))
+    of_nutrient = lambda core: F.coalesce(*[F.when(F.concat(F.lit(" "), core, F.lit(" ")).rlike(f" (?:{'|'.join(names)}) "), i) for i, (_, _, names, _, _) in enumerate(NUTRIENTS)])
+    rows = rows.withColumn("_said", F.filter(F.transform("_parts", lambda p: F.struct(_core(p).alias("core"), F.array_join(F.regexp_extract_all(p, F.lit(r"[(\[]([^)\]]*)[)\]]"), F.lit(1)), " ").alias("detail"))), lambda p: p["detail"] != ""))
+    rows = rows.withColumn("_said", F.filter("_said", lambda p, i: ~F.exists(F.slice("_said", i + 2, F.size("_said")), lambda q: q["core"] == p["core"])))
+    rows = rows.withColumn("_said", F.transform("_said", lambda p: F.struct(p["core"].alias("core"), p["detail"].alias("detail"), normalize(p["core"]).alias("norm"), F.arrays_zip(find_all(p["detail"], figure, 1).alias("amount"), find_all(p["detail"], figure, 2).alias("per")).alias("figures"))))
+    rows = rows.withColumn("_said", F.transform("_said", lambda p: F.struct(p["core"].alias("core"), p["detail"].alias("detail"), of_nutrient(p["norm"]).alias("n"), p["figures"].alias("figures"))))
+    floors = F.array(*[F.lit(f) for *_, f in NUTRIENTS])
+    value = lambda p, f: F.get(F.get(F.transform(F.filter("nutrition", lambda b: F.abs(b["grammage"] - f["per"].cast("double")) < 0.5), _values), 0), p["n"])
+    rows = rows.withColumn("_said", F.transform("_said", lambda p: F.struct(p["core"].alias("core"), p["detail"].alias("detail"), F.get(floors, p["n"]).alias("floor"), F.filter(F.transform(p["figures"], lambda f: F.struct(f["amount"].alias("amount"), f["per"].alias("per"), value(p, f).alias("value"))), lambda f: f["value"].isNotNull()).alias("figures"))))
+    off = lambda p: F.filter(p["figures"], lambda f: F.abs(f["value"] - f["amount"].cast("double")) > F.greatest(p["floor"], F.abs(f["value"]) * 0.02))
+    shown = lambda f: F.concat(f["amount"], F.lit("/"), f["per"], F.lit("g (sheet nutrition: "), number_text(f["value"]), F.lit(")"))
+    rows = rows.withColumn("_said", F.transform(F.filter("_said", lambda p: F.size(p["figures"]) > 0), lambda p: F.struct(p["core"].alias("core"), p["detail"].alias("detail"), F.array_join(F.transform(off(p), shown), "; ").alias("off"))))
+
+    def of(p: Column) -> Column:
+        wrong = p["off"] != ""
+        return check(F.concat(F.lit("Claim figures: "), p["core"]), F.when(wrong, "warn").otherwise("pass"), F.trim(p["detail"]), F.when(wrong, F.concat(F.lit("Different from the sheet's nutrition: "), p["off"])))
+
+    return rows.withColumn("_figures", F.coalesce(F.transform("_said", of), F.array().cast(_CHECKS))).drop("_said")
+
+
+def _values(block: Column) -> Column:
+    """A nutrition block's values in the order of NUTRIENTS."""
+    return F.array(*[block[key] for key, *_ in NUTRIENTS])
+
+
+def misspelt(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(label_id, misspelt: array of (word, suggestion)): words of a label's ingredient list that the vocabulary (term, ord) lacks but nearly has; with OCR words that differ only in o and a are the same."""
+    each = rows.filter("label_list IS NOT NULL").select("label_id", "ocr", F.explode(F.array_distinct(words(F.col("label_list")))).alias("word"))
+    typos = each.join(best_suggestion(each, vocabulary), "word").filter(~F.col("ocr") | (ao_key(F.col("word")) != ao_key(F.col("suggestion"))))
+    return typos.groupBy("label_id").agg(F.array_sort(F.collect_list(F.struct("word", "suggestion"))).alias("misspelt"))
+
+
+def spelling_check() -> Column:
+    """The check of a label whose ``misspelt`` words are known; null without a list."""
+    text = lambda f: F.array_join(F.transform("misspelt", lambda x: x[f]), ", ")
+    wrong = F.size(F.coalesce("misspelt", F.array().cast("array<struct<word:string,suggestion:string>>"))) > 0
+    status = F.when(~wrong, "pass").when(F.col("ocr"), "warn").otherwise("fail")
+    return F.when(F.col("label_list").isNotNull(), check("Ingredient spelling", status, F.when(wrong, text("suggestion")), F.when(wrong, text("word"))))
 
 
 def _grams(c: Column) -> Column:
@@ -484,34 +513,54 @@ def likely_misread(got: Column, expected: Column) -> Column:
     return F.when(F.length(a) == F.length(b), differs == 1).otherwise((F.length(short) >= 2) & F.contains(long, short))
 
 
-def nutrition_checks(rows: DataFrame, cells: DataFrame) -> DataFrame:
-    """(label_id, seq, check) of step 7: the label's cells against the product block that most nutrients agree with."""
-    found = cells.groupBy("label_id", "key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "values"))), lambda x: x["values"])).alias("values"))
-    kinds = cells.groupBy("label_id").agg(F.count_distinct("key").alias("kinds"), F.array_sort(F.collect_list(F.when(F.col("typo"), F.struct("row_no", F.trim(F.regexp_replace("row_label", r"\s*\([^)]*\)\s*", "")).alias("found"), "title")))).alias("typos"))
-    base = rows.select("label_id", "ocr", "nutrition", "pack_size_g").join(kinds, "label_id", "left").withColumn("kinds", F.coalesce("kinds", F.lit(0)))
-    ready = base.filter((F.col("kinds") >= 3) & (F.size("nutrition") > 0))
-    defs = F.array(*[F.struct(F.lit(i).alias("n"), F.lit(k).alias("key"), F.lit(t).alias("title"), F.lit(u).alias("unit"), F.lit(f).alias("floor")) for i, (k, t, _, u, f) in enumerate(NUTRIENTS)])
-    long = ready.select("label_id", "ocr", "pack_size_g", F.posexplode("nutrition").alias("block", "b")).select("*", F.explode(defs).alias("d"))
-    value = F.coalesce(*[F.when(F.col("d.key") == k, F.col(f"b.{k}")) for k, *_ in NUTRIENTS])
-    long = long.select("label_id", "ocr", "pack_size_g", "block", F.col("b.grammage").alias("grammage"), "d.*", value.alias("expected")).filter("expected IS NOT NULL").join(found, ["label_id", "key"], "left")
-    near = F.array_min(F.transform(F.filter(F.col("values"), lambda v: v.isNotNull()), lambda v, i: F.struct(F.abs(v - F.col("expected")).alias("gap"), i.alias("i"), v.alias("v"))))["v"]
-    long = long.withColumn("got", near).withColumn("verdict", F.when(F.col("got").isNotNull(), value_status(F.col("expected"), F.col("got"), F.col("floor"))))
-    scores = long.groupBy("label_id", "block").agg(F.count_if(F.col("verdict") == "pass").alias("score"), F.first("grammage").alias("grammage"), F.first("pack_size_g").alias("pack"))
-    best = scores.groupBy("label_id").agg(F.min_by("block", F.struct(-F.col("score"), F.coalesce(F.abs(F.col("grammage") - F.col("pack")), F.lit(0.0)), "block")).alias("block"))
-    picked = long.join(best, ["label_id", "block"])
-    with_unit = lambda c: F.concat(number_text(F.col(c)), F.col("unit"))
-    unsure = (F.col("verdict") == "fail") & F.col("ocr") & likely_misread(F.col("got"), F.col("expected"))
-    one = (
-        F.when(F.col("values").isNull(), check(F.col("title"), "warn", with_unit("expected"), F.lit("Not found in the nutrition table")))
-        .when(F.col("got").isNull(), check(F.col("title"), F.when(F.col("expected") == 0, "pass").otherwise("warn"), with_unit("expected"), F.lit("-")))
-        .otherwise(check(F.col("title"), F.when(unsure, "warn").otherwise(F.col("verdict")), with_unit("expected"), with_unit("got")))
+def label_cells(cells: DataFrame) -> DataFrame:
+    """(label_id, cells): a label's nutrition cells in the order of rows, as one array."""
+    return cells.groupBy("label_id").agg(F.array_sort(F.collect_list(F.struct("row_no", "key", "title", "typo", "row_label", "values", "x", "y"))).alias("cells"))
+
+
+def nutrition_step(rows: DataFrame) -> DataFrame:
+    """A label's cells against the product block that most nutrients agree with; then the size nearest to the pack's decides, then the earlier block."""
+    number = F.array().cast("array<double>")
+    read = lambda key: F.when(F.exists("cells", lambda c: c["key"] == key), F.flatten(F.transform(F.filter("cells", lambda c: c["key"] == key), lambda c: F.coalesce(c["values"], number))))
+    rows = rows.withColumn("_read", F.array(*[read(key) for key, *_ in NUTRIENTS]))
+    fixed = F.array(*[F.struct(F.lit(i).alias("n"), F.lit(t).alias("title"), F.lit(u).alias("unit"), F.lit(f).alias("floor")) for i, (_, t, _, u, f) in enumerate(NUTRIENTS)])
+
+    def line(expected: Column, d: Column) -> Column:
+        values = F.get("_read", d["n"])
+        near = F.array_min(F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v, i: F.struct(F.abs(v - expected).alias("gap"), i.alias("i"), v.alias("v"))))["v"]
+        return F.struct(d["title"].alias("title"), d["unit"].alias("unit"), d["floor"].alias("floor"), expected.alias("expected"), values.isNotNull().alias("there"), near.alias("got"))
+
+    def block(b: Column, i: Column) -> Column:
+        lines = F.filter(F.zip_with(_values(b), fixed, line), lambda x: x["expected"].isNotNull())
+        score = F.size(F.filter(lines, lambda x: x["got"].isNotNull() & (value_status(x["expected"], x["got"], x["floor"]) == "pass")))
+        return F.struct((-score).alias("score"), F.coalesce(F.abs(b["grammage"] - F.col("pack_size_g")), F.lit(0.0)).alias("gap"), i.alias("i"), lines.alias("lines"))
+
+    rows = rows.withColumn("_best", F.array_min(F.transform("nutrition", block))["lines"])
+    shown = lambda x, c: F.concat(number_text(x[c]), x["unit"])
+
+    def one(x: Column) -> Column:
+        verdict = value_status(x["expected"], x["got"], x["floor"])
+        unsure = (verdict == "fail") & F.col("ocr") & likely_misread(x["got"], x["expected"])
+        deviation = (x["got"] - x["expected"]) / F.abs(x["expected"]) * 100
+        by = F.when((verdict == "fail") & (x["expected"] != 0), F.concat(F.format_string("%+.1f", deviation), F.lit("% against the sheet")))
+        return (
+            F.when(~x["there"], check(x["title"], "warn", shown(x, "expected"), F.lit("Not found in the nutrition table")))
+            .when(x["got"].isNull(), check(x["title"], F.when(x["expected"] == 0, "pass").otherwise("warn"), shown(x, "expected"), F.lit("-")))
+            .otherwise(check(x["title"], F.when(unsure, "warn").otherwise(verdict), shown(x, "expected"), shown(x, "got"), F.when(unsure, "Off by one digit, or cut off: perhaps misread.").otherwise(by)))
+        )
+
+    typos = F.array_sort(F.transform(F.filter("cells", lambda c: c["typo"]), lambda c: F.struct(c["row_no"], F.trim(F.regexp_replace(c["row_label"], r"\s*\([^)]*\)\s*", "")).alias("found"), c["title"].alias("title"))))
+    rows = rows.withColumn("_typos", typos)
+    list_of = lambda f: F.array_join(F.transform("_typos", lambda t: t[f]), ", ")
+    wrong = F.size("_typos") > 0
+    names = check("Nutrient names spelled correctly", F.when(~wrong, "pass").when(F.col("ocr"), "warn").otherwise("fail"), F.when(wrong, list_of("title")), F.when(wrong, list_of("found")))
+    kinds = F.size(F.array_compact(F.array_distinct(F.transform("cells", lambda c: c["key"]))))
+    out = (
+        F.when(kinds < 3, F.array(check("Nutrition table", "warn", None, F.lit("Could not find a nutrition table in the label text"))))
+        .when(F.col("nutrition").isNull() | (F.size("nutrition") == 0), F.array(check("Nutrition table", "skip")))
+        .otherwise(F.concat(F.transform("_best", one), F.array(names)))
     )
-    each = picked.select("label_id", F.col("n").alias("seq"), one.alias("c"))
-    list_of = lambda f: F.array_join(F.transform("typos", lambda t: t[f]), ", ")
-    wrong = F.size("typos") > 0
-    names = ready.select("label_id", F.lit(len(NUTRIENTS)).alias("seq"), check("Nutrient names spelled correctly", F.when(~wrong, "pass").when(F.col("ocr"), "warn").otherwise("fail"), F.when(wrong, list_of("title")), F.when(wrong, list_of("found"))).alias("c"))
-    no_table = base.filter((F.col("kinds") < 3) | (F.size("nutrition") == 0)).select("label_id", F.lit(0).alias("seq"), F.when(F.col("kinds") < 3, check("Nutrition table", "warn", None, F.lit("Could not find a nutrition table in the label text"))).otherwise(check("Nutrition table", "skip")).alias("c"))
-    return each.unionByName(names).unionByName(no_table)
+    return rows.withColumn("step7", out).drop("_read", "_best", "_typos")
 
 
 def description_step(rows: DataFrame) -> DataFrame:
@@ -519,34 +568,40 @@ def description_step(rows: DataFrame) -> DataFrame:
     return rows.withColumn("step5", F.array(check("Description vs USPs", "skip")))
 
 
-#: Steps that read a label's row alone; step 7 reads the nutrition cells.
-STEPS = ((2, name_step), (3, claims_step), (4, weight_step), (5, description_step), (6, ingredients_step), (8, serving_step), (9, price_step), (10, address_step))
+#: All steps work on a label's row.
+STEPS = ((2, name_step), (3, claims_step), (4, weight_step), (5, description_step), (6, ingredients_step), (7, nutrition_step), (8, serving_step), (9, price_step), (10, address_step))
+_CELLS = "array<struct<row_no:int,key:string,title:string,typo:boolean,row_label:string,values:array<double>,x:double,y:double>>"
 
 
-def audit(items: DataFrame, labels: DataFrame, reference: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """All checks of all labels in long form; ``reference`` has the REFERENCE columns, one row a label; without a vocabulary spelling isn't checked."""
-    ctx = cut_lineage(context(photo.levelled_items(items, labels), labels))  # read by several steps
+def label_rows(items: DataFrame, labels: DataFrame, reference: DataFrame) -> DataFrame:
+    """One row a label: its text in reading order, its lists, allergens and nutrition cells, beside the product's fields."""
+    ctx = cut_lineage(context(photo.levelled_items(items, labels), labels))  # read by rows, by geometry and as a whole
     empty = F.array().cast("array<struct<row_no:int,page:int,y:double,items:array<struct<x:double,ord:bigint,s:string,y:double,w:double,h:double>>,text:string>>")
     ctx = ctx.withColumn("rows", F.coalesce("rows", empty)).withColumn("_ing", heading_at(F.col("rows"), "^ingredients?(?![a-z0-9])")).withColumn("_all", heading_at(F.col("rows"), "^allergen"))
     lines = ctx.filter("ocr").select("label_id", F.explode("rows").alias("r")).select("label_id", "r.*")
-    cells = cut_lineage(photo.with_photo_cells(nutrition_cells(ctx), photo.photo_cells(lines, photo.expected_values(reference))))
-    beside = cells.groupBy("label_id").agg(F.collect_list(F.struct("x", "y")).alias("_cells"))
-    ctx = ctx.join(beside, "label_id", "left").withColumn("_cells", F.coalesce("_cells", F.array().cast("array<struct<x:double,y:double>>")))
-    ctx = ctx.withColumns({f"{at}_edge": table_edge(F.col(at), F.col("rows"), F.col("_cells")) for at in ("_ing", "_all")})
+    found = photo.with_photo_cells(nutrition_cells(ctx), photo.photo_cells(lines, photo.expected_values(reference)))
+    ctx = ctx.join(label_cells(found), "label_id", "left").withColumn("cells", F.coalesce("cells", F.array().cast(_CELLS)))
+    ctx = ctx.withColumns({f"{at}_edge": table_edge(F.col(at), F.col("rows"), F.col("cells")) for at in ("_ing", "_all")})
     gap, align = F.when(F.col("ocr"), 60.0).otherwise(20.0), F.when(F.col("ocr"), 7.0).otherwise(4.0)
-    ctx = ctx.withColumns({name: block_under(F.col("rows"), F.col(at), gap, align, F.col(f"{at}_edge")) for name, at in (("label_list", "_ing"), ("label_allergens", "_all"))})
-    ctx = ctx.withColumn("allergens_near", text_near(F.col("rows"), F.col("_all"), F.col("_all_edge")))
-    ctx = ctx.drop("rows", "_ing", "_all", "_cells", "_ing_edge", "_all_edge")
-    rows = cut_lineage(reference.select(*REFERENCE.split(", ")).join(ctx, "label_id"))
+    near = text_near(F.col("rows"), F.col("_all"), F.col("_all_edge")).alias("allergens_near")
+    under = [block_under(F.col("rows"), F.col(at), gap, align, F.col(f"{at}_edge")).alias(name) for name, at in (("label_list", "_ing"), ("label_allergens", "_all"))]
+    ctx = ctx.select("label_id", "ocr", "flat", "views", "label_words", "cells", near, *under)
+    return cut_lineage(reference.select(*REFERENCE.split(", ")).join(ctx, "label_id"))
+
+
+def all_steps(rows: DataFrame) -> DataFrame:
+    """(label_id, ocr, step, seq, check columns) of rows as ``label_rows`` gives them: every step is a column of the row, and one explode lists them."""
+    done = reduce(lambda df, step: step[1](df), STEPS, rows)
+    if "misspelt" in rows.columns:
+        done = done.withColumn("step6", F.array_compact(F.concat("step6", F.array(spelling_check()))))
+    numbered = lambda n: F.transform(f"step{n}", lambda c, i: F.struct(F.lit(n).alias("step"), i.alias("seq"), c.alias("c")))
+    steps = F.flatten(F.array(*[numbered(n) for n, _ in STEPS]))
+    return done.select("label_id", "ocr", F.explode(steps).alias("s")).select("label_id", "ocr", "s.step", "s.seq", "s.c.*")
 
-    def of(number: int, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        return step(rows).select("label_id", "ocr", F.lit(number).alias("step"), F.posexplode(f"step{number}").alias("seq", "c"))
 
-    text = reduce(DataFrame.unionByName, (of(n, step) for n, step in STEPS))
-    table = nutrition_checks(rows, cells).join(rows.select("label_id", "ocr"), "label_id").select("label_id", "ocr", F.lit(7).alias("step"), "seq", "c")
-    more = figure_checks(rows).withColumn("step", F.lit(3))
+def audit(items: DataFrame, labels: DataFrame, reference: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """All checks of all labels in long form; ``reference`` has the REFERENCE columns, one row a label; without a vocabulary spelling isn't checked."""
+    rows = label_rows(items, labels, reference)
     if vocabulary is not None:
-        more = more.unionByName(spelling_checks(rows, vocabulary).withColumn("step", F.lit(6)))
-    table = table.unionByName(more.join(rows.select("label_id", "ocr"), "label_id").select("label_id", "ocr", "step", "seq", "c"))
-    checks = text.unionByName(table).select("label_id", "ocr", "step", "seq", "c.*")
-    return ocr_post_pass(checks, F.col("ocr")).drop("ocr")
+        rows = rows.join(misspelt(rows, vocabulary), "label_id", "left")
+    return ocr_post_pass(all_steps(rows), F.col("ocr")).drop("ocr")
