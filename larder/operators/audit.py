@@ -169,9 +169,18 @@ def claims_step(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_list_words", F.split("_label_list", " "))
     rows = rows.withColumn("_near_list", near_words(F.array_distinct(wanted), F.when(F.col("ocr"), F.col("_list_words")).otherwise(F.array().cast("array<string>")), 7))
 
-    def of(claim: Column) -> Column:
-        label, made, absent, printed = F.concat(F.lit("Claim: "), claim), made_with_target(claim), absence_target(claim), _printed(normalize(claim))
-        in_sheet, in_label = _list_has(F.col("_list"), made), _list_has(F.col("_label_list"), made) | _nearly_listed(made)
+    facts = F.transform("_claims", lambda c: F.struct(c.alias("claim"), normalize(c).alias("norm"), made_with_target(c).alias("made"), absence_target(c).alias("absent")))
+    facts = F.transform(
+        F.filter(facts, lambda f: f["norm"] != ""),
+        lambda f: F.struct(
+            f["claim"].alias("claim"), f["made"].alias("made"), f["absent"].alias("absent"), _printed(f["norm"]).alias("printed"), _list_has(F.col("_list"), f["made"]).alias("in_sheet"),
+            (_list_has(F.col("_label_list"), f["made"]) | _nearly_listed(f["made"])).alias("in_label"), _contradicted(f["absent"]).alias("contradicted"),
+        ),
+    )
+
+    def of(f: Column) -> Column:
+        claim, made, absent, printed, in_sheet, in_label = (f[c] for c in ("claim", "made", "absent", "printed", "in_sheet", "in_label"))
+        label = F.concat(F.lit("Claim: "), claim)
         with_ = (
             F.when((F.trim("ingredients") != "") & ~in_sheet, check(label, "fail", claim, F.lit("Contradicted by the sheet")))
             .when((F.col("_label_list") != "") & ~in_label, check(label, F.when(F.col("ocr"), "warn").otherwise("fail"), claim, F.concat(F.lit("No "), made, F.lit(" in the label's ingredients"))))
@@ -180,13 +189,13 @@ def claims_step(rows: DataFrame) -> DataFrame:
         )
         plain = (
             F.when(printed, check(label, "pass", None, F.lit("Present")))
-            .when(absent.isNotNull() & _contradicted(absent), check(label, "fail", claim, F.lit("Contradicted by the sheet")))
+            .when(absent.isNotNull() & f["contradicted"], check(label, "fail", claim, F.lit("Contradicted by the sheet")))
             .when(absent.isNotNull(), check(label, "warn", claim, F.lit("Not printed")))
             .otherwise(check(label, "warn", claim, F.lit("Missing")))
         )
         return F.when(made.isNotNull(), with_).otherwise(plain)
 
-    rows = rows.withColumn("_checks", F.transform(F.filter("_claims", lambda c: normalize(c) != ""), of))
+    rows = rows.withColumn("_checks", F.transform(facts, of))
     printed = F.size(F.filter("_checks", lambda c: c["status"] == "pass"))
     share = F.when(F.col("ocr"), OCR_CLAIMS_PRINTED).otherwise(CLAIMS_PRINTED)
     rows = rows.withColumn("_panel", (F.size("_claims") == 0) | (printed >= F.greatest(F.lit(1), F.ceil(F.size("_claims") * share))))
@@ -522,20 +531,18 @@ def nutrition_step(rows: DataFrame) -> DataFrame:
     """A label's cells against the product block that most nutrients agree with; then the size nearest to the pack's decides, then the earlier block."""
     number = F.array().cast("array<double>")
     read = lambda key: F.when(F.exists("cells", lambda c: c["key"] == key), F.flatten(F.transform(F.filter("cells", lambda c: c["key"] == key), lambda c: F.coalesce(c["values"], number))))
-    rows = rows.withColumn("_read", F.array(*[read(key) for key, *_ in NUTRIENTS]))
-    fixed = F.array(*[F.struct(F.lit(i).alias("n"), F.lit(t).alias("title"), F.lit(u).alias("unit"), F.lit(f).alias("floor")) for i, (_, t, _, u, f) in enumerate(NUTRIENTS)])
+    rows = rows.withColumn("_read", F.array(*[F.struct(F.lit(t).alias("title"), F.lit(u).alias("unit"), F.lit(f).alias("floor"), read(key).alias("values")) for key, t, _, u, f in NUTRIENTS]))
 
-    def line(expected: Column, d: Column) -> Column:
-        values = F.get("_read", d["n"])
-        near = F.array_min(F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v, i: F.struct(F.abs(v - expected).alias("gap"), i.alias("i"), v.alias("v"))))["v"]
-        return F.struct(d["title"].alias("title"), d["unit"].alias("unit"), d["floor"].alias("floor"), expected.alias("expected"), values.isNotNull().alias("there"), near.alias("got"))
+    def line(expected: Column, r: Column) -> Column:
+        near = F.array_min(F.transform(F.filter(r["values"], lambda v: v.isNotNull()), lambda v, i: F.struct(F.abs(v - expected).alias("gap"), i.alias("i"), v.alias("v"))))["v"]
+        return F.struct(r["title"].alias("title"), r["unit"].alias("unit"), r["floor"].alias("floor"), expected.alias("expected"), r["values"].isNotNull().alias("there"), near.alias("got"))
 
-    def block(b: Column, i: Column) -> Column:
-        lines = F.filter(F.zip_with(_values(b), fixed, line), lambda x: x["expected"].isNotNull())
-        score = F.size(F.filter(lines, lambda x: x["got"].isNotNull() & (value_status(x["expected"], x["got"], x["floor"]) == "pass")))
-        return F.struct((-score).alias("score"), F.coalesce(F.abs(b["grammage"] - F.col("pack_size_g")), F.lit(0.0)).alias("gap"), i.alias("i"), lines.alias("lines"))
+    def ranked(b: Column, i: Column) -> Column:
+        score = F.size(F.filter(b["lines"], lambda x: x["got"].isNotNull() & (value_status(x["expected"], x["got"], x["floor"]) == "pass")))
+        return F.struct((-score).alias("score"), F.coalesce(F.abs(b["grammage"] - F.col("pack_size_g")), F.lit(0.0)).alias("gap"), i.alias("i"), b["lines"].alias("lines"))
 
-    rows = rows.withColumn("_best", F.array_min(F.transform("nutrition", block))["lines"])
+    lines = F.transform("nutrition", lambda b: F.struct(b["grammage"].alias("grammage"), F.filter(F.zip_with(_values(b), F.col("_read"), line), lambda x: x["expected"].isNotNull()).alias("lines")))
+    rows = rows.withColumn("_best", F.array_min(F.transform(lines, ranked))["lines"])
     shown = lambda x, c: F.concat(number_text(x[c]), x["unit"])
 
     def one(x: Column) -> Column:
