@@ -62,6 +62,15 @@ class WordTrie:
                 found.append(node.place)
         return min(found, default=None)
 
+    def has_start(self, start: str) -> bool:
+        """Whether some word starts with ``start``."""
+        node = self.root
+        for letter in start:
+            node = node.children.get(letter)
+            if node is None:
+                return False
+        return bool(node.children) or node.place is not None
+
     def near(self, word: str, most: int, shortest: int = 0) -> int | None:
         """The first place of a word of at least so many letters within ``most`` edits."""
         n, best = len(word), None

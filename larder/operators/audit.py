@@ -6,6 +6,7 @@ fields. Many labels audit in one job, and one pass over the rows gives the check
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import pandas as pd
@@ -112,6 +113,24 @@ def damaged_words(absent: Column, pool: Column) -> Column:
     return F.filter(pairs, lambda d: d["fragment"].isNotNull())
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _unlike(ws: pd.Series, pool: pd.Series) -> pd.Series:
+    tries = TriesByPool()
+
+    def of(ws, ps):
+        if ws is None or not len(ws) or ps is None or not len(ps):
+            return [] if ws is None else list(ws)
+        trie = tries.of(ps)
+        return [w for w in ws if not trie.has_start(w) and trie.start_of(w, 1) is None and trie.near(w, math.ceil(len(w) * 0.45)) is None]
+
+    return pd.Series([of(*x) for x in zip(ws, pool, strict=True)])
+
+
+def unlike_words(ws: Column, pool: Column) -> Column:
+    """Words that nothing in the pool resembles: none starts the other, and none is within 45 % of the word's letters in OSA edits."""
+    return _unlike(ws, pool)
+
+
 def _printed(phrase: Column) -> Column:
     return F.exists("views", lambda v: has_phrase(v, phrase))
 
@@ -350,11 +369,11 @@ def ingredients_step(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_absent", F.array_except("_own", "_tokens")).withColumn("_near", near_words(F.col("_absent"), F.when(ocr, F.col("_tokens")).otherwise(none), 7))
     rows = rows.withColumn("_absent", F.array_except("_absent", "_near")).withColumn("_damaged", damaged_words(F.col("_absent"), F.when(ocr, F.array_except("_tokens", "_own")).otherwise(none)))
     rows = rows.withColumns({"_unclear": F.transform("_damaged", lambda d: d["word"]), "_pieces": F.transform("_damaged", lambda d: d["fragment"])})
-    alike = lambda w: F.exists("_own", lambda t: t.startswith(w) | w.startswith(t) | (F.levenshtein(t, w) <= F.ceil(F.length(w) * 0.45)))
     rows = rows.withColumns({"_missing": F.array_except("_absent", "_unclear"), "_new": F.array_except(F.array_except(words(F.col("_body")), "_own"), "_pieces")})
     missing, unclear = F.col("_missing"), F.col("_unclear")
     single = (_components(F.col("_segs")) <= 1) & (_components(F.col("_sheet_segs")) <= 1)
-    clean = F.filter("_new", lambda w: (F.length(w) >= 5) & ~alike(w))
+    rows = rows.withColumn("_clean", unlike_words(F.filter("_new", lambda w: F.length(w) >= 5), F.col("_own")))
+    clean = F.col("_clean")
     extra = F.when(ocr, clean).otherwise(F.filter("_new", lambda w: F.length(w) > 1))
     partly = ocr & ((F.size("_own") - F.size("_absent")) < 0.8 * F.size("_own"))
     bad = ((F.size(missing) > 0.1 * F.size("_own")) | (single & (F.size(clean) > 0))) & ~partly

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from larder.functions.numbers import parse_float, round_half_up
 
 
+def _prices(price: Column) -> list[Column]:
+    p = F.when(price > 0, price)
+    aggs = (round_half_up(F.avg(p)), F.min(p), F.max(p))
+    return [F.coalesce(a, F.lit(0)).cast("double").alias(n) for a, n in zip(aggs, ("avg_price", "min_price", "max_price"), strict=True)]
+
+
 def price_summary(rows: DataFrame, price: Column, *keys: str) -> DataFrame:
     """Rounded average, least and greatest of the prices above 0; 0 where there is none."""
-    p = F.when(price > 0, price)
-    aggs = (round_half_up(F.avg(p)).alias("avg_price"), F.min(p).alias("min_price"), F.max(p).alias("max_price"))
-    return (rows.groupBy(*keys) if keys else rows.groupBy()).agg(*[F.coalesce(a, F.lit(0)).cast("double").alias(n) for a, n in zip(aggs, ("avg_price", "min_price", "max_price"), strict=True)])
+    return rows.groupBy(*keys).agg(*_prices(price))
 
 
 def top_claims(rows: DataFrame, claims: Column, order: Column, n: int = 5) -> DataFrame:
@@ -41,8 +45,16 @@ def enrich(listings: DataFrame) -> DataFrame:
 
 
 def headline(listings: DataFrame) -> DataFrame:
-    """Competitor count, average price and the constant sentiment split of scraped data."""
-    return price_summary(listings, F.col("price")).crossJoin(listings.agg(F.count("*").alias("competitors"))).select("competitors", "avg_price", "min_price", "max_price", *[F.lit(v).alias(k) for k, v in (("positive", 60), ("neutral", 20), ("negative", 20))])
+    """Competitor count, price summary, the constant sentiment split of scraped data and its white space, of which it names none."""
+    constant = (("positive", 60), ("neutral", 20), ("negative", 20), ("white_space", 0))
+    return listings.agg(F.count("*").alias("competitors"), *_prices(F.col("price"))).select("*", *[F.lit(v).alias(k) for k, v in constant])
+
+
+def result_headline(results: DataFrame) -> DataFrame:
+    """The numbers on top of stored search results (competitors, market_summary): lists that are null count as empty."""
+    held = lambda c: F.coalesce(F.size(c), F.lit(0))
+    own = F.col("market_summary")
+    return results.withColumns({"n_competitors": held(F.col("competitors")), "avg_price": own["avg_price"], "positive": own["sentiment_breakdown"]["positive"], "n_white_space": held(own["white_space"])}).drop("competitors", "market_summary")
 
 
 def history(past: DataFrame, new: DataFrame, keep: int = 10) -> DataFrame:

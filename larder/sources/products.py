@@ -30,6 +30,26 @@ def write_sheet(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.write.mode(mode).parquet(path)
 
 
+def write_tab(rows: DataFrame, workbook: str, gid: int, title: str, mode: str = "overwrite") -> None:
+    """One tab of a workbook folder: its rows under ``rows/gid=...``, its title under ``titles/gid=...``."""
+    write_sheet(rows, f"{workbook}/rows/gid={gid}", mode)
+    rows.sparkSession.sql("SELECT :title AS title", {"title": title}).write.mode("overwrite").parquet(f"{workbook}/titles/gid={gid}")
+
+
+def tab_title(spark: SparkSession, workbook: str, gid: int) -> str:
+    """The title of a tab; an error names a gid that the workbook hasn't."""
+    titles = spark.read.schema("title string, gid long").parquet(f"{workbook}/titles").filter(F.col("gid") == gid).head(1)  # one row a tab
+    if not titles:
+        raise ValueError(f"{workbook} has no tab with gid={gid}")
+    return titles[0]["title"]
+
+
+def read_tab(spark: SparkSession, workbook: str, gid: int) -> DataFrame:
+    """The rows of the tab that has this gid, with its title as ``tab``."""
+    title = tab_title(spark, workbook, gid)
+    return read_sheet(spark, f"{workbook}/rows/gid={gid}").withColumn("tab", F.lit(title))
+
+
 def _cell(c: Column, kind: str) -> Column:
     return F.coalesce(number_text(c) if kind == "double" else c, F.lit(""))
 

@@ -6,7 +6,7 @@ from larder.operators import claims, market, matching, products
 def test_listings(spark):
     rows = spark.createDataFrame([(None, 0, "a", 50.0, "200 g"), ("x", 1, "b", 30.0, None)], "id string, ord int, platform string, price double, pack_size string")
     assert [(r["id"], r["price_per_100g"]) for r in market.enrich(rows).orderBy("ord").collect()] == [("real_0", 25.0), ("x", None)]
-    assert market.headline(rows).first().asDict() == {"competitors": 2, "avg_price": 40.0, "min_price": 30.0, "max_price": 50.0, "positive": 60, "neutral": 20, "negative": 20}
+    assert market.headline(rows).first().asDict() == {"competitors": 2, "avg_price": 40.0, "min_price": 30.0, "max_price": 50.0, "positive": 60, "neutral": 20, "negative": 20, "white_space": 0}
     assert market.of_platform(rows, "b").count() == 1 and market.of_platform(rows).count() == 2
     scores = spark.createDataFrame([(4.0,), (3.5,), (1.0,)], "s double").select(market.band(F.col("s")).alias("b")).collect()
     assert [r["b"] for r in scores] == ["strong", "moderate", "weak"]
