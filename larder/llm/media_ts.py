@@ -2,20 +2,21 @@
 
 ``mux`` stores a binary payload column as one transport stream per row: a program association table, a program
 map table and one private elementary stream, cut into PES packets that carry presentation timestamps; every
-``RAP_EVERY``-th access unit is marked as a random-access point. ``demux`` reads such streams (its own or
-foreign ones of 188-byte packets): it follows the program tables to the elementary stream, checks the
-continuity counters, reassembles the PES packets and returns payload, timestamps and random-access points.
-
-Both are per-row column operators: no shuffle, memory of a few times one row. Defined cases: a null payload
-counts as empty; an empty payload gives one empty access unit; rows that are equal give equal streams; extra
-columns are carried along; a damaged stream gives ``ok = false`` and what could be read.
+access unit starts with a clock reference, LEAD ticks before its timestamp, and every ``RAP_EVERY``-th one is marked as a
+random-access point. ``demux`` reads such streams, its own or others of 188-byte packets: it follows the program
+tables (sections may go over several packets, or share one) to the first program's first elementary stream, leaves out
+packets that were sent twice, checks the continuity counters, reassembles the PES packets and returns payload,
+timestamps, clock references and random-access points. Encrypted packets and packets of other sizes aren't read.
+
+Both are per-row column operators: no shuffle, memory of a few times one row, however long its text. Defined cases: a
+null payload counts as empty; an empty payload gives one empty access unit; rows that are equal give equal streams; extra
+columns are carried along, but for those that have the name of a new one; a damaged stream gives ``ok = false`` and what
+could be read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,9 +32,13 @@ PAT_PID, PMT_PID, ES_PID = 0, 0x1000, 0x100
 STREAM_TYPE, STREAM_ID = 0x06, 0xBD
 #: Bytes of payload in an access unit; ticks of the 90 kHz clock between units; units from one random-access point to the next.
 UNIT_BYTES, TICKS, RAP_EVERY = 192 * 96, 3600, 8
+#: Ticks from a unit's clock reference to its timestamp.
+LEAD = 9000
+#: Payload bytes of a unit's first packet at most: flags and clock reference take 8.
+FIRST_BYTES = 176
 PAD_TO = 192
 
-READ_BACK = "payload binary, ok boolean, n_packets bigint, n_units bigint, cc_errors bigint, es_pid int, stream_type int, pts array<bigint>, rap array<bigint>"
+READ_BACK = "payload binary, ok boolean, n_packets bigint, n_units bigint, cc_errors bigint, es_pid int, stream_type int, pts array<bigint>, pcr array<bigint>, rap array<bigint>"
 
 
 @cache
@@ -73,11 +78,16 @@ def _pts_bytes(pts: int) -> bytes:
     return bytes((0x21 | (pts >> 29 & 0x0E), pts >> 22 & 0xFF, 0x01 | (pts >> 14 & 0xFE), pts >> 7 & 0xFF, 0x01 | (pts << 1 & 0xFE)))
 
 
+def _pcr_bytes(pcr: int) -> bytes:
+    """A clock reference of 33 bits at 90 kHz; its finer part is 0."""
+    return struct.pack(">IH", pcr >> 1, (pcr & 1) << 15 | 0x7E00)
+
+
 def _unit_packets(unit: bytes, number: int, counter: int) -> np.ndarray:
-    """One access unit as transport packets; the first has an adaptation field with the random-access flag."""
-    pes = struct.pack(">BBBBHBBB", 0, 0, 1, STREAM_ID, len(unit) + 8, 0x80, 0x80, 5) + _pts_bytes(number * TICKS % (1 << 33)) + unit
+    """One access unit as transport packets; the first has an adaptation field with its clock reference and the random-access flag."""
+    pes = struct.pack(">BBBBHBBB", 0, 0, 1, STREAM_ID, len(unit) + 8, 0x80, 0x80, 5) + _pts_bytes((number * TICKS + LEAD) % (1 << 33)) + unit
     body = np.frombuffer(pes, np.uint8)
-    first = min(len(body), 182)
+    first = min(len(body), FIRST_BYTES)
     rest = len(body) - first
     n = 1 + -(-rest // 184)
     out = np.full((n, PACKET), 0xFF, np.uint8)
@@ -85,7 +95,8 @@ def _unit_packets(unit: bytes, number: int, counter: int) -> np.ndarray:
     out[:, 3] = 0x10 | ((counter + np.arange(n)) & 15)
     out[0, 1] |= 0x40
     out[0, 3] |= 0x20
-    out[0, 4], out[0, 5] = 183 - first, 0x40 if number % RAP_EVERY == 0 else 0
+    out[0, 4], out[0, 5] = 183 - first, 0x50 if number % RAP_EVERY == 0 else 0x10
+    out[0, 6:12] = np.frombuffer(_pcr_bytes(number * TICKS % (1 << 33)), np.uint8)
     out[0, PACKET - first :] = body[:first]
     whole = rest // 184
     if whole:
@@ -108,23 +119,62 @@ def mux_bytes(payload: bytes) -> bytes:
     return b"".join(parts)
 
 
-def _section(packets: np.ndarray, pid: np.ndarray, wanted: int, table_id: int) -> bytes | None:
-    """The body of the first whole, unbroken section of a table on a PID."""
-    for row in packets[(pid == wanted) & (packets[:, 1] & 0x40 > 0)]:
+def _whole(buffer: bytes) -> tuple[list[bytes], bytes]:
+    """The sections that a buffer holds whole, and what is left of it; stuffing ends it."""
+    out = []
+    while len(buffer) >= 3 and buffer[0] != 0xFF:
+        size = 3 + (struct.unpack(">H", buffer[1:3])[0] & 0xFFF)
+        if len(buffer) < size:
+            return out, buffer
+        out.append(buffer[:size])
+        buffer = buffer[size:]
+    return out, buffer if buffer[:1] != b"\xff" else b""
+
+
+def _sections(packets: np.ndarray) -> Iterator[bytes]:
+    """The sections carried by one PID's packets, in order; those of damaged runs are left to their checksum."""
+    buffer, last = b"", b""
+    for row in packets:
         raw = row.tobytes()
         at = 4 + (1 + raw[4] if raw[3] & 0x20 else 0)
-        at += 1 + raw[at]
-        if at + 3 > PACKET or raw[at] != table_id:
+        if raw == last or not raw[3] & 0x10 or at >= PACKET:
             continue
-        end = at + 3 + (struct.unpack(">H", raw[at + 1 : at + 3])[0] & 0xFFF)
-        if end <= PACKET and crc32_mpeg(raw[at:end]) == 0:
-            return raw[at + 8 : end - 4]
+        last = raw
+        if raw[1] & 0x40:  # a section starts behind the end of the one before
+            start = at + 1 + raw[at]
+            done, _ = _whole(buffer + raw[at + 1 : start]) if buffer else ([], b"")
+            yield from done
+            buffer = raw[start:]
+        elif buffer:
+            buffer += raw[at:]
+        done, buffer = _whole(buffer)
+        yield from done
+
+
+def _section(packets: np.ndarray, pid: np.ndarray, wanted: int, table_id: int) -> bytes | None:
+    """The body of the first whole, unbroken section of a table on a PID."""
+    for section in _sections(packets[pid == wanted]):
+        if section[0] == table_id and len(section) >= 12 and crc32_mpeg(section) == 0:
+            return section[8:-4]
     return None
 
 
+def _sent_once(es: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which packets aren't the second copy of the one before: same counter and payload, the clock reference aside."""
+    if len(es) < 2:
+        return np.ones(len(es), bool)
+    same = (es[1:, 3] & 15 == es[:-1, 3] & 15) & (start[1:] == start[:-1])
+    again = np.zeros(len(es), bool)
+    at = np.flatnonzero(same)
+    inside = np.arange(PACKET)[None, :] >= start[at][:, None]
+    again[at + 1] = ((es[at] == es[at + 1]) | ~inside).all(axis=1)
+    again[1:] &= ~again[:-1]  # a packet may be sent twice, not three times
+    return ~again
+
+
 def demux_bytes(media: bytes) -> dict:
     """Payload, timestamps and random-access units of the first program's first elementary stream."""
-    out = {"payload": b"", "ok": False, "n_packets": len(media) // PACKET, "n_units": 0, "cc_errors": 0, "es_pid": None, "stream_type": None, "pts": [], "rap": []}
+    out = {"payload": b"", "ok": False, "n_packets": len(media) // PACKET, "n_units": 0, "cc_errors": 0, "es_pid": None, "stream_type": None, "pts": [], "pcr": [], "rap": []}
     packets = np.frombuffer(media[: out["n_packets"] * PACKET], np.uint8).reshape(-1, PACKET)
     whole = len(media) % PACKET == 0 and len(packets) > 0 and bool((packets[:, 0] == SYNC).all())
     pid = ((packets[:, 1] & 0x1F).astype(np.int32) << 8) | packets[:, 2]
@@ -139,14 +189,19 @@ def demux_bytes(media: bytes) -> dict:
     es = packets[(pid == out["es_pid"]) & (packets[:, 3] & 0x10 > 0)]
     if not len(es):
         return out
-    out["cc_errors"] = int(((np.diff(es[:, 3] & 15) & 15) != 1).sum())
-    adapted = es[:, 3] & 0x20 > 0
-    start = np.where(adapted, 5 + es[:, 4].astype(np.int64), 4)
+    start = np.where(es[:, 3] & 0x20 > 0, 5 + es[:, 4].astype(np.int64), 4)
+    once = _sent_once(es, start)
+    es, start = es[once], start[once]
+    flags = np.where((es[:, 3] & 0x20 > 0) & (es[:, 4] > 0), es[:, 5], 0)
+    jumps = ((np.diff(es[:, 3] & 15) & 15) != 1) & (flags[1:] & 0x80 == 0)  # a marked discontinuity is none
+    out["cc_errors"] = int(jumps.sum())
+    clocks = es[(flags & 0x10 > 0) & (start >= 12), 6:12].astype(np.int64)
+    out["pcr"] = (clocks[:, 0] << 25 | clocks[:, 1] << 17 | clocks[:, 2] << 9 | clocks[:, 3] << 1 | clocks[:, 4] >> 7).tolist()
     bytes_of = np.maximum(PACKET - start, 0)
     stream = es[np.arange(PACKET)[None, :] >= start[:, None]].tobytes()
     offset = np.concatenate(([0], np.cumsum(bytes_of)))
     firsts = np.flatnonzero(es[:, 1] & 0x40)
-    flagged = adapted & (es[:, 4] > 0) & (es[:, 5] & 0x40 > 0)
+    flagged = flags & 0x40 > 0
     units, good = [], True
     for k, row in enumerate(firsts):
         pes = stream[offset[row] : offset[firsts[k + 1]] if k + 1 < len(firsts) else offset[-1]]
@@ -186,7 +241,7 @@ def demux(df: DataFrame, media: str = "media") -> DataFrame:
     new = T._parse_datatype_string(READ_BACK) if hasattr(T, "_parse_datatype_string") else T.StructType.fromDDL(READ_BACK)
     names = [f.name for f in new]
     kept = [c for c in df.columns if c not in names]
-    kinds = {"payload": pa.binary(), "ok": pa.bool_(), "es_pid": pa.int32(), "stream_type": pa.int32(), "pts": pa.list_(pa.int64()), "rap": pa.list_(pa.int64())}
+    kinds = {"payload": pa.binary(), "ok": pa.bool_(), "es_pid": pa.int32(), "stream_type": pa.int32(), "pts": pa.list_(pa.int64()), "pcr": pa.list_(pa.int64()), "rap": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -217,10 +272,3 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         feature.alias("feature"),
         "ok",
     )
-
-
-def brute_digest(text: str | None) -> tuple:
-    """What a row of media_digests holds for a text up to payload_sha256 and tail_crc32, the plain way."""
-    data = (text or "").encode()
-    payload = data + b" " * (-len(data) % PAD_TO or (PAD_TO if not data else 0))
-    return len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])

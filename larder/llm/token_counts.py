@@ -2,11 +2,13 @@
 
 A vocabulary trie gets failure links and, for each node, the number of tokens that are popped when the link is
 taken. Reading a word then takes one step a byte plus the links, and gives the number of greedy longest-match
-pieces without building a piece. Vocabulary: a public byte-level vocabulary, so that a word is a space and
-its bytes, every byte is a piece, and no word is unknown. Each distinct word of a task is read once (a bounded memo).
+pieces without building a piece. A vocabulary is a file of byte-level pieces, so that a word is a space and its bytes.
+Each distinct word of a task is read once (a bounded memo).
 
-Words are the runs without ASCII white space of the whole text. Defined cases: null and empty texts have no
-words and no tokens; equal texts give equal counts; extra columns are ignored by the query.
+Words are the runs without ASCII white space of the whole text. Defined cases: null and empty texts have no words and
+no tokens; a word that the pieces can't make up is one unknown token (in a vocabulary with all bytes there is none); very
+long texts and words are read whole by one task, in memory in proportion to the text; equal texts, also of one id, give
+equal rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Words a task remembers before it starts anew.
 MEMO = 400_000
 
@@ -29,11 +30,13 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-def load_vocabulary(path: str = VOCABULARY) -> list[bytes]:
-    """Pieces as bytes; entries outside the byte alphabet (special tokens) are left out."""
+def load_vocabulary(path: str) -> list[bytes]:
+    """Pieces as bytes; entries outside the byte alphabet (special tokens) are left out. An error if the file has no pieces."""
     letters = byte_alphabet()
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        vocab = json.load(f).get("model", {}).get("vocab")
+    if not vocab:
+        raise ValueError(f"{path} is no tokenizer file: it has no model.vocab")
     return [bytes(letters[c] for c in piece) for piece in vocab if piece and all(c in letters for c in piece)]
 
 
@@ -95,11 +98,11 @@ class _Memo(dict):
         self.automaton = automaton
 
     def __missing__(self, word: bytes) -> int:
-        n = self[word] = self.automaton.count(b" " + word)
+        n = self[word] = max(self.automaton.count(b" " + word), 1)  # unknown: one token
         return n
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_tokens and the tokens of the longest word, over whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast(LongestMatch(load_vocabulary(vocabulary)))  # bounded by the vocabulary
 
@@ -117,16 +120,5 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     memo.clear()
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_words": words, "n_tokens": tokens, "max_word_tokens": most})
 
-    rows = docs.selectExpr(f"{id_col} AS doc_id", f"{text_col} AS text")
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words bigint, n_tokens bigint, max_word_tokens bigint")
-
-
-def greedy_count(word: bytes, pieces: set[bytes]) -> int:
-    """Greedy longest-match pieces of a word, the plain way."""
-    at = n = 0
-    while at < len(word):
-        end = next((e for e in range(len(word), at, -1) if word[at:e] in pieces), None)
-        if end is None:
-            return -1
-        at, n = end, n + 1
-    return n

@@ -5,6 +5,9 @@ import html as entities
 import json
 import random
 import re
+import struct
+import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -235,10 +238,17 @@ def test_ledger_is_incremental(spark):
 # media
 
 
+def plain_digest(text):
+    """What a row of media_digests holds up to payload_sha256 and tail_crc32, the plain way."""
+    data = (text or "").encode()
+    payload = data + b" " * (-len(data) % 192 or (0 if data else 192))
+    return len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])
+
+
 def test_media_round_trip(spark):
     texts = [None, "", "a", "b" * 191, "c" * 192, "d" * 193, "é" * 40_000, "x" * 182, "y" * 169, "b" * 191]
     rows = media_ts.media_digests(clashing(docs_of(spark, texts), "payload", "media", "ok", "n_units")).collect()
-    assert {r["doc_id"]: (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in rows} == {i: media_ts.brute_digest(t) for i, t in enumerate(texts, 1)}
+    assert {r["doc_id"]: (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in rows} == {i: plain_digest(t) for i, t in enumerate(texts, 1)}
     by_id = {r["doc_id"]: r for r in rows}
     assert all(r["ok"] for r in rows) and by_id[4]["media_sha256"] == by_id[10]["media_sha256"] and by_id[4]["feature"] == by_id[10]["feature"]
 
@@ -246,16 +256,81 @@ def test_media_round_trip(spark):
 def test_streams_are_standard_and_damage_shows():
     media = media_ts.mux_bytes(bytes(range(256)) * 1000)
     read = media_ts.demux_bytes(media)
-    assert len(media) % 188 == 0 and set(media[::188]) == {0x47} and read["pts"][:3] == [0, 3600, 7200] and read["rap"] == [0, 8]
+    assert len(media) % 188 == 0 and set(media[::188]) == {0x47} and read["pts"][:3] == [9000, 12600, 16200] and read["pcr"][:3] == [0, 3600, 7200] and read["rap"] == [0, 8]
     lost = media[: 188 * 50] + media[188 * 51 :]
     assert media_ts.demux_bytes(lost)["cc_errors"] == 1 and not media_ts.demux_bytes(lost)["ok"]
     for broken in (b"", b"x" * 188, media[:-1], media[:188], media[188:]):
         assert not media_ts.demux_bytes(broken)["ok"]
 
 
+def packets_of(media):
+    return [media[at : at + 188] for at in range(0, len(media), 188)]
+
+
+def test_packets_sent_twice_count_once():
+    payload = bytes(range(256)) * 300
+    own = packets_of(media_ts.mux_bytes(payload))
+    first = bytearray(own[2])
+    first[6:12] = b"\1\2\3\4\x7e\0"  # the second copy may have a clock reference of its own
+    twice = media_ts.demux_bytes(b"".join([*own[:3], bytes(first), *own[3:20], own[19], *own[20:], own[-1]]))
+    assert twice["ok"] and twice["cc_errors"] == 0 and twice["payload"] == payload
+    thrice = media_ts.demux_bytes(b"".join([*own[:20], own[19], own[19], *own[20:]]))
+    assert not thrice["ok"] and thrice["cc_errors"] == 1
+    other = bytearray(own[19])
+    other[100] ^= 1
+    assert not media_ts.demux_bytes(b"".join([*own[:20], bytes(other), *own[20:]]))["ok"]
+
+
+def test_marked_discontinuities_are_no_errors():
+    payload = bytes(range(256)) * 300
+    own = [bytearray(p) for p in packets_of(media_ts.mux_bytes(payload))]
+    unit = [k for k, p in enumerate(own) if p[1] & 0x40 and k > 2][0]
+    for p in own[unit:]:
+        p[3] = p[3] & 0xF0 | (p[3] + 5) & 15
+    assert media_ts.demux_bytes(b"".join(map(bytes, own)))["cc_errors"] == 1
+    own[unit][5] |= 0x80
+    read = media_ts.demux_bytes(b"".join(map(bytes, own)))
+    assert read["ok"] and read["payload"] == payload
+
+
+@pytest.mark.parametrize("cut", [1, 60, 179, 183])
+def test_program_tables_over_several_packets(cut):
+    payload = b"abc" * 5000
+    own = packets_of(media_ts.mux_bytes(payload))
+
+    def section(table_id, body):
+        raw = struct.pack(">BHHBBB", table_id, 0xB000 | (len(body) + 9), 1, 0xC1, 0, 0) + body
+        return raw + struct.pack(">I", media_ts.crc32_mpeg(raw))
+
+    def packet(start, counter, body):
+        room = 184 - len(body)
+        field = b"" if not room else bytes([room - 1]) + (b"\0" + b"\xff" * (room - 2) if room > 1 else b"")
+        return struct.pack(">BHB", 0x47, (0x4000 if start else 0) | media_ts.PMT_PID, (0x30 if room else 0x10) | counter) + field + body
+
+    described = struct.pack(">HH", 0xE000 | media_ts.ES_PID, 0xF000 | 200) + bytes(200) + struct.pack(">BHH", 6, 0xE000 | media_ts.ES_PID, 0xF000)
+    foreign, pmt = section(0x40, bytes(30)), section(2, described)
+    long = foreign + pmt  # two sections, of which the second goes over packets
+    rest = [long[at : at + 184] for at in range(cut, len(long), 184)]
+    tables = [packet(True, 0, b"\0" + long[:cut]), *(packet(False, k, part) for k, part in enumerate(rest, 1))]
+    assert all(len(t) == 188 for t in tables)
+    read = media_ts.demux_bytes(b"".join([own[0], *tables, *own[2:]]))
+    assert read["ok"] and read["payload"] == payload and read["es_pid"] == media_ts.ES_PID
+
+
 # token counts
 
 
+def greedy_count(word, pieces):
+    """Greedy longest-match pieces of a word, the plain way."""
+    at, n, longest = 0, 0, max(map(len, pieces))
+    while at < len(word):
+        end = next((e for e in range(min(len(word), at + longest), at, -1) if word[at:e] in pieces), None)
+        if end is None:
+            return -1
+        at, n = end, n + 1
+    return n
+
+
 def test_token_counts_against_greedy():
     rng = random.Random(3)
     for _ in range(60):
@@ -263,7 +338,7 @@ def test_token_counts_against_greedy():
         automaton = token_counts.LongestMatch(sorted(pieces))
         for _ in range(60):
             word = bytes(rng.choices(b"abcd", k=rng.randint(0, 9)))
-            assert automaton.count(word) == token_counts.greedy_count(word, pieces)
+            assert automaton.count(word) == greedy_count(word, pieces)
 
 
 def test_token_count_rows(spark, tmp_path):
@@ -275,6 +350,32 @@ def test_token_count_rows(spark, tmp_path):
     got = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in token_counts.token_counts(clashing(docs, "n_tokens"), vocabulary=str(vocabulary)).collect()}
     assert got == {1: (2, 3), 2: (0, 0), 3: (0, 0), 4: (0, 0), 5: (1, 3), 6: (20_000, 20_000)}
     assert token_counts.token_counts(docs.limit(0), vocabulary=str(vocabulary)).count() == 0
+    named = docs.withColumnsRenamed({"doc_id": "the id", "text": "a.b"}).withColumns({"doc_id": F.lit("x"), "text": F.lit("no")})
+    again = token_counts.token_counts(named.unionByName(named).withColumnRenamed("a.b", "body"), str(vocabulary), "the id", "body").collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in again) == sorted(2 * [(i, n) for i, (_, n) in got.items()])
+
+
+def test_words_that_no_pieces_make_are_one_token(spark, tmp_path):
+    few = tmp_path / "few.json"
+    few.write_text(json.dumps({"model": {"vocab": {"\u0120a": 0, "a": 1, "b": 2}}}))
+    docs = docs_of(spark, ["ab xyz", "axb", "aab b"])
+    got = {r["doc_id"]: tuple(r)[1:] for r in token_counts.token_counts(docs, str(few)).collect()}
+    assert got == {1: (2, 3, 2), 2: (1, 1, 1), 3: (2, 4, 3)}
+    with pytest.raises(FileNotFoundError):
+        token_counts.load_vocabulary(str(tmp_path / "none.json"))
+    few.write_text("{}")
+    with pytest.raises(ValueError, match="no tokenizer file"):
+        token_counts.load_vocabulary(str(few))
+
+
+def test_a_public_vocabulary_against_greedy(spark):
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    if not Path(path).exists():
+        pytest.skip("no vocabulary here")
+    pieces = set(token_counts.load_vocabulary(path))
+    texts = [" ".join(html_text.__doc__.split()), "naïve café 12345 ünïcödé", "x" * 50_000, None]
+    want = {i: sum(greedy_count(b" " + w, pieces) for w in (t or "").encode().split()) for i, t in enumerate(texts, 1)}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs_of(spark, texts), path).collect()} == want
 
 
 def test_entities_are_decoded():
