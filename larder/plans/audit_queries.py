@@ -13,6 +13,7 @@ from larder.functions.text import normalize
 from larder.operators import audit
 from larder.plans.registry import query, table
 from larder.sources.schema import NUTRIENT_COLUMNS
+from larder.sources.tables import listed, spread
 
 
 def _block(grams: str, **values: str) -> str:
@@ -20,8 +21,13 @@ def _block(grams: str, **values: str) -> str:
     return f"named_struct('grammage', CAST({grams} AS DOUBLE), {cells})"
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part dealt over tasks: its file is small, but a row is a label."""
+    return spread(table(spark, sf_dir, "part"), "p_partkey")
+
+
 def _checks(rows: DataFrame, step: str, *more: str) -> DataFrame:
-    return rows.select("p_partkey", F.explode(step).alias("c")).select("p_partkey", "c.label", "c.status", *(f"c.{m}" for m in more))
+    return listed(rows.select("p_partkey", step), step, "c").select("p_partkey", "c.label", "c.status", *(f"c.{m}" for m in more))
 
 
 def _printed(rows: DataFrame, text: Column) -> DataFrame:
@@ -44,7 +50,7 @@ def q74_claim_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ingredients = "CASE WHEN p_partkey % 13 < 5 THEN 'Wheat, salt' WHEN p_partkey % 13 < 9 THEN 'Rice, sugar' ELSE 'Wheat, sugar' END AS ingredients"
     block = _block("100", protein_g="p_size", total_sugar_g="CASE WHEN p_partkey % 17 < 6 THEN (p_partkey % 17) % 2 END")
     printed = (("p_partkey % 2 = 0", "Source of Protein"), ("p_partkey % 3 = 0", "No sugar"), ("p_partkey % 5 < 3", "made with WHEAT"), ("p_partkey % 7 < 4", "Baked"), ("p_partkey % 11 < 6", "Not Fried"))
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", usps, listed, ingredients, f"array({block}) AS nutrition", "p_partkey % 4 = 3 AS ocr", "concat_ws(' x ', 'pack', " + ", ".join(f"CASE WHEN {when} THEN '{t}' END" for when, t in printed) + ") AS printed")
+    rows = _parts(spark, sf_dir).selectExpr("p_partkey", usps, listed, ingredients, f"array({block}) AS nutrition", "p_partkey % 4 = 3 AS ocr", "concat_ws(' x ', 'pack', " + ", ".join(f"CASE WHEN {when} THEN '{t}' END" for when, t in printed) + ") AS printed")
     return _checks(audit.claims_step(_printed(rows, F.col("printed"))), "step3")
 
 
@@ -54,7 +60,7 @@ UNION ALL SELECT p_partkey, 'Net weight unit written consistently', CASE p_partk
 def q75_weight_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Step 4: one size, two spellings, kilograms, none, and a photo's g read as 9."""
     flat = "CASE p_partkey % 5 WHEN 0 THEN 'Net Wt: ' || p_size || 'g' WHEN 1 THEN 'Net Weight ' || p_size || ' gm and net qty: ' || p_size || 'g' WHEN 2 THEN 'NET QUANTITY - 1.5 kg' WHEN 3 THEN 'no weight' ELSE 'Net Wt ' || (p_size + 10) || '9' END AS flat"
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", flat, "p_partkey % 5 = 4 AS ocr", "CAST(CASE WHEN p_partkey % 5 = 4 THEN p_size + 10 ELSE p_size END AS DOUBLE) AS pack_size_g")
+    rows = _parts(spark, sf_dir).selectExpr("p_partkey", flat, "p_partkey % 5 = 4 AS ocr", "CAST(CASE WHEN p_partkey % 5 = 4 THEN p_size + 10 ELSE p_size END AS DOUBLE) AS pack_size_g")
     return _checks(audit.weight_step(rows), "step4", "found")
 
 
@@ -72,7 +78,7 @@ def q76_ingredient_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = f"""CASE p_partkey % 6 WHEN 0 THEN {own.format(flour="flour")} || '.' WHEN 2 THEN 'Rice flour, ' || p_name || ' flour, salt.' WHEN 3 THEN upper(substring(p_name, 1, 1)) || substring(p_name, 2) || ' flour, salt'
       WHEN 4 THEN {own.format(flour="flour")} || ', peppermint.' WHEN 5 THEN {own.format(flour="FLOUR")} || '.' END AS label_list"""
     allergens = "CASE p_partkey % 6 WHEN 1 THEN NULL WHEN 2 THEN 'Contains soya' WHEN 3 THEN 'Contains milk and soya' ELSE 'Contains milk.' END AS label_allergens"
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{own.format(flour='flour')} || '.' AS ingredients", listed, allergens, "CAST(NULL AS STRING) AS allergens_near", "'Contains milk.' AS allergens", "false AS ocr")
+    rows = _parts(spark, sf_dir).selectExpr("p_partkey", f"{own.format(flour='flour')} || '.' AS ingredients", listed, allergens, "CAST(NULL AS STRING) AS allergens_near", "'Contains milk.' AS allergens", "false AS ocr")
     return _checks(audit.ingredients_step(rows), "step6")
 
 
@@ -96,7 +102,7 @@ def q77_nutrition_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = [line(0, "energy_kcal", "Energy", f"p_size + 4 * {size}", "'Energy (kcal)'"), line(1, "protein_g", "Protein", f"{size} / 5", "CASE WHEN p_partkey % 5 = 0 THEN 'Protien (g)' ELSE 'Protein (g)' END", "p_partkey % 5 = 0")]
     more = [line(2, "total_fat_g", "Total Fat", f"CASE WHEN p_partkey % 4 = 2 THEN 15 ELSE {size} / 10 END", "'Total Fat (g)'"), line(3, "calcium_mg", "Calcium", "", "'Calcium (mg)'")]
     cells = f"CASE WHEN p_partkey % 4 = 3 THEN array({', '.join(lines)}) ELSE array({', '.join(lines + more)}) END AS cells"
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", cells, f"array({block(30)}, {block(100)}) AS nutrition", "CAST(80 AS DOUBLE) AS pack_size_g", "false AS ocr")
+    rows = _parts(spark, sf_dir).selectExpr("p_partkey", cells, f"array({block(30)}, {block(100)}) AS nutrition", "CAST(80 AS DOUBLE) AS pack_size_g", "false AS ocr")
     return _checks(audit.nutrition_step(rows), "step7", "expected", "found", "note")
 
 
@@ -112,7 +118,7 @@ def q78_address_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     digits = "CAST(10000000000000 + p_partkey AS STRING)"
     sheet = f"'Acme ' || p_name || ' Ltd,\\nPune 411001. Lic. No. ' || {digits} AS manufacturer"
     flat = f"CASE WHEN p_partkey % 4 = 2 THEN 'nothing of it' ELSE 'Packed for Acme ' || p_name || ' Ltd, Pune ' || CASE p_partkey % 4 WHEN 1 THEN '411002' ELSE '411001' END || '. Lic. No. ' || CASE p_partkey % 4 WHEN 3 THEN substring({digits}, 1, 10) ELSE {digits} END END AS flat"
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", sheet, flat, "false AS ocr")
+    rows = _parts(spark, sf_dir).selectExpr("p_partkey", sheet, flat, "false AS ocr")
     return _checks(audit.address_step(_printed(rows, F.col("flat"))), "step10")
 
 

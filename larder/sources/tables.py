@@ -7,6 +7,23 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over four tasks a core or more, which aren't merged again: for work that is heavy by the row, where few bytes hold many rows and Spark would make a task or two of them."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
+def listed(df: DataFrame, array: str, name: str) -> DataFrame:
+    """The elements of an array column, a row each, without null ones.
+
+    By explode_outer: for explode Spark infers a filter on the array's size and pushes it below the projections that make
+    the array, which are then worked out twice, and not once a column but as one expression.
+    """
+    columns = [c for c in df.columns if c != array]
+    return df.select(*columns, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from larder.operators import clusters
 from larder.operators.clusters import _anchors, anchored_groups, covered
+from larder.plans.queries import QUERIES
 from larder.sources import labels, ordinals
 from larder.sources.schema import OCR_WORD_SCHEMA
 
@@ -129,3 +130,11 @@ def test_module_has_no_group_collects():
     import inspect
 
     assert "collect_list" not in inspect.getsource(clusters)
+
+
+@pytest.mark.parametrize("name", ["q74_claim_checks", "q75_weight_checks", "q76_ingredient_checks", "q77_nutrition_checks", "q78_address_checks"])
+def test_checks_are_worked_out_once_and_over_all_tasks(spark, name):
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert max((len(line) for line in plan if "Filter" in line.split("(")[0]), default=0) < 200  # no step is pushed into a filter
+    assert any("RepartitionByExpression" in line for line in plan)
