@@ -41,8 +41,12 @@ def upper_medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def row_sharpness(boxes: DataFrame, keys: list[str], slopes: Sequence[float], bin_height: float) -> DataFrame:
-    """(keys, slope, sharpness) of boxes (x, y, width): the sum of squared widths of the rows that boxes fall into at each slope."""
-    rows = boxes.withColumn("slope", F.explode(F.array(*(F.lit(float(s)) for s in slopes))))
+    """(keys, slope, sharpness) of boxes (x, y, width): the sum of squared widths of the rows that boxes fall into at each slope.
+
+    Boxes are dealt by keys before they are multiplied by slopes: a task then sums the rows of its own keys only, where
+    a task over a part of the input would hold nearly all keys' rows and send them on. A key's boxes are streamed.
+    """
+    rows = boxes.repartition(*keys).withColumn("slope", F.explode(F.array(*(F.lit(float(s)) for s in slopes))))
     at = F.floor((F.col("y") - F.col("slope") * F.col("x")) / F.lit(float(bin_height)) + 0.5)
     widths = rows.groupBy(*keys, "slope", at.alias("_bin")).agg(F.sum("width").alias("_w"))
     return widths.groupBy(*keys, "slope").agg(F.sum(F.col("_w").cast("double") * F.col("_w").cast("double")).alias("sharpness"))

@@ -1,11 +1,14 @@
 """Operators that must not hold a group, a page or a catalogue in one task, against plain versions."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from larder.functions import geometry
 from larder.operators import clusters
 from larder.operators.clusters import _anchors, anchored_groups, covered
 from larder.plans.queries import QUERIES
@@ -138,3 +141,17 @@ def test_checks_are_worked_out_once_and_over_all_tasks(spark, name):
     plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert max((len(line) for line in plan if "Filter" in line.split("(")[0]), default=0) < 200  # no step is pushed into a filter
     assert any("RepartitionByExpression" in line for line in plan)
+
+
+def test_boxes_are_dealt_by_key_before_they_are_multiplied(spark):
+    boxes = spark.range(600).selectExpr("id % 7 AS k", "CAST(id % 11 AS double) AS x", "CAST(id % 5 AS double) AS y", "id % 3 + 1 AS width")
+    found = geometry.row_sharpness(boxes, ["k"], (-0.5, 0.0, 0.5), 2.0)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # of boxes; sums of rows aren't sent
+    want = Counter()
+    for i in range(600):
+        for s in (-0.5, 0.0, 0.5):
+            want[i % 7, s, math.floor((i % 5 - s * (i % 11)) / 2 + 0.5)] += i % 3 + 1
+    sharp = Counter()
+    for (k, s, _), w in want.items():
+        sharp[k, s] += w * w
+    assert {(r["k"], r["slope"]): r["sharpness"] for r in found.collect()} == sharp
