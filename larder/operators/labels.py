@@ -9,6 +9,7 @@ from larder.functions.distance import osa_distance
 from larder.functions.geometry import anchored_clusters
 from larder.functions.text import ao_key, cell_value, is_cell, normalize, ocr_alternatives, ocr_fix, words
 from larder.sources.schema import NUTRIENTS, UNIT_WORDS
+from larder.sources.tables import listed
 
 # Row tolerance of text layers and of OCR, column tolerance, least gap before another panel's text, headings that end a paragraph.
 ROW_TOLERANCE, OCR_ROW_TOLERANCE, COLUMN_TOLERANCE = 2.5, 4.8, 6.0
@@ -37,7 +38,7 @@ def rows(items: DataFrame, labels: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("down"), "ord", "s", "x", "y", "w", "h")))
     pages = upright.groupBy("label_id", "page").agg(ordered.alias("items"), F.first("tol").alias("tol"))
     clusters = anchored_clusters(F.col("items"), "y", F.col("tol"))
-    each = pages.select("label_id", "page", F.explode(F.arrays_zip("items", clusters.alias("c"))).alias("z"))
+    each = listed(pages.select("label_id", "page", F.arrays_zip("items", clusters.alias("c")).alias("zs")), "zs", "z")
     lines = each.groupBy("label_id", "page", F.col("z.c.cluster").alias("cluster")).agg(F.first("z.c.anchor").alias("y"), F.array_sort(F.collect_list(F.struct("z.items.x", "z.items.ord", "z.items.s", "z.items.y", "z.items.w", "z.items.h"))).alias("items"))
     number = F.row_number().over(Window.partitionBy("label_id").orderBy("page", "cluster")).alias("row_no")
     return lines.select("label_id", number, "page", "y", "items", join_items(F.col("items")).alias("text"))

@@ -7,6 +7,7 @@ words of a page together, and a page holds what fits on a pack.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from larder.functions.distance import osa
 from larder.functions.text import cell_value, is_cell, loosened, ocr_alternatives, ocr_fix
 from larder.sources.schema import NUTRIENTS, UNIT_WORDS
+from larder.sources.tables import spread
 
 # Fixed values of levelling: cells of a page across and down, least words of a page and of a cell, least peak of a slope over the mean of all, greatest slope and its steps (page, cell), least gain that is kept, least extent of a page in text heights.
 CELLS_ACROSS, CELLS_DOWN = 4, 8
@@ -30,6 +32,10 @@ TABLE_WORDS, TABLE_NAMES = 20, 3
 SLOPES_A, SLOPES_B = np.arange(-30, 31) * 0.01, np.arange(-10, 11) * 0.0003
 UNPAIRED, DISTANCE, STEEPNESS, AGREEMENT = 0.8, 0.05, 0.02, 2.0
 AGREES_WITHIN = 0.02
+#: Slopes times names or numbers that are tried together.
+_AT_ONCE = 250_000
+#: Names whose nutrients a task remembers.
+_NAMES_KEPT = 100_000
 
 
 # ---- levelling ----
@@ -183,6 +189,7 @@ def _ao(text: str) -> str:
 _FOLDED = {_ao(name): i for name, i in sorted(_EXACT.items(), key=lambda p: -p[1])}
 
 
+@lru_cache(_NAMES_KEPT)
 def nutrient_of(text: str) -> tuple[int, bool] | None:
     """The nutrient that a normalised name means, and whether the name is misspelt: exact names first, then a/o-folded ones, then ones an edit or two away, each by least number."""
     if text in _EXACT:
@@ -285,22 +292,28 @@ def best_pairs(names_y: np.ndarray, reach: np.ndarray, column_y: np.ndarray, agr
     without a name, distances, steepness, and pairs that agree with the sheet. Equal scores: the least a, then the least b.
     """
     middle = (names_y.max() + names_y.min()) / 2
-    best: tuple[float, float, float, np.ndarray] | None = None
-    for a in SLOPES_A:
-        at = names_y + (a + SLOPES_B[:, None] * (names_y - middle)) * reach
-        far = np.abs(column_y - at[:, :, None])  # b, name, number
-        near, gap = far.argmin(2), far.min(2)
-        cost = np.full(far.shape, np.inf)
-        k, i = np.nonzero(gap <= pitch * 0.5)
-        cost[k, i, near[k, i]] = gap[k, i]
-        owner, least = cost.argmin(1), cost.min(1)
-        taken = np.isfinite(least)
+    many, best = max(1, _AT_ONCE // (len(SLOPES_B) * max(len(names_y), len(column_y)))), None
+    for start in range(0, len(SLOPES_A), many):
+        slopes = SLOPES_A[start : start + many]
+        at = names_y + (slopes[:, None, None] + SLOPES_B[:, None] * (names_y - middle)) * reach
+        at = at.reshape(-1, len(names_y))  # a and b, name
+        near, gap = np.zeros(at.shape, int), np.full(at.shape, np.inf)
+        for c, y in enumerate(column_y):
+            far = np.abs(y - at)
+            closer = far < gap
+            near[closer], gap[closer] = c, far[closer]
+        owner, least = np.full((len(at), len(column_y)), -1), np.full((len(at), len(column_y)), np.inf)
+        for i in range(len(names_y)):
+            k = np.flatnonzero((gap[:, i] <= pitch * 0.5) & (gap[:, i] < least[np.arange(len(at)), near[:, i]]))
+            owner[k, near[k, i]], least[k, near[k, i]] = i, gap[k, i]
+        taken = owner >= 0
         agree = (agrees[owner, np.arange(len(column_y))] & taken).sum(1)
         distance = np.where(taken, least, 0).sum(1) / pitch
-        score = taken.sum(1) - UNPAIRED * (~taken & inside).sum(1) - DISTANCE * distance - STEEPNESS * (abs(a) + np.abs(SLOPES_B) * 100) + AGREEMENT * agree
+        steep = (np.abs(slopes)[:, None] + np.abs(SLOPES_B) * 100).ravel()
+        score = taken.sum(1) - UNPAIRED * (~taken & inside).sum(1) - DISTANCE * distance - STEEPNESS * steep + AGREEMENT * agree
         top = int(score.argmax())
         if best is None or score[top] > best[0]:
-            best = float(score[top]), float(a), float(SLOPES_B[top]), np.where(taken[top], owner[top], -1)
+            best = float(score[top]), float(slopes[top // len(SLOPES_B)]), float(SLOPES_B[top % len(SLOPES_B)]), owner[top]
     _, a, b, owner = best
     return [(int(n), c) for c, n in enumerate(owner) if n >= 0], a, b
 
@@ -439,7 +452,8 @@ def photo_cells(rows: DataFrame, expected: DataFrame) -> DataFrame:
         label = left.column("label_id").combine_chunks()
         return pa.Table.from_arrays([label.take(pa.array([0] * len(lines), pa.int64())) if lines else label.slice(0, 0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["label_id", "key", "title", "typo", "row_label", "values"])
 
-    return words.groupBy("label_id").cogroup(expected.select("label_id", "key", "values").groupBy("label_id")).applyInArrow(run, _CELLS.format(kind=kind))
+    words, said = spread(words, "label_id"), spread(expected.select("label_id", "key", "values"), "label_id")
+    return words.groupBy("label_id").cogroup(said.groupBy("label_id")).applyInArrow(run, _CELLS.format(kind=kind))
 
 
 def expected_values(reference: DataFrame) -> DataFrame:

@@ -292,3 +292,36 @@ def test_boxes_of_the_vector_maps_equal_pixel_by_pixel(spark):
         got = [tuple(r)[2:] for r in rows if r["vec_id"] == k]
         assert len(got) == len(want) and all(g == pytest.approx(w, abs=1e-5) for g, w in zip(got, want, strict=True))
     assert rows
+
+
+def plain_pairs(names_y, reach, column_y, agrees, inside, pitch):
+    """best_pairs slope by slope and name by name."""
+    middle, best = (max(names_y) + min(names_y)) / 2, None
+    for a in photo.SLOPES_A:
+        for b in photo.SLOPES_B:
+            owner = {}
+            for i, y in enumerate(names_y):
+                gaps = [abs(v - (y + (a + b * (y - middle)) * reach[i])) for v in column_y]
+                c = gaps.index(min(gaps))
+                if gaps[c] <= pitch * 0.5 and (c not in owner or gaps[c] < owner[c][1]):
+                    owner[c] = i, gaps[c]
+            score = len(owner) - photo.UNPAIRED * sum(bool(inside[c]) for c in range(len(column_y)) if c not in owner) - photo.DISTANCE * (sum(g for _, g in owner.values()) / pitch)
+            score += -photo.STEEPNESS * (abs(a) + abs(b) * 100) + photo.AGREEMENT * sum(bool(agrees[i][c]) for c, (i, _) in owner.items())
+            if best is None or score > best[0] + 1e-9:
+                best = score, sorted((i, c) for c, (i, _) in owner.items())
+    return best
+
+
+@pytest.mark.parametrize("at_once", [1, 5_000, 250_000])
+def test_slopes_tried_together_pair_as_one_by_one(monkeypatch, at_once):
+    monkeypatch.setattr(photo, "_AT_ONCE", at_once)
+    rng = np.random.default_rng(3)
+    for n, c in ((1, 1), (4, 7), (9, 5)):
+        given = np.sort(rng.random(n) * 200)[::-1], rng.random(n) * 100 + 20, rng.random(c) * 200, rng.random((n, c)) < 0.2, rng.random(c) < 0.7, 12.0
+        assert sorted(best_pairs(*given)[0]) == plain_pairs(*given)[1]
+
+
+def test_a_name_is_looked_up_once_by_a_task():
+    photo.nutrient_of.cache_clear()
+    assert photo.nutrient_of("saturatd fat") == photo.nutrient_of("saturatd fat")
+    assert photo.nutrient_of.cache_info().hits == 1
