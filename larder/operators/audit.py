@@ -22,7 +22,7 @@ from larder.operators.checks import ocr_post_pass
 from larder.operators.labels import block_under, context, heading_at, nutrition_cells, table_edge, text_near
 from larder.operators.matching import best_suggestion
 from larder.sources.schema import NUTRIENTS
-from larder.sources.tables import cut_lineage
+from larder.sources.tables import cut_lineage, listed, spread
 
 # Aliases of absent ingredients, allergen groups, words that may stand in capitals, tolerances.
 ABSENCE_ALIASES = {"maida": ("maida", "refined wheat flour", "refined flour", "all purpose flour"), "refined sugar": ("refined sugar", "white sugar", "sugar syrup", "invert sugar")}
@@ -601,7 +601,7 @@ _CELLS = "array<struct<row_no:int,key:string,title:string,typo:boolean,row_label
 
 def label_rows(items: DataFrame, labels: DataFrame, reference: DataFrame) -> DataFrame:
     """One row a label: its text in reading order, its lists, allergens and nutrition cells, beside the product's fields."""
-    ctx = cut_lineage(context(photo.levelled_items(items, labels), labels))  # read by rows, by geometry and as a whole
+    ctx = cut_lineage(spread(context(photo.levelled_items(items, labels), labels), "label_id"))  # read by rows, by geometry and as a whole
     empty = F.array().cast("array<struct<row_no:int,page:int,y:double,items:array<struct<x:double,ord:bigint,s:string,y:double,w:double,h:double>>,text:string>>")
     ctx = ctx.withColumn("rows", F.coalesce("rows", empty)).withColumn("_ing", heading_at(F.col("rows"), "^ingredients?(?![a-z0-9])")).withColumn("_all", heading_at(F.col("rows"), "^allergen"))
     lines = ctx.filter("ocr").select("label_id", F.explode("rows").alias("r")).select("label_id", "r.*")
@@ -612,7 +612,7 @@ def label_rows(items: DataFrame, labels: DataFrame, reference: DataFrame) -> Dat
     near = text_near(F.col("rows"), F.col("_all"), F.col("_all_edge")).alias("allergens_near")
     under = [block_under(F.col("rows"), F.col(at), gap, align, F.col(f"{at}_edge")).alias(name) for name, at in (("label_list", "_ing"), ("label_allergens", "_all"))]
     ctx = ctx.select("label_id", "ocr", "flat", "views", "label_words", "cells", near, *under)
-    return cut_lineage(reference.select(*REFERENCE.split(", ")).join(ctx, "label_id"))
+    return cut_lineage(spread(reference.select(*REFERENCE.split(", ")).join(ctx, "label_id"), "label_id"))
 
 
 def all_steps(rows: DataFrame) -> DataFrame:
@@ -622,7 +622,7 @@ def all_steps(rows: DataFrame) -> DataFrame:
         done = done.withColumn("step6", F.array_compact(F.concat("step6", F.array(spelling_check()))))
     numbered = lambda n: F.transform(f"step{n}", lambda c, i: F.struct(F.lit(n).alias("step"), i.alias("seq"), c.alias("c")))
     steps = F.flatten(F.array(*[numbered(n) for n, _ in STEPS]))
-    return done.select("label_id", "ocr", F.explode(steps).alias("s")).select("label_id", "ocr", "s.step", "s.seq", "s.c.*")
+    return listed(done.select("label_id", "ocr", steps.alias("steps")), "steps", "s").select("label_id", "ocr", "s.step", "s.seq", "s.c.*")
 
 
 def audit(items: DataFrame, labels: DataFrame, reference: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
