@@ -15,6 +15,7 @@ from larder.functions.numbers import parse_float
 from larder.functions.text import ACCENTED, PLAIN, find_all, has_phrase, normalize, split_outside_brackets, words
 from larder.operators import checks, claims, clusters, market, matching, products
 from larder.plans.registry import QUERIES, SQL, query, table
+from larder.sources.tables import listed
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -126,7 +127,7 @@ _ALL_WORDS_SQL = f"SELECT word, count(*)::BIGINT AS n, count(DISTINCT doc_id)::B
 
 @query(_ALL_WORDS_SQL)
 def q08_normalize_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("word"))
+    rows = listed(table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("words")), "words", "word")
     return rows.groupBy("doc_id", "word").agg(F.count("*").alias("k")).groupBy("word").agg(F.sum("k").alias("n"), F.count("*").alias("docs"))
 
 
