@@ -47,7 +47,16 @@ def find_all(c: Column, pattern: str, group: int = 1) -> Column:
 
 
 def split_outside_brackets(c: Column, separator: str) -> Column:
-    """Parts between separators at bracket depth 0, as a fold over the characters; unbalanced closers count as depth 0."""
+    """Parts between separators (one plain character) at bracket depth 0; unbalanced closers count as depth 0.
+
+    A pattern splits texts whose brackets are closed and not nested; others go through a fold over their characters.
+    """
+    text = F.coalesce(c, F.lit(""))
+    flat = ~F.regexp_replace(text, r"[(\[][^()\[\]]*[)\]]", "").rlike(r"[()\[\]]")
+    return F.when(flat, F.split(text, rf"[{separator}](?![^(\[]*[)\]])")).otherwise(_split_nested(text, separator))
+
+
+def _split_nested(text: Column, separator: str) -> Column:
     start = F.struct(F.lit(0).alias("depth"), F.array(F.lit("")).alias("parts"))
 
     def step(acc: Column, ch: Column) -> Column:
@@ -57,7 +66,7 @@ def split_outside_brackets(c: Column, separator: str) -> Column:
         grown = F.concat(F.slice(acc["parts"], F.lit(1), F.size(acc["parts"]) - 1), F.array(F.concat(last, ch)))
         return F.struct(depth.alias("depth"), F.when(cut, F.concat(acc["parts"], F.array(F.lit("")))).otherwise(grown).alias("parts"))
 
-    return F.aggregate(F.split(F.coalesce(c, F.lit("")), ""), start, step, lambda acc: acc["parts"])
+    return F.aggregate(F.split(text, ""), start, step, lambda acc: acc["parts"])
 
 
 def split_list(c: Column, separator: str = r"\|") -> Column:

@@ -66,8 +66,13 @@ def check(label: Column | str, status: Column | str, expected: Column | None = N
 
 
 def _listed(*checks: Column) -> Column:
-    """Checks without the null ones."""
-    return F.array_compact(F.array(*checks))
+    """Checks without the null ones; by concat, as checks inside array_compact would run without generated code."""
+    return F.concat(*[F.when(c.isNotNull(), F.array(c)).otherwise(F.array().cast(_CHECKS)) for c in checks])
+
+
+def _if_any(ws: Column, pool: Column) -> Column:
+    """The pool of rows with words to look for; others needn't send theirs to Python."""
+    return F.when(F.size(ws) > 0, pool)
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -86,7 +91,7 @@ def _near(own: pd.Series, pool: pd.Series, long: pd.Series) -> pd.Series:
 
 def near_words(own: Column, pool: Column, long: int = 8) -> Column:
     """Words of 5 letters or more that the pool nearly has (one edit; two for long ones)."""
-    return _near(own, pool, F.lit(long))
+    return _near(own, _if_any(own, pool), F.lit(long))
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -109,7 +114,7 @@ def _damaged(absent: pd.Series, pool: pd.Series) -> pd.Series:
 
 def damaged_words(absent: Column, pool: Column) -> Column:
     """Array of (word, fragment): absent words with the first word of the pool that may be a damaged piece of each: its start, or a few edits away (40 % of a long word)."""
-    pairs = F.arrays_zip(absent.alias("word"), _damaged(absent, pool).alias("fragment"))
+    pairs = F.arrays_zip(absent.alias("word"), _damaged(absent, _if_any(absent, pool)).alias("fragment"))
     return F.filter(pairs, lambda d: d["fragment"].isNotNull())
 
 
@@ -128,7 +133,7 @@ def _unlike(ws: pd.Series, pool: pd.Series) -> pd.Series:
 
 def unlike_words(ws: Column, pool: Column) -> Column:
     """Words that nothing in the pool resembles: none starts the other, and none is within 45 % of the word's letters in OSA edits."""
-    return _unlike(ws, pool)
+    return _unlike(ws, _if_any(ws, pool))
 
 
 def _printed(phrase: Column) -> Column:
@@ -366,13 +371,13 @@ def ingredients_step(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_sheet", F.regexp_replace(F.coalesce("ingredients", F.lit("")), r"\s+", " ")).withColumn("_list", F.coalesce("label_list", F.lit("")))
     rows = rows.withColumns({"_own": F.filter(F.array_distinct(words(F.col("_sheet"))), lambda w: F.length(w) > 1), "_tokens": F.array_distinct(words(F.col("_list"))), "_body": before(F.col("_list"))})
     rows = rows.withColumns({"_segs": segments(F.col("_body"), ocr), "_sheet_segs": segments(before(F.col("_sheet")), F.lit(False))})
-    rows = rows.withColumn("_absent", F.array_except("_own", "_tokens")).withColumn("_near", near_words(F.col("_absent"), F.when(ocr, F.col("_tokens")).otherwise(none), 7))
-    rows = rows.withColumn("_absent", F.array_except("_absent", "_near")).withColumn("_damaged", damaged_words(F.col("_absent"), F.when(ocr, F.array_except("_tokens", "_own")).otherwise(none)))
+    rows = rows.withColumn("_absent", F.array_except("_own", "_tokens")).withColumn("_near", near_words(F.col("_absent"), F.when(ocr, F.col("_tokens")), 7))
+    rows = rows.withColumn("_absent", F.array_except("_absent", "_near")).withColumn("_damaged", damaged_words(F.col("_absent"), F.when(ocr, F.array_except("_tokens", "_own"))))
     rows = rows.withColumns({"_unclear": F.transform("_damaged", lambda d: d["word"]), "_pieces": F.transform("_damaged", lambda d: d["fragment"])})
     rows = rows.withColumns({"_missing": F.array_except("_absent", "_unclear"), "_new": F.array_except(F.array_except(words(F.col("_body")), "_own"), "_pieces")})
     missing, unclear = F.col("_missing"), F.col("_unclear")
     single = (_components(F.col("_segs")) <= 1) & (_components(F.col("_sheet_segs")) <= 1)
-    rows = rows.withColumn("_clean", unlike_words(F.filter("_new", lambda w: F.length(w) >= 5), F.col("_own")))
+    rows = rows.withColumn("_long", F.filter("_new", lambda w: F.length(w) >= 5)).withColumn("_clean", unlike_words(F.col("_long"), F.col("_own")))
     clean = F.col("_clean")
     extra = F.when(ocr, clean).otherwise(F.filter("_new", lambda w: F.length(w) > 1))
     partly = ocr & ((F.size("_own") - F.size("_absent")) < 0.8 * F.size("_own"))
@@ -423,7 +428,7 @@ def ingredients_step(rows: DataFrame) -> DataFrame:
         .when(F.size(extras) > 0, check(title, "warn", F.trim("allergens"), F.concat(F.lit("Label also declares: "), F.array_join(extras, ", "))))
         .otherwise(check(title, "pass", F.trim("allergens"), F.col("label_allergens")))
     )
-    used = "_sheet _list _own _tokens _body _segs _sheet_segs _absent _near _damaged _unclear _pieces _missing _new _items _label_items _shared _rest _needs _read _wide"
+    used = "_sheet _list _own _tokens _body _segs _sheet_segs _absent _near _damaged _unclear _pieces _missing _new _long _clean _items _label_items _shared _rest _needs _read _wide"
     return rows.withColumn("step6", F.concat(listed, F.array(declared))).drop(*used.split())
 
 

@@ -201,3 +201,17 @@ def test_report_defaults(spark):
     ref = spark.createDataFrame([("a", "Chips", 70.5), ("b", "Dip", 0.0)], "label_id string, product_name string, pack_size_g double")
     assert [(r["step"], r["label"], r["status"]) for r in checks.coerce_report(replies, "id", "r").collect()] == [(0, "Check", "fail")]
     assert {tuple(r) for r in checks.report_header(replies, ref, "id", "r").collect()} == {("a", "Chips", "70.5g", "fail"), ("b", "Dip", "80 g", "skip"), ("c", None, "pack size not set", "skip")}
+
+
+def plan_of(query):
+    from larder.plans.queries import QUERIES
+
+    def run(spark):
+        return QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+    return run
+
+
+@pytest.mark.parametrize("query", ["q75_weight_checks"])
+def test_checks_run_outside_of_lambdas(spark, query):
+    assert "filter(array(" not in plan_of(query)(spark)

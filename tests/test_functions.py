@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +111,21 @@ def test_osa_pairs_equal_all_pairs(spark):
     assert got == {(a, b, osa(a, b, 2)) for a in words for b in words if a[:1] == b[:1] and osa(a, b, 2) <= 2}
     keys = spark.createDataFrame([("abc",), ("",)], "w string").select(deletions(F.col("w"), 2)).collect()
     assert sorted(keys[0][0]) == ["a", "ab", "abc", "ac", "b", "bc", "c"] and keys[1][0] == [""]
+
+
+def test_splits_outside_brackets_equal_a_plain_fold(spark):
+    def plain(s):
+        depth, parts = 0, [""]
+        for ch in s:
+            depth = depth + 1 if ch in "([" else max(depth - 1, 0) if ch in ")]" else depth
+            if ch == "," and not depth:
+                parts.append("")
+            else:
+                parts[-1] += ch
+        return parts
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab,,()[] ") for _ in range(rng.randrange(14))) for _ in range(600)] + ["", "a,", "(a,b),c", "((a),b),c", "a),b(,c", "(a,[b),c],d"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.split_outside_brackets(F.col("t"), ",").alias("parts"))
+    assert [r.parts for r in df.collect()] == [plain(t) for t in texts]
+    assert "CASE WHEN NOT RLIKE(regexp_replace" in df._jdf.queryExecution().optimizedPlan().toString()  # texts without nested brackets skip the fold
