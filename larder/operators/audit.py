@@ -554,10 +554,13 @@ def label_cells(cells: DataFrame) -> DataFrame:
 def nutrition_step(rows: DataFrame) -> DataFrame:
     """A label's cells against the product block that most nutrients agree with; then the size nearest to the pack's decides, then the earlier block."""
     number = F.array().cast("array<double>")
-    read = lambda key: F.when(F.exists("cells", lambda c: c["key"] == key), F.flatten(F.transform(F.filter("cells", lambda c: c["key"] == key), lambda c: F.coalesce(c["values"], number))))
-    rows = rows.withColumn("_read", F.array(*[F.struct(F.lit(t).alias("title"), F.lit(u).alias("unit"), F.lit(f).alias("floor"), read(key).alias("values")) for key, t, _, u, f in NUTRIENTS]))
+    own = lambda key: F.filter("cells", lambda c: c["key"] == key)
+    rows = rows.withColumn("_own", F.array(*[own(key) for key, *_ in NUTRIENTS]))
+    rows = rows.withColumn("_values", F.transform("_own", lambda cs: F.when(F.size(cs) > 0, F.flatten(F.transform(cs, lambda c: F.coalesce(c["values"], number))))))
+    rows = rows.withColumn("_read", F.array(*[F.struct(F.lit(t).alias("title"), F.lit(u).alias("unit"), F.lit(f).alias("floor"), F.get("_values", i).alias("values")) for i, (_, t, _, u, f) in enumerate(NUTRIENTS)]))
 
-    def line(expected: Column, r: Column) -> Column:
+    def line(pair: Column) -> Column:
+        expected, r = pair["expected"], pair["read"]
         near = F.array_min(F.transform(F.filter(r["values"], lambda v: v.isNotNull()), lambda v, i: F.struct(F.abs(v - expected).alias("gap"), i.alias("i"), v.alias("v"))))["v"]
         return F.struct(r["title"].alias("title"), r["unit"].alias("unit"), r["floor"].alias("floor"), expected.alias("expected"), r["values"].isNotNull().alias("there"), near.alias("got"))
 
@@ -565,7 +568,7 @@ def nutrition_step(rows: DataFrame) -> DataFrame:
         score = F.size(F.filter(b["lines"], lambda x: x["got"].isNotNull() & (value_status(x["expected"], x["got"], x["floor"]) == "pass")))
         return F.struct((-score).alias("score"), F.coalesce(F.abs(b["grammage"] - F.col("pack_size_g")), F.lit(0.0)).alias("gap"), i.alias("i"), b["lines"].alias("lines"))
 
-    lines = F.transform("nutrition", lambda b: F.struct(b["grammage"].alias("grammage"), F.filter(F.zip_with(_values(b), F.col("_read"), line), lambda x: x["expected"].isNotNull()).alias("lines")))
+    lines = F.transform("nutrition", lambda b: F.struct(b["grammage"].alias("grammage"), F.transform(F.filter(F.zip_with(_values(b), F.col("_read"), lambda e, r: F.struct(e.alias("expected"), r.alias("read"))), lambda x: x["expected"].isNotNull()), line).alias("lines")))
     rows = rows.withColumn("_best", F.array_min(F.transform(lines, ranked))["lines"])
     shown = lambda x, c: F.concat(number_text(x[c]), x["unit"])
 
@@ -591,7 +594,7 @@ def nutrition_step(rows: DataFrame) -> DataFrame:
         .when(F.col("nutrition").isNull() | (F.size("nutrition") == 0), F.array(check("Nutrition table", "skip")))
         .otherwise(F.concat(F.transform("_best", one), F.array(names)))
     )
-    return rows.withColumn("step7", out).drop("_read", "_best", "_typos")
+    return rows.withColumn("step7", out).drop("_own", "_values", "_read", "_best", "_typos")
 
 
 def description_step(rows: DataFrame) -> DataFrame:

@@ -215,3 +215,8 @@ def plan_of(query):
 @pytest.mark.parametrize("query", ["q75_weight_checks"])
 def test_checks_run_outside_of_lambdas(spark, query):
     assert "filter(array(" not in plan_of(query)(spark)
+
+
+def test_only_nutrients_of_the_sheet_are_looked_up(spark):
+    plan = plan_of("q77_nutrition_checks")(spark)
+    assert "exists(cells" not in plan and plan.count("filter(cells") <= len(audit.NUTRIENTS) + 1
