@@ -501,29 +501,32 @@ def address_step(rows: DataFrame) -> DataFrame:
         }
     )
     near = F.col("ocr")
-    missing_names = F.filter("_names", lambda n: ~_printed(normalize(n)))
+    rows = rows.withColumn("_plain", F.transform("_names", normalize)).withColumn("_unprinted", F.filter("_names", lambda n, i: ~_printed(F.get("_plain", i))))
+    missing_names = F.col("_unprinted")
     names = F.when(F.size("_names") == 0, check("Manufacturer name", "skip")).otherwise(check("Manufacturer name", F.when(F.size(missing_names) == 0, "pass").when(near, "warn").otherwise("fail"), F.array_join("_names", "; "), F.when(F.size(missing_names) > 0, F.concat(F.lit("Not found on label: "), F.array_join(missing_names, "; ")))))
     exact = lambda p: F.array_contains("_spelled", p)
     off = lambda p, q: F.aggregate(F.sequence(F.lit(1), F.lit(6)), F.lit(0), lambda a, i: a + (F.substring(p, i, F.lit(1)) != F.substring(q, i, F.lit(1))).cast("int"))
     misread = lambda p: near & F.exists("_spelled", lambda q: off(p, q) == 1)
-    gone = F.filter("_sheet_pins", lambda p: ~exact(p) & ~misread(p))
+    rows = rows.withColumn("_here", F.filter("_sheet_pins", lambda p: exact(p) | misread(p))).withColumn("_gone", F.filter("_sheet_pins", lambda p: ~exact(p) & ~misread(p)))
+    gone = F.col("_gone")
     status = F.when(F.size(gone) > 0, F.when(near & (F.size("_pins") == 0), "warn").otherwise("fail")).when(F.exists("_sheet_pins", lambda p: ~exact(p)), "warn").otherwise("pass")
     some_pin = F.size("_sheet_pins") > 0
     found = F.when(F.size("_pins") > 0, F.array_join(F.slice("_pins", 1, 3), ", ")).otherwise("No pincode found on the label")
     pins = F.when(some_pin, check("Pincode matches the sheet", status, F.array_join("_sheet_pins", ", "), F.when(status != "pass", found)))
-    checked = F.when(some_pin, F.filter("_sheet_pins", lambda p: exact(p) | misread(p))).otherwise(F.col("_pins"))
+    checked = F.when(some_pin, F.col("_here")).otherwise(F.col("_pins"))
     dotted = lambda p: F.regexp_like(F.col("flat"), F.concat(F.array_join(F.split(p, ""), "[ -]?"), F.lit(r"\s*\.")))
     stop = F.when(F.size(checked) == 0, check("Full stop after pincode", "warn", F.lit("PINCODE."), F.lit("No pincode found on label"), sop=True)).otherwise(check("Full stop after pincode", F.when(F.exists(checked, lambda p: ~dotted(p)), "fail").otherwise("pass"), F.lit("PINCODE."), sop=True))
-    joined = F.regexp_replace("flat", r"\s+", "")
-    no_lic = F.exists("_sheet_lic", lambda x: ~F.contains(joined, x))
+    rows = rows.withColumn("_joined", F.regexp_replace("flat", r"\s+", "")).withColumn("_no_lic", F.exists("_sheet_lic", lambda x: ~F.contains(F.col("_joined"), x)))
+    no_lic = F.col("_no_lic")
     close = F.exists("_lic", lambda p: F.exists("_sheet_lic", lambda s: F.aggregate(F.sequence(F.lit(1), F.lit(14)), F.lit(0), lambda a, i: a + (F.substring(p, i, F.lit(1)) != F.substring(s, i, F.lit(1))).cast("int")) <= 2))
     lic = F.when(F.size("_sheet_lic") > 0, check("FSSAI licence number matches the sheet", F.when(~no_lic, "pass").when(near & ((F.size("_lic") == 0) | close), "warn").otherwise("fail"), F.array_join("_sheet_lic", ", "), F.when(no_lic, F.when(F.size("_lic") > 0, F.array_join(F.slice("_lic", 1, 3), ", ")).otherwise("No licence number found on the label"))))
-    bad = F.filter("_lic_hits", lambda d: F.length(d) != 14)
+    rows = rows.withColumn("_bad", F.filter("_lic_hits", lambda d: F.length(d) != 14))
+    bad = F.col("_bad")
     form = F.when(F.size("_lic_hits") > 0, check("FSSAI licence number is 14 digits", F.when(F.size(bad) > 0, "fail").otherwise("pass"), None, F.when(F.size(bad) > 0, F.array_join(bad, ", "))))
     maker = F.col("flat").rlike(rf"(?i){_START}(manufactured|marketed|packed)\s+(?:&\s*marketed\s+)?by{_END}|{_START}fssai{_END}")
-    present = F.exists("_names", lambda n: _printed(normalize(n))) | F.exists("_sheet_pins", lambda p: exact(p) | misread(p)) | (F.size("_lic_hits") > 0) | maker
+    present = (F.size("_names") > F.size("_unprinted")) | (F.size("_here") > 0) | (F.size("_lic_hits") > 0) | maker
     out = F.when(present, _listed(names, pins, stop, lic, form)).otherwise(F.array(check("Addresses", "skip")))
-    return rows.withColumn("step10", out).drop("_names", "_sheet_pins", "_pins", "_spelled", "_sheet_lic", "_lic", "_lic_hits")
+    return rows.withColumn("step10", out).drop("_names", "_sheet_pins", "_pins", "_spelled", "_sheet_lic", "_lic", "_lic_hits", "_plain", "_unprinted", "_here", "_gone", "_joined", "_no_lic", "_bad")
 
 
 def take_licence(raw: Column) -> Column:

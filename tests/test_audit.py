@@ -212,7 +212,7 @@ def plan_of(query):
     return run
 
 
-@pytest.mark.parametrize("query", ["q75_weight_checks"])
+@pytest.mark.parametrize("query", ["q75_weight_checks", "q78_address_checks"])
 def test_checks_run_outside_of_lambdas(spark, query):
     assert "filter(array(" not in plan_of(query)(spark)
 
@@ -220,3 +220,8 @@ def test_checks_run_outside_of_lambdas(spark, query):
 def test_only_nutrients_of_the_sheet_are_looked_up(spark):
     plan = plan_of("q77_nutrition_checks")(spark)
     assert "exists(cells" not in plan and plan.count("filter(cells") <= len(audit.NUTRIENTS) + 1
+
+
+def test_names_of_an_address_are_normalised_once(spark):
+    plan = plan_of("q78_address_checks")(spark)
+    assert plan.count("AS _plain#") == plan.count("AS _unprinted#") == plan.count("AS _here#") == 1
