@@ -80,3 +80,12 @@ def test_very_long_text_extra_columns_and_empty_table(spark):
     assert suffix_dedup.digests(docs.limit(0)).collect() == []
     with pytest.raises(ValueError, match="least"):
         suffix_dedup.without_repeats(docs, 20)
+
+
+def test_positions_travel_as_steps():
+    for values in ([], [7], [0, 5, 5, 90_000], [-3, suffix_dedup.LAST, -(2**63), 4]):
+        assert suffix_dedup._unpacked_steps(suffix_dedup._packed_steps(np.array(values, np.int64))).tolist() == values
+    starts = np.cumsum(np.random.default_rng(1).integers(1, 9000, 400))
+    assert len(suffix_dedup._packed_steps(starts)) < 2.1 * len(starts)
+    marks = np.sort(np.random.default_rng(2).integers(0, 1 << 32, 3500))
+    assert len(suffix_dedup._packed_steps(marks)) < 3 * len(marks)
