@@ -104,35 +104,80 @@ def _earlier(docs: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
     return np.where((common >= least) & (at >= 0), common, 0)
 
 
+def _suffix_order(words: np.ndarray, starts: np.ndarray, steps: list[int]) -> np.ndarray:
+    """The places of the starts by their first bytes: sorted by the first word, then what is still equal by the next one."""
+    order = np.argsort(words[starts])
+    todo = np.arange(len(starts))
+    w = words[starts[order]]
+    for k in steps[1:]:
+        equal = np.r_[False, w[1:] == w[:-1]]
+        if k > steps[1]:
+            equal &= np.r_[False, group[1:] == group[:-1]]
+        tied = equal | np.r_[equal[1:], False]
+        group = (np.cumsum(~equal) - 1)[tied]
+        todo = todo[tied]
+        if not len(todo):
+            break
+        own = order[todo]
+        w = words[starts[own] + k]
+        by = np.argsort(w)
+        by = by[np.argsort(group[by], kind="stable")]
+        order[todo], w = own[by], w[by]
+    return order
+
+
 def longest_previous_factors(data: np.ndarray, starts: np.ndarray, docs: np.ndarray, least: int = LEAST) -> np.ndarray:
     """For each start, the length of the longest string there, up to ``least``, that a smaller doc has at one of the starts; shorter ones count 0.
 
     From every start at least ``least`` bytes of data follow. The starts are put in suffix order by their first ``least``
-    bytes; the previous and the next smaller doc in that order give the longest earlier match.
+    bytes; the previous and the next smaller doc in that order give the longest earlier match. Starts with equal strings,
+    brought together by a hash and compared byte by byte, are put in order as one.
     """
     out = np.zeros(len(starts), np.int64)
     if not len(starts):
         return out
-    words = np.ndarray(len(data) - 7, ">u8", data, strides=(1,)) if len(data) >= 8 else None
+    words = np.ndarray(len(data) - 7, ">u8", data, strides=(1,)).astype(np.uint64)
     steps = [*range(0, least - 7, 8), *([least - 8] if least % 8 else [])]
     h = np.zeros(len(starts), np.uint64)
     for k in steps:
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(_ODD + 2 * k) + words[starts + k].astype(np.uint64)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(_ODD + 2 * k)
+        h += words[starts + k]
     order = np.argsort(h)
-    first = np.r_[True, h[order][1:] != h[order][:-1]]
+    h = h[order]
+    first = np.r_[True, h[1:] != h[:-1]]
     heads = np.flatnonzero(first)
-    low, high = np.minimum.reduceat(docs[order], heads), np.maximum.reduceat(docs[order], heads)
-    own = order[(low < high)[np.cumsum(first) - 1]]  # the others have no partner in another doc
+    # documents by their rank: a start mostly has that of the start before it
+    runs = np.r_[True, docs[1:] != docs[:-1]]
+    doc = np.unique(docs[runs], return_inverse=True)[1][np.cumsum(runs) - 1]
+    sorted_doc = doc[order]
+    low, high = np.minimum.reduceat(sorted_doc, heads), np.maximum.reduceat(sorted_doc, heads)
+    some = np.repeat(low < high, np.diff(np.r_[heads, len(order)]))  # the others have no partner in another doc
+    own, first, doc = order[some], first[some], sorted_doc[some]
     if not len(own):
         return out
-    del h, order, first
-    sa = own[np.lexsort([docs[own], *(words[starts[own] + k].astype(np.uint64) for k in reversed(steps))])]
-    lcp, same = np.zeros(len(sa), np.int64), np.ones(len(sa) - 1, bool)
+    del h, order, some, sorted_doc
+    at, differ = starts[own], np.zeros(len(own) - 1, bool)
+    for k in steps:
+        w = words[at + k]
+        differ |= w[1:] != w[:-1]
+    if (differ & ~first[1:]).any():  # unlike strings with one hash: each start is put in order by itself
+        first = np.ones(len(own), bool)
+    reps = at[first]
+    by = _suffix_order(words, reps, steps)
+    rank = np.empty(len(reps), np.int64)
+    rank[by] = np.arange(len(reps))
+    rank = rank[np.cumsum(first) - 1]
+    place = np.argsort(rank * len(docs) + doc)
+    sa, rank, reps = own[place], rank[place], reps[by]
+    equal = np.ones(len(reps) - 1, bool)
     for k in steps:
-        w = words[starts[sa] + k]
-        same &= w[1:] == w[:-1]
-    lcp[1:][same] = least
-    before, after = _earlier(docs[sa], lcp, least), _earlier(docs[sa][::-1], np.r_[0, lcp[:0:-1]], least)[::-1]
+        w = words[reps + k]
+        equal &= w[1:] == w[:-1]
+    lcp = np.where(np.r_[True, rank[1:] == rank[:-1]] | np.r_[False, equal][rank], least, 0)
+    lcp[0] = 0
+    doc = doc[place]
+    before, after = _earlier(doc, lcp, least), _earlier(doc[::-1], np.r_[0, lcp[:0:-1]], least)[::-1]
     out[sa] = np.maximum(before, after)
     return out
 

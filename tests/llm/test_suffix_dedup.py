@@ -89,3 +89,24 @@ def test_positions_travel_as_steps():
     assert len(suffix_dedup._packed_steps(starts)) < 2.1 * len(starts)
     marks = np.sort(np.random.default_rng(2).integers(0, 1 << 32, 3500))
     assert len(suffix_dedup._packed_steps(marks)) < 3 * len(marks)
+
+
+def test_equal_strings_are_put_in_order_once(monkeypatch):
+    put, order = [], suffix_dedup._suffix_order
+    monkeypatch.setattr(suffix_dedup, "_suffix_order", lambda words, starts, steps: put.append(len(starts)) or order(words, starts, steps))
+    rng = np.random.default_rng(4)
+    a, b, c = (rng.integers(97, 123, LEAST, np.uint8) for _ in range(3))
+    b[:20] = a[:20]
+    data = np.concatenate([b, *[a] * 40, b, c])
+    got = longest_previous_factors(data, np.arange(43) * LEAST, np.array([3, *[5] * 20, *[4] * 20, 9, 1]))
+    assert got.tolist() == [0, *[LEAST] * 20, *[0] * 20, LEAST, 0]
+    assert put == [2]  # before, all 42 starts with a partner were sorted
+
+
+def test_unlike_strings_with_one_hash_are_told_apart():
+    a = np.random.default_rng(6).integers(0, 256, LEAST, np.uint8)
+    x, y = (int.from_bytes(a[k : k + 8].tobytes(), "big") for k in (0, 8))
+    mixed = lambda v: (v ^ (v >> 29)) * (suffix_dedup._ODD + 16)
+    b = np.concatenate([np.frombuffer(v.to_bytes(8, "big"), np.uint8) for v in (x ^ 1, (y + mixed(x) - mixed(x ^ 1)) % 2**64)] + [a[16:]])
+    got = longest_previous_factors(np.concatenate([a, b, b, a]), np.arange(4) * LEAST, np.array([1, 2, 3, 4]))
+    assert got.tolist() == [0, 0, LEAST, LEAST]
