@@ -21,14 +21,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.common import cut_lineage, text_slices, utf8
+from larder.llm.suffix_dedup import _packed, _packed_steps, _ramp, _unpacked, _unpacked_steps
 
 ORDER, SYMBOLS = 4, 48
 #: Words in the n-grams that are counted and joined.
@@ -37,6 +41,15 @@ LOW, HIGH = 0.001, 0.995
 #: A document is only rejected beyond the quantiles by this factor; texts of few symbols vary more.
 SLACK = 1.02
 MIN_TRUSTED = 30
+#: Rows of the count tables that are packed at once.
+FACT_ROWS = 1_000_000
+
+
+class Sizes(NamedTuple):
+    """Text bytes of a block, whose n-grams are asked for together, and of a shard of the count tables."""
+
+    block: int = 4_000_000
+    shard: int = 16_000_000
 
 
 def _classes() -> np.ndarray:
@@ -218,59 +231,195 @@ def _in_parts(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.Record
         yield rows.slice(at, 50_000)
 
 
-def document_sums(docs: DataFrame, log_p: np.ndarray) -> DataFrame:
-    """doc_id, lang, n_symbols, key (of the text) and loose, the log probability of the spaces before its first word."""
-    shared = docs.sparkSession.sparkContext.broadcast(log_p)  # SYMBOLS ** ORDER numbers
+_BLOCK = "block bigint, ids array<{}>, langs array<string>, sizes array<bigint>, data binary, n bigint"
+_ASKED = "shard bigint, block bigint, " + ", ".join(f"k{n} binary" for n in range(1, WORD_ORDER + 1))
+_FACTS = "shard bigint, kind int, keys binary, x binary, y binary"
+#: What a block is told of its n-grams: how often a trigram, bigram and word is counted, and the total and the held-back part of contexts of one and two words.
+_TOLD = ("c3", "c2", "total2", "held2", "c1", "total1", "held1")
+_REPLY = "shard bigint, block bigint, " + ", ".join(f"{n} binary" for n in _TOLD)
+COUNT, CONTEXT = 0, 1
+
+
+def _blocks(docs: DataFrame, size: int) -> DataFrame:
+    """Rows of whole texts, about ``size`` bytes together, end to end; written once, so that a block keeps its number."""
+    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = TaskContext.get().partitionId() << 32
         for b in batches:
-            sizes, keys, loose = [], [], []
-            for i, j in text_slices(b.column(2)):
-                data, offsets = utf8(b.column(2).slice(i, j - i))
-                doc, starts, _ = words_of(data, offsets)
-                first = offsets[1:].copy()
-                np.minimum.at(first, doc, starts)
-                led = np.repeat(np.arange(len(first)), first - offsets[:-1])
-                at = np.arange(len(led)) - np.repeat(np.cumsum(first - offsets[:-1]) - (first - offsets[:-1]), first - offsets[:-1]) + offsets[led] if len(led) else led
-                own = np.zeros(len(first))
-                if len(led):
-                    np.add.at(own, led, shared.value[symbol_codes(data, offsets)[at]])
-                sizes.append(np.diff(offsets))
-                keys.append(_text_keys(data, offsets))
-                loose.append(own)
-            if sizes:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(loose))], ["doc_id", "lang", "n_symbols", "key", "loose"])
+            for lo, hi in text_slices(b.column("text"), size):
+                data, offsets = utf8(b.column("text").slice(lo, hi - lo))
+                lists = [pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), b.column(c).slice(lo, hi - lo)) for c in ("doc_id", "lang")]
+                yield pa.RecordBatch.from_arrays([pa.array([k]), *lists, pa.array([np.diff(offsets)], pa.list_(pa.int64())), pa.array([_packed(data)], pa.binary()), pa.array([len(data)])], ["block", "ids", "langs", "sizes", "data", "n"])
+                k += 1
 
     lean = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
-    return lean.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, n_symbols bigint, key bigint, loose double")
+    return cut_lineage(lean.mapInArrow(run, _BLOCK.format(kind)))
+
+
+def _grams_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Data and offsets of the one block in t; text number, start and words of its trigrams, as the other fold has them."""
+    data = _unpacked(t.column("data")[0].as_py())
+    offsets = np.concatenate(([0], np.cumsum(t.column("sizes")[0].values.to_numpy(zero_copy_only=False)))).astype(np.int64)
+    return data, offsets, *word_grams(data, offsets, np.uint64(1) - (_text_keys(data, offsets) >> np.uint64(63)))
+
+
+def _keys(words: list[np.ndarray]) -> np.ndarray:
+    """A hash of n-grams."""
+    h = np.zeros(len(words[0]), np.uint64)
+    for w in words:
+        h = _mix(h + w)
+    return h
+
+
+def _cuts(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard's part of sorted keys begins and ends; a shard has a range of the keys."""
+    edges = np.array([min(-(-(k << 64) // shards), (1 << 64) - 1) for k in range(shards)], np.uint64)
+    return np.append(np.searchsorted(keys, edges), len(keys))
+
+
+def _packed_columns(values: np.ndarray) -> bytes:
+    """64-bit values, their first bytes first, then their second ones, and so on."""
+    return _packed(values.view("u1").reshape(-1, 8).T)
+
+
+def _unpacked_columns(blob: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(_unpacked(blob).reshape(8, -1).T).view(kind).ravel()
 
 
-def document_grams(docs: DataFrame, log_p: np.ndarray) -> DataFrame:
-    """(key, w1, w2, w3, n, spelt): the distinct trigrams of each text, as the other fold has them, with the log probability of the last word's spelling and the spaces behind it."""
-    shared = docs.sparkSession.sparkContext.broadcast(log_p)  # SYMBOLS ** ORDER numbers
+def _asked(blocks: DataFrame, shards: int) -> DataFrame:
+    """The n-grams of each block, once each, for the shards that have their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j in text_slices(b.column(0)):
-                data, offsets = utf8(b.column(0).slice(i, j - i))
-                if not len(data):
-                    continue
-                keys = _text_keys(data, offsets)
-                doc, starts, grams = word_grams(data, offsets, np.uint64(1) - (keys >> np.uint64(63)))
-                if not len(doc):
-                    continue
-                total = np.concatenate(([0.0], np.cumsum(shared.value[symbol_codes(data, offsets)], dtype=np.float64)))
-                until = np.minimum(np.append(starts[1:], len(data)), offsets[doc + 1])
-                spelt = (total[until] - total[starts]).astype(np.float32)
-                same = _mix(_mix(_mix(_mix(grams[0]) + grams[1]) + grams[2]) + _mix(keys[doc]) + spelt.view(np.uint32))
-                _, first, counts = np.unique(same, return_index=True, return_counts=True)
-                yield from _in_parts([keys[doc[first]].view(np.int64), *(g[first].view(np.int64) for g in grams), counts.astype(np.int32), spelt[first]], ["key", "w1", "w2", "w3", "n", "spelt"])
+            for i in range(b.num_rows):
+                t = pa.Table.from_batches([b.slice(i, 1)])
+                grams = _grams_of(t)[4]
+                keys = [np.unique(_keys(grams[WORD_ORDER - n :])) for n in range(1, WORD_ORDER + 1)]
+                # a context that no trigram ends with stands at the beginning of a text
+                keys[1] = np.union1d(keys[1], _keys(grams[:2]))
+                keys[0] = np.union1d(keys[0], _keys(grams[1:2]))
+                cuts = [_cuts(k, shards) for k in keys]
+                parts = [[_packed_steps(k[x:y].view(np.int64)) for x, y in zip(c, c[1:], strict=False)] for k, c in zip(keys, cuts, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int64()), pa.array([t.column("block")[0].as_py()] * shards, pa.int64()), *(pa.array(x, pa.binary()) for x in parts)], ["shard", "block", "k1", "k2", "k3"])
+
+    return blocks.select("block", "sizes", "data").mapInArrow(run, _ASKED)
+
 
-    return docs.select("text").mapInArrow(run, "key bigint, w1 bigint, w2 bigint, w3 bigint, n int, spelt float")
+def _facts(tables: list[tuple[int, int, DataFrame]], shards: int) -> DataFrame:
+    """The tables' rows, packed by shard; a table is one of counts (x) or of contexts (total x, held back y) of n words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+
+        def sent(kind: int) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held.pop(kind))
+            words = [rows.column(f"a{k}").to_numpy().view(np.uint64) for k in range(kind // 2)]
+            keys = _keys(words)
+            order = np.argsort(keys)
+            keys, x, y = keys[order], rows.column("x").to_numpy()[order], rows.column("y").to_numpy()[order]
+            cuts = _cuts(keys, shards)
+            for shard in np.flatnonzero(np.diff(cuts)):
+                own = slice(cuts[shard], cuts[shard + 1])
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([kind], pa.int32()), *(pa.array([v], pa.binary()) for v in (_packed_steps(keys[own].view(np.int64)), _packed_columns(x[own]), _packed_columns(y[own])))], ["shard", "kind", "keys", "x", "y"])
 
-def shares(grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """(w1, w2, w3, own, base): a trigram's probability is own + base * the probability of its last word's spelling."""
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kind = b.column(0)[0].as_py()
+            held.setdefault(kind, []).append(b)
+            if sum(x.num_rows for x in held[kind]) >= FACT_ROWS:
+                yield from sent(kind)
+        for kind in list(held):
+            yield from sent(kind)
+
+    out = []
+    for n, what, t in tables:
+        words = [F.col(c) for c in t.columns[:n]]
+        x, y = (F.col("c"), F.lit(0.0)) if what == COUNT else (F.col("total"), F.col("held"))
+        lean = t.select(F.lit(2 * n + what).alias("kind"), *(w.alias(f"a{k}") for k, w in enumerate(words)), x.cast("bigint").alias("x"), y.cast("double").alias("y"))
+        out.append(lean.mapInArrow(run, _FACTS))
+    return reduce(DataFrame.unionAll, out)
+
+
+def _replies(asked: DataFrame, facts: DataFrame) -> DataFrame:
+    """For each of the n-grams that a block asks a shard for, in that order, what the tables have of them."""
+    kinds = {"c3": (3, COUNT, "x"), "c2": (2, COUNT, "x"), "total2": (2, CONTEXT, "x"), "held2": (2, CONTEXT, "y"), "c1": (1, COUNT, "x"), "total1": (1, CONTEXT, "x"), "held1": (1, CONTEXT, "y")}
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        tables = {}
+        for kind in {2 * n + what for n, what, _ in kinds.values()}:
+            own = [x for x in right.to_pylist() if x["kind"] == kind]
+            keys = np.concatenate([np.zeros(0, np.uint64), *(_unpacked_steps(x["keys"]).view(np.uint64) for x in own)])
+            order = np.argsort(keys)
+            tables[kind] = keys[order], {c: np.concatenate([np.zeros(0, t), *(_unpacked_columns(x[c], t) for x in own)])[order] for c, t in (("x", "<i8"), ("y", "<f8"))}
+        rows = []
+        for a in left.to_pylist():
+            row = {"shard": a["shard"], "block": a["block"]}
+            asked_ = {n: _unpacked_steps(a[f"k{n}"]).view(np.uint64) for n in range(1, WORD_ORDER + 1)}
+            for name, (n, what, c) in kinds.items():
+                keys, values = tables[2 * n + what]
+                out = np.zeros(len(asked_[n]), values[c].dtype)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, asked_[n]), len(keys) - 1)
+                    met = keys[at] == asked_[n]
+                    out[met] = values[c][at[met]]
+                row[name] = _packed_columns(out)
+            rows.append(row)
+        return pa.Table.from_pylist(rows, pa.schema([("shard", pa.int64()), ("block", pa.int64()), *((n, pa.binary()) for n in _TOLD)]))
+
+    return asked.groupBy("shard").cogroup(facts.groupBy("shard")).applyInArrow(run, _REPLY)
+
+
+def _scored(blocks: DataFrame, replies: DataFrame, log_p: np.ndarray, d: dict[int, tuple[float, float, float]], folds: dict[int, tuple[int, float]]) -> DataFrame:
+    """doc_id, lang, n_symbols and logs, the log probability of the text, from what the shards told the blocks."""
+    shared = blocks.sparkSession.sparkContext.broadcast(log_p)  # SYMBOLS ** ORDER numbers
+    kind = dict(blocks.dtypes)["ids"].removeprefix("array<").removesuffix(">")
+
+    def met(c: np.ndarray, n: int, total: np.ndarray) -> np.ndarray:
+        cut = np.array([0.0, *d[n]])[np.minimum(c, 3)]
+        return np.where(c > 0, (c - cut) / np.maximum(total, 1), 0.0)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"doc_id": left.schema.field("ids").type.value_type and pa.array([], left.schema.field("ids").type.value_type), "lang": pa.array([], pa.string()), "n_symbols": pa.array([], pa.int64()), "logs": pa.array([], pa.float64())})
+        data, offsets, doc, starts, grams = _grams_of(left)
+        logs = np.zeros(len(offsets) - 1)
+        first = offsets[1:].copy()
+        np.minimum.at(first, doc, starts)
+        letters = shared.value[symbol_codes(data, offsets)].astype(np.float64)
+        for k in np.flatnonzero(first > offsets[:-1]):  # spaces before the first word
+            logs[k] = letters[offsets[k] : first[k]].sum()
+        if len(doc):
+            told = right.sort_by("shard")
+            got = {n: np.concatenate([_unpacked_columns(x, "<f8" if n.startswith("held") else "<i8") for x in told.column(n).to_pylist()]) for n in _TOLD}
+            k3, k2, c2, k1, c1 = _keys(grams), _keys(grams[1:]), _keys(grams[:2]), _keys(grams[2:]), _keys(grams[1:2])
+            every = {3: np.unique(k3), 2: np.union1d(k2, c2), 1: np.union1d(k1, c1)}
+            at = lambda n, keys: np.searchsorted(every[n], keys)
+            fold = (grams[2] & np.uint64(1)).astype(np.int64)
+            total, held = (np.array([folds.get(f, (0, 0.0))[i] for f in (0, 1)], float)[fold] for i in (0, 1))
+            own = met(got["c1"][at(1, k1)], 1, total)
+            base = np.where(total > 0, held / np.maximum(total, 1), 1.0)
+            for n, key, ctx in ((2, k2, at(1, c1)), (3, k3, at(2, c2))):
+                total, held = got[f"total{n - 1}"][ctx], got[f"held{n - 1}"][ctx]
+                gamma = np.where(total > 0, held / np.maximum(total, 1), 1.0)
+                own, base = met(got[f"c{n}"][at(n, key)], n, total) + gamma * own, gamma * base
+            until = np.minimum(np.append(starts[1:], len(data)), offsets[doc + 1])
+            lead = np.ones(len(data), bool)  # spaces before a first word belong to no word
+            lead[_ramp(starts, until - starts)] = False
+            sums = np.where(lead, 0.0, letters)
+            spelt = np.add.reduceat(sums, starts)
+            with np.errstate(divide="ignore"):
+                word = np.where(own > 0, np.log(own + base * np.exp(spelt)), np.log(base) + spelt)
+            heads = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            logs[doc[heads]] += np.add.reduceat(word, heads)
+        return pa.table({"doc_id": left.column("ids")[0].values, "lang": left.column("langs")[0].values, "n_symbols": pa.array(np.diff(offsets)), "logs": pa.array(logs)})
+
+    return blocks.select("block", "ids", "langs", "sizes", "data").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, f"doc_id {kind}, lang string, n_symbols bigint, logs double")
+
+
+def perplexities(docs: DataFrame, log_p: np.ndarray, counts: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
+    """doc_id, lang, n_symbols and perplexity by byte of every document."""
     levels_ = {WORD_ORDER: counts}
     levels_[2] = cut_lineage(counts.groupBy("w2", "w3").agg(F.count("*").alias("c")))
     levels_[1] = cut_lineage(levels_[2].groupBy("w3").agg(F.count("*").alias("c")))
@@ -279,33 +428,13 @@ def shares(grams: DataFrame, counts: DataFrame) -> DataFrame:
     def contexts(n: int, *keys: Column | str) -> DataFrame:
         return levels_[n].groupBy(*keys).agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"), d[n])).alias("held"))
 
-    def met(n: int) -> Column:
-        return F.when(F.col("c") > 0, (F.col("c") - _discount(F.col("c"), d[n])) / F.col("total")).otherwise(0.0)
-
-    gamma = F.coalesce(F.col("held") / F.col("total"), F.lit(1.0))
-    folds = contexts(1, F.col("w3").bitwiseAND(F.lit(1)).alias("fold"))  # two rows
-    wanted = grams.select("w1", "w2", "w3").distinct()
-    pairs = wanted.select("w2", "w3").distinct()
-    words = pairs.select("w3").distinct().join(levels_[1].hint("merge"), "w3", "left").withColumn("fold", F.col("w3").bitwiseAND(F.lit(1))).join(F.broadcast(folds), "fold", "left")
-    words = words.select("w3", met(1).alias("own1"), gamma.alias("base1"))
-    pairs = pairs.join(levels_[2].hint("merge"), ["w2", "w3"], "left").join(contexts(2, "w2").hint("merge"), "w2", "left")
-    pairs = pairs.select("w2", "w3", met(2).alias("met2"), gamma.alias("gamma2")).join(words.hint("merge"), "w3")
-    pairs = pairs.select("w2", "w3", (F.col("met2") + F.col("gamma2") * F.col("own1")).alias("own2"), (F.col("gamma2") * F.col("base1")).alias("base2"))
-    out = wanted.join(counts.hint("merge"), ["w1", "w2", "w3"], "left").join(contexts(3, "w1", "w2").hint("merge"), ["w1", "w2"], "left")
-    out = out.select("w1", "w2", "w3", met(3).alias("met3"), gamma.alias("gamma3")).join(pairs.hint("merge"), ["w2", "w3"])
-    return out.select("w1", "w2", "w3", (F.col("met3") + F.col("gamma3") * F.col("own2")).alias("own"), (F.col("gamma3") * F.col("base2")).alias("base"))
-
-
-def perplexities(docs: DataFrame, log_p: np.ndarray, counts: DataFrame) -> DataFrame:
-    """doc_id, lang, n_symbols and perplexity by byte of every document."""
-    grams = document_grams(docs, log_p)
-    log_own = F.when(F.col("own") > 0, F.log(F.col("own") + F.col("base") * F.exp(F.col("spelt").cast("double")))).otherwise(F.log("base") + F.col("spelt"))
-    priced = grams.join(shares(grams, counts).hint("merge"), ["w1", "w2", "w3"]).groupBy("key").agg(F.sum(F.col("n") * log_own).alias("logs"))
-    rows = cut_lineage(document_sums(docs, log_p))
-    copies = rows.groupBy("key").agg(F.sum("n_symbols").alias("bytes"), F.sum("loose").alias("loose"))  # equal texts are scored together
-    mean = (F.coalesce("logs", F.lit(0.0)) + F.col("loose")) / F.col("bytes")
-    by_text = copies.filter("bytes > 0").join(priced.hint("merge"), "key", "left").select("key", F.round(F.exp(-mean), 6).alias("perplexity"))
-    return rows.join(by_text.hint("merge"), "key", "left").select("doc_id", "lang", "n_symbols", "perplexity")
+    folds = {r["fold"]: (r["total"], r["held"]) for r in contexts(1, F.col("w3").bitwiseAND(F.lit(1)).alias("fold")).collect()}  # two rows
+    blocks = _blocks(docs, sizes.block)
+    shards = max(1, -(-blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // sizes.shard))
+    tables = [(3, COUNT, counts), (2, COUNT, levels_[2]), (1, COUNT, levels_[1]), (2, CONTEXT, contexts(3, "w1", "w2")), (1, CONTEXT, contexts(2, "w2"))]
+    rows = _scored(blocks, _replies(_asked(blocks, shards), _facts(tables, shards)), log_p, d, folds)
+    perplexity = F.when(F.col("n_symbols") > 0, F.round(F.exp(-F.col("logs") / F.col("n_symbols")), 6))
+    return rows.select("doc_id", "lang", "n_symbols", perplexity.alias("perplexity"))
 
 
 def _quantiles() -> tuple[Column, Column]:

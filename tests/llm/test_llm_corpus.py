@@ -430,6 +430,22 @@ def test_word_model_against_plain_version(spark):
     assert 1 < got[len(texts) - 1] < 1000  # the probability itself is too small for a float
 
 
+def test_word_model_over_many_blocks_and_shards(spark):
+    """Blocks ask shards for each n-gram once, in a few bytes; the shards' number and the blocks' size change nothing."""
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice(["eins", "zwei", "Über", "слово", "ни", "ab"]) for _ in range(rng.randint(1, 30))) for _ in range(40)]
+    frame = spark.createDataFrame([(t,) for t in texts[:25]], "text string")
+    log_p = quality_lm.train(frame)
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, None, "", " \n"])], "doc_id long, text string, lang string").repartition(2)
+    got = [{r["doc_id"]: r["perplexity"] for r in quality_lm.perplexities(docs, log_p, quality_lm.word_counts(frame), sizes).collect()} for sizes in (quality_lm.Sizes(200, 300), quality_lm.Sizes())]
+    assert got[0].keys() == got[1].keys() and got[0][40] is got[0][41] is got[1][40] is None
+    assert all(abs(got[0][i] - got[1][i]) < 2e-6 for i in [*range(40), 42])
+    assert np.allclose([got[0][i] for i in range(40)], plain_word_perplexities(texts, texts[:25], log_p), rtol=1e-4)
+    long = spark.createDataFrame([(1, " ".join(str(rng.randrange(10**6)) for _ in range(20_000)), "en")], "doc_id long, text string, lang string")
+    row = quality_lm._asked(quality_lm._blocks(long, 4_000_000), 1).first()
+    assert sum(len(row[k]) for k in ("k1", "k2", "k3")) < 3 * 7 * 20_000
+
+
 def test_word_order_counts(spark):
     """The same letters and words in another order are less likely; words of one byte class aren't all one."""
     rng = random.Random(13)
