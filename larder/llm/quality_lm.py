@@ -1,9 +1,10 @@
 """Quality by an interpolated modified Kneser-Ney model over words, trained on trusted text.
 
-Words are what stands between spaces, whole and unfolded, told apart by 64-bit hashes. Counts of all trusted
-word trigrams, continuation counts, context totals and discounts are tables in Spark that grow with the corpus;
-none goes to the driver. The distinct trigrams of every document are joined to them by n-gram and context, sharded
-over the cluster, and the logarithms are summed by document. Below the unigrams, a word unknown to the counts has
+Words are what stands between spaces, whole and unfolded, told apart by 64-bit hashes. Texts lie in blocks. Trusted
+blocks send the shards of the n-grams' hashes what they count, and are told which n-grams they are the first to have; so
+trigrams, then bigrams, then words get their counts and contexts, in tables that grow with the corpus; none goes to the
+driver. Then every block asks the shards for each of its n-grams once, and sums the logarithms by document. All messages
+are sorted hashes and numbers, packed. Below the unigrams, a word unknown to the counts has
 the probability of its spelling: an interpolated modified Kneser-Ney model of byte classes (SYMBOLS ** ORDER
 numbers at most, 21 MB), which is the base of the word model, as word counts have none for new words.
 
