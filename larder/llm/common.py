@@ -40,6 +40,41 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of a job in the shared folder that grow by ``add`` and go by ``drop``; within ``with``, shuffle files go when their query ends, and in the end all tables but those ``kept``."""
+
+    _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark, self._names, self.kept = spark, {}, set[str]()
+
+    def __enter__(self) -> Scratch:
+        self._before = self._spark.conf.get(self._CLEANUP, None)
+        self._spark.conf.set(self._CLEANUP, "true")
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for name in set(self._names) - self.kept:
+            self.drop(name)
+        if self._before is None:
+            self._spark.conf.unset(self._CLEANUP)
+        else:
+            self._spark.conf.set(self._CLEANUP, self._before)
+
+    def add(self, name: str, df: DataFrame, key: str | None = None, buckets: int = 1) -> DataFrame:
+        """The table with df's rows added, in buckets by key if there is one: groups of the key are then read without a shuffle."""
+        at = self._names.setdefault(name, uuid.uuid4().hex)
+        writer = df.write.mode("append").format("parquet").option("path", f"{shared_dir(self._spark)}/larder-tables/{at}")
+        (writer.bucketBy(buckets, key) if key else writer).saveAsTable(f"larder_{at}")
+        return self._spark.table(f"larder_{at}")
+
+    def drop(self, name: str) -> None:
+        at = self._names.pop(name)
+        self._spark.sql(f"DROP TABLE larder_{at}")
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(self._spark)}/larder-tables/{at}")
+        path.getFileSystem(self._spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 #: Rows of whole texts that cross to Python at once, where jobs run in ``small_batches``.
 BATCH_ROWS = 1000
 

@@ -1,10 +1,11 @@
 """Quality by an interpolated modified Kneser-Ney model over words, trained on trusted text.
 
 Words are what stands between spaces, whole and unfolded, told apart by 64-bit hashes. Texts lie in blocks. Trusted
-blocks send the shards of the n-grams' hashes what they count, and are told which n-grams they are the first to have; so
-trigrams, then bigrams, then words get their counts and contexts, in tables that grow with the corpus; none goes to the
-driver. Then every block asks the shards for each of its n-grams once, and sums the logarithms by document. All messages
-are sorted hashes and numbers, packed. Below the unigrams, a word unknown to the counts has
+blocks send the shards of the n-grams' hashes what they count, and are told which n-grams are theirs to count; so
+trigrams, then bigrams, then words get their counts and contexts, in a table in buckets that grows with the corpus; none
+goes to the driver. Then every block asks the shards for each of its n-grams once, and sums the logarithms by document. All
+messages are sorted hashes and numbers, packed. Texts are scored in rounds, each a part of them; its blocks and messages
+go before the next round begins, so that the disk holds the counts and the messages of one round. Below the unigrams, a word unknown to the counts has
 the probability of its spelling: an interpolated modified Kneser-Ney model of byte classes (SYMBOLS ** ORDER
 numbers at most, 21 MB), which is the base of the word model, as word counts have none for new words.
 
@@ -22,7 +23,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -30,10 +30,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut_lineage, text_slices, utf8
+from larder.llm.common import Scratch, cut_lineage, text_slices, utf8
 from larder.llm.suffix_dedup import _packed, _packed_steps, _ramp, _unpacked, _unpacked_steps
 
 ORDER, SYMBOLS = 4, 48
@@ -46,10 +47,17 @@ MIN_TRUSTED = 30
 
 
 class Sizes(NamedTuple):
-    """Text bytes of a block, whose n-grams are asked for together, and of a shard of the count tables."""
+    """Text bytes of a block, whose n-grams are asked for together, and of a shard of the count tables; text bytes from which there is another round of scoring, and the most rounds."""
 
     block: int = 4_000_000
     shard: int = 16_000_000
+    round: int = 12_000_000
+    rounds: int = 12
+
+
+#: Rounds in which shards are sent the n-grams of trusted texts, by their number of words.
+PARTS = {3: 2, 2: 2, 1: 1}
+MOST_BUCKETS = 10_000
 
 
 def _classes() -> np.ndarray:
@@ -75,13 +83,13 @@ def symbol_codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The ORDER-gram code that ends at each byte of texts that lie end to end."""
     pad = ORDER - 1
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    at = np.arange(len(data)) + pad * (doc + 1)
-    padded = np.zeros(len(data) + pad * (len(offsets) - 1), np.uint8)
-    padded[at] = CLASS[data]
-    code = np.zeros(len(data), np.int64)
-    for k in range(pad, -1, -1):
-        code = code * SYMBOLS + padded[at - k]
-    return code
+    at = np.arange(len(data)) + pad * doc
+    padded = np.zeros(len(data) + pad * len(offsets), np.uint8)
+    padded[at + pad] = CLASS[data]
+    code = np.zeros(len(padded) - pad, np.int32)  # also of the places between texts
+    for k in range(ORDER):
+        code = code * np.int32(SYMBOLS) + padded[k : len(code) + k]
+    return code[at]
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
@@ -214,7 +222,7 @@ def _text_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """The trusted texts in blocks, from which ``perplexities`` makes the counts of their word trigrams, by fold and shard by shard."""
-    return _blocks(texts.select(F.lit(0).alias("doc_id"), F.lit("").alias("lang"), "text"), Sizes().block)
+    return cut_lineage(_blocks(texts.select(F.lit(0).alias("doc_id"), F.lit("").alias("lang"), "text"), Sizes().block))
 
 
 _BLOCK = "block bigint, ids array<{}>, langs array<string>, sizes array<bigint>, data binary, n bigint"
@@ -226,12 +234,12 @@ _REPLY = "shard bigint, block bigint, " + ", ".join(f"r{n} binary" for n in rang
 _COLUMNS = {3: 1, 2: 5, 1: 5}
 
 
-def _blocks(docs: DataFrame, size: int) -> DataFrame:
-    """Rows of whole texts, about ``size`` bytes together, end to end; written once, so that a block keeps its number."""
+def _blocks(docs: DataFrame, size: int, turn: int = 0) -> DataFrame:
+    """Rows of whole texts, about ``size`` bytes together, end to end; to be written once, so that a block keeps its number, of which ``turn`` is part."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = TaskContext.get().partitionId() << 32
+        k = (turn << 52) + (TaskContext.get().partitionId() << 32)
         for b in batches:
             for lo, hi in text_slices(b.column("text"), size):
                 data, offsets = utf8(b.column("text").slice(lo, hi - lo))
@@ -240,7 +248,36 @@ def _blocks(docs: DataFrame, size: int) -> DataFrame:
                 k += 1
 
     lean = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
-    return cut_lineage(lean.mapInArrow(run, _BLOCK.format(kind)))
+    return lean.mapInArrow(run, _BLOCK.format(kind))
+
+
+def _turns(docs: DataFrame, turns: int) -> list[DataFrame]:
+    """docs in so many parts, by a hash."""
+    return [docs] if turns == 1 else [docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(turns)) == k) for k in range(turns)]
+
+
+def _rounds(n: int, sizes: Sizes) -> int:
+    return max(1, min(sizes.rounds, -(-n // sizes.round)))
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """As np.unique, which for 64-bit numbers in no order takes many times as long."""
+    return (keys := np.sort(keys))[_heads(keys)]
+
+
+def _heads(keys: np.ndarray) -> np.ndarray:
+    out = np.ones(len(keys), bool)
+    out[1:] = keys[1:] != keys[:-1]
+    return out
+
+
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, a place of each, and which of them is at each place."""
+    order = np.argsort(keys)
+    head = _heads(keys[order])
+    of = np.empty(len(keys), np.int64)
+    of[order] = np.cumsum(head) - 1
+    return keys[order[head]], order[head], of
 
 
 def _grams_of(t: pa.Table, other: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -261,23 +298,6 @@ def _texts(blocks: DataFrame) -> DataFrame:
     return blocks.select("data", "sizes").mapInArrow(run, "text string")
 
 
-def _chosen(blocks: DataFrame, ids: DataFrame) -> DataFrame:
-    """The blocks with those texts only whose doc_id is among ids."""
-    at = blocks.select(F.col("block").alias("of"), F.posexplode("ids").alias("at", "doc_id")).join(ids.hint("merge"), "doc_id", "left_semi").groupBy("of").agg(F.collect_list("at").alias("at"))
-    schema = ", ".join(f"{c} {t}" for c, t in blocks.dtypes)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return left.slice(0, 0)
-        data, sizes = _unpacked(left.column("data")[0].as_py()), left.column("sizes")[0].values.to_numpy(zero_copy_only=False)
-        own = np.sort(right.column("at")[0].values.to_numpy(zero_copy_only=False))
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), left.column(c)[0].values.take(pa.array(own))) for c in ("ids", "langs")]
-        data, sizes = data[_ramp((np.cumsum(sizes) - sizes)[own], sizes[own])], sizes[own]
-        return pa.table({"block": left.column("block"), "ids": lists[0], "langs": lists[1], "sizes": pa.array([sizes], pa.list_(pa.int64())), "data": pa.array([_packed(data)], pa.binary()), "n": pa.array([len(data)])})
-
-    return cut_lineage(blocks.groupBy("block").cogroup(at.groupBy("of")).applyInArrow(run, schema))
-
-
 def _keys(words: list[np.ndarray]) -> np.ndarray:
     """A hash of n-grams; its lowest bit is the fold."""
     h = np.zeros(len(words[0]), np.uint64)
@@ -309,10 +329,8 @@ def _asked(blocks: DataFrame, shards: int) -> DataFrame:
             for i in range(b.num_rows):
                 t = pa.Table.from_batches([b.slice(i, 1)])
                 grams = _grams_of(t)[4]
-                keys = [np.unique(_keys(grams[WORD_ORDER - n :])) for n in range(1, WORD_ORDER + 1)]
                 # a context that no trigram ends with stands at the beginning of a text
-                keys[1] = np.union1d(keys[1], _keys(grams[:2]))
-                keys[0] = np.union1d(keys[0], _keys(grams[1:2]))
+                keys = [_distinct(np.concatenate([_keys(x) for x in own])) for own in ((grams[2:], grams[1:2]), (grams[1:], grams[:2]), (grams,))]
                 cuts = [_cuts(k, shards) for k in keys]
                 parts = [[_packed_steps(k[x:y].view(np.int64)) for x, y in zip(c, c[1:], strict=False)] for k, c in zip(keys, cuts, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int64()), pa.array([t.column("block")[0].as_py()] * shards, pa.int64()), *(pa.array(x, pa.binary()) for x in parts)], ["shard", "block", "k1", "k2", "k3"])
@@ -320,21 +338,21 @@ def _asked(blocks: DataFrame, shards: int) -> DataFrame:
     return blocks.select("block", "sizes", "data").mapInArrow(run, _ASKED)
 
 
-def _sent(block: int, keys: np.ndarray, columns: np.ndarray, shards: int) -> pa.Table:
-    """Sorted keys and their columns, packed by shard."""
+def _sent(block: int, keys: np.ndarray, columns: np.ndarray, shards: int, part: int, parts: int) -> pa.Table:
+    """Sorted keys and their columns, packed by shard; of the shards only one part of all parts."""
     cuts = _cuts(keys, shards)
-    at = [(k, slice(cuts[k], cuts[k + 1])) for k in np.flatnonzero(np.diff(cuts))]
+    at = [(k, slice(cuts[k], cuts[k + 1])) for k in np.flatnonzero(np.diff(cuts)) if k % parts == part]
     return pa.table({"shard": pa.array([k for k, _ in at], pa.int64()), "block": pa.array([block] * len(at), pa.int64()), "keys": pa.array([_packed_steps(keys[own].view(np.int64)) for _, own in at], pa.binary()), "columns": pa.array([_packed_columns(columns[:, own]) for _, own in at], pa.binary())})
 
 
 def _summed(sent: DataFrame, n: int) -> DataFrame:
-    """What the blocks sent of n-grams, summed by shard (rows without block; ``met`` has, by fold, how many n-grams are counted 1, 2, 3, 4 times and at all, and the sum of counts); for each block, twice the sum of its n-grams' counts, plus one where it is the first that has them."""
+    """What the blocks sent of n-grams, summed by shard (rows without block; ``met`` has, by fold, how many n-grams are counted 1, 2, 3, 4 times and at all, and the sum of counts); for each block, twice the sum of its n-grams' counts, plus one in one block of those that have them."""
 
     def run(t: pa.Table) -> pa.Table:
         own = [(x["block"], _unpacked_steps(x["keys"]).view(np.uint64), _unpacked_columns(x["columns"], "<i8")) for x in t.sort_by("block").to_pylist()]
         shard, every = t.column("shard")[0].as_py(), np.concatenate([k for _, k, _ in own])
-        order = np.argsort(every, kind="stable")
-        first = np.r_[True, every[order][1:] != every[order][:-1]]
+        order = np.argsort(every)
+        first = _heads(every[order])
         columns = np.add.reduceat(np.concatenate([c.reshape(_COLUMNS[n], -1) for _, _, c in own], 1)[:, order], np.flatnonzero(first), axis=1)
         keys, c = every[order[first]], columns[0]
         met = [int(x) for f in (0, 1) for own_c in [c[(keys & np.uint64(1)) == f]] for x in (*((own_c == k).sum() for k in range(1, 5)), (own_c > 0).sum(), own_c.sum())]
@@ -345,29 +363,27 @@ def _summed(sent: DataFrame, n: int) -> DataFrame:
             rows += [{"shard": shard, "block": b, "n": n, "columns": _packed_columns(x)} for (b, _, _), x in zip(own, np.split(told, np.cumsum([len(k) for _, k, _ in own])[:-1]), strict=True)]
         return pa.Table.from_pylist(rows, pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("columns", pa.binary()), ("met", pa.list_(pa.int64()))]))
 
-    return cut_lineage(sent.groupBy("shard").applyInArrow(run, _SUMMED))
+    return sent.groupBy("shard").applyInArrow(run, _SUMMED)
 
 
 def _added(counted: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The columns of n-grams of which ``counted`` occur once each, and of ``contexts`` that are followed by something counted so often; also where each is in both together."""
-    every, first, of = np.unique(np.concatenate([counted, contexts]), return_index=True, return_inverse=True)
-    out = np.zeros((5, len(every)), np.int64)
-    np.add.at(out[0], of[: len(counted)], 1)
-    ctx = of[len(counted) :]
-    np.add.at(out[1], ctx, counts)
-    for k in (1, 2, 3):
-        np.add.at(out[1 + k], ctx, np.minimum(counts, 3) == k)
-    return every, out, first
+    every, first, of = _grouped(np.concatenate([counted, contexts]))
+    ctx, sums = of[len(counted) :], lambda at, *weights: np.bincount(at, *weights, minlength=len(every))
+    followed = [ctx[np.minimum(counts, 3) == k] for k in (1, 2, 3)]
+    out = np.stack([sums(of[: len(counted)]), sums(ctx, counts), *map(sums, followed)])
+    return every, out.astype(np.int64), first
 
 
-def _lower(trusted: DataFrame, replies: DataFrame, n: int, shards: int) -> DataFrame:
-    """The n-grams that end or begin those of n + 1 words, of which each is counted by the first block that has it."""
+def _lower(trusted: DataFrame, replies: DataFrame, n: int, shards: int, part: int) -> DataFrame:
+    """The n-grams that end or begin those of n + 1 words, of which each is counted by one block that has it."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return _sent(0, np.zeros(0, np.uint64), np.zeros((5, 0), np.int64), shards)
+            return _sent(0, np.zeros(0, np.uint64), np.zeros((5, 0), np.int64), shards, 0, 1)
         words = _grams_of(left, other=False)[4]
-        words = [w[np.unique(_keys(words), return_index=True)[1]] for w in words]
+        own = _grouped(_keys(words))[1]
+        words = [w[own] for w in words]
         right = right.sort_by("shard")
         for order in (3, 2):
             own = right.filter(pc.equal(right.column("n"), order)).column("columns").to_pylist()
@@ -376,29 +392,33 @@ def _lower(trusted: DataFrame, replies: DataFrame, n: int, shards: int) -> DataF
             words, counts = [w[new] for w in words], told[new] // 2
             every, out, first = _added(_keys(words[1:]), _keys(words[:-1]), counts)
             if order == n + 1:
-                return _sent(left.column("block")[0].as_py(), every, out, shards)
+                return _sent(left.column("block")[0].as_py(), every, out, shards, part, PARTS[n])
             words = [np.concatenate([a, b])[first] for a, b in zip(words[1:], words[:-1], strict=True)]
         raise AssertionError
 
     return trusted.select("block", "sizes", "data").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, _SENT)
 
 
-def _counts(trusted: DataFrame, shards: int) -> tuple[DataFrame, dict[int, tuple[float, float, float]], dict[int, tuple[int, float]]]:
+def _counts(tables: Scratch, trusted: DataFrame, shards: int) -> tuple[DataFrame, dict[int, tuple[float, float, float]], dict[int, tuple[int, float]]]:
     """The summed columns of all n-grams, the discounts by order, and by fold the total and the held-back part of the words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                t = pa.Table.from_batches([b.slice(i, 1)])
-                keys, counts = np.unique(_keys(_grams_of(t, other=False)[4]), return_counts=True)
-                yield from _sent(t.column("block")[0].as_py(), keys, counts[None, :].astype(np.int64), shards).to_batches()
-
-    tables = {3: _summed(trusted.select("block", "sizes", "data").mapInArrow(run, _SENT), 3)}
-    tables[2] = _summed(_lower(trusted, tables[3].filter("block IS NOT NULL"), 2, shards), 2)
-    tables[1] = _summed(_lower(trusted, tables[3].unionAll(tables[2]).filter("block IS NOT NULL"), 1, shards), 1)
-    every = reduce(DataFrame.unionAll, tables.values()).filter("block IS NULL")
+    def counted(part: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    t = pa.Table.from_batches([b.slice(i, 1)])
+                    keys, counts = np.unique(_keys(_grams_of(t, other=False)[4]), return_counts=True)
+                    yield from _sent(t.column("block")[0].as_py(), keys, counts[None, :].astype(np.int64), shards, part, PARTS[3]).to_batches()
+
+        return trusted.select("block", "sizes", "data").mapInArrow(run, _SENT)
+
+    for n in (3, 2, 1):
+        told = table.filter("block IS NOT NULL").select("shard", "block", "n", "columns") if n < 3 else None
+        for part in range(PARTS[n]):
+            table = tables.add("counts", _summed(counted(part) if told is None else _lower(trusted, told, n, shards, part), n), "shard", min(shards, MOST_BUCKETS))
+    every = table.filter("block IS NULL")
     sums = {r["n"]: r for r in every.groupBy("n").agg(*(F.coalesce(F.sum(F.col("met")[k]), F.lit(0)).alias(f"m{k}") for k in range(12))).collect()}  # three rows
-    met = {n: [sums[n][f"m{k}"] if n in sums else 0 for k in range(12)] for n in tables}
+    met = {n: [sums[n][f"m{k}"] if n in sums else 0 for k in range(12)] for n in _COLUMNS}
     d = {n: _discounts(*(m[k] + m[k + 6] for k in range(4))) for n, m in met.items()}
     folds = {}
     for f in (0, 1):
@@ -430,9 +450,8 @@ def _replies(asked: DataFrame, counts: DataFrame) -> DataFrame:
     return asked.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(run, _REPLY)
 
 
-def _scored(blocks: DataFrame, replies: DataFrame, log_p: np.ndarray, d: dict[int, tuple[float, float, float]], folds: dict[int, tuple[int, float]]) -> DataFrame:
+def _scored(blocks: DataFrame, replies: DataFrame, log_p: Broadcast, d: dict[int, tuple[float, float, float]], folds: dict[int, tuple[int, float]]) -> DataFrame:
     """doc_id, lang, n_symbols and logs, the log probability of the text, from what the shards told the blocks."""
-    shared = blocks.sparkSession.sparkContext.broadcast(log_p)  # SYMBOLS ** ORDER numbers
     kind = dict(blocks.dtypes)["ids"].removeprefix("array<").removesuffix(">")
 
     def met(c: np.ndarray, n: int, total: np.ndarray) -> np.ndarray:
@@ -446,23 +465,22 @@ def _scored(blocks: DataFrame, replies: DataFrame, log_p: np.ndarray, d: dict[in
         logs = np.zeros(len(offsets) - 1)
         first = offsets[1:].copy()
         np.minimum.at(first, doc, starts)
-        letters = shared.value[symbol_codes(data, offsets)].astype(np.float64)
+        letters = log_p.value[symbol_codes(data, offsets)].astype(np.float64)
         for k in np.flatnonzero(first > offsets[:-1]):  # spaces before the first word
             logs[k] = letters[offsets[k] : first[k]].sum()
         if len(doc):
             told = right.sort_by("shard")
             got = {n: np.concatenate([_unpacked_columns(x, "<i8").reshape(m, -1) for x in told.column(f"r{n}").to_pylist()], 1) for n, m in _COLUMNS.items()}
             k3, k2, c2, k1, c1 = _keys(grams), _keys(grams[1:]), _keys(grams[:2]), _keys(grams[2:]), _keys(grams[1:2])
-            every = {3: np.unique(k3), 2: np.union1d(k2, c2), 1: np.union1d(k1, c1)}
-            at = lambda n, keys: np.searchsorted(every[n], keys)
+            at3, at2, at1 = (_grouped(x)[2] for x in (k3, np.concatenate([k2, c2]), np.concatenate([k1, c1])))
             fold = (grams[2] & np.uint64(1)).astype(np.int64)
             total, held = (np.array([folds.get(f, (0, 0.0))[i] for f in (0, 1)], float)[fold] for i in (0, 1))
-            own = met(got[1][0, at(1, k1)], 1, total)
+            own = met(got[1][0, at1[: len(k1)]], 1, total)
             base = np.where(total > 0, held / np.maximum(total, 1), 1.0)
-            for n, key, ctx in ((2, k2, at(1, c1)), (3, k3, at(2, c2))):
+            for n, at, ctx in ((2, at2[: len(k2)], at1[len(k1) :]), (3, at3, at2[len(k2) :])):
                 total, held = got[n - 1][1, ctx], np.array(d[n]) @ got[n - 1][2:, ctx]
                 gamma = np.where(total > 0, held / np.maximum(total, 1), 1.0)
-                own, base = met(got[n][0, at(n, key)], n, total) + gamma * own, gamma * base
+                own, base = met(got[n][0, at], n, total) + gamma * own, gamma * base
             until = np.minimum(np.append(starts[1:], len(data)), offsets[doc + 1])
             lead = np.ones(len(data), bool)  # spaces before a first word belong to no word
             lead[_ramp(starts, until - starts)] = False
@@ -479,15 +497,29 @@ def _scored(blocks: DataFrame, replies: DataFrame, log_p: np.ndarray, d: dict[in
 
 def perplexities(docs: DataFrame, log_p: np.ndarray, counts: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     """doc_id, lang, n_symbols and perplexity by byte of every document, by ``word_counts``."""
-    return _perplexities(_blocks(docs, sizes.block), log_p, counts, sizes)
-
-
-def _perplexities(blocks: DataFrame, log_p: np.ndarray, trusted: DataFrame, sizes: Sizes) -> DataFrame:
-    shards = max(1, -(-blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // sizes.shard))
-    counts, d, folds = _counts(trusted, shards)
-    rows = _scored(blocks, _replies(_asked(blocks, shards), counts), log_p, d, folds)
+    with Scratch(docs.sparkSession) as tables:
+        return _perplexities(tables, docs, _bytes(docs), log_p, counts, sizes)
+
+
+def _bytes(docs: DataFrame) -> int:
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
+def _perplexities(tables: Scratch, docs: DataFrame, n: int, log_p: np.ndarray, trusted: DataFrame, sizes: Sizes, used: tuple[str, ...] = ()) -> DataFrame:
+    """As ``perplexities``, of texts of n bytes in all; tables ``used`` go once the counts are made."""
+    shards = max(1, -(-n // sizes.shard))
+    counts, d, folds = _counts(tables, trusted, shards)
+    for name in used:
+        tables.drop(name)
+    shared = docs.sparkSession.sparkContext.broadcast(log_p)  # SYMBOLS ** ORDER numbers, in a file as well: once for all rounds
+    tables.kept.add("scored")
+    for turn, part in enumerate(_turns(docs, _rounds(n, sizes))):
+        blocks = tables.add("blocks", _blocks(part, sizes.block, turn))
+        scored = tables.add("scored", _scored(blocks, _replies(_asked(blocks, shards), counts), shared, d, folds))
+        tables.drop("blocks")
+    shared.unpersist()
     perplexity = F.when(F.col("n_symbols") > 0, F.round(F.exp(-F.col("logs") / F.col("n_symbols")), 6))
-    return rows.select("doc_id", "lang", "n_symbols", perplexity.alias("perplexity"))
+    return scored.select("doc_id", "lang", "n_symbols", perplexity.alias("perplexity"))
 
 
 def _quantiles() -> tuple[Column, Column]:
@@ -497,9 +529,12 @@ def _quantiles() -> tuple[Column, Column]:
 def judged(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """Every document with its perplexity, its language's quantiles, and whether it is kept."""
     ids = trusted_ids.select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    blocks = _blocks(docs, Sizes().block)
-    trusted = _chosen(blocks, ids)
-    scored = cut_lineage(_perplexities(blocks, train(_texts(trusted)), trusted, Sizes()))
+    n, sizes = _bytes(docs), Sizes()
+    with Scratch(docs.sparkSession) as tables:
+        for turn, part in enumerate(_turns(docs, -(-_rounds(n, sizes) // 6))):
+            own = _blocks(part.join(ids.hint("merge"), "doc_id", "left_semi"), sizes.block, turn)
+            trusted = tables.add("trusted", own, "block", min(max(1, -(-n // sizes.block)), MOST_BUCKETS))
+        scored = _perplexities(tables, docs, n, train(_texts(trusted)), trusted, sizes, ("trusted",))
     model = scored.join(ids, "doc_id", "left_semi").filter("perplexity IS NOT NULL")
     by_lang = cut_lineage(model.groupBy("lang").agg(*_quantiles(), F.count("*").alias("n")).filter(F.col("n") >= MIN_TRUSTED).drop("n"))
     overall = model.agg(*_quantiles()).first()

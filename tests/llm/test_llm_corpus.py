@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from larder.llm import jaccard_join, mixing, quality_lm, resharding, toxicity
+from larder.llm.common import shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 DAMP = toxicity.DAMPED
@@ -446,6 +448,23 @@ def test_word_model_over_many_blocks_and_shards(spark):
     assert sum(len(row[k]) for k in ("k1", "k2", "k3")) < 3 * 7 * 20_000
 
 
+def test_word_model_in_rounds_leaves_little_on_disk(spark):
+    """Rounds of scoring change nothing, and what a round wrote goes before the next one: no blocks or counts stay."""
+    rng = random.Random(15)
+    texts = [" ".join(str(rng.randrange(300)) for _ in range(rng.randint(1, 200))) for _ in range(60)]
+    frame = spark.createDataFrame([(t,) for t in texts[:30]], "text string")
+    log_p, counts = quality_lm.train(frame), quality_lm.word_counts(frame)
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, None])], "doc_id long, text string, lang string").repartition(2)
+    folder, got = Path(shared_dir(spark).removeprefix("file:")) / "larder-tables", []
+    for sizes in (quality_lm.Sizes(2_000, 5_000, 8_000, 5), quality_lm.Sizes()):
+        tables, folders = len(spark.catalog.listTables()), len(list(folder.iterdir()))
+        got.append({r["doc_id"]: r["perplexity"] for r in quality_lm.perplexities(docs, log_p, counts, sizes).collect()})
+        assert (len(spark.catalog.listTables()), len([x for x in folder.iterdir() if x.is_dir()])) == (tables + 1, folders + 1)  # the scores
+    assert got[0].keys() == got[1].keys() == set(range(61)) and got[0][60] is got[1][60] is None
+    assert all(abs(got[0][i] - got[1][i]) < 2e-6 for i in range(60))
+    assert np.allclose([got[0][i] for i in range(60)], plain_word_perplexities(texts, texts[:30], log_p), rtol=1e-4)
+
+
 def test_word_order_counts(spark):
     """The same letters and words in another order are less likely; words of one byte class aren't all one."""
     rng = random.Random(13)
