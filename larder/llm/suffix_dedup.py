@@ -9,9 +9,14 @@ key) and the bytes that their strings cover make a piece, and all pieces of a ke
 2. The suffixes of the pieces with such keys are put in order, within the block, and a piece goes on only if one of its
    strings is new to the block: hot passages leave a block once, however many of its texts hold them. Keys that many
    blocks have go on string by string, dealt by the string, so that no shard gets all contexts of a frequent key.
-3. Within a shard the same is done for the pieces of FAN blocks at a time, in as many rounds as it takes.
+   A set of blocks, one after the other, sends a shard one message: blocks and shards grow with the input, so a message
+   of a single block would shrink until it is all overhead.
+3. Within a shard the same is done for the pieces of FAN blocks at a time, in as many rounds as it takes. A round
+   sends on most of its pieces, so FAN is what memory asks for, and one round does for some 100 GB.
 4. The starts whose longest previous factor reaches ``least`` come back to their blocks, which cut the texts.
 
+Blocks are written in buckets by set, so that neither reading of them shuffles texts; marks go once they are answered.
+
 Exact: a hash only brings strings together, the order compares their bytes. (The 64-bit hash that leaves strings without
 a partner out before sorting is equal wherever the strings are.)
 
@@ -23,7 +28,6 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -34,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import shared_dir, text_slices, utf8
+from larder.llm.common import Scratch, text_slices, utf8
 from larder.llm.shingles import mixed
 
 #: Bytes of a string that counts as repeated.
@@ -44,13 +48,14 @@ GRAM = 16
 
 
 class Sizes(NamedTuple):
-    """Text bytes of a block and of a shard, shards of pieces to one of marks, blocks of a shard that meet at once, and the blocks from which a key is dealt by string."""
+    """Text bytes of a block and of a shard, shards of pieces to one of marks, blocks of a shard that meet at once, the blocks from which a key is dealt by string, and the blocks of a set."""
 
     block: int = 2_000_000
     shard: int = 32_000_000
     split: int = 16
-    fan: int = 1024
-    hot: int = 4096
+    fan: int = 65_536
+    hot: int = 16_384
+    set: int = 16
 
 
 LAST = np.iinfo(np.int64).max
@@ -59,8 +64,8 @@ _ODD = 0x9E3779B97F4A7C15
 _SLICE = 1 << 17
 #: Of zstandard; level 1 takes 14 % more for texts; level 9 takes 8 % less, but much more CPU time.
 _LEVEL = 3
-_BLOCK = "block bigint, ids array<bigint>, sizes array<bigint>, data binary, n bigint"
-_ROW = "kind int, shard bigint, block bigint, at binary, size binary, id binary, data binary"
+_BLOCK = "set bigint, block bigint, ids array<bigint>, sizes array<bigint>, data binary, n bigint"
+_ROW = "kind int, shard bigint, set bigint, of binary, at binary, size binary, id binary, data binary"
 
 
 def _packed(data: np.ndarray) -> bytes:
@@ -228,8 +233,8 @@ def runs_of(data: np.ndarray, sizes: np.ndarray, least: int, shards: int) -> Run
     return Runs(start, np.minimum(np.r_[start[1:], len(data)], stops[row]) - start, row, _code(keys[start], shards))
 
 
-def _blocks(docs: DataFrame, size: int) -> DataFrame:
-    """Rows of whole texts, about ``size`` bytes together, end to end; written once, so that a block keeps its number."""
+def _blocks(docs: DataFrame, size: int, many: int) -> DataFrame:
+    """Rows of whole texts, about ``size`` bytes together, end to end, in sets of up to ``many``; to be written once, so that a block keeps its number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = TaskContext.get().partitionId() << 32
@@ -237,15 +242,13 @@ def _blocks(docs: DataFrame, size: int) -> DataFrame:
             for lo, hi in text_slices(b.column("text"), size):
                 data, offsets = utf8(b.column("text").slice(lo, hi - lo))
                 ids = b.column("id").slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), ids), pa.array([np.diff(offsets)], pa.list_(pa.int64())), pa.array([_packed(data)], pa.binary()), pa.array([len(data)])], ["block", "ids", "sizes", "data", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([k - (k & 0xFFFFFFFF) % many]), pa.array([k]), pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), ids), pa.array([np.diff(offsets)], pa.list_(pa.int64())), pa.array([_packed(data)], pa.binary()), pa.array([len(data)])], ["set", "block", "ids", "sizes", "data", "n"])
                 k += 1
 
-    path = f"{shared_dir(docs.sparkSession)}/larder-tables/{uuid.uuid4()}"
-    docs.mapInArrow(run, _BLOCK).write.parquet(path)
-    return docs.sparkSession.read.schema(_BLOCK).parquet(path)
+    return docs.mapInArrow(run, _BLOCK)
 
 
-def _block_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _block_of(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Data, sizes and ids (null: last) of the one block in t."""
     ids = t.column("ids")[0].values.fill_null(LAST).to_numpy(zero_copy_only=False)
     return _unpacked(t.column("data")[0].as_py()), t.column("sizes")[0].values.to_numpy(zero_copy_only=False), ids
@@ -253,8 +256,8 @@ def _block_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 # ---- marks: which keys do other texts have? ----
 
-_MARKS = "shard bigint, block bigint, marks binary, twice binary"
-_BITS = "shard bigint, block bigint, bits binary"
+_MARKS = "shard bigint, set bigint, block bigint, marks binary, twice binary"
+_BITS = "shard bigint, set bigint, block bigint, bits binary"
 
 
 def _marks(blocks: DataFrame, least: int, shards: int) -> DataFrame:
@@ -273,9 +276,9 @@ def _marks(blocks: DataFrame, least: int, shards: int) -> DataFrame:
                 twice, code = doc[heads] != doc[lasts], code[heads]
                 shard, at = np.unique(code >> np.uint64(32), return_index=True)
                 spans = list(zip(at, [*at[1:], len(code)], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), pa.array([t.column("block")[0].as_py()] * len(shard), pa.int64()), pa.array([_packed_steps(code[x:y] & np.uint64(0xFFFFFFFF)) for x, y in spans], pa.binary()), pa.array([np.packbits(twice[x:y]).tobytes() for x, y in spans], pa.binary())], ["shard", "block", "marks", "twice"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), *(pa.array([t.column(c)[0].as_py()] * len(shard), pa.int64()) for c in ("set", "block")), pa.array([_packed_steps(code[x:y] & np.uint64(0xFFFFFFFF)) for x, y in spans], pa.binary()), pa.array([np.packbits(twice[x:y]).tobytes() for x, y in spans], pa.binary())], ["shard", "set", "block", "marks", "twice"])
 
-    return blocks.select("block", "ids", "sizes", "data").mapInArrow(run, _MARKS)
+    return blocks.select("set", "block", "ids", "sizes", "data").mapInArrow(run, _MARKS)
 
 
 def _answered(marks: DataFrame, hot: int) -> DataFrame:
@@ -293,7 +296,7 @@ def _answered(marks: DataFrame, hot: int) -> DataFrame:
         bits = np.empty((len(every), 2), bool)
         bits[order] = np.stack([(count > 1) | also, count >= hot], 1)[of]
         parts = np.split(bits, np.cumsum(sizes)[:-1])
-        return pa.table({"shard": t.column("shard"), "block": t.column("block"), "bits": pa.array([np.packbits(x).tobytes() for x in parts], pa.binary())})
+        return pa.table({"shard": t.column("shard"), "set": t.column("set"), "block": t.column("block"), "bits": pa.array([np.packbits(x).tobytes() for x in parts], pa.binary())})
 
     return marks.groupBy("shard").applyInArrow(run, _BITS)
 
@@ -301,12 +304,27 @@ def _answered(marks: DataFrame, hot: int) -> DataFrame:
 # ---- pieces ----
 
 
-def _row(kind: int, shard: int, block: int, at: np.ndarray, size: np.ndarray, ids: np.ndarray | None = None, data: np.ndarray | None = None) -> dict:
-    return {"kind": kind, "shard": shard, "block": block, "at": _packed_steps(at), "size": _packed_steps(size), "id": None if ids is None else _packed_steps(ids), "data": None if data is None else _packed(data)}
+_ARROW = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("set", pa.int64()), ("of", pa.binary()), ("at", pa.binary()), ("size", pa.binary()), ("id", pa.binary()), ("data", pa.binary())])
+SPAN, PIECE = 0, 1
 
 
-_ARROW = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("block", pa.int64()), ("at", pa.binary()), ("size", pa.binary()), ("id", pa.binary()), ("data", pa.binary())])
-SPAN, PIECE = 0, 1
+class Pieces(NamedTuple):
+    """Pieces of texts, or spans: block less set, place in the block, and size; of pieces also the id of the text, and where they start in some data."""
+
+    of: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+    id: np.ndarray
+    start: np.ndarray
+
+    def take(self, which: np.ndarray) -> Pieces:
+        return Pieces(*(x[which] for x in self))
+
+
+def _message(kind: int, shard: int, at: int, p: Pieces, data: np.ndarray | None = None) -> dict:
+    """A row of the set ``at``."""
+    sent = {} if data is None else {"id": _packed_steps(p.id), "data": _packed(data[_ramp(p.start, p.size)])}
+    return {"kind": kind, "shard": shard, "set": at, "of": _packed_steps(p.of), "at": _packed_steps(p.at), "size": _packed_steps(p.size), "id": None, "data": None} | sent
 
 
 def _joined(starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -318,90 +336,108 @@ def _joined(starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return first, last + least - first
 
 
-def _sent(block: int, data: np.ndarray, at: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarray, shard: np.ndarray) -> Iterator[dict]:
-    """A row for each shard: pieces that lie at ``start`` in data and at ``at`` in their block."""
-    order = np.argsort(shard, kind="stable")
-    for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else ():
-        yield _row(PIECE, int(shard[own[0]]), block, at[own], size[own], ids[own], data[_ramp(start[own], size[own])])
+def _spans(of: np.ndarray, starts: np.ndarray, least: int) -> Pieces:
+    """The runs that strings at these starts of these blocks cover, block by block."""
+    order = np.lexsort([starts, of])
+    of, starts = of[order], starts[order]
+    heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else of
+    found = [(of[a], *_joined(np.unique(starts[a:b]), least)) for a, b in zip(heads, [*heads[1:], len(of)], strict=False)]
+    none = np.zeros(0, np.int64)
+    at, size = (np.concatenate([none, *(x[k] for x in found)]) for k in (1, 2))
+    return Pieces(np.repeat(of[heads], [len(x[1]) for x in found]), at, size, none, none)
 
 
 def _pieces(blocks: DataFrame, bits: DataFrame, least: int, shards: int, split: int) -> DataFrame:
-    """What each block finds by itself (kind SPAN), and the pieces that it sends on."""
+    """What the blocks of each set find by themselves (kind SPAN), and the pieces that the set sends on."""
 
     def dealt(code: np.ndarray) -> np.ndarray:
         return ((code >> np.uint64(32)) * np.uint64(split) + code % np.uint64(split)).astype(np.int64)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _ARROW.empty_table()
-        block, (data, sizes, ids) = left.column("block")[0].as_py(), _block_of(left)
+    def found(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, sent: dict[int, bytes], of: int) -> tuple[Pieces, Pieces, np.ndarray, np.ndarray]:
+        """Of one block: its spans, its pieces, their shards and their bytes."""
         r = runs_of(data, sizes, least, shards)
-        code, of = np.unique(r.code, return_inverse=True)
+        code, own = np.unique(r.code, return_inverse=True)
         shard, n = np.unique(code >> np.uint64(32), return_counts=True)
-        sent = {s: np.frombuffer(x, np.uint8) for s, x in zip(right.column("shard").to_pylist(), right.column("bits").to_pylist(), strict=True)}
-        told = np.concatenate([np.unpackbits(sent[int(s)], count=2 * k).reshape(-1, 2) for s, k in zip(shard, n, strict=True)]).astype(bool)[of]
+        told = np.concatenate([np.unpackbits(np.frombuffer(sent[int(s)], np.uint8), count=2 * k).reshape(-1, 2) for s, k in zip(shard, n, strict=True)]).astype(bool)[own]
         r, hot = Runs(*(x[told[:, 0]] for x in r)), told[told[:, 0], 1]
         starts, owner = _ramp(r.start, r.n), np.repeat(np.arange(len(r.n)), r.n)
         docs = ids[r.row][owner]
         old = longest_previous_factors(data, starts, docs, least) >= least
-        rows = [_row(SPAN, -1 - block % shards, block, *_joined(starts[old], least))]
         open_ = np.bincount(owner[~old], minlength=len(r.n)) > 0
-        cold = open_ & ~hot
-        rows += _sent(block, data, r.start[cold], r.start[cold], r.n[cold] + least - 1, ids[r.row][cold], dealt(r.code[cold]))
-        alone = ~old & hot[owner]
+        cold, alone = open_ & ~hot, ~old & hot[owner]
         at = starts[alone]
         h = np.zeros(len(at), np.uint64)
         for k in range(least):
             h = h * np.uint64(_ODD) + _LETTER[data[at + k]]
-        rows += _sent(block, data, at, at, np.full(len(at), least), docs[alone], dealt(_code(h, shards)))
+        at, size = np.r_[r.start[cold], at], np.r_[r.n[cold] + least - 1, np.full(len(at), least)]
+        p = Pieces(np.full(len(at), of), at, size, np.r_[ids[r.row][cold], docs[alone]], np.cumsum(size) - size)
+        return _spans(np.full(int(old.sum()), of), starts[old], least), p, np.r_[dealt(r.code[cold]), dealt(_code(h, shards))], data[_ramp(at, size)]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _ARROW.empty_table()
+        sent: dict[int, dict[int, bytes]] = {}
+        for b, s, x in zip(*(right.column(c).to_pylist() for c in ("block", "shard", "bits")), strict=True):
+            sent.setdefault(b, {})[s] = x
+        at, many = left.column("set")[0].as_py(), []
+        for i in np.argsort(left.column("block").to_numpy()):
+            t = left.slice(i, 1)
+            if (b := t.column("block")[0].as_py()) in sent:
+                many.append(found(*_block_of(t), sent[b], b - at))
+        spans, pieces, shard, data = zip(*many, strict=True)
+        begin = np.cumsum([0, *(len(x) for x in data)])
+        pieces = [p._replace(start=p.start + x) for p, x in zip(pieces, begin[:-1], strict=True)]
+        spans, pieces = (Pieces(*map(np.concatenate, zip(*x, strict=True))) for x in (spans, pieces))
+        shard, data = np.concatenate(shard), np.concatenate(data)
+        rows = [_message(SPAN, -1 - at % shards, at, spans)]
+        order = np.argsort(shard, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else ():
+            rows.append(_message(PIECE, int(shard[own[0]]), at, pieces.take(own), data))
         return pa.Table.from_pylist(rows, _ARROW)
 
-    return blocks.select("block", "ids", "sizes", "data").groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(run, _ROW)
+    return blocks.select("set", "block", "ids", "sizes", "data").groupBy("set").cogroup(bits.groupBy("set")).applyInArrow(run, _ROW)
 
 
 def _met(rows: DataFrame, parts: int, least: int) -> DataFrame:
-    """Pieces of one shard and of one of ``parts`` sets of blocks in suffix order: the starts that a smaller doc has there, and the pieces that go on if there are several sets."""
+    """Pieces of one shard and of one of ``parts`` parts of the sets in suffix order: the starts that a smaller doc has there, and the pieces that go on if there are several parts."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.select(_ARROW.names)
         if t.column("kind")[0].as_py() == SPAN:
             return t
-        own = t.to_pylist()
-        at, size, ids = ([_unpacked_steps(x[c]) for x in own] for c in ("at", "size", "id"))
-        data = np.concatenate([_unpacked(x["data"]) for x in own])
-        of = np.repeat(np.arange(len(own)), [len(x) for x in at])
-        at, size, ids = np.concatenate(at), np.concatenate(size), np.concatenate(ids)
-        begin = np.cumsum(size) - size
+        rows = t.to_pylist()
+        of, at, size, ids = ([_unpacked_steps(x[c]) for x in rows] for c in ("of", "at", "size", "id"))
+        data = np.concatenate([_unpacked(x["data"]) for x in rows])
+        row = np.repeat(np.arange(len(rows)), [len(x) for x in at])
+        size = np.concatenate(size)
+        p = Pieces(np.concatenate(of), np.concatenate(at), size, np.concatenate(ids), np.cumsum(size) - size)
         n = size - least + 1
-        starts, owner = _ramp(begin, n), np.repeat(np.arange(len(n)), n)
-        old = longest_previous_factors(data, starts, ids[owner], least) >= least
-        found = (starts - begin[owner] + at[owner])[old]
-        cut = np.searchsorted(of[owner][old], np.arange(len(own) + 1))
-        rows = [_row(SPAN, -1, own[i]["block"], *_joined(np.unique(found[a:b]), least)) for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+        starts, owner = _ramp(p.start, n), np.repeat(np.arange(len(n)), n)
+        old = longest_previous_factors(data, starts, p.id[owner], least) >= least
+        own, place = owner[old], (starts - p.start[owner] + p.at[owner])[old]
+        cut = np.searchsorted(row[own], np.arange(len(rows) + 1))
+        out = [_message(SPAN, -1 - x["shard"], x["set"], _spans(p.of[own[a:b]], place[a:b], least)) for x, a, b in zip(rows, cut, cut[1:], strict=False) if b > a]
         if parts > 1:
             open_ = np.bincount(owner[~old], minlength=len(n)) > 0
-            for i, x in enumerate(own):
-                p = np.flatnonzero(open_ & (of == i))
-                if len(p):
-                    rows.append(_row(PIECE, x["shard"], x["block"], at[p], size[p], ids[p], data[_ramp(begin[p], size[p])]))
-        return pa.Table.from_pylist(rows, _ARROW)
+            for i, x in enumerate(rows):
+                on = np.flatnonzero(open_ & (row == i))
+                if len(on):
+                    out.append(_message(PIECE, x["shard"], x["set"], p.take(on), data))
+        return pa.Table.from_pylist(out, _ARROW)
 
-    return rows.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts))).groupBy("shard", "part").applyInArrow(run, _ROW)
+    return rows.withColumn("part", F.pmod(F.xxhash64("set"), F.lit(parts))).groupBy("shard", "part").applyInArrow(run, _ROW)
 
 
 _OUT = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,size:bigint>>, kept binary"
 
 
 def _cut(blocks: DataFrame, spans: DataFrame) -> DataFrame:
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "spans": pa.array([], pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))), "kept": pa.array([], pa.binary())})
-        data, sizes, _ = _block_of(left)
+    def kept(t: pa.Table, at: np.ndarray, size: np.ndarray) -> pa.Table:
+        """Of one block, by the spans found in it."""
+        data, sizes, _ = _block_of(t)
         gone = np.zeros(len(data) + 1, np.int32)
-        for a, n in zip(right.column("at").to_pylist(), right.column("size").to_pylist(), strict=True):
-            a, n = _unpacked_steps(a), _unpacked_steps(n)
-            np.add.at(gone, a, 1)
-            np.add.at(gone, a + n, -1)
+        np.add.at(gone, at, 1)
+        np.add.at(gone, at + size, -1)
         gone = np.cumsum(gone[:-1]) > 0
         ends = np.cumsum(sizes)
         begins = ends - sizes
@@ -411,28 +447,43 @@ def _cut(blocks: DataFrame, spans: DataFrame) -> DataFrame:
         stop = np.flatnonzero(gone & (head[1:] | ~np.r_[gone[1:], False])) + 1 if len(gone) else ends[:0]
         row = np.searchsorted(ends, edge, "right")
         offsets = np.searchsorted(row, np.arange(len(sizes) + 1))
-        spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(edge - begins[row]), pa.array(stop - edge)], ["start", "size"]))
-        kept = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(begins, ends, strict=True)]
-        return pa.table({"doc_id": left.column("ids")[0].values, "n_bytes": pa.array(sizes), "spans": spans, "kept": pa.array(kept, pa.binary())})
+        runs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(edge - begins[row]), pa.array(stop - edge)], ["start", "size"]))
+        rest = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(begins, ends, strict=True)]
+        return pa.table({"doc_id": t.column("ids")[0].values, "n_bytes": pa.array(sizes), "spans": runs, "kept": pa.array(rest, pa.binary())})
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "spans": pa.array([], pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))), "kept": pa.array([], pa.binary())})
+        of, at, size = (np.concatenate([np.zeros(0, np.int64), *map(_unpacked_steps, right.column(c).to_pylist())]) for c in ("of", "at", "size"))
+        order = np.argsort(of, kind="stable")
+        of, at, size = of[order], at[order], size[order]
+        out = []
+        for i, b in enumerate(left.column("block").to_numpy() - left.column("set").to_numpy()):
+            lo, hi = np.searchsorted(of, [b, b + 1])
+            out.append(kept(left.slice(i, 1), at[lo:hi], size[lo:hi]))
+        return pa.concat_tables(out)
 
-    return blocks.select("block", "ids", "sizes", "data").groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(run, _OUT)
+    return blocks.select("set", "block", "ids", "sizes", "data").groupBy("set").cogroup(spans.groupBy("set")).applyInArrow(run, _OUT)
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST, sizes: Sizes = Sizes()) -> DataFrame:
     """Per row of docs: doc_id, n_bytes of its UTF-8 text, the maximal runs (start, size) of bytes that strings of ``least`` bytes cover which also start in a row with a smaller doc_id, and the bytes kept."""
     if least < GRAM + 8:
         raise ValueError(f"least must be {GRAM + 8} bytes or more")
-    blocks = _blocks(docs.selectExpr("CAST(doc_id AS bigint) AS id", "text"), sizes.block)
-    total, n = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    shards = max(1, -(-total // sizes.shard))
-    rows = _pieces(blocks, _answered(_marks(blocks, least, shards), sizes.hot), least, shards, sizes.split)
-    parts = n
+    spark = docs.sparkSession
+    with Scratch(spark) as tables:
+        tables.kept |= {"blocks", "bits"}
+        blocks = tables.add("blocks", _blocks(docs.selectExpr("CAST(doc_id AS bigint) AS id", "text"), sizes.block, sizes.set), "set", int(spark.conf.get("spark.sql.shuffle.partitions")))
+        total, n = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        shards = max(1, -(-total // sizes.shard))
+        bits = tables.add("bits", _answered(_marks(blocks, least, shards), sizes.hot))
+    rows, parts = _pieces(blocks, bits, least, shards, sizes.split), n
     while True:
         parts = max(1, -(-parts // sizes.fan))
         rows = _met(rows, parts, least)
         if parts == 1:
             break
-    return _cut(blocks, rows.filter(F.col("kind") == SPAN).select("block", "at", "size"))
+    return _cut(blocks, rows.filter(F.col("kind") == SPAN).select("set", "of", "at", "size"))
 
 
 def digests(docs: DataFrame) -> DataFrame:

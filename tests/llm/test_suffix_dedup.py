@@ -110,3 +110,16 @@ def test_unlike_strings_with_one_hash_are_told_apart():
     b = np.concatenate([np.frombuffer(v.to_bytes(8, "big"), np.uint8) for v in (x ^ 1, (y + mixed(x) - mixed(x ^ 1)) % 2**64)] + [a[16:]])
     got = longest_previous_factors(np.concatenate([a, b, b, a]), np.arange(4) * LEAST, np.array([1, 2, 3, 4]))
     assert got.tolist() == [0, 0, LEAST, LEAST]
+
+
+def test_many_blocks_meet_in_one_round_by_a_message_a_set(spark, monkeypatch):
+    met, seen = suffix_dedup._met, []
+    monkeypatch.setattr(suffix_dedup, "_met", lambda rows, parts, least: seen.append((parts, rows)) or met(rows, parts, least))
+    rng = random.Random(7)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(60))
+    rows = [(i, passage + "".join(rng.choice("ijklmnop ") for _ in range(20))) for i in range(1100)]
+    kept = suffix_dedup.without_repeats(spark.createDataFrame(rows, SCHEMA).coalesce(1), sizes=Sizes(80, 10**9, 1))
+    assert {r.doc_id: 80 - len(r.kept) for r in kept.collect()} == {i: gone for i, _, gone, *_ in plain(rows)}
+    (parts, sent), *more = seen
+    assert parts == 1 and not more  # before, a second round shuffled the pieces of more than 1,024 blocks again
+    assert sent.filter("kind = 1").count() <= -(-1100 // 16)  # before, each block sent a message
