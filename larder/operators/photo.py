@@ -7,6 +7,7 @@ words of a page together, and a page holds what fits on a pack.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -34,6 +35,8 @@ UNPAIRED, DISTANCE, STEEPNESS, AGREEMENT = 0.8, 0.05, 0.02, 2.0
 AGREES_WITHIN = 0.02
 #: Slopes times names or numbers that are tried together.
 _AT_ONCE = 250_000
+#: More than what bounds and scores differ by rounding.
+_ROUNDING = 1e-6
 #: Names whose nutrients a task remembers.
 _NAMES_KEPT = 100_000
 
@@ -227,25 +230,31 @@ class Words(NamedTuple):
         return " ".join(out.split())
 
 
-def _neighbours(words: Words, height: float) -> tuple[list[np.ndarray], np.ndarray]:
+def _neighbours(words: Words, height: float) -> tuple[list[list[int]], np.ndarray]:
     """For each word the words that start within 1.5 text heights of its end on its line, nearest first; and whether a word ends so before it.
 
     Words are sought in a band of the page's words by height, so a page isn't compared with itself.
     """
+    n = len(words.x)
     order = np.lexsort([words.y, words.page])
     page, y = words.page[order], words.y[order]
-    end = words.x + words.w
-    after, before = [], np.zeros(len(words.x), bool)
-    bounds = np.searchsorted(page, words.page, "left"), np.searchsorted(page, words.page, "right")
-    for i in range(len(words.x)):
-        a, b = bounds[0][i], bounds[1][i]
-        lo, hi = a + np.searchsorted(y[a:b], words.y[i] - height * 0.6, "left"), a + np.searchsorted(y[a:b], words.y[i] + height * 0.6, "right")
-        band = order[lo:hi]
-        gap = words.x[band] - end[i]
-        near = band[(gap >= -1) & (gap <= height * 1.5) & (band != i)]
-        near = near[np.lexsort([near, words.x[near]])]
-        before[near] = True
-        after.append(near)
+    heads = np.flatnonzero(np.r_[True, page[1:] != page[:-1]]) if n else order
+    i, j = [], []
+    for a, b in zip(heads, [*heads[1:], n], strict=False):
+        own = order[a:b]
+        lo, hi = np.searchsorted(y[a:b], words.y[own] - height * 0.6, "left"), np.searchsorted(y[a:b], words.y[own] + height * 0.6, "right")
+        ends = np.cumsum(hi - lo)
+        i.append(np.repeat(own, hi - lo))
+        j.append(own[np.arange(ends[-1]) + np.repeat(hi - ends, hi - lo)])
+    i, j = (np.concatenate(x) if x else order for x in (i, j))
+    gap = words.x[j] - (words.x + words.w)[i]
+    near = (gap >= -1) & (gap <= height * 1.5) & (i != j)
+    i, j = i[near], j[near]
+    by = np.lexsort([j, words.x[j], i])
+    before, after = np.zeros(n, bool), [[] for _ in range(n)]
+    before[j] = True
+    for k, m in zip(i[by].tolist(), j[by].tolist(), strict=True):
+        after[k].append(m)
     return after, before
 
 
@@ -258,7 +267,7 @@ def names_of(words: Words, height: float) -> list[Name]:
             continue
         chain = [start]
         while len(chain) < 3:
-            free = [int(i) for i in after[chain[-1]] if not used[i]]
+            free = [i for i in after[chain[-1]] if not used[i]]
             if not free or free[0] in chain:
                 break
             chain.append(free[0])
@@ -290,30 +299,47 @@ def best_pairs(names_y: np.ndarray, reach: np.ndarray, column_y: np.ndarray, agr
     ``reach`` is how far to the right of each name the column of numbers stands. At each slope a name takes the nearest
     number within half a pitch, a number keeps the nearest of its names. The score counts pairs, numbers inside the table
     without a name, distances, steepness, and pairs that agree with the sheet. Equal scores: the least a, then the least b.
+
+    A slope's score is at most what its names would give if each kept a number of its own; only slopes for which that reaches the
+    best score are scored in full.
     """
     middle = (names_y.max() + names_y.min()) / 2
     many, best = max(1, _AT_ONCE // (len(SLOPES_B) * max(len(names_y), len(column_y)))), None
+
+    def scored(gap: np.ndarray, near: np.ndarray, steep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The scores of some slopes, and the names that numbers keep."""
+        owner, least = np.full((len(gap), len(column_y)), -1), np.full((len(gap), len(column_y)), np.inf)
+        for i in range(len(names_y)):
+            k = np.flatnonzero((gap[:, i] <= pitch * 0.5) & (gap[:, i] < least[np.arange(len(gap)), near[:, i]]))
+            owner[k, near[k, i]], least[k, near[k, i]] = i, gap[k, i]
+        taken = owner >= 0
+        agree = (agrees[owner, np.arange(len(column_y))] & taken).sum(1)
+        distance = np.where(taken, least, 0).sum(1) / pitch
+        return taken.sum(1) - UNPAIRED * (~taken & inside).sum(1) - DISTANCE * distance - STEEPNESS * steep + AGREEMENT * agree, owner
+
     for start in range(0, len(SLOPES_A), many):
         slopes = SLOPES_A[start : start + many]
         at = names_y + (slopes[:, None, None] + SLOPES_B[:, None] * (names_y - middle)) * reach
         at = at.reshape(-1, len(names_y))  # a and b, name
-        near, gap = np.zeros(at.shape, int), np.full(at.shape, np.inf)
+        near, gap = np.zeros(at.shape, np.intp), np.full(at.shape, np.inf)
         for c, y in enumerate(column_y):
             far = np.abs(y - at)
-            closer = far < gap
-            near[closer], gap[closer] = c, far[closer]
-        owner, least = np.full((len(at), len(column_y)), -1), np.full((len(at), len(column_y)), np.inf)
-        for i in range(len(names_y)):
-            k = np.flatnonzero((gap[:, i] <= pitch * 0.5) & (gap[:, i] < least[np.arange(len(at)), near[:, i]]))
-            owner[k, near[k, i]], least[k, near[k, i]] = i, gap[k, i]
-        taken = owner >= 0
-        agree = (agrees[owner, np.arange(len(column_y))] & taken).sum(1)
-        distance = np.where(taken, least, 0).sum(1) / pitch
+            np.copyto(near, c, where=far < gap)
+            np.minimum(gap, far, out=gap)
         steep = (np.abs(slopes)[:, None] + np.abs(SLOPES_B) * 100).ravel()
-        score = taken.sum(1) - UNPAIRED * (~taken & inside).sum(1) - DISTANCE * distance - STEEPNESS * steep + AGREEMENT * agree
-        top = int(score.argmax())
-        if best is None or score[top] > best[0]:
-            best = float(score[top]), float(slopes[top // len(SLOPES_B)]), float(SLOPES_B[top % len(SLOPES_B)]), owner[top]
+        reached = gap <= pitch * 0.5
+        worth = np.where(reached, 1 + AGREEMENT * agrees[np.arange(len(names_y)), near] - DISTANCE / pitch * gap, 0)
+        most = worth.sum(1) - UNPAIRED * np.maximum(0, inside.sum() - reached.sum(1)) - STEEPNESS * steep
+        own = most.argmax()[None]
+        score, owner = scored(gap[own], near[own], steep[own])
+        also = np.flatnonzero(most >= max(float(score[0]), best[0] if best else -np.inf) - _ROUNDING)
+        if len(also) > 1:
+            own = also
+            score, owner = scored(gap[own], near[own], steep[own])
+        k = int(score.argmax())
+        top = int(own[k])
+        if best is None or score[k] > best[0]:
+            best = float(score[k]), float(slopes[top // len(SLOPES_B)]), float(SLOPES_B[top % len(SLOPES_B)]), owner[k]
     _, a, b, owner = best
     return [(int(n), c) for c, n in enumerate(owner) if n >= 0], a, b
 
@@ -438,22 +464,37 @@ def photo_cells(rows: DataFrame, expected: DataFrame) -> DataFrame:
     )
     kind = dict(rows.dtypes)["label_id"]
     order = {key: i for i, (key, *_) in enumerate(NUTRIENTS)}
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.sort_by([("row_no", "ascending"), ("at", "ascending")])
-        get = lambda c: left.column(c).to_numpy()
-        own = Words(get("x"), get("y"), get("w"), get("h"), get("page"), left.column("s").to_pylist(), left.column("loose").to_pylist(), get("numeric").astype(bool), left.column("readings").to_pylist())
-        sheet = {order[k]: [v for v in vs if v is not None] for k, vs in zip(right.column("key").to_pylist(), right.column("values").to_pylist(), strict=True) if k in order}
-        found, typos = photo_values(own, sheet) if left.num_rows else ([], [])
-        seen = {f.nutrient for f in found if f.typo}
-        lines = [(f.nutrient, f.typo, f.text, f.values) for f in found] + [(n.nutrient, True, n.text, None) for n in {n.nutrient: n for n in reversed(typos)}.values() if n.nutrient not in seen]
-        columns = [[NUTRIENTS[n][0] for n, *_ in lines], [NUTRIENTS[n][1] for n, *_ in lines], [t for _, t, *_ in lines], [s for *_, s, _ in lines], [v for *_, v in lines]]
-        kinds = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.list_(pa.float64())]
-        label = left.column("label_id").combine_chunks()
-        return pa.Table.from_arrays([label.take(pa.array([0] * len(lines), pa.int64())) if lines else label.slice(0, 0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["label_id", "key", "title", "typo", "row_label", "values"])
-
-    words, said = spread(words, "label_id"), spread(expected.select("label_id", "key", "values"), "label_id")
-    return words.groupBy("label_id").cogroup(said.groupBy("label_id")).applyInArrow(run, _CELLS.format(kind=kind))
+    kinds = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.list_(pa.float64())]
+
+    def fields(lists: pa.ListArray) -> tuple[np.ndarray, Callable[[str], pa.Array]]:
+        """Where each list of structs starts, and the fields of all."""
+        each, offsets = lists.flatten(), lists.offsets.to_numpy()
+        return offsets - offsets[0], lambda c: each.field(each.type.get_field_index(c))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, word = fields(batch.column("words"))
+            x, y, w, h, page, numeric = (word(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "w", "h", "page", "numeric"))
+            s, loose, readings = (word(c).to_pylist() for c in ("s", "loose", "readings"))
+            stops, fact = fields(batch.column("said"))
+            keys, values = fact("key").to_pylist(), fact("values").to_pylist()
+            numeric, at, lines = numeric.astype(bool), [], []
+            for k in range(batch.num_rows):
+                a, b = ends[k], ends[k + 1]
+                own = Words(x[a:b], y[a:b], w[a:b], h[a:b], page[a:b], s[a:b], loose[a:b], numeric[a:b], readings[a:b])
+                sheet = {order[keys[i]]: [v for v in values[i] if v is not None] for i in range(stops[k], stops[k + 1]) if keys[i] in order}
+                found, typos = photo_values(own, sheet)
+                seen = {f.nutrient for f in found if f.typo}
+                lines += [(f.nutrient, f.typo, f.text, f.values) for f in found] + [(n.nutrient, True, n.text, None) for n in {n.nutrient: n for n in reversed(typos)}.values() if n.nutrient not in seen]
+                at += [k] * (len(lines) - len(at))
+            columns = [[NUTRIENTS[n][0] for n, *_ in lines], [NUTRIENTS[n][1] for n, *_ in lines], [t for _, t, *_ in lines], [t for *_, t, _ in lines], [v for *_, v in lines]]
+            yield pa.RecordBatch.from_arrays([batch.column("label_id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["label_id", "key", "title", "typo", "row_label", "values"])
+
+    # a row a label: a group a label would cross to Python by itself
+    word, fact = F.struct("row_no", "at", "page", "s", "x", "y", "w", "h", "loose", "numeric", "readings").alias("word"), F.struct("key", "values").alias("fact")
+    both = words.select("label_id", word).unionByName(expected.select("label_id", fact), allowMissingColumns=True)
+    each = spread(both, "label_id").groupBy("label_id").agg(F.array_sort(F.collect_list("word")).alias("words"), F.collect_list("fact").alias("said"))
+    return each.mapInArrow(run, _CELLS.format(kind=kind))
 
 
 def expected_values(reference: DataFrame) -> DataFrame:

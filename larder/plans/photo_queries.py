@@ -13,6 +13,7 @@ from larder.operators import labels, photo
 from larder.plans.registry import query, table
 from larder.sources import detection
 from larder.sources.schema import NUTRIENTS
+from larder.sources.tables import spread
 
 #: Of a word's middle (number of the word in its line, from 0) and of its line.
 _X, _LINE, _SLOPE = "CAST(k * 12 AS DOUBLE)", "CAST(turn * -14 AS DOUBLE)", "((conv_id % 13 - 6) * CAST(0.025 AS DOUBLE))"
@@ -76,8 +77,8 @@ def table_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, key, value::DOUBLE AS value FROM (" + " UNION ALL ".join(f"SELECT p_partkey, '{key}' AS key, {value} AS value FROM part" for key, _, value in TABLE) + ")")
 def q71_tilted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table_items(spark, sf_dir)
-    heads = items.select("label_id").distinct().withColumn("source", F.lit("ocr"))
+    items = spread(table_items(spark, sf_dir), "label_id")  # a part's few bytes become some thirty words
+    heads = table(spark, sf_dir, "part").selectExpr("p_partkey AS label_id").distinct().withColumn("source", F.lit("ocr"))
     sheet = table(spark, sf_dir, "part").selectExpr("p_partkey AS label_id", "explode(array(" + ", ".join(f"named_struct('key', '{key}', 'values', array(CAST({value} AS double)))" for key, _, value in TABLE) + ")) AS e").select("label_id", "e.*")
     found = photo.photo_cells(labels.rows(items, heads), sheet)
     return found.filter("values IS NOT NULL").select(F.col("label_id").alias("p_partkey"), "key", F.get("values", 0).alias("value"))

@@ -325,3 +325,19 @@ def test_a_name_is_looked_up_once_by_a_task():
     photo.nutrient_of.cache_clear()
     assert photo.nutrient_of("saturatd fat") == photo.nutrient_of("saturatd fat")
     assert photo.nutrient_of.cache_info().hits == 1
+
+
+def test_labels_cross_to_python_in_batches(spark):
+    tables = {str(k): table_words(0.01 * k, list(VALUES.items())) for k in range(6)}
+    cells = photo.photo_cells(as_rows(spark, tables), sheet(spark, ["1", "2"]))
+    plan = cells._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan  # before, each label was a group that crossed by itself
+    assert {r.label_id for r in cells.collect()} == set(tables)
+
+
+def test_words_of_parts_are_dealt_before_they_become_rows(spark, tmp_path):
+    from larder.plans import photo_queries
+
+    spark.range(1, 50).selectExpr("id AS p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    plan = photo_queries.q71_tilted_tables(spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert plan.count("RepartitionByExpression [label_id") >= 2  # before, one task made the rows of 120,000 labels
